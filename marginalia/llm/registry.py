@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .store import read
+from . import byte_bpe, quality_rules, token_counts
+from .store import new_path, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
     base = F.lit(quality_rules.mask("base")).cast("long")
@@ -21,6 +33,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_byte_bpe": op4_byte_bpe,
+        "op6_token_counts": op6_token_counts,
         "op9_quality_rules": op9_quality_rules,
     }
 
