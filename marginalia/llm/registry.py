@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, token_counts
-from .store import new_path, read
+from . import byte_bpe, quality_classifier, quality_rules, token_counts
+from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(quality_classifier.featurize(read(spark, sf_dir, "documents")), "features")
+    return quality_classifier.classify(rows, read(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -33,6 +38,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_token_counts": op6_token_counts,
         "op9_quality_rules": op9_quality_rules,
