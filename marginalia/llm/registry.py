@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, token_counts
+from . import byte_bpe, quality_classifier, quality_rules, secret_scan, token_counts
 from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,12 +36,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["ord"] == secret_scan.ORDER[kind])).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.listing(F.col("base")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_classifier": op3_quality_classifier,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_token_counts": op6_token_counts,
         "op9_quality_rules": op9_quality_rules,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
