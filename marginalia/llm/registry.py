@@ -8,12 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_classifier, quality_rules, secret_scan, token_counts
+from . import byte_bpe, chat_format, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Arrivals in which op1 appends the documents, and bytes of a full file there.
+ARRIVALS, FULL_FILE = 8, 64 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, new_path(spark, "shards"), FULL_FILE)
+    for arrival in sharding.arrivals(read(spark, sf_dir, "documents"), "doc_id", ARRIVALS):
+        store.append(arrival)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP1_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(quality_classifier.featurize(read(spark, sf_dir, "documents")), "features")
     return quality_classifier.classify(rows, read(spark, sf_dir, "labels"))
@@ -30,6 +46,44 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONFLICT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONFLICT, "conv_id long, turn long, role string, text string"))
+    return chat_format.digests(chat_format.format_conversations(rows))
+
+
+_REST = r"(/?INST\]|/s>|</?SYS>>|</ROLE>>|<ROLE:[0-9A-F]*>>)"
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 WHEN 'system' THEN 15 ELSE 18 + 2 * strlen(role) END AS marks,
+    regexp_matches(text, '[\[<]\\+{_REST}') OR CASE role
+      WHEN 'user' THEN contains(text, ' [/INST]')
+      WHEN 'system' THEN contains(text, '<</SYS>>')
+      WHEN 'assistant' THEN contains(text, '</s>') OR starts_with(text, '<<SYS>>') AND contains(text, '<</SYS>>')
+        OR starts_with(text, '[INST] ') AND contains(substr(text, 8), ' [/INST]')
+        OR regexp_matches(text, '(?s)^<<ROLE:[0-9A-F]*>>.*<</ROLE>>')
+      ELSE contains(text, '<</ROLE>>') END AS conflict
+  FROM t
+), f AS (
+  SELECT *, marks + length(CASE WHEN conflict THEN regexp_replace(text, '([\[<])(\\*){_REST}', '\1\\\2\3', 'g') ELSE text END) AS shown FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(shown) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
     base = F.lit(quality_rules.mask("base")).cast("long")
@@ -44,13 +98,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sharding": op1_sharding,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_token_counts": op6_token_counts,
+        "op7_chat_format": op7_chat_format,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_sharding": OP1_SQL,
+        "op7_chat_format": OP7_SQL,
+    }
