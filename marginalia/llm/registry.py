@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from . import byte_bpe, chat_format, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,14 @@ FROM f GROUP BY conv_id
 """
 
 
+#: Target weights of the mixture; a source that is not named shares the rest.
+WEIGHTS = {"src0": 0.15} | {f"src{k}": 0.045 for k in range(1, 19)} | {"src19": 0.03}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
     base = F.lit(quality_rules.mask("base")).cast("long")
@@ -103,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op4_byte_bpe": op4_byte_bpe,
         "op6_token_counts": op6_token_counts,
         "op7_chat_format": op7_chat_format,
+        "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
     }
