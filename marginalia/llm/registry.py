@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from . import byte_bpe, chat_format, hilbert_ann, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
     return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -109,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op1_sharding": op1_sharding,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_hilbert_ann": op5_hilbert_ann,
         "op6_token_counts": op6_token_counts,
         "op7_chat_format": op7_chat_format,
         "op8_mixing": op8_mixing,
