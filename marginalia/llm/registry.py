@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hilbert_ann, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from . import byte_bpe, chat_format, hilbert_ann, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from .store import new_path, read, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(quality_classifier.featurize(read(spark, sf_dir, "documents")), "features")
     return quality_classifier.classify(rows, read(spark, sf_dir, "labels"))
@@ -111,6 +115,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_ngram_join": op2_ngram_join,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_hilbert_ann": op5_hilbert_ann,
