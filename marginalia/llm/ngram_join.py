@@ -372,11 +372,11 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     guests = at.join(largest, "cluster").where("comp <> largest").select("sig", "node", "cluster", "grp").distinct()
     visits = guests.join(hosts, "sig").where("cluster = h_cluster and grp <> h_grp").select("node", "cluster", F.col("h_grp").alias("grp")).distinct()
     visits = table(visits, "visits")
+    keys = ["cluster", "grp", "turn"]
     turns = visits.groupBy("cluster", "grp").agg(F.ceil(F.count("*") / VISITS).alias("turns"))
     visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns")
-    visitors = visitors.join(sets.select("node", "size", "tokens"), "node")
+    visitors = visitors.join(sets.select("node", "size", "tokens"), "node").select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))
     hosting = comp.join(turns, ["cluster", "grp"]).join(sets.select("node", "size", "tokens"), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
-    keys = ["cluster", "grp", "turn"]
     crossed = visitors.groupBy(*keys).cogroup(hosting.groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
     return found.unionByName(crossed)
 
@@ -399,6 +399,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that are the smallest id of their component."""
-    kept = near_duplicates(docs, n, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
+    """The documents, all columns, one of each component: that of the smallest id, once if its rows repeat.
+
+    Rows without an id cannot be named as a copy and all stay.
+    """
+    kept = near_duplicates(docs, n, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    kept = table(kept.groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
+    out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    again = kept.where("__rows > 1").select("__kept")
+    if again.isEmpty():
+        return out
+    once = docs.join(kept.where("__rows = 1"), F.col(id_col) == F.col("__kept"), "left_semi")
+    twice = docs.join(again, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return once.unionByName(twice).unionByName(docs.where(F.col(id_col).isNull()))
