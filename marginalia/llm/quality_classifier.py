@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import quality_rules
 from .textops import Chunk, chunks
@@ -73,18 +74,25 @@ def features(chunk: Chunk) -> np.ndarray:
     return np.clip(np.stack(cols, 1).astype(float), 0, 2)
 
 
-def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``features array<double>`` of every whole text."""
+def _with_features(docs: DataFrame, text_col: str, keep: list[str], name: str) -> DataFrame:
+    """Columns ``keep`` and the features of every whole text, in one pass."""
+    columns = [*keep, *({text_col} - {*keep})]
+    text = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, chunk in chunks(batch.column(1)):
+            for at, chunk in chunks(batch.column(text)):
                 x = features(chunk)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, chunk.n), rows], [id_col, "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, chunk.n) for k in range(len(keep))), rows], [*keep, name])
+
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(name, ArrayType(DoubleType()))])
+    return docs.select(*columns).mapInArrow(run, schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, features array<double>")
+
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and ``features array<double>`` of every whole text."""
+    return _with_features(docs, text_col, [id_col], "features")
 
 
 @dataclass(frozen=True)
@@ -94,14 +102,14 @@ class Ranker:
     weights: tuple[float, ...]
     cut: float = 0.0
 
-    def strength(self) -> Column:
+    def strength(self, name: str = "features") -> Column:
         out = F.lit(0.0)
         for k, w in enumerate(self.weights):
-            out = out + F.coalesce(F.get("features", F.lit(k)), F.lit(0.0)) * F.lit(w)
+            out = out + F.coalesce(F.get(F.col(name), F.lit(k)), F.lit(0.0)) * F.lit(w)
         return out
 
-    def score(self) -> Column:
-        return 1 / (1 + F.exp(F.lit(self.cut) - self.strength()))
+    def score(self, name: str = "features") -> Column:
+        return 1 / (1 + F.exp(F.lit(self.cut) - self.strength(name)))
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> np.ndarray:
@@ -159,9 +167,21 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def classify(featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Id, ``held_out``, ``score`` and ``predicted`` of every featurized row; labels: id, quality."""
+def train(featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Ranker:
+    """A ranker from the labels that are not held out; labels: id, quality."""
     known = labels.select(F.col(id_col).alias("id"), "quality").where(~held_out("id"))
-    ranker = fit(featurized.select(F.col(id_col).alias("id"), "features").join(known, "id"))
+    return fit(featurized.select(F.col(id_col).alias("id"), "features").join(known, "id"))
+
+
+def classify(featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Id, ``held_out``, ``score`` and ``predicted`` of every featurized row."""
+    ranker = train(featurized, labels, id_col)
     scored = featurized.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), ranker.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that score 0.5 or more; features travel with their row, so nothing is joined to the texts."""
+    ranker = train(featurized, labels, id_col)
+    name = "__features"
+    return _with_features(docs, text_col, docs.columns, name).where(ranker.score(name) >= 0.5).select(*docs.columns)
