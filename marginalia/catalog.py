@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import catalog_tables, catalog_text
+
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL = catalog_text.QUERIES | catalog_tables.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

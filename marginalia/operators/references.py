@@ -59,7 +59,7 @@ def numbered_entries(section: Column) -> Column:
 
 def bulleted_entries(section: Column) -> Column:
     """The same for lists of bullets: each opens an item, other lines continue it; numbered by position."""
-    lines = F.filter(F.transform(F.split(section, r"\r\n|[\n\r\x0b\x0c]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(section, r"\r\n|[\n\r\x0b\x0c]"), lambda x: F.trim(x)), lambda x: x != "")
 
     def step(acc: Column, line: Column) -> Column:
         bullet = line.rlike(BULLET)

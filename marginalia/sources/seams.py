@@ -89,7 +89,8 @@ def ask(prompts: DataFrame, judge: Judge) -> DataFrame:
                 rows.append((paper, slug, raw, error, attempt))
             yield pd.DataFrame(rows, columns=["paper", "slug", "raw", "error", "attempts"])
 
-    return prompts.mapInPandas(run, "paper string, slug string, raw string, error string, attempts int")
+    paper = prompts.schema["paper"].dataType.simpleString()
+    return prompts.select("paper", "slug", "prompt").mapInPandas(run, f"paper {paper}, slug string, raw string, error string, attempts int")
 
 
 def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]]) -> DataFrame:
