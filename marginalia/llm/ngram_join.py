@@ -20,7 +20,8 @@ link is lost:
 
 Equal sets are one set throughout.  Links join sets with
 ``100 * |A and B| >= percent * |A or B|``; components are read off the links.
-Tokens and sets are 64-bit hashes, documents' sets 128-bit ones.
+Tokens are 64-bit hashes, of which 48 bits are compared within a group; sets are
+64-bit hashes, 128-bit ones where documents are told to hold equal sets.
 
 A text with fewer words than n is one token, its whole sequence; a null text or
 one without words has an empty set, is linked with nothing and is its own
@@ -47,7 +48,7 @@ GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
 VISITS = 2048  #: visitors that meet a group at once, about
 BUCKET = 2_000_000  #: sampled tokens that one task counts, about
-FLUSH = 4_000_000  #: sampled tokens that a mapper sends at once
+FLUSH = 1_000_000  #: sampled tokens that a mapper sends at once
 BLOOM_BITS = 26  #: the filter of live sets has this many address bits (8 MB), whatever the input
 DENSE = 8  #: tokens in more sets of a group than this go through a matrix product
 _U32 = np.uint64(32)
@@ -189,12 +190,14 @@ def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "tex
         if size:
             yield from flush()
 
+    whole = lambda rows, name, kind: np.frombuffer(b"".join(rows[name]), kind)
+
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = lambda name, kind: np.frombuffer(b"".join(rows[name]), kind)
-        runs = whole("runs", np.uint32)
-        node = np.repeat(whole("nodes", np.int64), runs)
+        """Each set's sampled tokens that another set holds, within a bucket of tokens; sets packed by hash."""
+        runs = whole(rows, "runs", np.uint32)
+        node = np.repeat(whole(rows, "nodes", np.int64), runs)
         line = np.repeat(np.arange(len(runs)), runs)
-        token = whole("tokens", np.uint32)
+        token = whole(rows, "tokens", np.uint32)
         order = np.lexsort((node, token))
         token, node, line = token[order], node[order], line[order]
         fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
@@ -203,12 +206,23 @@ def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "tex
         shared = ~(first & np.r_[first[1:], True])
         nodes, at, hits = np.unique(node[shared], return_index=True, return_counts=True)
         line = line[shared][at]
-        return pd.DataFrame({"node": nodes, "size": whole("sizes", np.uint32)[line].astype(np.int64), "sample": whole("samples", np.uint32)[line].astype(np.int64), "hits": hits})
+        sizes, samples = whole(rows, "sizes", np.uint32)[line], whole(rows, "samples", np.uint32)[line]
+        slot = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], np.arange(buckets + 1))
+        parts = [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
+        return pd.DataFrame([(k, *(x[i].tobytes() for x in (nodes, hits.astype(np.uint32), sizes, samples))) for k, i in parts], columns=["slot", "nodes", "hits", "sizes", "samples"])
+
+    def live(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sets of a slot whose sampled tokens leave no more out than the threshold spares."""
+        nodes, at, back = np.unique(whole(rows, "nodes", np.int64), return_index=True, return_inverse=True)
+        hits = np.bincount(back, whole(rows, "hits", np.uint32), minlength=len(nodes))
+        sizes, samples = (whole(rows, name, np.uint32)[at].astype(np.int64) for name in ("sizes", "samples"))
+        return pd.DataFrame({"node": nodes[(samples - hits) * 100 <= sizes * (100 - percent)]})
 
     sent = _sets(docs, text_col, send, "bucket int, tokens binary, nodes binary, runs binary, sizes binary, samples binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "node long, size long, sample long, hits long")
-    summed = counted.groupBy("node").agg(F.sum("hits").alias("hits"), F.max("size").alias("size"), F.max("sample").alias("sample"))
-    return summed.where((F.col("sample") - F.col("hits")) * 100 <= F.col("size") * (100 - percent)).select("node")
+    counted = sent.groupBy("bucket").applyInPandas(count, "slot int, nodes binary, hits binary, sizes binary, samples binary")
+    return counted.groupBy("slot").applyInPandas(live, "node long")
 
 
 def bloom(nodes: DataFrame) -> np.ndarray:
@@ -252,7 +266,7 @@ def token_sets(docs: DataFrame, shape: Shape, live: np.ndarray, text_col: str =
                         one = tokens[bounds[i] : bounds[i + 1]]
                         sig = shape.signatures(one)
                         if len(sig):
-                            rows.append((x, len(one), one.tobytes(), sig.view(np.int64)))
+                            rows.append((x, len(one), _pack(one), sig.view(np.int64)))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if rows:
@@ -293,8 +307,18 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted tokens: enough to tell the tokens of one group apart."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def _lists(rows: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in rows["tokens"]]
+    out = []
+    for x in rows["tokens"]:
+        wide = np.zeros((len(x) // 6, 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        out.append(wide.view(np.uint64).ravel())
+    return out
 
 
 def _within(shape: Shape, rows: pd.DataFrame) -> pd.DataFrame:
@@ -349,7 +373,8 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
 
     # step 3: each group opened for its members
-    members = sets.select("node", "size", "tokens").join(place, "node")
+    arrays = sets.select("node", "size", "tokens").hint("merge")  # dealt by node at every size
+    members = arrays.join(place, "node")
     kind = "node long, comp long, links long"
     local = table(members.groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind), "local")
     found = local.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
@@ -360,7 +385,7 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     # the best linked sets of a cluster's groups, among themselves: they join the parts of a large component
     best = F.row_number().over(Window.partitionBy("cluster", "grp").orderBy(F.desc("links"), "node"))
     hubs = split.join(local, "node").withColumn("n", best).where("n = 1").select("node", "cluster", F.floor(F.col("grp") / GROUP).alias("grp"))
-    met = hubs.join(sets.select("node", "size", "tokens"), "node").groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind)
+    met = arrays.join(hubs, "node").groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind)
     found = table(found.unionByName(met.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))), "links")
 
     # step 4: sets outside the largest component visit the other groups that they agree with
@@ -375,8 +400,8 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     keys = ["cluster", "grp", "turn"]
     turns = visits.groupBy("cluster", "grp").agg(F.ceil(F.count("*") / VISITS).alias("turns"))
     visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns")
-    visitors = visitors.join(sets.select("node", "size", "tokens"), "node").select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))
-    hosting = comp.join(turns, ["cluster", "grp"]).join(sets.select("node", "size", "tokens"), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+    visitors = arrays.join(visitors, "node").select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))
+    hosting = arrays.join(comp.join(turns, ["cluster", "grp"]), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
     crossed = visitors.groupBy(*keys).cogroup(hosting.groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
     return found.unionByName(crossed)
 
