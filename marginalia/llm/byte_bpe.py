@@ -30,7 +30,7 @@ LONG = 4096
 #: Cells of one matrix.
 CELLS = 1 << 20
 #: Distinct pieces kept with their ids by a worker; beyond it the store starts anew.
-KEPT = 400_000
+KEPT = 100_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -56,6 +56,10 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def get(self, left: int, right: int) -> int:
+        """Rank of one pair."""
+        return int(self.rank(np.array([left]), np.array([right]))[0])
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NONE where there is none or either id is padding (below 0)."""
         keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
@@ -79,8 +83,7 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
-        self.pairs = {(self.ranks[t[:i]] << 32) | self.ranks[t[i:]]: rank for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        self.table = PairTable(self.pairs)
+        self.table = PairTable({(self.ranks[t[:i]] << 32) | self.ranks[t[i:]]: rank for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks})
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         # for decoding: all tokens end to end, by id
         size = max(self.ranks.values()) + 1
@@ -140,10 +143,12 @@ class Bpe:
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same rule by a heap over a linked list."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        start = self.byte[np.frombuffer(piece, np.uint8)]
+        first = self.table.rank(start[:-1], start[1:]).tolist()
+        ids = start.tolist()
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i] << 32) | ids[i + 1])) is not None]
+        heap = [(first[i], i, ids[i], ids[i + 1]) for i in range(n - 1) if first[i] != _NONE]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -154,9 +159,9 @@ class Bpe:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := self.pairs.get((rank << 32) | ids[k])) is not None:
+                if (r := self.table.get(rank, ids[k])) != _NONE:
                     heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := self.pairs.get((ids[h] << 32) | rank)) is not None:
+            if (h := before[i]) >= 0 and (r := self.table.get(ids[h], rank)) != _NONE:
                 heapq.heappush(heap, (r, h, ids[h], rank))
         return np.array([x for x in ids if x >= 0], np.int32)
 
@@ -233,18 +238,37 @@ def load(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``ids array<int>`` of every whole text; path: a rank file that workers can read."""
+def _ids(bounds: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _letters(bpe: Bpe, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """What each row's ids decode to."""
+    letters, ends = bpe.decode(ids)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.r_[0, ends][bounds].astype(np.int32)), pa.py_buffer(letters)])
+
 
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
             for at, chunk in chunks(batch.column(1)):
                 ids, bounds = bpe.encode(chunk)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, chunk.n), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], [id_col, "ids"])
+                out = {id_col: batch.column(0).slice(at, chunk.n), "ids": _ids(bounds, ids)}
+                yield pa.RecordBatch.from_pydict(out | ({"decoded": _letters(bpe, ids, bounds)} if decoded else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decoded)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and ``ids array<int>`` of every whole text; path: a rank file that workers can read."""
+    return _encoded(docs, path, pattern, id_col, text_col, decoded=False)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode``, and ``decoded binary``: what the ids decode to, in the same pass over the texts."""
+    return _encoded(docs, path, pattern, id_col, text_col, decoded=True)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -254,15 +278,12 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            step = max(1, min(batch.num_rows, (1 << 20) * batch.num_rows // max(1, len(batch.column(ids_col).flatten()))))
+            step = max(1, (1 << 20) * batch.num_rows // max(1, len(batch.column(ids_col).flatten())))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 col = part.column(ids_col)
                 sizes = np.asarray(col.value_lengths().fill_null(0))
-                letters, ends = bpe.decode(np.asarray(col.flatten()))
-                bounds = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(letters)])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _letters(bpe, np.asarray(col.flatten()), np.r_[0, np.cumsum(sizes)])], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
     return encoded.select(*names).mapInArrow(run, f"{fields}, decoded binary")
