@@ -41,7 +41,6 @@ WEAK = {
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (_, role) in WEAK.items()}
 ORDER = {kind: k for k, kind in enumerate([*BASE, *WEAK])}
 SPAN = "struct<start:int,ord:int,end:int>"
-_KIND = F.array(*map(F.lit, ORDER))
 
 
 def find(text: Column, kind: str, pattern: str, holds=None) -> Column:
@@ -97,7 +96,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def listing(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(_KIND, s["ord"]), s["start"], s["end"])), ",")
+    kinds = F.array(*map(F.lit, ORDER))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["ord"]), s["start"], s["end"])), ",")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
