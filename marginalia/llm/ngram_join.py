@@ -6,9 +6,10 @@ union bounds its overlap with any member, and only groups whose bound reaches
 the threshold are opened.  Every step before that is a bound as well, so no
 link is lost:
 
-1. *Columns.*  Of a hashed share of all tokens, those that a single set holds
-   can be in no overlap.  A set with more of them than the threshold leaves to
-   spare has no partner and goes no further (its documents stay in the result).
+1. *Columns.*  Tokens that a single set holds can be in no overlap.  A set with
+   more of them than the threshold leaves to spare has no partner and goes no
+   further (its documents stay in the result).  This is done on a hashed share
+   of all tokens, then on all tokens of the sets left in.
 2. *Groups.*  The token space is cut into more parts than two linked sets can
    differ in, so they agree on a part; sets that agree on one are candidates,
    and connected candidates form a cluster, which is cut into groups of GROUP
@@ -146,58 +147,55 @@ def _sampled(tokens: np.ndarray, share: float) -> np.ndarray:
     return (mix(tokens + np.uint64(0x5851F42D4C957F2D)) >> _U32) < np.uint64(int(share * (1 << 32)))
 
 
-def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text") -> DataFrame:
-    """Step 1: (node) of the sets that enough of the sampled tokens could link."""
-    buckets, n, share, percent = max(1, int(n_tokens * shape.share) // BUCKET + 1), shape.n, shape.share, shape.percent
+class Sender:
+    """Collects tokens with their sets and sends them off packed by token bucket, FLUSH at a time."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            token, node, size_of, sample = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = ((token >> _U32) * np.uint64(buckets)) >> _U32
-            order = np.lexsort((node, bucket))
-            token, node, size_of, sample, bucket = token[order], node[order], size_of[order], sample[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                run = np.flatnonzero(np.r_[True, node[s][1:] != node[s][:-1]])
-                runs = np.diff(np.r_[run, cuts[b + 1] - cuts[b]])
-                blobs = [token[s].astype(np.uint32), node[s][run], runs.astype(np.uint32), size_of[s][run].astype(np.uint32), sample[s][run].astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["bucket", "tokens", "nodes", "runs", "sizes", "samples"])
+    schema = "bucket int, tokens binary, nodes binary, runs binary, sizes binary, samples binary"
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, token: np.ndarray, node: np.ndarray, size: np.ndarray, sample: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Tokens, each with the set it is of, that set's size, and how many of its tokens are sent in all."""
+        self.held.append((token, node, size, sample))
+        self.size += len(token)
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        token, node, size, sample = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        bucket = ((token >> _U32) * np.uint64(self.buckets)) >> _U32
+        order = np.lexsort((node, bucket))
+        token, node, size, sample, bucket = token[order], node[order], size[order], sample[order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            s = slice(cuts[b], cuts[b + 1])
+            run = np.flatnonzero(np.r_[True, node[s][1:] != node[s][:-1]])
+            runs = np.diff(np.r_[run, cuts[b + 1] - cuts[b]])
+            blobs = [mix(token[s]).astype(np.uint32), node[s][run], runs.astype(np.uint32), size[s][run].astype(np.uint32), sample[s][run].astype(np.uint32)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["bucket", "tokens", "nodes", "runs", "sizes", "samples"])
+
+
+def _whole(rows: pd.DataFrame, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(rows[name]), kind)
 
-        for batch in batches:
-            for _, chunk in chunks(batch.column(0)):
-                tokens, bounds = shingle_sets(chunk, n)
-                node, _ = set_hashes(tokens, bounds)
-                fresh = np.zeros(chunk.n, bool)
-                for i, x in enumerate(node.tolist()):  # equal sets once from each mapper
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                own = np.repeat(np.arange(chunk.n), np.diff(bounds))
-                take = _sampled(tokens, share)
-                sample = np.bincount(own[take], minlength=chunk.n)
-                take &= fresh[own]
-                own = own[take]
-                held.append((tokens[take], node[own], np.diff(bounds)[own], sample[own]))
-                size += len(own)
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
 
-    whole = lambda rows, name, kind: np.frombuffer(b"".join(rows[name]), kind)
+def with_partners(sent: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """(node) of the sets of which few enough tokens are held by no other set; sent: as of ``Sender``.
+
+    Two tokens that share their 32 bits within a bucket count as one, which
+    only ever keeps a set.
+    """
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """Each set's sampled tokens that another set holds, within a bucket of tokens; sets packed by hash."""
-        runs = whole(rows, "runs", np.uint32)
-        node = np.repeat(whole(rows, "nodes", np.int64), runs)
+        """Each set's tokens that another set holds, within a bucket of tokens; sets packed by hash."""
+        runs = _whole(rows, "runs", np.uint32)
+        node = np.repeat(_whole(rows, "nodes", np.int64), runs)
         line = np.repeat(np.arange(len(runs)), runs)
-        token = whole(rows, "tokens", np.uint32)
+        token = _whole(rows, "tokens", np.uint32)
         order = np.lexsort((node, token))
         token, node, line = token[order], node[order], line[order]
         fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
@@ -206,7 +204,7 @@ def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "tex
         shared = ~(first & np.r_[first[1:], True])
         nodes, at, hits = np.unique(node[shared], return_index=True, return_counts=True)
         line = line[shared][at]
-        sizes, samples = whole(rows, "sizes", np.uint32)[line], whole(rows, "samples", np.uint32)[line]
+        sizes, samples = _whole(rows, "sizes", np.uint32)[line], _whole(rows, "samples", np.uint32)[line]
         slot = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         cuts = np.searchsorted(slot[order], np.arange(buckets + 1))
@@ -214,17 +212,59 @@ def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "tex
         return pd.DataFrame([(k, *(x[i].tobytes() for x in (nodes, hits.astype(np.uint32), sizes, samples))) for k, i in parts], columns=["slot", "nodes", "hits", "sizes", "samples"])
 
     def live(rows: pd.DataFrame) -> pd.DataFrame:
-        """The sets of a slot whose sampled tokens leave no more out than the threshold spares."""
-        nodes, at, back = np.unique(whole(rows, "nodes", np.int64), return_index=True, return_inverse=True)
-        hits = np.bincount(back, whole(rows, "hits", np.uint32), minlength=len(nodes))
-        sizes, samples = (whole(rows, name, np.uint32)[at].astype(np.int64) for name in ("sizes", "samples"))
+        """The sets of a slot that leave no more tokens out than the threshold spares."""
+        nodes, at, back = np.unique(_whole(rows, "nodes", np.int64), return_index=True, return_inverse=True)
+        hits = np.bincount(back, _whole(rows, "hits", np.uint32), minlength=len(nodes))
+        sizes, samples = (_whole(rows, name, np.uint32)[at].astype(np.int64) for name in ("sizes", "samples"))
         return pd.DataFrame({"node": nodes[(samples - hits) * 100 <= sizes * (100 - percent)]})
 
-    sent = _sets(docs, text_col, send, "bucket int, tokens binary, nodes binary, runs binary, sizes binary, samples binary")
     counted = sent.groupBy("bucket").applyInPandas(count, "slot int, nodes binary, hits binary, sizes binary, samples binary")
     return counted.groupBy("slot").applyInPandas(live, "node long")
 
 
+def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text") -> DataFrame:
+    """Step 1 on the texts: (node) of the sets that the sampled tokens leave in."""
+    buckets = max(1, int(n_tokens * shape.share) // BUCKET + 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, seen = Sender(buckets), set()
+        for batch in batches:
+            for _, chunk in chunks(batch.column(0)):
+                tokens, bounds = shingle_sets(chunk, shape.n)
+                node, _ = set_hashes(tokens, bounds)
+                fresh = np.zeros(chunk.n, bool)
+                for i, x in enumerate(node.tolist()):  # equal sets once from each mapper
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                own = np.repeat(np.arange(chunk.n), np.diff(bounds))
+                take = _sampled(tokens, shape.share)
+                sample = np.bincount(own[take], minlength=chunk.n)
+                take &= fresh[own]
+                own = own[take]
+                yield from sender.add(tokens[take], node[own], np.diff(bounds)[own], sample[own])
+        yield from sender.flush()
+
+    return with_partners(_sets(docs, text_col, send, Sender.schema), buckets, shape.percent)
+
+
+def still_live(sets: DataFrame, shape: Shape) -> DataFrame:
+    """Step 1 again, on all tokens of the sets left in: their partners are among themselves."""
+    buckets = int(sets.agg(F.sum("size")).first()[0] or 0) // BUCKET + 1
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = Sender(buckets)
+        for batch in batches:
+            for node, tokens in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1).to_pylist()), strict=True):
+                n = np.full(len(tokens), len(tokens))
+                yield from sender.add(tokens, np.full(len(tokens), node), n, n)
+        yield from sender.flush()
+
+    return with_partners(sets.select("node", "tokens").mapInArrow(send, Sender.schema), buckets, shape.percent)
+
+
 def bloom(nodes: DataFrame) -> np.ndarray:
     """A bit table of 2**BLOOM_BITS bits; its size does not depend on the input."""
     top = (1 << BLOOM_BITS) - 1
@@ -245,9 +285,8 @@ def _in_bloom(table_: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, shape: Shape, live: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(node, size, tokens, signatures) of the live sets; a set may come from several mappers."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(live)
+    """(node, size, tokens) of the sets left in; a set may come from several mappers."""
+    sent = docs.sparkSession.sparkContext.broadcast(live)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -258,22 +297,36 @@ def token_sets(docs: DataFrame, shape: Shape, live: np.ndarray, text_col: str =
                 size = np.diff(bounds)
                 own = np.repeat(np.arange(chunk.n), size)
                 sample = np.bincount(own[_sampled(tokens, shape.share)], minlength=chunk.n)
-                keep = (size > 0) & ((100 * sample <= size * (100 - shape.percent)) | _in_bloom(sent.value, node))
+                # a set that may differ from a linked one at all, and that step 1 has not ruled out
+                keep = size * (100 - shape.percent) >= shape.percent
+                keep &= (100 * sample <= size * (100 - shape.percent)) | _in_bloom(sent.value, node)
                 rows = []
                 for i in np.flatnonzero(keep):
                     if (x := int(node[i])) not in seen:
                         seen.add(x)
-                        one = tokens[bounds[i] : bounds[i + 1]]
-                        sig = shape.signatures(one)
-                        if len(sig):
-                            rows.append((x, len(one), _pack(one), sig.view(np.int64)))
+                        rows.append((x, int(size[i]), _pack(tokens[bounds[i] : bounds[i + 1]])))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], ["node", "size", "tokens", "signatures"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "size", "tokens"])
+
+    return _sets(docs, text_col, run, "node long, size long, tokens binary")
+
+
+def signed(sets: DataFrame, shape: Shape, live: np.ndarray) -> DataFrame:
+    """The sets still left in, with their ``signatures``."""
+    sent = sets.sparkSession.sparkContext.broadcast(live)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_in_bloom(sent.value, batch.column(0).to_numpy())))
+            found = [shape.signatures(x).view(np.int64) for x in _unpacked(batch.column(2).to_pylist())]
+            bounds = np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))], ["node", "size", "tokens", "signatures"])
 
-    return _sets(docs, text_col, run, "node long, size long, tokens binary, signatures array<long>")
+    return sets.mapInArrow(run, "node long, size long, tokens binary, signatures array<long>")
 
 
 # -- opening groups ---------------------------------------------------------
@@ -312,9 +365,9 @@ def _pack(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def _lists(rows: pd.DataFrame) -> list[np.ndarray]:
+def _unpacked(packed) -> list[np.ndarray]:
     out = []
-    for x in rows["tokens"]:
+    for x in packed:
         wide = np.zeros((len(x) // 6, 8), np.uint8)
         wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
         out.append(wide.view(np.uint64).ravel())
@@ -324,7 +377,7 @@ def _lists(rows: pd.DataFrame) -> list[np.ndarray]:
 def _within(shape: Shape, rows: pd.DataFrame) -> pd.DataFrame:
     """Local components of a group: node, comp (smallest node), and its number of links."""
     rows = rows.drop_duplicates("node").sort_values("node")
-    node, size, sets = rows["node"].to_numpy(), rows["size"].to_numpy(), _lists(rows)
+    node, size, sets = rows["node"].to_numpy(), rows["size"].to_numpy(), _unpacked(rows["tokens"])
     link = shape.linked(overlaps(sets, sets), size[:, None], size[None, :])
     label = np.arange(len(node))
     while True:
@@ -341,16 +394,16 @@ def _visit(shape: Shape, visitors: pd.DataFrame, members: pd.DataFrame) -> pd.Da
     found = []
     visitors, members = visitors.drop_duplicates("node"), members.drop_duplicates("node")
     if len(visitors) and len(members):
-        sets = _lists(members)
+        sets = _unpacked(members["tokens"])
         union = np.unique(np.concatenate(sets))
         size = visitors["size"].to_numpy()
-        bound = np.array([np.isin(x, union, assume_unique=True).sum() for x in _lists(visitors)])
+        bound = np.array([np.isin(x, union, assume_unique=True).sum() for x in _unpacked(visitors["tokens"])])
         open_ = (100 * bound >= shape.percent * size) & (100 * size >= shape.percent * members["size"].min())
         visitors, size = visitors[open_], size[open_]
         comp, node = members["comp"].to_numpy(), members["node"].to_numpy()
         for at in range(0, len(visitors), GROUP):
             some = visitors.iloc[at : at + GROUP]
-            link = shape.linked(overlaps(_lists(some), sets), size[at : at + GROUP, None], members["size"].to_numpy()[None, :])
+            link = shape.linked(overlaps(_unpacked(some["tokens"]), sets), size[at : at + GROUP, None], members["size"].to_numpy()[None, :])
             for i, q in enumerate(some["node"]):
                 hit = np.flatnonzero(link[i])
                 _, one = np.unique(comp[hit], return_index=True)
@@ -360,8 +413,8 @@ def _visit(shape: Shape, visitors: pd.DataFrame, members: pd.DataFrame) -> pd.Da
 
 def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text") -> DataFrame:
     """Edges (a, b) between sets whose components are those of all links."""
-    live = bloom(live_sets(docs, shape, n_tokens, text_col))
-    sets = table(token_sets(docs, shape, live, text_col), "token-sets")
+    left = table(token_sets(docs, shape, bloom(live_sets(docs, shape, n_tokens, text_col)), text_col), "token-sets")
+    sets = table(signed(left, shape, bloom(still_live(left, shape))), "signed-sets")
 
     # step 2: clusters of sets that agree on a part
     sig = sets.select("node", F.explode("signatures").alias("sig"))
@@ -373,14 +426,15 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
 
     # step 3: each group opened for its members
-    arrays = sets.select("node", "size", "tokens").hint("merge")  # dealt by node at every size
-    members = arrays.join(place, "node")
+    # token arrays are dealt by node once; later steps read them with their place
+    placed = table(sets.select("node", "size", "tokens").hint("merge").join(place, "node"), "placed")
     kind = "node long, comp long, links long"
-    local = table(members.groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind), "local")
+    local = table(placed.groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind), "local")
     found = local.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     split = place.where("groups > 1")
     if split.isEmpty():
         return found
+    arrays = placed.where("groups > 1").select("node", "size", "tokens")
 
     # the best linked sets of a cluster's groups, among themselves: they join the parts of a large component
     best = F.row_number().over(Window.partitionBy("cluster", "grp").orderBy(F.desc("links"), "node"))
@@ -392,11 +446,11 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     comp = split.join(components(found).withColumnRenamed("comp", "c"), "node", "left").select("node", "cluster", "grp", F.coalesce("c", "node").alias("comp"))
     comp = table(comp, "split-comps")
     largest = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    at = agree.select("sig", "node").join(comp, "node")
-    hosts = at.select("sig", F.col("cluster").alias("h_cluster"), F.col("grp").alias("h_grp")).distinct()
-    guests = at.join(largest, "cluster").where("comp <> largest").select("sig", "node", "cluster", "grp").distinct()
-    visits = guests.join(hosts, "sig").where("cluster = h_cluster and grp <> h_grp").select("node", "cluster", F.col("h_grp").alias("grp")).distinct()
-    visits = table(visits, "visits")
+    at = agree.select("sig", "node").distinct()
+    hosts = at.join(comp, "node").groupBy("sig").agg(F.collect_set("grp").alias("hosts"))
+    outside = table(comp.join(largest, "cluster").where("comp <> largest").select("node", "cluster", "grp"), "outside")
+    guests = at.join(outside, "node").join(hosts, "sig").groupBy("node", "cluster", "grp").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
+    visits = table(guests.select("node", "cluster", F.explode(F.array_remove("hosts", F.col("grp"))).alias("grp")), "visits")
     keys = ["cluster", "grp", "turn"]
     turns = visits.groupBy("cluster", "grp").agg(F.ceil(F.count("*") / VISITS).alias("turns"))
     visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns")
