@@ -14,7 +14,7 @@ from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
-from ..sources import json_files, seams
+from ..sources import json_files, requests, seams
 from . import audit
 from . import derived as D
 from . import sql as Q
@@ -360,6 +360,21 @@ def _magic(s, d):
     return D.table(s, d, "downloads").select("paper", "ord", "source", W.is_pdf(F.col("http_status"), content).alias("ok"))
 
 
+def _requests(s, d):
+    rows = D.table(s, d, "ref_lines")
+    doi = T.doi(F.col("raw"))
+    return rows.select("paper", "ord", requests.crossref(F.col("raw")).alias("crossref"), requests.arxiv(T.arxiv_id(F.col("raw"))).alias("arxiv"), requests.unpaywall(doi, "me@example.org").alias("unpaywall"), requests.by_doi(doi).alias("by_doi"))
+
+
+def _defaults(s, d):
+    """Entries of a manifest that leave fields out."""
+    rows = D.table(s, d, "ref_lines")
+    full = F.concat(F.lit('{"entries":[{"num":"'), F.col("ord").cast("string"), F.lit('","raw":"r","status":"no_doi","doi":"10.1/x"}]}'))
+    body = F.when(F.col("ord") % 2 == 0, full).otherwise('{"manuscript":"m","entries":[{"num":"7","raw":"r"}]}')
+    entry = F.get(F.from_json(body, S.MANIFEST)["entries"], F.lit(0))
+    return rows.select("paper", "ord", entry["num"].alias("num"), F.coalesce(entry["status"], F.lit("error")).alias("status"), entry["doi"].alias("doi"), F.coalesce(entry["reason"], F.lit("")).alias("reason"))
+
+
 def _answers(via, key):
     """Search results as one answer a paper, and read back."""
 
@@ -418,6 +433,14 @@ RETRIEVAL = {
     "A13_ratio": (lambda s, d: _title_rows(s, d).where("n > 0").select("paper", "ord", "source", (F.col("found") / F.col("n") >= T.TITLE_RATIO).alias("enough")), f"{_T} SELECT paper, ord, source, found / n >= 0.35 AS enough FROM tr WHERE n > 0"),
     "S12_accepted": (lambda s, d: W.accepted(D.table(s, d, "downloads"), D.refs(s, d)), f"{_T} SELECT * FROM ac"),
     "W9_resolve": (_resolved, _W9),
+    "S4_defaults": (_defaults, f"{Q.ctes('ref_lines')} SELECT paper, ord, CASE WHEN ord % 2 = 0 THEN CAST(ord AS VARCHAR) ELSE '7' END AS num, CASE WHEN ord % 2 = 0 THEN 'no_doi' ELSE 'error' END AS status, CASE WHEN ord % 2 = 0 THEN '10.1/x' END AS doi, '' AS reason FROM ref_lines"),
+    "S7h_requests": (
+        _requests,
+        f"""{Q.ctes('ref_lines')} SELECT paper, ord, 'https://api.crossref.org/works?query.bibliographic=' || url_encode(left(raw, 250)) || '&rows=1' AS crossref,
+  'https://arxiv.org/pdf/' || nullif(regexp_extract(raw, '(?i)arxiv[:\\s]*(\\d{{4}}\\.\\d{{4,5}})(v\\d+)?', 1), '') AS arxiv, 'https://api.unpaywall.org/v2/' || {Q.DOI} || '?email=me%40example.org' AS unpaywall,
+  'https://www.ebi.ac.uk/europepmc/webservices/rest/search?query=' || url_encode('DOI:"' || {Q.DOI} || '"') || '&format=json&pageSize=1' AS by_doi FROM ref_lines""",
+    ),
+    "T5_first_file": (lambda s, d: D.table(s, d, "files").groupBy("paper").agg(F.min("name").alias("name")), f"{Q.ctes('files')} SELECT paper, min(name) AS name FROM files GROUP BY paper"),
     "S7a_crossref": (_crossref, f"{Q.ctes('lookups')} SELECT paper, ord, crossref_doi AS doi FROM lookups"),
     "S7b_unpaywall": (_open_access, f"{Q.ctes('downloads')} SELECT paper, ord, source, CASE WHEN http_status = 200 AND is_pdf THEN 'http://oa/' || ord END AS url FROM downloads"),
     "S7c_full_text": (_full_text, f"{Q.ctes('downloads')} SELECT paper, ord, source, CASE WHEN http_status = 200 AND is_pdf THEN 'https://europepmc.org/backend/ptpmcrender.fcgi?accid=PMC' || ord || '&blobtype=pdf' END AS url FROM downloads"),
