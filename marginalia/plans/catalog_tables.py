@@ -9,6 +9,7 @@ from ..functions import judgement as J
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import evidence as E
+from ..operators import html as H
 from ..operators import ingest as I
 from ..operators import references as R
 from ..operators import report as P
@@ -70,6 +71,14 @@ def _round_trip(s, d):
     return back.select("paper", "t.summary.total", "t.summary.available", F.posexplode("j.entries").alias("ord", "e")).select("paper", "total", "available", (F.col("ord") + 1).alias("ord"), "e.num", "e.raw", "e.doi", "e.status", "e.slug")
 
 
+def _no_coverage(s):
+    return seams.empty(s, "paper long, labels_in_text array<string>, covered array<string>, missing array<string>, status string")
+
+
+def _no_hits(s):
+    return seams.empty(s, "paper long, ord int, via string, title string, year int, doi string, journal string, authors string, rank int")
+
+
 def _conflicts(s, d):
     rows = D.table(s, d, "ref_lines").select("paper").distinct()
     had = rows.where("paper % 3 = 0").select("paper", F.concat(F.lit("m"), (F.col("paper") % 2).cast("string")).alias("manuscript"))
@@ -179,7 +188,12 @@ FROM r JOIN claim_rows USING (paper, id) WHERE r.source_slug IS NOT NULL GROUP B
   || CASE WHEN source_slug <> '' THEN chr(10) || '### Evidence from: `' || source_slug || '`' || chr(10) || '- **Source:** Page ' || source_page || ' `(' || source_block || ')`' ELSE '' END || chr(10) || '> ' || note) AS INT) AS chars
 FROM claim_rows WHERE NOT {Q.GAP}""",
     ),
-    "K4_report": (lambda s, d: P.report(D.claims(s, d), D.refs(s, d), s.createDataFrame([], "paper long, labels_in_text array<string>, covered array<string>, missing array<string>, status string")), None),
+    "K4b_gap_rows": (
+        _claims(lambda c: H.gap_rows(c).select("paper", "place", "section", "state", "n")),
+        f"{_CR} SELECT paper, min(id) AS place, {Q.SECTION} AS section, replace(min_by(verdict, id), '_', ' ') AS state, count(*) AS n FROM claim_rows WHERE {Q.GAP} GROUP BY paper, section",
+    ),
+    "K4b_html": (lambda s, d: H.pages(D.claims(s, d), D.claims(s, d).where("id = 1").select("paper", "id", "claim", "location"), _no_coverage(s), _no_hits(s), _no_hits(s), "editor"), None),
+    "K4_report": (lambda s, d: P.report(D.claims(s, d), D.refs(s, d), _no_coverage(s)), None),
 }
 
 

@@ -67,6 +67,19 @@ def decode_layout(files: DataFrame, decoder: Callable[[bytes], list[dict]]) -> D
     return files.select("paper", "content").mapInPandas(run, LAYOUT_ITEMS)
 
 
+def draw(crops: DataFrame, files: DataFrame, renderer: Callable[[bytes, int, dict, float, list[dict]], bytes]) -> DataFrame:
+    """(paper, id, file, png) of crops (paper, id, source_slug, source_page, file, region, zoom, boxes) and PDFs (paper, slug, content)."""
+    rows = crops.join(files.withColumnRenamed("slug", "source_slug"), ["paper", "source_slug"])
+    paper = crops.schema["paper"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            png = [renderer(bytes(c), int(p), r, float(z), list(x)) for c, p, r, z, x in zip(b["content"], b["source_page"], b["region"], b["zoom"], b["boxes"], strict=True)]
+            yield pd.DataFrame({"paper": b["paper"], "id": b["id"], "file": b["file"], "png": png})
+
+    return rows.select("paper", "id", "file", "content", "source_page", "region", "zoom", "boxes").mapInPandas(run, f"paper {paper}, id int, file string, png binary")
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     """(paper, pages) from the decoder's page list, one at least: pages without text count."""
     return pages.groupBy("paper").agg(F.greatest(F.count("page"), F.lit(1)).alias("pages"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from marginalia import schemas as S
 from marginalia.functions import geometry as G
 from marginalia.operators import evidence as E
+from marginalia.operators import html as H
 from marginalia.operators import ingest as I
 from marginalia.operators import references as R
 from marginalia.operators import report as P
 from marginalia.plans import audit
-from marginalia.sources import json_files, seams
+from marginalia.sources import case, json_files, seams
 from marginalia.streaming import arrivals
 
 BOX = (1.0, 2.0, 3.0, 4.0)
@@ -112,6 +113,26 @@ def test_evidence(spark):
     assert crop.file == "claim_01_fixture-2023_p1.png" and len(crop.boxes) == 1 and crop.zoom == 8.0
 
 
+def test_draw_and_case(spark, tmp_path):
+    crops = spark.createDataFrame([("p", 1, "s-2020", 2, "a.png", BOX, 2.0, [BOX])], f"paper string, id int, source_slug string, source_page int, file string, region {S.BOX}, zoom double, boxes array<{S.BOX}>")
+    files = spark.createDataFrame([("p", "s-2020", bytearray(b"%PDF"))], "paper string, slug string, content binary")
+    row = seams.draw(crops, files, lambda pdf, page, region, zoom, boxes: pdf + b"%d %d" % (page, len(boxes))).first()
+    assert (row.file, bytes(row.png)) == ("a.png", b"%PDF2 1")
+    assert case.init(spark, str(tmp_path / "c")) == list(case.FOLDERS) and case.init(spark, str(tmp_path / "c")) == []
+
+
+def test_pages(spark):
+    claims = spark.createDataFrame([("p", 1, "a <b>", "M §1", ["1"], "supported", "n", "s-1", 2, "b", [], "e.png"), ("p", 2, "gap", "M §2", ["2"], "not_retrieved", "", None, None, None, [], None)], S.CLAIMS)
+    uncited = spark.createDataFrame([("p", 1, "said", "")], S.UNCITED)
+    coverage = spark.createDataFrame([("p", ["1"], ["1"], [], "all covered")], "paper string, labels_in_text array<string>, covered array<string>, missing array<string>, status string")
+    hits = spark.createDataFrame([("p", k, "search", f"hit {k:02d}.", 2021, "", "J", "", k) for k in range(1, 13)], S.HITS + ", rank int")
+    for look, newer, overlooked in (("editor", 10, 8), ("terminal", 8, 6)):
+        page = H.pages(claims, uncited, coverage, hits, hits, look).first().html
+        assert page.count("newer ·") == newer and page.count("overlooked ·") == overlooked and "Full lists" in page
+        assert "a &lt;b&gt;" in page and "[U1] said" in page and "Not verified (1 of 2)" in page and '<img src="e.png">' in page
+    assert "Full lists" not in H.pages(claims, uncited.limit(0), coverage.limit(0), hits.limit(0), hits.limit(0), "editor").first().html
+
+
 def test_audit_end_to_end(spark):
     blocks = raw(spark, [("Introduction here", 14.0), ("A claim [1] and another [2].", 10.0), ("References", 14.0), ("1. Smith A. Study (2019)", 10.0), ("2. Jones B. Work (2018)", 10.0)])
     refs = audit.parse_only(blocks).withColumns({"status": F.when(F.col("num") == "1", "retrieved").otherwise("paywalled"), "resolver": F.lit(None).cast("string"), "reason": F.lit("")})
