@@ -11,9 +11,10 @@ link is lost:
    further (its documents stay in the result).  This is done on a hashed share
    of all tokens, then on all tokens of the sets left in.
 2. *Groups.*  The token space is cut into more parts than two linked sets can
-   differ in, so they agree on a part; sets that agree on one are candidates,
-   and connected candidates form a cluster, which is cut into groups of GROUP
-   sets at most.
+   differ in, so they agree on some, by how many more there are; a set that
+   agrees with others on fewer has no partner.  Sets that agree on a part are
+   candidates, and connected candidates form a cluster, which is cut into
+   groups of GROUP sets or so.
 3. *Rows.*  Each group is opened for its own members by one matrix product.
 4. *Matrix.*  A set outside its cluster's largest component visits the other
    groups that it shares a part with; those whose token union bounds the
@@ -47,7 +48,7 @@ from .textops import Chunk, chunks, mix, ngrams
 
 GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
-VISITS = 2048  #: visitors that meet a group at once, about
+VISITS, VISIT_TOKENS = 16_384, 8_000_000  #: visitors that meet a group at once, and their tokens, about
 BUCKET = 2_000_000  #: sampled tokens that one task counts, about
 FLUSH = 1_000_000  #: sampled tokens that a mapper sends at once
 BLOOM_BITS = 26  #: the filter of live sets has this many address bits (8 MB), whatever the input
@@ -74,23 +75,34 @@ class Shape:
     def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (both > 0) & (100 * both >= self.percent * (a + b - both))
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """A hash for each part of a sorted set's tokens, in the bands where a linked set may be the smaller one."""
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash for each part of a sorted set's tokens, in the bands where a linked set may be the smaller one.
+
+        The lowest six bits say the band.  With each goes how many signatures
+        of its band the set shares at least with any set linked to it there:
+        one for each part, less those that may differ or be empty.
+        """
         size = len(tokens)
         low = -(-size * self.percent // 100)
         run = np.r_[np.uint64(0), np.cumsum(mix(tokens))]
-        out = []
-        for band in {int(np.searchsorted(self.lower, x, "right")) - 1 for x in (low, size)}:
+        out, need = [], []
+        for band in sorted({int(np.searchsorted(self.lower, x, "right")) - 1 for x in (low, size)}):
             parts, differ = self.parts[band], self.differ[band]
             if differ < 1:
                 continue  # only equal sets could link here
             count = np.bincount(((tokens >> np.uint64(40)).astype(np.int64) * parts) >> 24, minlength=parts)
             ends = np.cumsum(count)
             salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32))
-            sig = mix((run[ends] - run[ends - count]) ^ salt)
-            # an agreement may be on empty parts alone only if so many are empty
-            out.append(sig if (count == 0).sum() >= parts - differ else sig[count > 0])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sig = (mix((run[ends] - run[ends - count]) ^ salt) & ~np.uint64(63)) | np.uint64(band)
+            empty = int((count == 0).sum())
+            least = parts - min(differ, self.spare(size)) - empty
+            if least >= 1:
+                sig = sig[count > 0]
+            else:  # so many are empty that an agreement may be on empty parts alone, or on one that is not
+                least = 1
+            out.append(sig)
+            need.append(np.full(len(sig), least, np.int32))
+        return (np.concatenate(out), np.concatenate(need)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -315,18 +327,38 @@ def token_sets(docs: DataFrame, shape: Shape, live: np.ndarray, text_col: str =
 
 
 def signed(sets: DataFrame, shape: Shape, live: np.ndarray) -> DataFrame:
-    """The sets still left in, with their ``signatures``."""
+    """The sets still left in, with their ``signatures`` and what each set must share of them."""
     sent = sets.sparkSession.sparkContext.broadcast(live)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_in_bloom(sent.value, batch.column(0).to_numpy())))
-            found = [shape.signatures(x).view(np.int64) for x in _unpacked(batch.column(2).to_pylist())]
-            bounds = np.r_[0, np.cumsum([len(x) for x in found], dtype=np.int64)]
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))], ["node", "size", "tokens", "signatures"])
+            found = [shape.signatures(x) for x in _unpacked(batch.column(2).to_pylist())]
+            bounds = pa.array(np.r_[0, np.cumsum([len(x) for x, _ in found], dtype=np.int64)], pa.int32())
+            sig, need = (np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in (0, 1))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(sig.astype(np.uint64).view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(need.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], ["node", "size", "tokens", "signatures", "needs"])
+
+    return sets.mapInArrow(run, "node long, size long, tokens binary, signatures array<long>, needs array<int>")
+
+
+def agreements(sets: DataFrame) -> DataFrame:
+    """(sig, node, pivot) of the signatures that sets share, pivot the smallest node of each.
+
+    A set that shares fewer signatures of a band than a link there takes has no
+    link there, and its signatures of that band go; what then is left to one
+    set alone goes too.
+    """
+
+    def shared(rows: DataFrame) -> DataFrame:
+        both = table(rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("sig", "pivot"), "parts")
+        return rows.join(both, "sig")
 
-    return sets.mapInArrow(run, "node long, size long, tokens binary, signatures array<long>")
+    each = sets.select("node", F.explode(F.arrays_zip(F.col("signatures").alias("sig"), F.col("needs").alias("need"))).alias("s")).select("node", "s.sig", "s.need")
+    band = F.col("sig").bitwiseAND(F.lit(63).cast("long"))
+    found = shared(each).withColumn("band", band).dropDuplicates(["node", "band", "sig"])  # a set may come from several mappers
+    found = found.withColumn("n", F.count("*").over(Window.partitionBy("node", "band"))).where("n >= need").select("sig", "node", "need")
+    return table(shared(table(found, "agreements")).select("sig", "node", "pivot"), "agreements")
 
 
 # -- opening groups ---------------------------------------------------------
@@ -417,13 +449,11 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     sets = table(signed(left, shape, bloom(still_live(left, shape))), "signed-sets")
 
     # step 2: clusters of sets that agree on a part
-    sig = sets.select("node", F.explode("signatures").alias("sig"))
-    multi = table(sig.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("sig", "pivot"), "parts")
-    agree = table(sig.join(multi, "sig"), "agreements")
+    agree = agreements(sets)
     cluster = components(agree.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("comp", "cluster")
     sizes = sets.select("node", "size").distinct().join(cluster, "node")
     shares = sizes.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("groups"))
-    place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
+    place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.col("size").alias("in_place"), F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
 
     # step 3: each group opened for its members
     # token arrays are dealt by node once; later steps read them with their place
@@ -443,19 +473,19 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     found = table(found.unionByName(met.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))), "links")
 
     # step 4: sets outside the largest component visit the other groups that they agree with
-    comp = split.join(components(found).withColumnRenamed("comp", "c"), "node", "left").select("node", "cluster", "grp", F.coalesce("c", "node").alias("comp"))
+    comp = split.join(components(found).withColumnRenamed("comp", "c"), "node", "left").select("node", "cluster", "grp", F.col("in_place").alias("size"), F.coalesce("c", "node").alias("comp"))
     comp = table(comp, "split-comps")
     largest = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    at = agree.select("sig", "node").distinct()
+    at = agree.select("sig", "node")
     hosts = at.join(comp, "node").groupBy("sig").agg(F.collect_set("grp").alias("hosts"))
-    outside = table(comp.join(largest, "cluster").where("comp <> largest").select("node", "cluster", "grp"), "outside")
-    guests = at.join(outside, "node").join(hosts, "sig").groupBy("node", "cluster", "grp").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
-    visits = table(guests.select("node", "cluster", F.explode(F.array_remove("hosts", F.col("grp"))).alias("grp")), "visits")
+    outside = table(comp.join(largest, "cluster").where("comp <> largest").select("node", "cluster", "grp", "size"), "outside")
+    guests = at.join(outside, "node").join(hosts, "sig").groupBy("node", "cluster", "grp", "size").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
+    visits = table(guests.select("node", "cluster", "size", F.explode(F.array_remove("hosts", F.col("grp"))).alias("grp")), "visits")
     keys = ["cluster", "grp", "turn"]
-    turns = visits.groupBy("cluster", "grp").agg(F.ceil(F.count("*") / VISITS).alias("turns"))
-    visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns")
+    turns = visits.groupBy("cluster", "grp").agg(F.greatest(F.ceil(F.count("*") / VISITS), F.ceil(F.sum("size") / VISIT_TOKENS)).alias("turns"))
+    visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns", "size")
     visitors = arrays.join(visitors, "node").select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))
-    hosting = arrays.join(comp.join(turns, ["cluster", "grp"]), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+    hosting = arrays.join(comp.drop("size").join(turns, ["cluster", "grp"]), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
     crossed = visitors.groupBy(*keys).cogroup(hosting.groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
     return found.unionByName(crossed)
 
@@ -484,7 +514,8 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """
     kept = near_duplicates(docs, n, percent, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
     kept = table(kept.groupBy(F.col(id_col).alias("__kept")).agg(F.count("*").alias("__rows")), "kept")
-    out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    # the texts are dealt by id at every size, not only where the ids are too many to send
+    out = docs.hint("merge").join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     again = kept.where("__rows > 1").select("__kept")
     if again.isEmpty():
         return out

@@ -78,6 +78,24 @@ def test_ngram_join_of_chains(spark, monkeypatch, n, percent, group):
     assert rows == components(docs, n, percent)
 
 
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_linked_sets_share_the_signatures_they_need(n, percent):
+    shape, rng, tried = ngram_join.Shape(n, percent), np.random.default_rng(percent), 0
+    for _ in range(4000):
+        size = int(rng.choice([4, 5, 8, 9, 10, 12, 19, 20, 25, 40, 80, 200]))
+        less, more = int(rng.integers(0, size // 4 + 1)), int(rng.integers(0, size // 4 + 1))
+        if not (less or more) or 100 * (size - less) < percent * (size + more):
+            continue
+        tried += 1
+        whole = rng.integers(0, 2**63, size + more, dtype=np.uint64) * np.uint64(2)
+        (a, need_a), (b, need_b) = (shape.signatures(np.sort(x)) for x in (whole[:size], whole[less:]))
+        shared = np.intersect1d(a, b)
+        need = [dict(zip(sig.tolist(), least.tolist(), strict=True)) for sig, least in ((a, need_a), (b, need_b))]
+        bands = [[x for x in shared.tolist() if x & 63 == band] for band in {x & 63 for x in shared.tolist()}]
+        assert any(all(len(band) >= max(d[x] for x in band) for d in need) for band in bands)
+    assert tried > 300
+
+
 def test_ngram_join_odd(spark, odd_documents):
     rows = ngram_join.near_duplicates(odd_documents, 3, 90)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in rows.collect()}
