@@ -21,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import table
 from .textops import chunks
 
 CACHE = "tokenizer binary, digest binary, n_tokens long"
@@ -90,5 +91,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     known = read_cache(spark, cache, version)
     misses = sent if known is None else sent.join(known, "digest", "left_anti")
     encode_misses(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache, version)
+    # written anew, one row a digest, so that the join below can split a hot content's rows among tasks
+    counts = table(read_cache(spark, cache, version), "counts")
     return keyed.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
