@@ -462,8 +462,6 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     local = table(placed.groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind), "local")
     found = local.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     split = place.where("groups > 1")
-    if split.isEmpty():
-        return found
     arrays = placed.where("groups > 1").select("node", "size", "tokens")
 
     # the best linked sets of a cluster's groups, among themselves: they join the parts of a large component
@@ -477,7 +475,7 @@ def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text")
     comp = table(comp, "split-comps")
     largest = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
     at = agree.select("sig", "node")
-    hosts = at.join(comp, "node").groupBy("sig").agg(F.collect_set("grp").alias("hosts"))
+    hosts = at.join(place, "node").groupBy("sig").agg(F.collect_set("grp").alias("hosts"))
     outside = table(comp.join(largest, "cluster").where("comp <> largest").select("node", "cluster", "grp", "size"), "outside")
     guests = at.join(outside, "node").join(hosts, "sig").groupBy("node", "cluster", "grp", "size").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
     visits = table(guests.select("node", "cluster", "size", F.explode(F.array_remove("hosts", F.col("grp"))).alias("grp")), "visits")
