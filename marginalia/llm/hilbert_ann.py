@@ -3,9 +3,14 @@
 Each of CURVES curves projects the vectors to a few dimensions of its own,
 shifts them by a random offset and orders them by Hilbert index.  The keys of a
 curve are range-partitioned and cut into blocks of BLOCK neighbours; a query is
-compared with its own block and the two beside it, so with BLOCK rows at least
-to either side.  The lists of all curves merge, and the nearest are ranked by
-the cosine of the original vectors in double precision.
+compared with its own block and ``reach`` blocks to either side.  The lists of
+all curves merge, and the nearest are ranked by the cosine of the original
+vectors in double precision.
+
+The reach is measured: PROBES queries (the first by hash of the id) are compared
+with every point, and the reach is the least, from 1, within which RECALL of
+their true neighbours lie on some curve.  It so grows with the table as far as
+the vectors need it; blocks stay as they are.
 
 Equal vectors are one point of the index that carries its smallest ids, as many
 as can be asked for, so that any number of copies takes one place in a window.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -34,6 +40,8 @@ from .store import table
 CURVES, DIMS, BITS = 10, 6, 10
 BLOCK = 4096
 FIT_ROWS = 10_000
+#: Queries that are compared with all points, and the share of their neighbours to be reached.
+PROBES, RECALL = 200, 0.95
 #: Queries that are compared with a block at once.
 STEP = 512
 
@@ -117,6 +125,31 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def reach_of(cells: DataFrame, probes: pd.DataFrame, k: int) -> int:
+    """Blocks to either side within which RECALL of the k true neighbours of the probes lie on some curve, 1 at least."""
+    if not len(probes):
+        return 1
+    v = unit(_matrix(probes["v"]))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cos = v @ unit(_matrix(b["v"])).T
+            few = min(k + 1, cos.shape[1])
+            top = np.argpartition(-cos, few - 1, axis=1)[:, :few]
+            yield pd.DataFrame({"probe": np.repeat(np.arange(len(v)), few), "score": np.take_along_axis(cos, top, 1).ravel(), "ids": b["ids"].to_numpy()[top.ravel()], "cells": b["cells"].to_numpy()[top.ravel()]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    near = cells.select("ids", "v", "cells").mapInPandas(nearest, f"probe int, score double, ids {kinds['ids']}, cells {kinds['cells']}")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "ids"))
+    apart: list[int] = []
+    block = lambda cells: {c["curve"]: c["block"] for c in cells}
+    for probe, of in near.withColumn("rank", rank).where(F.col("rank") <= k + 1).toPandas().sort_values("rank").groupby("probe"):
+        mine, query = block(probes["cells"].iat[probe]), probes["query_id"].iat[probe]
+        far = [min(abs(at - mine[c]) for c, at in block(cells).items()) for ids, cells in zip(of["ids"], of["cells"], strict=True) for x in ids if x != query]
+        apart += far[:k]
+    return max(1, sorted(apart)[ceil(RECALL * len(apart)) - 1]) if apart else 1
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, curves: int = CURVES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest found for the rows where ``is_query`` holds (over ``id``)."""
     spark = vectors.sparkSession
@@ -149,10 +182,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     cells = points.join(cell.groupBy("point").agg(F.collect_list("cell").alias("cells")), "point")
     cells = table(cells.select("ids", "v", "cells"), "ann-cells")
 
-    # a query visits its point's cell and the neighbours on every curve
+    # a query visits its point's cell and those in reach on every curve
+    probes = rows.where(is_query).orderBy(F.xxhash64("id"), "id").limit(PROBES).select(F.col("id").alias("query_id"), "v")
+    reach = reach_of(cells, cells.join(F.broadcast(probes), "v").select("query_id", "v", "cells").toPandas(), k)
     base = cells.select("ids", "v", F.explode("cells").alias("cell")).select(F.col("cell.curve").alias("curve"), F.col("cell.block").alias("block"), "ids", "v")
     asks = rows.where(is_query).select(F.col("id").alias("query_id"), "v").join(cells.select("v", "cells"), "v")
-    asks = asks.select("query_id", "v", F.explode("cells").alias("cell")).select("query_id", "v", F.col("cell.curve").alias("curve"), F.explode(F.array(*(F.col("cell.block") + d for d in (-1, 0, 1)))).alias("block"))
+    asks = asks.select("query_id", "v", F.explode("cells").alias("cell")).select("query_id", "v", F.col("cell.curve").alias("curve"), F.explode(F.sequence(F.greatest(F.col("cell.block") - reach, F.lit(0)), F.col("cell.block") + reach)).alias("block"))
 
     def rerank(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         found = []

@@ -147,6 +147,16 @@ def test_small_windows_still_find(spark, small):
     assert sum((-round(r.score, 12), r.vec_id) in brute[r.query_id] for r in rows) / len(rows) > 0.7
 
 
+def test_reach_follows_the_table(spark):
+    """Many blocks: isotropic vectors, of which a fixed window of three blocks finds too few."""
+    v = np.random.default_rng(4).normal(size=(4000, 64))
+    data = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    found = hilbert_ann.search(data, F.col("id") % 50 == 0, block=32).collect()
+    near = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 4000, 50)}
+    assert sum(r.vec_id in near[r.query_id] for r in found) / (5 * len(near)) >= 0.9
+
+
 def test_vectors_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [2.0, 0.0]), (None, [1.0, 1.0])] + [(k, [0.0, 1.0]) for k in range(10, 30)]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
