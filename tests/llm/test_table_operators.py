@@ -218,6 +218,23 @@ def test_mixing_odd(spark, odd_documents):
 
 
 # -- pipeline ---------------------------------------------------------------------
+def test_order_of_the_mixture_survives(spark, small, monkeypatch):
+    """The last two stages and run() over many files of unlike sizes, which Spark does not read by name."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    put = {"spark.sql.files.maxRecordsPerFile": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        rows = corpus_pipeline.run(spark, small).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    mixed = {r.doc_id: (r.mix_slot, r.mix_within) for r in registry.op8_mixing(spark, small).collect()}
+    assert [r.doc_id for r in rows] == sorted(mixed, key=mixed.get)
+    assert [(r.mix_slot, r.mix_within) for r in rows] == sorted(mixed.values())
+
+
 def test_pipeline(spark, small):
     docs = read(spark, small, "documents")
     seen, n = {}, docs.count()
