@@ -32,13 +32,14 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", lambda m: F.length(m) >= 20),
     "hex": (r"[0-9a-f]{24,}", lambda m: F.lit(True)),  # greedy, so the same as runs of any length cut at 24
 }
+#: Likewise, with the role. No length ends a match, and possessive quantifiers keep long ones linear.
 WEAK = {
-    "account": (r"""(?i)\b(?:access_key_id|client_id|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", "id"),
-    "mixed": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,127}[0-9])(?=[0-9+/]{0,127}[A-Za-z])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/=_-])", "secret"),
-    "phrase": (r"""(?i)\b(?:pwd|pass|credential|private_key)["']?\x20*[:=]\x20*["']?[^\s"']{6,128}""", "secret"),
-    "endpoint": (r"""(?i)\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]{4,256}""", "place"),
+    "account": (r"""(?i)\b(?:access_key_id|client_id|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+""", None, "id"),
+    "mixed": (r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), "secret"),
+    "phrase": (r"""(?i)\b(?:pwd|pass|credential|private_key)["']?\x20*[:=]\x20*["']?[^\s"']{6,}+""", None, "secret"),
+    "endpoint": (r"""(?i)\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]{4,}+""", None, "place"),
 }
-ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (_, role) in WEAK.items()}
+ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (_, _, role) in WEAK.items()}
 ORDER = {kind: k for k, kind in enumerate([*BASE, *WEAK])}
 SPAN = "struct<start:int,ord:int,end:int>"
 
@@ -66,7 +67,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "\x03\x03")
     rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), text.alias("text"))
     base = F.concat(*(find(F.col("text"), kind, pattern, holds) for kind, (pattern, holds) in BASE.items()))
-    weak = F.concat(*(find(F.col("text"), kind, pattern) for kind, (pattern, _) in WEAK.items()))
+    weak = F.concat(*(find(F.col("text"), kind, pattern, holds) for kind, (pattern, holds, _) in WEAK.items()))
     rows = rows.select(id_col, "digest", F.array_sort(base).alias("base"), weak.alias("weak"))
     apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     return rows.withColumn("weak", F.filter("weak", apart))

@@ -118,6 +118,18 @@ def test_weak_parts_need_each_other(spark):
     assert [r.s for r in rows] == list(said.values())
 
 
+def test_secrets_of_any_length(spark):
+    key = "Ab3+" * 1250
+    said = {f"user=alice {key}==": f"account:0:10,mixed:11:{13 + len(key)}", f"user=alice private_key={key[:4999]}!": f"account:0:10,phrase:11:{23 + 5000}", f"user={'z' * 3000} pwd: hunter2222": "account:0:3005,phrase:3006:3021", f"https://{'h' * 3000} pwd: hunter2222 user=alice": "endpoint:0:3008,phrase:3009:3024,account:3025:3035", "user=alice " + "wxyz" * 300: ""}
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    wanted = dict(enumerate(said.values()))
+    spans = {r.doc_id: r.s for r in secret_scan.scan(docs).select("doc_id", secret_scan.listing(F.col("spans")).alias("s")).collect()}
+    assert {k: spans[k] for k in (0, 1, 4)} == {k: wanted[k] for k in (0, 1, 4)}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).where("doc_id < 2").collect()} == dict.fromkeys((0, 1), "[SECRET] [SECRET]")
+    found = {r.doc_id: r.s for r in secret_scan.parts(docs).select("doc_id", secret_scan.listing(F.array_sort("weak")).alias("s")).collect()}
+    assert {k: found[k] for k in (2, 3)} == {k: wanted[k] for k in (2, 3)}
+
+
 def test_secrets_odd(spark, odd_documents):
     rows = secret_scan.scan(odd_documents).select(secret_scan.listing(F.col("base")).alias("s"))
     assert sorted(r.s for r in rows.collect()) == sorted(secrets(r.text) for r in odd_documents.collect())
