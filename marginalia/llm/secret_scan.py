@@ -2,9 +2,10 @@
 
 Three base kinds are secrets by themselves: keyword assignments, access keys
 and long hexadecimal runs.  Weak kinds (account names, mixed tokens, endpoints)
-are common in clean text and count only together: an interval join links an
-identifier or endpoint with a secret of the same text whose starts lie within
-SCOPE code points, and only linked weak parts are reported.
+are common in clean text and count only together: a join links an identifier or
+endpoint with a secret of the same text when SCOPE code points at most lie
+between them, those of other parts not counted, and only linked weak parts are
+reported.  So no length of a part, nor of one that stands between, breaks a link.
 
 Positions are code points, the end exclusive.  Null and empty texts have no
 spans.  Repeated rows get the same result each, also when ids repeat with other
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .store import table
 
-#: Greatest distance of the starts of two parts that belong together.
+#: Most code points, outside all parts, between two parts that belong together.
 SCOPE = 200
 MASK = "[SECRET]"
 
@@ -73,15 +74,28 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.withColumn("weak", F.filter("weak", apart))
 
 
+def in_free_text(spans: Column) -> Column:
+    """The spans by start, each as ``span`` with ``free``, the code points before it that are in no span."""
+    item = f"struct<span:{SPAN},free:int>"
+
+    def step(acc: Column, s: Column) -> Column:
+        free = acc["free"] + F.greatest(s["start"] - acc["at"], F.lit(0))
+        own = F.array(F.struct(s.alias("span"), free.alias("free")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), free.alias("free"), F.concat(acc["out"], own).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{item}>").alias("out"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["out"])
+
+
 def linked(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Weak spans with a complementary part in scope: id, digest, ``extra`` array of SPAN."""
     role = F.element_at(F.create_map(*(F.lit(x) for kind, k in ORDER.items() for x in (k, ROLE[kind]))), F.col("span.ord"))
     has_weak = found.where(F.size("weak") > 0)
-    each = has_weak.select(F.col(id_col), "digest", F.explode(F.concat("base", "weak")).alias("span"))
-    each = each.select(id_col, "digest", "span", role.alias("role"), F.floor(F.col("span.start") / SCOPE).alias("cell"))
+    each = has_weak.select(F.col(id_col), "digest", F.explode(in_free_text(F.concat("base", "weak"))).alias("part"))
+    each = each.select(id_col, "digest", "part.span", "part.free").select(id_col, "digest", "span", "free", role.alias("role"), F.floor(F.col("free") / SCOPE).alias("cell"))
     weak = each.where(F.col("span.ord") >= len(BASE))
-    near = each.select(F.col(id_col).alias("n_id"), F.col("digest").alias("n_digest"), F.col("span.start").alias("n_start"), F.col("role").alias("n_role"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
-    meets = F.col(id_col).eqNullSafe(F.col("n_id")) & (F.col("digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell")) & (F.abs(F.col("span.start") - F.col("n_start")) <= SCOPE)
+    near = each.select(F.col(id_col).alias("n_id"), F.col("digest").alias("n_digest"), F.col("free").alias("n_free"), F.col("role").alias("n_role"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
+    meets = F.col(id_col).eqNullSafe(F.col("n_id")) & (F.col("digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell")) & (F.abs(F.col("free") - F.col("n_free")) <= SCOPE)
     pairs = [weak.where(mine).join(near.where(other), meets, "left_semi") for mine, other in ((F.col("role") == "secret", F.col("n_role") != "secret"), (F.col("role") != "secret", F.col("n_role") == "secret"))]
     return reduce(DataFrame.unionByName, pairs).groupBy(id_col, "digest").agg(F.collect_set("span").alias("extra"))
 

@@ -130,6 +130,20 @@ def test_secrets_of_any_length(spark):
     assert {k: found[k] for k in (2, 3)} == {k: wanted[k] for k in (2, 3)}
 
 
+def test_long_parts_do_not_break_links(spark):
+    path, gap = "p" * 200, "z " * 99
+    said = {
+        f"https://h.example/{path} pwd: hunter2222": "endpoint:0:218,phrase:219:234",
+        f"https://h.example/{path * 50} pwd: hunter2222": "endpoint:0:10018,phrase:10019:10034",
+        f"user=alice https://h.example/{path * 2} pwd: hunter2222": "account:0:10,endpoint:11:429,phrase:430:445",
+        f"{'Ab3+' * 500} {gap}user=alice": "mixed:0:2000,account:2199:2209",
+        f"https://h.example/{path} {gap}zzz pwd: hunter2222": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    rows = secret_scan.scan(docs).select("doc_id", secret_scan.listing(F.col("spans")).alias("s")).orderBy("doc_id").collect()
+    assert [r.s for r in rows] == list(said.values())
+
+
 def test_secrets_odd(spark, odd_documents):
     rows = secret_scan.scan(odd_documents).select(secret_scan.listing(F.col("base")).alias("s"))
     assert sorted(r.s for r in rows.collect()) == sorted(secrets(r.text) for r in odd_documents.collect())
