@@ -51,7 +51,7 @@ def _bullet_rows(sections):
 
 
 def _merged(s, d):
-    routed = C.route(D.claims(s, d), D.refs(s, d)).where("paper < 101")
+    routed = C.route(D.claims(s, d), D.refs(s, d))
     slugged = routed.withColumn("source_slug", F.when(F.col("source_slug").isNotNull(), F.concat(F.lit("src-"), (F.col("id") % 5).cast("string"))))
     return C.merge_verdicts(slugged, D.table(s, d, "answers")).drop("anchor_phrases")
 
