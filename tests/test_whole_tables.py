@@ -2,6 +2,7 @@
 
 from marginalia import catalog
 from marginalia.operators import claims as C
+from marginalia.operators import ingest as I
 from marginalia.plans import derived as D
 
 
@@ -13,3 +14,8 @@ def test_every_claim_is_merged(spark, small):
     claims = D.claims(spark, small)
     assert claims.where("paper > 100").count() > 0
     assert keys(catalog.queries()["J4_merge_verdicts"](spark, small), "paper", "id") == keys(C.route(claims, D.refs(spark, small)), "paper", "id")
+
+
+def test_every_paper_has_a_source_map(spark, small):
+    blocks = I.flat_blocks(D.raw_blocks(spark, small))
+    assert keys(catalog.queries()["K1_source_map_json"](spark, small), "paper", "id") == keys(blocks, "paper", "id")
