@@ -411,7 +411,7 @@ def _resolve_paper(s, d):
 
 
 def _judged(s, d):
-    prompts = D.refs(s, d).where("ord = 1").select("paper", "slug", F.col("raw").alias("prompt"))
+    prompts = D.refs(s, d).select("paper", "slug", F.col("raw").alias("prompt"))
     return seams.ask(prompts, _canned)
 
 

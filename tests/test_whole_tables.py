@@ -19,3 +19,7 @@ def test_every_claim_is_merged(spark, small):
 def test_every_paper_has_a_source_map(spark, small):
     blocks = I.flat_blocks(D.raw_blocks(spark, small))
     assert keys(catalog.queries()["K1_source_map_json"](spark, small), "paper", "id") == keys(blocks, "paper", "id")
+
+
+def test_every_reference_is_asked(spark, small):
+    assert keys(catalog.queries()["S9_ask"](spark, small), "paper", "slug") == keys(D.refs(spark, small), "paper", "slug")
