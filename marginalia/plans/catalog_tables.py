@@ -99,12 +99,13 @@ acc AS (SELECT paper, num, min(ln) AS ln FROM cand WHERE num = 1 GROUP BY paper,
 own AS (SELECT ln.paper, ln.ln, ln.t, max(acc.num) AS num FROM ln JOIN acc ON acc.paper = ln.paper AND acc.ln <= ln.ln GROUP BY ln.paper, ln.ln, ln.t),
 txt AS (SELECT own.paper, own.num, {Q.SQUEEZE.format(r"string_agg(CASE WHEN acc.ln IS NOT NULL THEN regexp_replace(t, '^\s*\[?(\d{1,3})[\].:]?\s+', '') ELSE t END, ' ' ORDER BY own.ln)")} AS raw
   FROM own LEFT JOIN acc ON acc.paper = own.paper AND acc.ln = own.ln AND acc.num = own.num GROUP BY own.paper, own.num)"""
-_BULLETS = f"""ln AS (SELECT paper, generate_subscripts(string_split(section, chr(10)), 1) AS ln, trim(unnest(string_split(section, chr(10)))) AS t FROM sections WHERE paper % 10 = 7),
+_BULLETS = f"""ln AS (SELECT paper, generate_subscripts(string_split(section, chr(10)), 1) AS ln, trim(unnest(string_split(section, chr(10)))) AS t FROM sections),
 i AS (SELECT *, sum(CASE WHEN t LIKE '- %' THEN 1 ELSE 0 END) OVER (PARTITION BY paper ORDER BY ln) AS item FROM ln WHERE t <> ''),
 b AS (SELECT paper, item, {Q.SQUEEZE.format("string_agg(CASE WHEN t LIKE '- %' THEN substr(t, 3) ELSE t END, ' ' ORDER BY ln)")} AS raw FROM i WHERE item > 0 GROUP BY paper, item)"""
 _W7 = Q.with_(_BULLETS, names=("sections",))
+_OTHER_BULLETS = _BULLETS.replace("ln AS", "bl AS").replace("FROM ln WHERE", "FROM bl WHERE")
 _MERGED = rf"""{Q.with_(Q.ROUTES, names=("refs", "claim_rows", "answers"))},
-rt AS (SELECT paper, id, CASE WHEN source_slug IS NOT NULL THEN 'src-' || CAST(id % 5 AS VARCHAR) END AS source_slug, CASE WHEN source_slug IS NULL THEN 'cited source not available (' || coalesce(nullif(why, ''), 'unknown ref') || ')' END AS gap FROM r WHERE paper < 101),
+rt AS (SELECT paper, id, CASE WHEN source_slug IS NOT NULL THEN 'src-' || CAST(id % 5 AS VARCHAR) END AS source_slug, CASE WHEN source_slug IS NULL THEN 'cited source not available (' || coalesce(nullif(why, ''), 'unknown ref') || ')' END AS gap FROM r),
 an AS (SELECT *, coalesce(error, CASE WHEN raw LIKE 'no verdicts%' THEN 'no JSON array in model output: ' || raw END) AS failure,
   try_cast(regexp_extract(raw, '"id": (\d+), "note"', 1) AS INT) AS second, regexp_extract(raw, '"note": "(n\d+)"', 1) AS n2, try_cast(regexp_extract(raw, '"source_page": (\d+)', 1) AS INT) AS p2 FROM answers),
 m AS (SELECT rt.*, an.slug IS NOT NULL AS answered, failure, second, n2, p2 FROM rt LEFT JOIN an ON an.paper = rt.paper AND an.slug = rt.source_slug)
@@ -124,11 +125,11 @@ CLAIMS = {
     ),
     "C11_parse_only": (
         _sections(lambda t: R.parse_references(t).select("paper", "num", F.left("raw", F.lit(90)).alias("raw"))),
-        f"{_W5}, {_BULLETS.replace('ln AS', 'bl AS').replace('FROM ln WHERE', 'FROM bl WHERE')} SELECT paper, CAST(num AS VARCHAR) AS num, left(raw, 90) AS raw FROM txt UNION ALL SELECT paper, CAST(item AS VARCHAR), left(raw, 90) FROM b WHERE paper NOT IN (SELECT paper FROM txt)",
+        f"{_W5}, {_OTHER_BULLETS} SELECT paper, CAST(num AS VARCHAR) AS num, left(raw, 90) AS raw FROM txt UNION ALL SELECT paper, CAST(item AS VARCHAR), left(raw, 90) FROM b WHERE paper NOT IN (SELECT paper FROM txt)",
     ),
     "C10_no_references": (
         _sections(lambda t: t.join(R.parse_references(t), "paper", "left_anti").select("paper")),
-        f"{_W5} SELECT paper FROM sections WHERE paper NOT IN (SELECT paper FROM txt) AND paper % 10 <> 7",
+        f"{_W5}, {_OTHER_BULLETS} SELECT paper FROM sections WHERE paper NOT IN (SELECT paper FROM txt UNION ALL SELECT paper FROM b)",
     ),
     "J1_first_entry": (_both(lambda c, r: C.cited_entries(c, r).where("num is not null").select(*_CLAIM, "pos", "num", "status", "slug")), f"{_R} SELECT paper, id, CAST(pos AS INT) AS pos, num, status, slug FROM cf"),
     "J1_first_by_num": (_refs(lambda r: R.first_by_num(r).select("paper", "ord", "num", "doi", "status", "slug", "n_same")), _FIRST("num")),
@@ -272,7 +273,7 @@ BLOCKS = {
 SELECT paper, coalesce(left({Q.SQUEEZE.format("min_by(text, rk * 100000 + seq) FILTER (WHERE rk IS NOT NULL)")}, 220), '') AS title FROM k GROUP BY paper""",
     ),
     "S8_first_page": (_flat(I.first_page), f"{_B} SELECT paper, string_agg(text, chr(10) ORDER BY seq) AS first_page FROM b WHERE page = 1 GROUP BY paper"),
-    "K1_source_map_json": (_source_map, f"{_B} SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY seq) - 1 AS INT) AS pos, id, type, page, x0, text FROM b WHERE paper % 10 = 0"),
+    "K1_source_map_json": (_source_map, f"{_B} SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY seq) - 1 AS INT) AS pos, id, type, page, x0, text FROM b"),
     "C9_flat_disclosure": (
         lambda s, d: D.table(s, d, "ref_lines").select("paper", F.when(F.col("paper") % 2 == 0, "pymupdf").otherwise("docling 2").alias("converter")).distinct().withColumn("flat", F.col("converter") == "pymupdf"),
         f"{Q.ctes('ref_lines')} SELECT DISTINCT paper, CASE WHEN paper % 2 = 0 THEN 'pymupdf' ELSE 'docling 2' END AS converter, paper % 2 = 0 AS flat FROM ref_lines",
@@ -464,9 +465,9 @@ RETRIEVAL = {
     "S7g_resolve_paper": (_resolve_paper, f"{Q.ctes('paper_ids')} SELECT paper, 'Small ring number 3' AS paper_title, '10.1/p7' AS paper_doi, 2015 AS paper_year, CASE WHEN paper LIKE '%1' THEN 'doi' ELSE 'title' END AS resolved_via FROM paper_ids WHERE paper NOT LIKE '%4'"),
     "S9_ask": (
         _judged,
-        f"{_E} SELECT paper, slug, CASE WHEN NOT contains(raw, 'Garcia') THEN left(raw, 5) END AS raw, CASE WHEN contains(raw, 'Garcia') THEN 'RuntimeError: no' END AS error, CASE WHEN contains(raw, 'Garcia') THEN 2 ELSE 1 END AS attempts FROM e WHERE ord = 1",
+        f"{_E} SELECT paper, slug, CASE WHEN NOT contains(raw, 'Garcia') THEN left(raw, 5) END AS raw, CASE WHEN contains(raw, 'Garcia') THEN 'RuntimeError: no' END AS error, CASE WHEN contains(raw, 'Garcia') THEN 2 ELSE 1 END AS attempts FROM e",
     ),
-    "C4_retry": (lambda s, d: _judged(s, d).groupBy("attempts").agg(F.count("*").alias("n")), f"{_E} SELECT CASE WHEN contains(raw, 'Garcia') THEN 2 ELSE 1 END AS attempts, count(*) AS n FROM e WHERE ord = 1 GROUP BY 1"),
+    "C4_retry": (lambda s, d: _judged(s, d).groupBy("attempts").agg(F.count("*").alias("n")), f"{_E} SELECT CASE WHEN contains(raw, 'Garcia') THEN 2 ELSE 1 END AS attempts, count(*) AS n FROM e GROUP BY 1"),
     "S10_source_file": (
         lambda s, d: E.source_file(C.route(D.claims(s, d), D.refs(s, d)), D.refs(s, d).where("ord % 2 = 0").groupBy("paper", "slug").agg(F.min(F.concat(F.lit("out/"), F.col("slug"))).alias("path")), D.refs(s, d)),
         f"{_R}, rs AS (SELECT DISTINCT paper, slug, 'out/' || slug AS path FROM e WHERE ord % 2 = 0), pp AS (SELECT paper, slug, 'in/' || min_by(num, ord) || '.pdf' AS pdf_path FROM e GROUP BY paper, slug) SELECT r.paper, r.id, coalesce(path, pdf_path) AS file FROM r LEFT JOIN rs ON rs.paper = r.paper AND rs.slug = r.source_slug LEFT JOIN pp ON pp.paper = r.paper AND pp.slug = r.source_slug WHERE r.source_slug <> ''",

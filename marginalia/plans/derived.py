@@ -83,10 +83,10 @@ SELECT DISTINCT p_brand AS paper, 'Small  ring number 3.' AS paper_title, '10.1/
 SELECT p_brand AS paper, '10.1/p' || CAST(p_partkey % 23 AS STRING) AS doi, 'smith-' || CAST(1990 + p_size AS STRING) AS slug FROM part WHERE p_partkey % 11 = 0""",
     # answers of a judge: fenced arrays, failures, answers without an array
     "answers": """
-SELECT CAST(conv_id AS BIGINT) AS paper, 'src-' || CAST(turn % 5 AS STRING) AS slug, CASE WHEN conv_id % 9 = 0 THEN NULL WHEN conv_id % 7 = 0 THEN 'no verdicts here' ELSE
+SELECT CAST(conv_id AS BIGINT) AS paper, 'src-' || CAST(turn AS STRING) AS slug, CASE WHEN conv_id % 9 = 0 THEN NULL WHEN conv_id % 7 = 0 THEN 'no verdicts here' ELSE
   '```json' || chr(10) || '[{{"id": 1, "verdict": "supported", "note": "first"}}, {{"id": ' || CAST(2 + conv_id % 3 AS STRING) || ', "note": "n' || CAST(turn AS STRING) || '", "source_page": ' || CAST(turn AS STRING)
   || '}}, {{"id": 1, "verdict": "partial", "source_block": "block_0002"}}]' || chr(10) || '```' END AS raw, CASE WHEN conv_id % 9 = 0 THEN 'RuntimeError: timed out' ELSE NULL END AS error
-FROM conversations WHERE turn < 5""",
+FROM conversations""",
     # downloads and lookups of each reference
     "downloads": """
 SELECT paper, ord, source, CASE WHEN (k + n) % 4 = 0 THEN 404 ELSE 200 END AS http_status, (k + n) % 5 <> 0 AS is_pdf,
