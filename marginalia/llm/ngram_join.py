@@ -6,24 +6,31 @@ union bounds its overlap with any member, and only groups whose bound reaches
 the threshold are opened.  Every step before that is a bound as well, so no
 link is lost:
 
-1. *Columns.*  Tokens that a single set holds can be in no overlap.  A set with
-   more of them than the threshold leaves to spare has no partner and goes no
-   further (its documents stay in the result).  This is done on a hashed share
-   of all tokens, then on all tokens of the sets left in.
+1. *Columns* (``ngram_sets``).  Tokens that a single set holds can be in no
+   overlap.  A set with more of them than the threshold leaves to spare has no
+   partner and goes no further (its documents stay in the result).  This is done
+   on a hashed share of all tokens, then on all tokens of the sets left in.
 2. *Groups.*  The token space is cut into more parts than two linked sets can
-   differ in, so they agree on some, by how many more there are; a set that
-   agrees with others on fewer has no partner.  Sets that agree on a part are
-   candidates, and connected candidates form a cluster, which is cut into
-   groups of GROUP sets or so.
-3. *Rows.*  Each group is opened for its own members by one matrix product.
-4. *Matrix.*  A set outside its cluster's largest component visits the other
-   groups that it shares a part with; those whose token union bounds the
-   overlap below the threshold stay closed.
+   differ in, so they agree on ``need`` of them at least.  Of the parts that a
+   set shares with others the ``need - 1`` that most sets hold are left aside:
+   two linked sets still agree on one of the rest.  Sets connected by the rest
+   form a cluster, which is cut into groups of GROUP sets or so.
+3. *Rows.*  Each group is opened for its own members by one matrix product; the
+   best linked sets of a cluster's groups are compared among themselves.
+4. *Matrix*, for clusters of several groups.  Only parts held by two components
+   or more can bring a new link, and only sets that hold ``need`` of them go on.
+   Sets outside the cluster's largest component are laid against the token
+   unions of that component's groups, and their arrays are sent to the groups
+   whose bound opens.  Among themselves they are dealt into groups by the parts
+   they share, the rarest first; a group of more than DEALT sets is dealt again
+   by further parts, as long as that takes fewer copies than cutting it does.
 
 Equal sets are one set throughout.  Links join sets with
 ``100 * |A and B| >= percent * |A or B|``; components are read off the links.
-Tokens are 64-bit hashes, of which 48 bits are compared within a group; sets are
-64-bit hashes, 128-bit ones where documents are told to hold equal sets.
+Tokens are 64-bit hashes, of which 48 bits are compared within a group.  Sets
+are told apart by 64-bit hashes up to the links, where two unequal ones pass for
+one with odds of n**2 / 2**65 among n sets, and by 128 bits where documents are
+told to hold equal sets.
 
 A text with fewer words than n is one token, its whole sequence; a null text or
 one without words has an empty set, is linked with nothing and is its own
@@ -33,332 +40,45 @@ result.  Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .store import table
-from .textops import Chunk, chunks, mix, ngrams
+from .ngram_sets import Bloom, Shape, first_pass, pack, signed, still_live, token_sets, unpacked
+from .store import table, temporary
 
 GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
+DEALT = 128  #: sets of a group that is dealt by shared parts
+BIN_TOKENS = 2_000_000  #: tokens of the small groups that one call opens, about
 VISITS, VISIT_TOKENS = 16_384, 8_000_000  #: visitors that meet a group at once, and their tokens, about
-BUCKET = 2_000_000  #: sampled tokens that one task counts, about
-FLUSH = 1_000_000  #: sampled tokens that a mapper sends at once
-BLOOM_BITS = 26  #: the filter of live sets has this many address bits (8 MB), whatever the input
+UNIONS = 64  #: groups whose unions are looked at together
 DENSE = 8  #: tokens in more sets of a group than this go through a matrix product
-_U32 = np.uint64(32)
-
-
-class Shape:
-    """The numbers that follow from n and the threshold."""
-
-    def __init__(self, n: int, percent: int):
-        self.n, self.percent = n, percent
-        # sizes are cut into bands; the lower end of each
-        self.lower = np.array(sorted({int(np.ceil(1.5**k)) for k in range(60)}))
-        self.differ = [self.spare(int(x) - 1) for x in self.lower[1:]]
-        self.parts = [d + 3 + d // 16 for d in self.differ]
-        #: share of tokens that step 1 looks at: nearly twice what a linked set can be without
-        self.share = min(1.0, 1.75 * (100 - percent) / 100)
-
-    def spare(self, size: int) -> int:
-        """Tokens in which a set of this size and a linked set no smaller differ at most."""
-        return size * (100 - self.percent) // self.percent
-
-    def linked(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (both > 0) & (100 * both >= self.percent * (a + b - both))
-
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash for each part of a sorted set's tokens, in the bands where a linked set may be the smaller one.
-
-        The lowest six bits say the band.  With each goes how many signatures
-        of its band the set shares at least with any set linked to it there:
-        one for each part, less those that may differ or be empty.
-        """
-        size = len(tokens)
-        low = -(-size * self.percent // 100)
-        run = np.r_[np.uint64(0), np.cumsum(mix(tokens))]
-        out, need = [], []
-        for band in sorted({int(np.searchsorted(self.lower, x, "right")) - 1 for x in (low, size)}):
-            parts, differ = self.parts[band], self.differ[band]
-            if differ < 1:
-                continue  # only equal sets could link here
-            count = np.bincount(((tokens >> np.uint64(40)).astype(np.int64) * parts) >> 24, minlength=parts)
-            ends = np.cumsum(count)
-            salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 32))
-            sig = (mix((run[ends] - run[ends - count]) ^ salt) & ~np.uint64(63)) | np.uint64(band)
-            empty = int((count == 0).sum())
-            least = parts - min(differ, self.spare(size)) - empty
-            if least >= 1:
-                sig = sig[count > 0]
-            else:  # so many are empty that an agreement may be on empty parts alone, or on one that is not
-                least = 1
-            out.append(sig)
-            need.append(np.full(len(sig), least, np.int32))
-        return (np.concatenate(out), np.concatenate(need)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-
-
-def shingle_sets(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct tokens of each text, end to end, and their n + 1 bounds."""
-    starts, ends, first = chunk.words()
-    words = chunk.word_hashes(starts, ends, lower=True)
-    tokens, bounds = ngrams(words, first, n)
-    own = np.repeat(np.arange(chunk.n), np.diff(bounds))
-    count = np.diff(first)
-    for k in range(1, n):  # too few words: the whole sequence
-        short = np.flatnonzero(count == k)
-        if len(short):
-            at = np.arange(k) + first[short][:, None]
-            whole, _ = ngrams(words[at.ravel()], np.arange(len(short) + 1) * k, k)
-            tokens, own = np.r_[tokens, whole], np.r_[own, short]
-    order = np.lexsort((tokens, own))
-    tokens, own = tokens[order], own[order]
-    if len(tokens):
-        fresh = np.r_[True, (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])]
-        tokens, own = tokens[fresh], own[fresh]
-    return tokens, np.searchsorted(own, np.arange(chunk.n + 1))
-
-
-def set_hashes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set."""
-    out = []
-    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        run = np.r_[np.uint64(0), np.cumsum(mix(tokens ^ np.uint64(salt)))]
-        out.append(mix(run[bounds[1:]] - run[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
-
-
-def _sets(docs: DataFrame, text_col: str, run, schema: str) -> DataFrame:
-    """run(chunks of ids and sets) over the documents' texts."""
-    return docs.select(text_col).mapInArrow(run, schema)
-
-
-def describe(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, node2) of every document: the size and the hashes of its set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, chunk in chunks(batch.column(1)):
-                tokens, bounds = shingle_sets(chunk, n)
-                one, two = set_hashes(tokens, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, chunk.n), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)], [id_col, "n_shingles", "node", "node2"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, node long, node2 long")
-
-
-def _sampled(tokens: np.ndarray, share: float) -> np.ndarray:
-    """Which tokens are in step 1's share; by bits that order neither parts nor buckets."""
-    return (mix(tokens + np.uint64(0x5851F42D4C957F2D)) >> _U32) < np.uint64(int(share * (1 << 32)))
-
-
-class Sender:
-    """Collects tokens with their sets and sends them off packed by token bucket, FLUSH at a time."""
-
-    schema = "bucket int, tokens binary, nodes binary, runs binary, sizes binary, samples binary"
-
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
-
-    def add(self, token: np.ndarray, node: np.ndarray, size: np.ndarray, sample: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Tokens, each with the set it is of, that set's size, and how many of its tokens are sent in all."""
-        self.held.append((token, node, size, sample))
-        self.size += len(token)
-        if self.size >= FLUSH:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        token, node, size, sample = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
-        bucket = ((token >> _U32) * np.uint64(self.buckets)) >> _U32
-        order = np.lexsort((node, bucket))
-        token, node, size, sample, bucket = token[order], node[order], size[order], sample[order], bucket[order]
-        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            s = slice(cuts[b], cuts[b + 1])
-            run = np.flatnonzero(np.r_[True, node[s][1:] != node[s][:-1]])
-            runs = np.diff(np.r_[run, cuts[b + 1] - cuts[b]])
-            blobs = [mix(token[s]).astype(np.uint32), node[s][run], runs.astype(np.uint32), size[s][run].astype(np.uint32), sample[s][run].astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["bucket", "tokens", "nodes", "runs", "sizes", "samples"])
-
-
-def _whole(rows: pd.DataFrame, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(rows[name]), kind)
-
-
-def with_partners(sent: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """(node) of the sets of which few enough tokens are held by no other set; sent: as of ``Sender``.
-
-    Two tokens that share their 32 bits within a bucket count as one, which
-    only ever keeps a set.
-    """
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """Each set's tokens that another set holds, within a bucket of tokens; sets packed by hash."""
-        runs = _whole(rows, "runs", np.uint32)
-        node = np.repeat(_whole(rows, "nodes", np.int64), runs)
-        line = np.repeat(np.arange(len(runs)), runs)
-        token = _whole(rows, "tokens", np.uint32)
-        order = np.lexsort((node, token))
-        token, node, line = token[order], node[order], line[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, node, line = token[fresh], node[fresh], line[fresh]
-        first = np.r_[True, token[1:] != token[:-1]]
-        shared = ~(first & np.r_[first[1:], True])
-        nodes, at, hits = np.unique(node[shared], return_index=True, return_counts=True)
-        line = line[shared][at]
-        sizes, samples = _whole(rows, "sizes", np.uint32)[line], _whole(rows, "samples", np.uint32)[line]
-        slot = (mix(nodes.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        cuts = np.searchsorted(slot[order], np.arange(buckets + 1))
-        parts = [(k, order[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
-        return pd.DataFrame([(k, *(x[i].tobytes() for x in (nodes, hits.astype(np.uint32), sizes, samples))) for k, i in parts], columns=["slot", "nodes", "hits", "sizes", "samples"])
-
-    def live(rows: pd.DataFrame) -> pd.DataFrame:
-        """The sets of a slot that leave no more tokens out than the threshold spares."""
-        nodes, at, back = np.unique(_whole(rows, "nodes", np.int64), return_index=True, return_inverse=True)
-        hits = np.bincount(back, _whole(rows, "hits", np.uint32), minlength=len(nodes))
-        sizes, samples = (_whole(rows, name, np.uint32)[at].astype(np.int64) for name in ("sizes", "samples"))
-        return pd.DataFrame({"node": nodes[(samples - hits) * 100 <= sizes * (100 - percent)]})
-
-    counted = sent.groupBy("bucket").applyInPandas(count, "slot int, nodes binary, hits binary, sizes binary, samples binary")
-    return counted.groupBy("slot").applyInPandas(live, "node long")
-
-
-def live_sets(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text") -> DataFrame:
-    """Step 1 on the texts: (node) of the sets that the sampled tokens leave in."""
-    buckets = max(1, int(n_tokens * shape.share) // BUCKET + 1)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, seen = Sender(buckets), set()
-        for batch in batches:
-            for _, chunk in chunks(batch.column(0)):
-                tokens, bounds = shingle_sets(chunk, shape.n)
-                node, _ = set_hashes(tokens, bounds)
-                fresh = np.zeros(chunk.n, bool)
-                for i, x in enumerate(node.tolist()):  # equal sets once from each mapper
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                own = np.repeat(np.arange(chunk.n), np.diff(bounds))
-                take = _sampled(tokens, shape.share)
-                sample = np.bincount(own[take], minlength=chunk.n)
-                take &= fresh[own]
-                own = own[take]
-                yield from sender.add(tokens[take], node[own], np.diff(bounds)[own], sample[own])
-        yield from sender.flush()
-
-    return with_partners(_sets(docs, text_col, send, Sender.schema), buckets, shape.percent)
-
-
-def still_live(sets: DataFrame, shape: Shape) -> DataFrame:
-    """Step 1 again, on all tokens of the sets left in: their partners are among themselves."""
-    buckets = int(sets.agg(F.sum("size")).first()[0] or 0) // BUCKET + 1
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets)
-        for batch in batches:
-            for node, tokens in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1).to_pylist()), strict=True):
-                n = np.full(len(tokens), len(tokens))
-                yield from sender.add(tokens, np.full(len(tokens), node), n, n)
-        yield from sender.flush()
-
-    return with_partners(sets.select("node", "tokens").mapInArrow(send, Sender.schema), buckets, shape.percent)
-
-
-def bloom(nodes: DataFrame) -> np.ndarray:
-    """A bit table of 2**BLOOM_BITS bits; its size does not depend on the input."""
-    top = (1 << BLOOM_BITS) - 1
-    at = F.explode(F.array(F.col("node").bitwiseAND(F.lit(top)), F.shiftrightunsigned("node", BLOOM_BITS).bitwiseAND(F.lit(top))))
-    bits = nodes.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _in_bloom(table_: np.ndarray, node: np.ndarray) -> np.ndarray:
-    x, top = node.view(np.uint64), np.uint64((1 << BLOOM_BITS) - 1)
-    out = np.ones(len(x), bool)
-    for at in (x & top, (x >> np.uint64(BLOOM_BITS)) & top):
-        out &= (table_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-    return out
-
-
-def token_sets(docs: DataFrame, shape: Shape, live: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(node, size, tokens) of the sets left in; a set may come from several mappers."""
-    sent = docs.sparkSession.sparkContext.broadcast(live)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, chunk in chunks(batch.column(0)):
-                tokens, bounds = shingle_sets(chunk, shape.n)
-                node, _ = set_hashes(tokens, bounds)
-                size = np.diff(bounds)
-                own = np.repeat(np.arange(chunk.n), size)
-                sample = np.bincount(own[_sampled(tokens, shape.share)], minlength=chunk.n)
-                # a set that may differ from a linked one at all, and that step 1 has not ruled out
-                keep = size * (100 - shape.percent) >= shape.percent
-                keep &= (100 * sample <= size * (100 - shape.percent)) | _in_bloom(sent.value, node)
-                rows = []
-                for i in np.flatnonzero(keep):
-                    if (x := int(node[i])) not in seen:
-                        seen.add(x)
-                        rows.append((x, int(size[i]), _pack(tokens[bounds[i] : bounds[i + 1]])))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "size", "tokens"])
-
-    return _sets(docs, text_col, run, "node long, size long, tokens binary")
-
-
-def signed(sets: DataFrame, shape: Shape, live: np.ndarray) -> DataFrame:
-    """The sets still left in, with their ``signatures`` and what each set must share of them."""
-    sent = sets.sparkSession.sparkContext.broadcast(live)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(_in_bloom(sent.value, batch.column(0).to_numpy())))
-            found = [shape.signatures(x) for x in _unpacked(batch.column(2).to_pylist())]
-            bounds = pa.array(np.r_[0, np.cumsum([len(x) for x, _ in found], dtype=np.int64)], pa.int32())
-            sig, need = (np.concatenate([x[k] for x in found]) if found else np.zeros(0) for k in (0, 1))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(sig.astype(np.uint64).view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(need.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], ["node", "size", "tokens", "signatures", "needs"])
-
-    return sets.mapInArrow(run, "node long, size long, tokens binary, signatures array<long>, needs array<int>")
+_BAND = 63  #: bits of a signature that say its band
 
 
 def agreements(sets: DataFrame) -> DataFrame:
-    """(sig, node, pivot) of the signatures that sets share, pivot the smallest node of each.
+    """(sig, node, pivot) of the parts that make candidates, pivot the smallest node of each.
 
     A set that shares fewer signatures of a band than a link there takes has no
-    link there, and its signatures of that band go; what then is left to one
-    set alone goes too.
+    link there, and its signatures of that band go; of the others those that
+    most sets hold are left aside, one fewer than a link takes.  What then is
+    left to one set alone goes too.
     """
 
     def shared(rows: DataFrame) -> DataFrame:
-        both = table(rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("sig", "pivot"), "parts")
-        return rows.join(both, "sig")
+        both = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("held")).where("pivot <> top")
+        return rows.join(table(both.drop("top"), "parts"), "sig")
 
     each = sets.select("node", F.explode(F.arrays_zip(F.col("signatures").alias("sig"), F.col("needs").alias("need"))).alias("s")).select("node", "s.sig", "s.need")
-    band = F.col("sig").bitwiseAND(F.lit(63).cast("long"))
-    found = shared(each).withColumn("band", band).dropDuplicates(["node", "band", "sig"])  # a set may come from several mappers
-    found = found.withColumn("n", F.count("*").over(Window.partitionBy("node", "band"))).where("n >= need").select("sig", "node", "need")
-    return table(shared(table(found, "agreements")).select("sig", "node", "pivot"), "agreements")
+    found = shared(each).withColumn("band", F.col("sig").bitwiseAND(F.lit(_BAND).cast("long"))).dropDuplicates(["node", "band", "sig"])  # a set may come from several mappers
+    mine = Window.partitionBy("node", "band")
+    found = found.withColumn("n", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("held", "sig")))
+    found = table(found.where("n >= need and rank <= n - need + 1").select("sig", "node"), "agreements")
+    return table(shared(found).select("sig", "node", "pivot"), "agreements")
 
 
 # -- opening groups ---------------------------------------------------------
@@ -392,50 +112,63 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted tokens: enough to tell the tokens of one group apart."""
-    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _groups(rows: pd.DataFrame, *keys: str):
+    """The rows of each group that a bin holds, by node."""
+    rows = rows.sort_values([*keys, "node"], kind="stable")
+    held = [rows[k].to_numpy() for k in keys]
+    edge = np.zeros(max(0, len(rows) - 1), bool)
+    for x in held:
+        edge |= x[1:] != x[:-1]
+    cuts = [0, *(np.flatnonzero(edge) + 1).tolist(), len(rows)]
+    for at, to in zip(cuts, cuts[1:], strict=False):
+        if to > at:
+            yield rows.iloc[at:to]
 
 
-def _unpacked(packed) -> list[np.ndarray]:
+def _within(shape: Shape, rows: pd.DataFrame, *keys: str) -> pd.DataFrame:
+    """Local components of each group of a bin: node, comp (smallest node), and its number of links."""
     out = []
-    for x in packed:
-        wide = np.zeros((len(x) // 6, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        out.append(wide.view(np.uint64).ravel())
-    return out
-
-
-def _within(shape: Shape, rows: pd.DataFrame) -> pd.DataFrame:
-    """Local components of a group: node, comp (smallest node), and its number of links."""
-    rows = rows.drop_duplicates("node").sort_values("node")
-    node, size, sets = rows["node"].to_numpy(), rows["size"].to_numpy(), _unpacked(rows["tokens"])
-    link = shape.linked(overlaps(sets, sets), size[:, None], size[None, :])
-    label = np.arange(len(node))
-    while True:
-        new = np.minimum(label, np.where(link, label[None, :], len(node)).min(1))
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return pd.DataFrame({"node": node, "comp": node[label], "links": link.sum(1)})
+    for group in _groups(rows, *keys):
+        node, size, sets = group["node"].to_numpy(), group["size"].to_numpy(), unpacked(group["tokens"])
+        if len(node) == 1:
+            out.append((node, node, np.ones(1, np.int64)))
+            continue
+        link = shape.linked(overlaps(sets, sets), size[:, None], size[None, :])
+        label = np.arange(len(node))
+        while True:
+            new = np.minimum(label, np.where(link, label[None, :], len(node)).min(1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        out.append((node, node[label], link.sum(1)))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pd.DataFrame({"node": cols[0], "comp": cols[1], "links": cols[2]})
+
+
+def _crossing(shape: Shape, rows: pd.DataFrame, *keys: str) -> pd.DataFrame:
+    """Links between sets of different components in each group of a bin: one for each two components of a group."""
+    found = []
+    for group in _groups(rows, *keys):
+        comp = group["comp"].to_numpy()
+        if (comp == comp[0]).all():
+            continue
+        node, size, sets = group["node"].to_numpy(), group["size"].to_numpy(), unpacked(group["tokens"])
+        link = shape.linked(overlaps(sets, sets), size[:, None], size[None, :]) & (comp[:, None] < comp[None, :])
+        a, b = np.nonzero(link)
+        _, one = np.unique(np.stack([comp[a], comp[b]], 1), axis=0, return_index=True)
+        found += zip(node[a[one]].tolist(), node[b[one]].tolist(), strict=True)
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def _visit(shape: Shape, visitors: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """A link of each visitor to each component it reaches in the group, if its bound opens the group."""
+    """A link of each visitor to each component it reaches in a group."""
     found = []
-    visitors, members = visitors.drop_duplicates("node"), members.drop_duplicates("node")
     if len(visitors) and len(members):
-        sets = _unpacked(members["tokens"])
-        union = np.unique(np.concatenate(sets))
-        size = visitors["size"].to_numpy()
-        bound = np.array([np.isin(x, union, assume_unique=True).sum() for x in _unpacked(visitors["tokens"])])
-        open_ = (100 * bound >= shape.percent * size) & (100 * size >= shape.percent * members["size"].min())
-        visitors, size = visitors[open_], size[open_]
-        comp, node = members["comp"].to_numpy(), members["node"].to_numpy()
+        sets, size, comp, node = unpacked(members["tokens"]), members["size"].to_numpy(), members["comp"].to_numpy(), members["node"].to_numpy()
         for at in range(0, len(visitors), GROUP):
             some = visitors.iloc[at : at + GROUP]
-            link = shape.linked(overlaps(_unpacked(some["tokens"]), sets), size[at : at + GROUP, None], members["size"].to_numpy()[None, :])
+            link = shape.linked(overlaps(unpacked(some["tokens"]), sets), some["size"].to_numpy()[:, None], size[None, :])
             for i, q in enumerate(some["node"]):
                 hit = np.flatnonzero(link[i])
                 _, one = np.unique(comp[hit], return_index=True)
@@ -443,68 +176,237 @@ def _visit(shape: Shape, visitors: pd.DataFrame, members: pd.DataFrame) -> pd.Da
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def links(docs: DataFrame, shape: Shape, n_tokens: int, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between sets whose components are those of all links."""
-    left = table(token_sets(docs, shape, bloom(live_sets(docs, shape, n_tokens, text_col)), text_col), "token-sets")
-    sets = table(signed(left, shape, bloom(still_live(left, shape))), "signed-sets")
+def _opened(shape: Shape, guests: pd.DataFrame, unions: pd.DataFrame) -> pd.DataFrame:
+    """(node, grp) of the groups that each guest's bound opens."""
+    found = []
+    if len(guests) and len(unions):
+        sets, size, node = unpacked(guests["tokens"]), guests["size"].to_numpy(), guests["node"].to_numpy()
+        own, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        for grp, least, union in zip(unions["grp"], unions["least"], unpacked(unions["tokens"]), strict=True):
+            bound = np.bincount(own[np.isin(token, union)], minlength=len(sets))
+            hit = np.flatnonzero((100 * bound >= shape.percent * size) & (100 * size >= shape.percent * least))
+            found += [(q, grp) for q in node[hit].tolist()]
+    return pd.DataFrame(found, columns=["node", "grp"]).astype("int64")
+
+
+# -- step 4 -------------------------------------------------------------------
+def _bins(rows: DataFrame, *keys: str) -> DataFrame:
+    """``bin``: small groups of about BIN_TOKENS tokens in all that are opened in one call."""
+    n = int((rows.agg(F.sum("size")).first()[0] or 0) // BIN_TOKENS) + 1
+    return rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(n)))
+
+
+def contacts(rows: DataFrame) -> DataFrame:
+    """The sets of split clusters that may have a link to another component, with the parts that may bring it.
+
+    rows: node, cluster, grp, comp, inside (of the cluster's largest component),
+    size, tokens, signatures, needs.  ``among``: signatures shared with another
+    component outside, as many of a band as a link takes or none, with ``needs``;
+    ``across``: it shares as many with sets on the other side.
+    """
+
+    def held(rows: pd.DataFrame) -> pd.DataFrame:
+        """The distinct signatures of each component within a group."""
+        comps, code = np.unique(rows["comp"].to_numpy(), return_inverse=True)
+        inside = np.zeros(len(comps), bool)
+        inside[code] = rows["inside"].to_numpy(bool)
+        lists = [np.asarray(x, np.int64) for x in rows["signatures"]]
+        code, sig = np.repeat(code, [len(x) for x in lists]), np.concatenate(lists)
+        order = np.lexsort((sig, code))
+        code, sig = code[order], sig[order]
+        fresh = np.r_[True, (code[1:] != code[:-1]) | (sig[1:] != sig[:-1])][: len(sig)]
+        code, sig = code[fresh], sig[fresh]
+        return pd.DataFrame({"cluster": rows["cluster"].iat[0], "grp": rows["grp"].iat[0], "comp": comps[code], "inside": inside[code], "sig": sig})
+
+    each = table(rows.groupBy("cluster", "grp").applyInPandas(held, "cluster long, grp long, comp long, inside boolean, sig long"), "held")
+    out_comp = F.when(~F.col("inside"), F.col("comp"))
+    by = each.groupBy("sig").agg((F.min(out_comp) != F.max(out_comp)).alias("among"), (F.max("inside") & ~F.min("inside")).alias("across"))
+    by = by.where("among or across").select("sig", F.coalesce("among", F.lit(False)).alias("among"), F.coalesce("across", F.lit(False)).alias("across"))
+    mine = table(each.select("cluster", "grp", "sig").distinct().join(by, "sig"), "met-parts")
+
+    def enough(sig: np.ndarray, need: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        take = np.isin(sig, known)
+        sig, need = sig[take], need[take]
+        count = np.bincount(sig & _BAND, minlength=_BAND + 1)
+        take = count[sig & _BAND] >= need
+        return sig[take], need[take]
+
+    names = ["node", "cluster", "grp", "comp", "inside", "size", "tokens", "signatures", "needs"]
+
+    def cut(rows: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        sig = met["sig"].to_numpy(np.int64)
+        among, across = sig[met["among"].to_numpy(bool)], sig[met["across"].to_numpy(bool)]
+        found = []
+        for i, (s, n, inside) in enumerate(zip(rows["signatures"], rows["needs"], rows["inside"], strict=True)):
+            s, n = np.asarray(s, np.int64), np.asarray(n, np.int64)
+            (a, need), (b, _) = enough(s, n, among[:0] if inside else among), enough(s, n, across)
+            if len(a) or len(b):
+                found.append((i, a, need, len(b) > 0))
+        rows = rows.iloc[[x[0] for x in found]].reset_index(drop=True)[names[:-2]]
+        return rows.assign(among=[x[1] for x in found], needs=[x[2] for x in found], across=[x[3] for x in found])
+
+    keys = ["cluster", "grp"]
+    kind = "node long, cluster long, grp long, comp long, inside boolean, size long, tokens binary, among array<long>, needs array<int>, across boolean"
+    found = rows.select(*names).groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInPandas(cut, kind)
+    return table(found, "contacts")
+
+
+def copies(n: Column) -> Column:
+    """Copies of sets that a group of n takes if it is cut into pieces of DEALT and all pieces meet."""
+    return n * F.ceil(n / DEALT)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """(key, node): groups in which any two linked sets of different components meet; rows: node, cluster, comp, among, needs.
+
+    A group is a list of sets that share some parts, ``rest`` the parts that
+    linked ones may share besides, ``need`` how many of these they do.  It is
+    dealt by the rarest of them: of a set's c parts the first c - need + 1, one
+    of which the two have in common, as the first that they share.
+    """
+    band = lambda s: s.bitwiseAND(F.lit(_BAND).cast("long"))
+    each = rows.select("node", "cluster", "comp", F.explode(F.arrays_zip(F.col("among").alias("sig"), F.col("needs").alias("need"))).alias("s"))
+    each = each.select("node", "comp", F.xxhash64("cluster", band(F.col("s.sig"))).alias("key"), "s.sig", "s.need")
+    level = each.groupBy("key", "node", "comp").agg(F.max("need").alias("need"), F.collect_set("sig").alias("rest"))
+    out: list[DataFrame] = []
+    while True:
+        level = table(level, "dealt-level")
+        sizes = table(level.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("need").alias("need")).where("low <> high").drop("low", "high"), "dealt-sizes")
+        out.append(level.join(sizes.where(F.col("n") <= DEALT).select("key"), "key").select("key", "node"))
+        # what dealing the larger ones again would make of them; the least need in a group serves all of it
+        parts = level.join(sizes.where(F.col("n") > DEALT).select("key"), "key").select("key", "node", "comp", F.explode("rest").alias("sig"))
+        held = table(parts.groupBy("key", "sig").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high"), "dealt-held")
+        ranked = parts.join(held, ["key", "sig"]).groupBy("key", "node", "comp").agg(F.array_sort(F.collect_list(F.struct("held", "sig"))).alias("order"))
+        ranked = ranked.join(sizes.select("key", "need"), "key").where((F.col("need") >= 1) & (F.size("order") >= F.col("need")))
+        ranked = table(ranked.select("key", "node", "comp", "need", F.col("order.sig").alias("order")), "dealt-ranked")
+        first = ranked.select("key", "node", "comp", F.posexplode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("at", "sig"))
+        first = table(first.select("key", "node", "at", F.xxhash64("key", "sig").alias("next")), "dealt-next")
+        again = first.groupBy("key", "next").agg(F.count("*").alias("n")).where("n > 1").groupBy("key").agg(F.sum(copies(F.col("n"))).alias("again"))
+        plan = sizes.where(F.col("n") > DEALT).join(again, "key", "left").select("key", "n", "need", F.when((F.col("need") >= 1) & (F.coalesce("again", F.lit(0)) < copies(F.col("n"))), True).otherwise(False).alias("deal"))
+        plan = table(plan, "dealt-plan")
+        out.append(_pieces(level.select("key", "node").join(plan.where("not deal").select("key", "n"), "key")))
+        more = plan.where("deal").select("key")
+        if more.isEmpty():
+            break
+        few = first.join(more, "key").select("key", "node", "at", "next")
+        level = few.join(ranked.select("key", "node", "comp", "need", "order"), ["key", "node"])
+        level = level.select(F.col("next").alias("key"), "node", "comp", (F.col("need") - 1).alias("need"), F.slice("order", F.col("at") + 2, F.size("order")).alias("rest"))
+    return table(out[0] if len(out) == 1 else _all(out), "dealt")
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(key, node): groups cut into pieces of DEALT, a group for each two of them; rows: key, node, n."""
+    cut = F.ceil(F.col("n") / DEALT)
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), cut)
+    both = rows.select("key", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"))
+    return both.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def across(zone: DataFrame, shape: Shape) -> DataFrame:
+    """Links (a, b) of outside sets to the largest component of their cluster: group unions first, then the groups that open."""
+    hosts = zone.where("inside and across")
+    guests = zone.where("not inside and across")
+    if hosts.isEmpty():
+        return zone.sparkSession.createDataFrame([], "a long, b long")
+
+    def union(rows: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.unique(np.concatenate(unpacked(rows["tokens"])))
+        return pd.DataFrame([(rows["cluster"].iat[0], rows["grp"].iat[0], rows["size"].min(), pack(tokens))], columns=["cluster", "grp", "least", "tokens"])
+
+    unions = table(hosts.groupBy("cluster", "grp").applyInPandas(union, "cluster long, grp long, least long, tokens binary"), "unions")
+    at = F.floor(F.col("grp") / UNIONS).alias("at")
+    ats = unions.select("cluster", at).distinct()
+    turns = guests.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / VISITS), F.ceil(F.sum("size") / VISIT_TOKENS)).alias("turns"))
+    turn = F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).alias("turn")
+    asking = guests.join(turns, "cluster").select("cluster", turn, "node", "size", "tokens").join(ats, "cluster")
+    asked = unions.withColumn("at", at).join(turns, "cluster").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    keys = ["cluster", "at", "turn"]
+    opened = asking.groupBy(*keys).cogroup(asked.select(*keys, "grp", "least", "tokens").groupBy(*keys)).applyInPandas(lambda g, u: _opened(shape, g, u).assign(cluster=g["cluster"].iat[0] if len(g) else 0), "node long, grp long, cluster long")
+    opened = table(opened, "opened")
+
+    keys = ["cluster", "grp", "turn"]
+    visits = opened.join(guests.select("node", "size"), "node")
+    turns = table(visits.groupBy("cluster", "grp").agg(F.greatest(F.ceil(F.count("*") / VISITS), F.ceil(F.sum("size") / VISIT_TOKENS)).alias("turns")), "turns")
+    visitors = opened.join(turns, ["cluster", "grp"]).select("cluster", "grp", "node", turn).join(guests.select("node", "size", "tokens"), "node")
+    hosting = hosts.join(turns, ["cluster", "grp"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    return visitors.groupBy(*keys).cogroup(hosting.select(*keys, "node", "size", "comp", "tokens").groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
+
+
+def crossed(split: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+    """Step 4: links between components of clusters that are cut into several groups.
+
+    split: node, cluster, grp, size, tokens, signatures, needs; found: the links so far.
+    """
+    comp = split.select("node", "cluster").join(components(found).withColumnRenamed("comp", "c"), "node", "left").select("node", "cluster", F.coalesce("c", "node").alias("comp"))
+    comp = table(comp, "split-comps")
+    # an inside is worth its groups only if it fills some
+    sizes = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("x")).where(F.col("x.n") >= GROUP).select("cluster", F.col("x.comp").alias("largest"))
+    comp = comp.join(largest, "cluster", "left").select("node", "comp", F.coalesce(F.col("comp") == F.col("largest"), F.lit(False)).alias("inside"))
+    zone = contacts(table(split.join(comp, "node"), "split-sets"))
+    outside = zone.where("not inside and size(among) > 0")
+    groups = dealt(outside)
+    met = table(groups.join(outside.select("node", "comp", "size", "tokens"), "node"), "dealt-sets")
+    among = _bins(met, "key").groupBy("bin").applyInPandas(lambda rows: _crossing(shape, rows, "key"), "a long, b long")
+    return among.unionByName(across(zone, shape))
+
+
+def links(docs: DataFrame, shape: Shape, live: DataFrame, text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between sets whose components are those of all links; live: (node) of the sets that step 1 leaves in."""
+    left = table(token_sets(docs, shape, Bloom(live), text_col), "token-sets")
+    sets = table(signed(left, shape, Bloom(still_live(left, shape))), "signed-sets")
 
     # step 2: clusters of sets that agree on a part
     agree = agreements(sets)
     cluster = components(agree.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("comp", "cluster")
     sizes = sets.select("node", "size").distinct().join(cluster, "node")
     shares = sizes.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("groups"))
-    place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.col("size").alias("in_place"), F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
+    place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
 
-    # step 3: each group opened for its members
-    # token arrays are dealt by node once; later steps read them with their place
-    placed = table(sets.select("node", "size", "tokens").hint("merge").join(place, "node"), "placed")
+    # step 3: each group opened for its members; token arrays are dealt by node once, a set that came from several mappers is one
+    placed = sets.hint("merge").join(place, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "tokens", "cluster", "groups", "grp")), *(F.first(F.when(F.col("groups") > 1, F.col(c))).alias(c) for c in ("signatures", "needs")))
+    placed = table(placed, "placed")
     kind = "node long, comp long, links long"
-    local = table(placed.groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind), "local")
-    found = local.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    split = place.where("groups > 1")
-    arrays = placed.where("groups > 1").select("node", "size", "tokens")
+    local = _bins(placed, "cluster", "grp").select("bin", "cluster", "grp", "node", "size", "tokens")
+    local = table(local.groupBy("bin").applyInPandas(lambda rows: _within(shape, rows, "cluster", "grp"), kind), "local")
+    edges = lambda rows: rows.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    found = edges(local)
+    split = placed.where("groups > 1").drop("groups")
+    if place.where("groups > 1").isEmpty():
+        return found
 
     # the best linked sets of a cluster's groups, among themselves: they join the parts of a large component
     best = F.row_number().over(Window.partitionBy("cluster", "grp").orderBy(F.desc("links"), "node"))
-    hubs = split.join(local, "node").withColumn("n", best).where("n = 1").select("node", "cluster", F.floor(F.col("grp") / GROUP).alias("grp"))
-    met = arrays.join(hubs, "node").groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows), kind)
-    found = table(found.unionByName(met.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))), "links")
-
-    # step 4: sets outside the largest component visit the other groups that they agree with
-    comp = split.join(components(found).withColumnRenamed("comp", "c"), "node", "left").select("node", "cluster", "grp", F.col("in_place").alias("size"), F.coalesce("c", "node").alias("comp"))
-    comp = table(comp, "split-comps")
-    largest = comp.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    at = agree.select("sig", "node")
-    hosts = at.join(place, "node").groupBy("sig").agg(F.collect_set("grp").alias("hosts"))
-    outside = table(comp.join(largest, "cluster").where("comp <> largest").select("node", "cluster", "grp", "size"), "outside")
-    guests = at.join(outside, "node").join(hosts, "sig").groupBy("node", "cluster", "grp", "size").agg(F.array_distinct(F.flatten(F.collect_set("hosts"))).alias("hosts"))
-    visits = table(guests.select("node", "cluster", "size", F.explode(F.array_remove("hosts", F.col("grp"))).alias("grp")), "visits")
-    keys = ["cluster", "grp", "turn"]
-    turns = visits.groupBy("cluster", "grp").agg(F.greatest(F.ceil(F.count("*") / VISITS), F.ceil(F.sum("size") / VISIT_TOKENS)).alias("turns"))
-    visitors = visits.join(turns, ["cluster", "grp"]).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))).drop("turns", "size")
-    visitors = arrays.join(visitors, "node").select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))
-    hosting = arrays.join(comp.drop("size").join(turns, ["cluster", "grp"]), "node").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
-    crossed = visitors.groupBy(*keys).cogroup(hosting.groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
-    return found.unionByName(crossed)
+    hubs = place.where("groups > 1").join(local, "node").withColumn("n", best).where("n = 1").select("node", "cluster", F.floor(F.col("grp") / GROUP).alias("grp"))
+    met = split.select("node", "size", "tokens").join(hubs, "node").groupBy("cluster", "grp").applyInPandas(lambda rows: _within(shape, rows, "cluster", "grp"), kind)
+    found = table(found.unionByName(edges(met)), "links")
+    return found.unionByName(crossed(split, found, shape))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every document."""
     shape = Shape(n, percent)
-    nodes = table(describe(docs, n, id_col, text_col), "nodes")
-    n_tokens = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    label = components(links(docs, shape, n_tokens, text_col))
-    # sets by both hashes; those without a link are components of their own
-    classes = nodes.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(id_col).alias("least"))
-    key = F.struct(F.coalesce("comp", "node").alias("one"), F.when(F.col("comp").isNull(), F.col("node2")).alias("two"))
-    classes = table(classes.join(label, "node", "left").select("node", "node2", "least", key.alias("key")), "classes")
-    least = classes.groupBy(F.col("key.one").alias("one"), F.coalesce("key.two", F.lit(0)).alias("two")).agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, (F.col("key.one") == F.col("one")) & (F.coalesce("key.two", F.lit(0)) == F.col("two"))).select("node", "node2", "component_id")
-    classes = table(classes, "classes")
+    with temporary(docs.sparkSession):
+        nodes, live = first_pass(docs, shape, id_col, text_col)
+        nodes = table(nodes, "nodes", keep=True)
+        label = components(links(docs, shape, live, text_col))
+        # sets by both hashes; those without a link are components of their own
+        classes = nodes.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(id_col).alias("least"))
+        key = F.struct(F.coalesce("comp", "node").alias("one"), F.when(F.col("comp").isNull(), F.col("node2")).alias("two"))
+        classes = table(classes.join(label, "node", "left").select("node", "node2", "least", key.alias("key")), "classes")
+        least = classes.groupBy(F.col("key.one").alias("one"), F.coalesce("key.two", F.lit(0)).alias("two")).agg(F.min("least").alias("component_id"))
+        classes = classes.join(least, (F.col("key.one") == F.col("one")) & (F.coalesce("key.two", F.lit(0)) == F.col("two"))).select("node", "node2", "component_id")
+        classes = table(classes, "classes", keep=True)
     rows = nodes.join(classes, ["node", "node2"], "left")
     return rows.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
-
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, one of each component: that of the smallest id, once if its rows repeat.
 
