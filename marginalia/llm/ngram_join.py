@@ -22,8 +22,9 @@ link is lost:
    Sets outside the cluster's largest component are laid against the token
    unions of that component's groups, and their arrays are sent to the groups
    whose bound opens.  Among themselves they are dealt into groups by the parts
-   they share, the rarest first; a group of more than DEALT sets is dealt again
-   by further parts, as long as that takes fewer copies than cutting it does.
+   they share, the rarest first; a group of more than GROUP sets is dealt again
+   by further parts, as long as that takes less than cutting it and comparing
+   all of its pieces.
 
 Equal sets are one set throughout.  Links join sets with
 ``100 * |A and B| >= percent * |A or B|``; components are read off the links.
@@ -46,13 +47,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bloom import Bloom
 from .components import components
-from .ngram_sets import Bloom, Shape, first_pass, pack, signed, still_live, token_sets, unpacked
+from .ngram_sets import Shape, first_pass, pack, signed, still_live, token_sets, unpacked
 from .store import table, temporary
 
 GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
-DEALT = 128  #: sets of a group that is dealt by shared parts
+PAIRS = 256  #: pairs of sets that take as long to compare as one copy of a set takes to send, about
 BIN_TOKENS = 2_000_000  #: tokens of the small groups that one call opens, about
 VISITS, VISIT_TOKENS = 16_384, 8_000_000  #: visitors that meet a group at once, and their tokens, about
 UNIONS = 64  #: groups whose unions are looked at together
@@ -251,9 +253,9 @@ def contacts(rows: DataFrame) -> DataFrame:
     return table(found, "contacts")
 
 
-def copies(n: Column) -> Column:
-    """Copies of sets that a group of n takes if it is cut into pieces of DEALT and all pieces meet."""
-    return n * F.ceil(n / DEALT)
+def cost(n: Column) -> Column:
+    """What a group of n takes: its pairs, and the copies of its sets if it is cut into pieces of GROUP and all pieces meet."""
+    return n * n + PAIRS * n * F.ceil(n / GROUP)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -272,17 +274,16 @@ def dealt(rows: DataFrame) -> DataFrame:
     while True:
         level = table(level, "dealt-level")
         sizes = table(level.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("need").alias("need")).where("low <> high").drop("low", "high"), "dealt-sizes")
-        out.append(level.join(sizes.where(F.col("n") <= DEALT).select("key"), "key").select("key", "node"))
-        # what dealing the larger ones again would make of them; the least need in a group serves all of it
-        parts = level.join(sizes.where(F.col("n") > DEALT).select("key"), "key").select("key", "node", "comp", F.explode("rest").alias("sig"))
+        out.append(level.join(sizes.where(F.col("n") <= GROUP).select("key"), "key").select("key", "node"))
+        # what dealing the larger ones again would make of them
+        parts = level.join(sizes.where((F.col("n") > GROUP) & (F.col("need") >= 1)).select("key"), "key").select("key", "node", "comp", "need", F.explode("rest").alias("sig"))
         held = table(parts.groupBy("key", "sig").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high"), "dealt-held")
-        ranked = parts.join(held, ["key", "sig"]).groupBy("key", "node", "comp").agg(F.array_sort(F.collect_list(F.struct("held", "sig"))).alias("order"))
-        ranked = ranked.join(sizes.select("key", "need"), "key").where((F.col("need") >= 1) & (F.size("order") >= F.col("need")))
-        ranked = table(ranked.select("key", "node", "comp", "need", F.col("order.sig").alias("order")), "dealt-ranked")
+        ranked = parts.join(held, ["key", "sig"]).groupBy("key", "node", "comp", "need").agg(F.array_sort(F.collect_list(F.struct("held", "sig"))).alias("order"))
+        ranked = table(ranked.where(F.size("order") >= F.col("need")).select("key", "node", "comp", "need", F.col("order.sig").alias("order")), "dealt-ranked")
         first = ranked.select("key", "node", "comp", F.posexplode(F.slice("order", F.lit(1), F.size("order") - F.col("need") + 1)).alias("at", "sig"))
         first = table(first.select("key", "node", "at", F.xxhash64("key", "sig").alias("next")), "dealt-next")
-        again = first.groupBy("key", "next").agg(F.count("*").alias("n")).where("n > 1").groupBy("key").agg(F.sum(copies(F.col("n"))).alias("again"))
-        plan = sizes.where(F.col("n") > DEALT).join(again, "key", "left").select("key", "n", "need", F.when((F.col("need") >= 1) & (F.coalesce("again", F.lit(0)) < copies(F.col("n"))), True).otherwise(False).alias("deal"))
+        again = first.groupBy("key", "next").agg(F.count("*").alias("n")).where("n > 1").groupBy("key").agg(F.sum(cost(F.col("n"))).alias("again"))
+        plan = sizes.where(F.col("n") > GROUP).join(again, "key", "left").select("key", "n", "need", F.when((F.col("need") >= 1) & (F.coalesce("again", F.lit(0)) < cost(F.col("n"))), True).otherwise(False).alias("deal"))
         plan = table(plan, "dealt-plan")
         out.append(_pieces(level.select("key", "node").join(plan.where("not deal").select("key", "n"), "key")))
         more = plan.where("deal").select("key")
@@ -295,8 +296,8 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame) -> DataFrame:
-    """(key, node): groups cut into pieces of DEALT, a group for each two of them; rows: key, node, n."""
-    cut = F.ceil(F.col("n") / DEALT)
+    """(key, node): groups cut into pieces of GROUP, a group for each two of them; rows: key, node, n."""
+    cut = F.ceil(F.col("n") / GROUP)
     mine = F.pmod(F.xxhash64("node", F.lit(5)), cut)
     both = rows.select("key", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)).alias("other"))
     return both.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
@@ -335,6 +336,7 @@ def across(zone: DataFrame, shape: Shape) -> DataFrame:
     visits = opened.join(guests.select("node", "size"), "node")
     turns = table(visits.groupBy("cluster", "grp").agg(F.greatest(F.ceil(F.count("*") / VISITS), F.ceil(F.sum("size") / VISIT_TOKENS)).alias("turns")), "turns")
     visitors = opened.join(turns, ["cluster", "grp"]).select("cluster", "grp", "node", turn).join(guests.select("node", "size", "tokens"), "node")
+    visitors = visitors.select(*(F.col(c).alias(c) for c in (*keys, "node", "size", "tokens")))  # columns apart from the hosts', which come from the same table
     hosting = hosts.join(turns, ["cluster", "grp"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
     return visitors.groupBy(*keys).cogroup(hosting.select(*keys, "node", "size", "comp", "tokens").groupBy(*keys)).applyInPandas(lambda v, m: _visit(shape, v, m), "a long, b long")
 

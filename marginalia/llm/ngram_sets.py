@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .store import table
 from .textops import Chunk, chunks, mix, ngrams
 
 BUCKET = 2_000_000  #: sampled tokens that one task counts, about
 FLUSH = 1_000_000  #: sampled tokens that a mapper sends at once
-BLOOM_BITS = 20, 28  #: address bits of the filter of live sets: the fewest, and the most (32 MB)
 _U32 = np.uint64(32)
 
 
@@ -285,27 +285,6 @@ def still_live(sets: DataFrame, shape: Shape) -> DataFrame:
     return with_partners(table(sets.select("node", "tokens").mapInArrow(send, SENT), "sent"), buckets, shape.percent)
 
 
-class Bloom:
-    """A bit table of nodes, sized by their number up to 2**28 bits; beyond that it lets more through, and step 1 on all tokens rules those out."""
-
-    def __init__(self, nodes: DataFrame):
-        nodes = table(nodes, "live")
-        self.bits = min(max((16 * nodes.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
-        top = (1 << self.bits) - 1
-        at = F.explode(F.array(F.col("node").bitwiseAND(F.lit(top)), F.shiftrightunsigned("node", self.bits).bitwiseAND(F.lit(top))))
-        bits = nodes.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-        found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
-        self.words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-
-    def holds(self, node: np.ndarray) -> np.ndarray:
-        x, top = node.view(np.uint64), np.uint64((1 << self.bits) - 1)
-        out = np.ones(len(x), bool)
-        for at in (x & top, (x >> np.uint64(self.bits)) & top):
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return out
-
-
 def token_sets(docs: DataFrame, shape: Shape, live: Bloom, text_col: str = "text") -> DataFrame:
     """(node, size, tokens) of the sets left in; a set may come from several mappers."""
     sent = docs.sparkSession.sparkContext.broadcast(live)
