@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Verdicts, states and labels that reports and files carry.
 VERDICTS = ["supported", "partial", "contradicted", "not_retrieved", "unchecked"]
 STATUSES = ["retrieved", "provided", "paywalled", "mismatch", "no_doi", "unpublished", "error"]
 BLOCK_TYPES = ["sectionheader", "text", "table", "picture", "list"]

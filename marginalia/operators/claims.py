@@ -83,6 +83,11 @@ def merge_verdicts(routed: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def extraction_prompts(texts: DataFrame, template: str) -> DataFrame:
+    """(paper, slug, prompt): a template with each manuscript's text (paper, clean_md), cut at the limit, filled in; slug is empty."""
+    return texts.select("paper", F.lit("").alias("slug"), F.replace(F.lit(template), F.lit("<<MANUSCRIPT>>"), F.left("clean_md", F.lit(T.MANUSCRIPT_CHARS))).alias("prompt"))
+
+
 def extracted(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims and uncited assertions of extraction answers (paper, raw)."""
     rows = answers.select("paper", J.json_object(F.col("raw")).alias("o"))

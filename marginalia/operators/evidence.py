@@ -52,21 +52,34 @@ def _union() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
 
+def _around() -> Column:
+    """The union of a claim's hits, padded."""
+    x0, y0, x1, y1 = map(F.col, ("x0", "y0", "x1", "y1"))
+    return G.box(x0 - G.UNION_PAD_X, y0 - G.UNION_PAD_Y, x1 + G.UNION_PAD_X, y1 + G.UNION_PAD_Y)
+
+
 def hit_regions(hits: DataFrame) -> DataFrame:
     """(paper, id, region): the union of a claim's hits, padded, for claims without a block."""
     rows = hits.select(*KEY, "hit.*").groupBy(*KEY).agg(*_union())
-    padded = G.box(F.col("x0") - G.UNION_PAD_X, F.col("y0") - G.UNION_PAD_Y, F.col("x1") + G.UNION_PAD_X, F.col("y1") + G.UNION_PAD_Y)
-    return rows.select(*KEY, padded.alias("region"))
+    return rows.select(*KEY, _around().alias("region"))
 
 
 def crops(claims: DataFrame, blocks: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
-    """(paper, id, file, region, zoom, boxes): what to draw for each claim; pages: paper, slug, page, width, height."""
-    hits = phrase_hits(claims, words)
-    regions = block_regions(claims, blocks).withColumnRenamed("region", "own").join(hit_regions(hits).withColumnRenamed("region", "around"), KEY, "full_outer")
-    rows = claims.join(regions.select(*KEY, F.coalesce("own", "around").alias("region")), KEY)
+    """(paper, id, file, region, zoom, boxes): what to draw for each claim; pages: paper, slug, page, width, height.
+
+    A claim's hits are found once and stay with it as an array, from which the
+    region and the boxes inside it are read.
+    """
+    each = phrase_hits(claims, words).select(*KEY, "phrase", "pos", "hit", "hit.*")
+    per = each.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("phrase", "pos", "hit"))).alias("hits"), *_union())
+    per = per.select(*KEY, "hits", _around().alias("around"))
+    own = block_regions(claims, blocks).withColumnRenamed("region", "own")
     sizes = pages.select("paper", F.col("slug").alias("source_slug"), F.col("page").alias("source_page"), "width", "height")
-    rows = rows.join(sizes, ["paper", "source_slug", "source_page"]).withColumn("region", G.padded(F.col("region"), F.col("width"), F.col("height")))
-    rows = rows.select(*KEY, G.crop_name(F.col("id"), F.col("source_slug"), F.col("source_page")).alias("file"), "region", G.zoom(F.col("region")).alias("zoom"))
-    inside = rows.join(hits, KEY).where("hit.x0 < region.x1 and hit.x1 > region.x0 and hit.y0 < region.y1 and hit.y1 > region.y0")
-    boxes = inside.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("phrase", "pos", G.pixels(F.col("hit"), F.col("region"), F.col("zoom")).alias("box")))).alias("b"))
-    return rows.join(boxes.select(*KEY, F.col("b.box").alias("boxes")), KEY, "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")))
+    rows = claims.select(*KEY, "source_slug", "source_page").join(own, KEY, "left").join(per, KEY, "left").where("own is not null or around is not null")
+    rows = rows.join(sizes, ["paper", "source_slug", "source_page"]).withColumn("region", G.padded(F.coalesce("own", "around"), F.col("width"), F.col("height")))
+    rows = rows.select(*KEY, G.crop_name(F.col("id"), F.col("source_slug"), F.col("source_page")).alias("file"), "region", G.zoom(F.col("region")).alias("zoom"), "hits")
+    region = F.col("region")
+    inside = lambda h: (h["hit"]["x0"] < region["x1"]) & (h["hit"]["x1"] > region["x0"]) & (h["hit"]["y0"] < region["y1"]) & (h["hit"]["y1"] > region["y0"])
+    boxes = F.transform(F.filter("hits", inside), lambda h: G.pixels(h["hit"], region, F.col("zoom")))
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    return rows.select(*KEY, "file", "region", "zoom", F.coalesce(boxes, none).alias("boxes"))

@@ -42,10 +42,17 @@ def _hits(rows: DataFrame, cap: int, name: str) -> DataFrame:
     return lists.withColumnRenamed("text", name).join(left, "paper")
 
 
-def pages(claims: DataFrame, uncited: DataFrame, coverage: DataFrame, newer: DataFrame, overlooked: DataFrame, look: str) -> DataFrame:
-    """(paper, html): a page for every paper with claims; newer and overlooked carry their ``rank``."""
+def pages(claims: DataFrame, uncited: DataFrame, coverage: DataFrame, newer: DataFrame, overlooked: DataFrame, look: str, runs: DataFrame | None = None, sources: DataFrame | None = None, scouted: DataFrame | None = None) -> DataFrame:
+    """(paper, html): a page for every paper with claims; newer and overlooked carry their ``rank``.
+
+    runs: paper, checker, date, converter; sources: (paper, summary) of
+    ``report.availability``; scouted: (paper, error) of the search around it.
+    """
     style, newer_cap, overlooked_cap = LOOKS[look]
     head = P.verdict_counts(claims).join(P.totals(claims), "paper").join(P.coverage_line(coverage), "paper", "left")
+    for part, names in ((runs, ("checker", "date", "converter")), (sources, ("summary",)), (scouted, ("error",))):
+        head = head.withColumns({n: F.lit(None).cast("string") for n in names}) if part is None else head.join(part.select("paper", *names), "paper", "left")
+    told = lambda tag, *parts: F.coalesce(_tag(tag, *parts), F.lit(""))
     image = F.when(F.col("evidence_image") != "", F.concat(F.lit('<img src="'), escaped(F.col("evidence_image")), F.lit('">'))).otherwise("")
     source = F.when(F.col("source_slug") != "", _tag("h3", F.lit("Evidence from: "), escaped(F.col("source_slug")), F.lit(" · page "), F.coalesce(F.col("source_page").cast("string"), F.lit("?")))).otherwise("")
     claim = F.concat(_tag("h2", F.lit("Claim "), F.col("id").cast("string"), F.lit(": “"), escaped(F.col("claim")), F.lit("”")), _tag("p", J.verdict_label(F.col("verdict"))), F.coalesce(source, F.lit("")), F.coalesce(image, F.lit("")), F.when(F.col("note") != "", _tag("p", escaped(F.col("note")))).otherwise(""))
@@ -66,6 +73,9 @@ def pages(claims: DataFrame, uncited: DataFrame, coverage: DataFrame, newer: Dat
     more = F.coalesce("newer_more", F.lit(False)) | F.coalesce("overlooked_more", F.lit(False))
     body = F.concat(
         _tag("h1", F.lit("Audit report")),
+        told("p", F.lit("Checker: "), F.when(F.col("checker") != "", escaped(F.col("checker"))), F.lit(" · "), F.col("date").cast("string")),
+        told("p", F.lit("Sources: "), F.col("summary")),
+        F.when(P.flat_text(F.col("converter")), _tag("blockquote", escaped(F.lit(P.FLAT_NOTE[2:])))).otherwise(""),
         _tag("p", counts),
         _tag("p", F.lit("Citation coverage: "), escaped(F.coalesce("coverage", F.lit("not audited")))),
         F.coalesce("checked", F.lit("")),
@@ -74,5 +84,6 @@ def pages(claims: DataFrame, uncited: DataFrame, coverage: DataFrame, newer: Dat
         F.coalesce(some("gaps", "<table>", "</table>"), F.lit("")),
         F.when(hits != "", F.concat(F.lit("<h2>What the reference list does not know</h2><table>"), hits, F.lit("</table>"))).otherwise(""),
         F.when(more, F.lit("<p>Full lists in scout.json.</p>")).otherwise(""),
+        F.when(F.col("error") != "", _tag("p", F.lit("Scan incomplete: "), escaped(F.col("error")))).otherwise(""),
     )
     return rows.select("paper", F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset=utf-8><style>{style}</style></head><body>"), body, F.lit("</body></html>")).alias("html"))

@@ -66,6 +66,11 @@ def flat_blocks(raw: DataFrame) -> DataFrame:
     return _numbered(_with_ids(rows))
 
 
+def provenance_page(pages: Column) -> Column:
+    """The page that an item stands on: the first of its provenance that is known, null where none is."""
+    return F.get(F.filter(pages, lambda x: x.isNotNull()), F.lit(0))
+
+
 def layout_label(label: Column) -> Column:
     return F.lower(F.substring_index(F.coalesce(label, F.lit("text")), ".", -1))
 

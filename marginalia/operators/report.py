@@ -9,6 +9,9 @@ from ..functions import judgement as J
 from ..functions import text as T
 
 EDITOR_CAPS, TERMINAL_CAPS, CONSOLE_CAP = (10, 8), (8, 6), 5
+#: The converter that gives flat text, and what its reports say.
+FLAT = "pymupdf"
+FLAT_NOTE = "> Flat text: tables are lines and figures are missing, so claims about them may be under-checked."
 
 
 def verdict_counts(claims: DataFrame) -> DataFrame:
@@ -70,12 +73,12 @@ def manifest_rows(refs: DataFrame) -> DataFrame:
     return refs.select("paper", "ord", line.alias("line"))
 
 
-def hit_rows(hits: DataFrame) -> DataFrame:
-    """Lines of a register's table."""
+def hit_rows(hits: DataFrame, via: bool = True) -> DataFrame:
+    """Lines of a register's table; ``via``: with how each hit was found."""
     cut = lambda c, n: F.left(c, F.lit(n))
     year = F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("?"))
     doi = F.coalesce(F.nullif("doi", F.lit("")), F.lit("—"))
-    line = F.concat(F.lit("| "), year, F.lit(" | "), cut("title", 90), F.lit(" | "), cut("journal", 30), F.lit(" | "), F.col("via"), F.lit(" | "), doi, F.lit(" |"))
+    line = F.concat(F.lit("| "), year, F.lit(" | "), cut("title", 90), F.lit(" | "), cut("journal", 30), F.lit(" | "), *([F.col("via"), F.lit(" | ")] if via else []), doi, F.lit(" |"))
     return hits.select("paper", "ord", line.alias("line"))
 
 
@@ -94,8 +97,9 @@ def claim_sections(claims: DataFrame) -> DataFrame:
     """The report's section of each checked claim."""
     cites = F.when(F.size("refs") > 0, F.concat(F.lit(" · cites ["), F.array_join("refs", ", "), F.lit("]"))).otherwise("")
     source = F.when(F.col("source_slug") != "", F.concat(F.lit("\n### Evidence from: `"), F.col("source_slug"), F.lit("`\n- **Source:** Page "), F.coalesce(F.col("source_page").cast("string"), F.lit("?")), F.coalesce(F.concat(F.lit(" `("), F.nullif("source_block", F.lit("")), F.lit(")`")), F.lit("")))).otherwise("")
+    image = F.when(F.col("evidence_image") != "", F.concat(F.lit("\n![evidence]("), F.col("evidence_image"), F.lit(")"))).otherwise("")
     note = F.when(F.col("note") != "", F.concat(F.lit("\n> "), F.col("note"))).otherwise("")
-    section = F.concat(F.lit("## Claim "), F.col("id").cast("string"), F.lit(': "'), F.col("claim"), F.lit('"\n**Status:** '), J.verdict_label(F.col("verdict")), F.lit("\n**Location:** "), F.col("location"), cites, F.coalesce(source, F.lit("")), F.coalesce(note, F.lit("")))
+    section = F.concat(F.lit("## Claim "), F.col("id").cast("string"), F.lit(': "'), F.col("claim"), F.lit('"\n**Status:** '), J.verdict_label(F.col("verdict")), F.lit("\n**Location:** "), F.col("location"), cites, F.coalesce(source, F.lit("")), F.coalesce(image, F.lit("")), F.coalesce(note, F.lit("")))
     return checked(claims).select("paper", "id", section.alias("section"))
 
 
@@ -105,12 +109,59 @@ def ordered_lines(rows: DataFrame, order: str, line: str) -> DataFrame:
     return whole.select("paper", F.array_join(f"r.{line}", "\n").alias("text"))
 
 
-def report(claims: DataFrame, refs: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(paper, report): the report of every paper as markdown."""
+def flat_text(converter: Column) -> Column:
+    """Whether a converter gives flat text, which a report has to say."""
+    return converter == FLAT
+
+
+def _listed(lines: DataFrame, name: str, title: str) -> DataFrame:
+    """(paper, name): lines (paper, ord, line) in order under a title that counts them."""
+    whole = lines.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("r"))
+    head = F.concat(F.lit(f"{title} ("), F.size("r").cast("string"), F.lit(")\n"))
+    return whole.select("paper", F.concat(head, F.array_join("r.line", "\n")).alias(name))
+
+
+def uncited_section(uncited: DataFrame) -> DataFrame:
+    """(paper, uncited): assertions that carry no reference; uncited: paper, id, claim, location."""
+    place = F.when(F.col("location") != "", F.concat(F.lit(" *("), F.col("location"), F.lit(")*"))).otherwise("")
+    line = F.concat(F.lit("- **[U"), F.col("id").cast("string"), F.lit("]** "), F.col("claim"), F.coalesce(place, F.lit("")))
+    return _listed(uncited.select("paper", F.col("id").alias("ord"), line.alias("line")), "uncited", "## Assertions without citation")
+
+
+def scout_section(newer: DataFrame, overlooked: DataFrame, scouted: DataFrame) -> DataFrame:
+    """(paper, scout): what lies around each paper, for papers with a hit or an error.
+
+    Hits carry ``rank``; scouted: paper, paper_title, paper_year, paper_doi,
+    resolved_via, query, error, null where unknown.
+    """
+    rows = scouted
+    for hits, name, title, via in ((newer, "newer", "### Published since", True), (overlooked, "overlooked", "### Existed but uncited", False)):
+        rows = rows.join(_listed(hit_rows(hits.withColumn("ord", F.col("rank")), via), name, title), "paper", "full_outer")
+    rows = rows.where("newer is not null or overlooked is not null or error <> ''")
+    known = F.concat(F.lit("Identified as *"), F.col("paper_title"), F.lit("* ("), F.coalesce(F.nullif("paper_year", F.lit(0)).cast("string"), F.lit("year?")), F.coalesce(F.concat(F.lit(" · `"), F.nullif("paper_doi", F.lit("")), F.lit("`")), F.lit("")), F.lit(") by its "), F.col("resolved_via"))
+    failed = F.concat(F.lit("> Scan incomplete: "), F.nullif("error", F.lit("")))
+    asked = F.concat(F.lit("Query: `"), F.nullif("query", F.lit("")), F.lit("`"))
+    return rows.select("paper", F.concat_ws("\n", F.lit("## Around the paper"), known, failed, "newer", "overlooked", asked).alias("scout"))
+
+
+def report(claims: DataFrame, refs: DataFrame, coverage: DataFrame, runs: DataFrame | None = None, uncited: DataFrame | None = None, scout: DataFrame | None = None) -> DataFrame:
+    """(paper, report): the report of every paper as markdown.
+
+    runs: paper, checker, date, manuscript, converter; uncited: as of
+    ``uncited_section``; scout: (paper, scout) of ``scout_section``.  A part
+    without a row for a paper is left out of its report.
+    """
     head = verdict_counts(claims).join(availability(refs), "paper", "full_outer").join(coverage_line(coverage), "paper", "left")
     count = lambda name: F.concat(F.lit(f"{name}: "), F.coalesce(name, F.lit(0)).cast("string"))
-    top = F.concat_ws("\n", F.lit("# Audit report"), F.concat(F.lit("Sources: "), F.coalesce("summary", F.lit("0/0 sources available"))), F.concat_ws(" | ", *map(count, J.VERDICTS)), F.concat(F.lit("Citation coverage: "), F.coalesce("coverage", F.lit("not audited"))))
-    lists = {"claims": ordered_lines(claim_sections(claims), "id", "section")}
+    made = [F.lit(None).cast("string")] * 2
+    if runs is not None:
+        head = head.join(runs.select("paper", "checker", "date", "manuscript", "converter"), "paper", "left")
+        made = [
+            F.concat(F.lit("Checker: "), F.col("checker"), F.lit(" · "), F.col("date").cast("string"), F.lit("\nManuscript: "), F.col("manuscript")),
+            F.when(flat_text(F.col("converter")), FLAT_NOTE),
+        ]
+    top = F.concat_ws("\n", F.lit("# Audit report"), made[0], F.concat(F.lit("Sources: "), F.coalesce("summary", F.lit("0/0 sources available"))), F.concat_ws(" | ", *map(count, J.VERDICTS)), F.concat(F.lit("Citation coverage: "), F.coalesce("coverage", F.lit("not audited"))), made[1])
+    lists = {"checked": ordered_lines(claim_sections(claims), "id", "section")}
     gap = gaps_by_section(claims)
     item = lambda i: F.concat(F.lit("  - ["), F.array_join(i["refs"], ", "), F.lit("] "), i["claim"], F.when(i["note"] != "", F.concat(F.lit(" — *"), i["note"], F.lit("*"))).otherwise(""))
     line = F.concat_ws("\n", F.concat(F.lit("- **"), F.col("section"), F.lit("** ("), F.size("items").cast("string"), F.lit("):")), F.array_join(F.transform("items", item), "\n"))
@@ -119,4 +170,7 @@ def report(claims: DataFrame, refs: DataFrame, coverage: DataFrame) -> DataFrame
     rows = head.select("paper", top.alias("top"))
     for name, part in lists.items():
         rows = rows.join(part.withColumnRenamed("text", name), "paper", "left")
-    return rows.select("paper", F.concat_ws("\n\n", "top", "claims", F.concat(F.lit("## Not verified\n"), F.col("gaps")), F.concat(F.lit("## Retrieval\n"), F.col("refs"))).alias("report"))
+    none = F.lit(None).cast("string")
+    rows = rows.withColumn("uncited", none) if uncited is None else rows.join(uncited_section(uncited), "paper", "left")
+    rows = rows.withColumn("scout", none) if scout is None else rows.join(scout, "paper", "left")
+    return rows.select("paper", F.concat_ws("\n\n", "top", "checked", F.concat(F.lit("## Not verified\n"), F.col("gaps")), "uncited", "scout", F.concat(F.lit("## Retrieval\n"), F.col("refs"))).alias("report"))

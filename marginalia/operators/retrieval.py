@@ -52,9 +52,9 @@ def resolved_paper(answers: DataFrame) -> DataFrame:
 def match_provided(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(paper, ord, num, slug, file): the first file by name that holds all longer tokens of a slug.
 
-    A file can only match a slug whose longest token it holds, so files are cut
-    into their words' pieces of that kind: an equi-join on (paper, token's
-    first characters) finds candidates, and the rest is a filter.  The files of
+    A file can only match a slug whose longer tokens it holds, the first of them
+    among others, so names are cut into pieces as long as its beginning: an
+    equi-join on (paper, piece) finds candidates, and the rest is a filter.  The files of
     a paper are few, those of all papers need not be.
     """
     width = MIN_TOKEN + 1

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
-from ..operators import coverage, ingest, references, report
+from ..operators import coverage, evidence, ingest, references, report
 from ..sources import seams
+from . import retrieve
 
 
 def contact(given: str | None, names: tuple[str, ...] = ("AUDIT_EMAIL",)) -> str:
@@ -51,12 +53,93 @@ def run(raw_blocks: DataFrame, refs: DataFrame, claims: DataFrame, sources: Data
     """
     blocks = ingest.flat_blocks(raw_blocks)
     texts = ingest.markdown(blocks)
+    whole = judged(claims, refs, sources, template, judge).withColumn("evidence_image", F.lit(None).cast("string"))
+    covered = coverage.coverage_audit(texts, claims)
+    return Audit(blocks, refs, whole, covered, report.report(whole, refs, covered))
+
+
+def judged(claims: DataFrame, refs: DataFrame, sources: DataFrame, template: str, judge: seams.Judge) -> DataFrame:
+    """The claims with their verdicts: routed to a source that was read, asked one source at a time, merged."""
     routed = C.route(claims, refs)
     answers = seams.ask(C.prompts(claims, routed, sources, template), judge)
-    judged = C.merge_verdicts(routed, answers)
-    whole = claims.select("paper", "id", "claim", "location", "refs").join(judged, ["paper", "id"]).withColumn("evidence_image", F.lit(None).cast("string"))
+    return claims.select("paper", "id", "claim", "location", "refs").join(C.merge_verdicts(routed, answers), ["paper", "id"])
+
+
+@dataclass
+class Outside:
+    """What an audit needs from beyond the tables.
+
+    get: address to (status, body); judge: prompt to answer; first_page: body to
+    the text of its first page, as columns; read: resolved references to
+    ``Sources``; keep: writes a stage's rows and reads them back.
+    """
+
+    get: Callable[[str], tuple[int, bytes]]
+    judge: seams.Judge
+    first_page: Callable[[Column], Column]
+    read: Callable[[DataFrame], Sources]
+    keep: Callable[[DataFrame, str], DataFrame]
+
+
+@dataclass
+class Sources:
+    """Sources that were read: texts (paper, slug, annotated_md), and where crops are wanted their blocks, words and pages as of ``operators.evidence``."""
+
+    texts: DataFrame
+    blocks: DataFrame | None = None
+    words: DataFrame | None = None
+    pages: DataFrame | None = None
+
+
+@dataclass
+class Whole:
+    blocks: DataFrame
+    refs: DataFrame
+    newer: DataFrame
+    overlooked: DataFrame
+    scout_errors: DataFrame
+    claims: DataFrame
+    uncited: DataFrame
+    crops: DataFrame | None
+    coverage: DataFrame
+    report: DataFrame
+
+
+def audit(raw_blocks: DataFrame, manuscripts: DataFrame, existing: DataFrame, files: DataFrame, outside: Outside, extraction: str, checking: str, email: str | None = None, runs: DataFrame | None = None) -> Whole:
+    """Whole audits of many papers, from decoded blocks to reports.
+
+    manuscripts: (paper, manuscript); existing: those that the papers' folders
+    hold already; files: the user's sources (paper, name); extraction and
+    checking: the judge's templates.  The contact address and the folders are
+    checked before anything is fetched.  A search around a paper that fails
+    leaves the rest of its audit as it is.
+    """
+    address = contact(email)
+    guard(existing, manuscripts)
+    keep = outside.keep
+    blocks = ingest.flat_blocks(raw_blocks)
+    texts = keep(ingest.markdown(blocks), "texts")
+    parsed = keep(references.parse_references(references.references_section(blocks)), "parsed")
+    found = retrieve.retrieve(parsed, files, outside.get, outside.first_page, address, keep)
+    refs = keep(parsed.drop("doi").join(found, ["paper", "ord"]), "refs")
+
+    papers = ingest.paper_title(blocks).withColumn("doi", F.lit(None).cast("string"))
+    newer, overlooked, errors = retrieve.scout_papers(papers, refs, outside.get, keep)
+
+    asked = keep(seams.ask(C.extraction_prompts(texts, extraction), outside.judge), "extraction")
+    claims, uncited = C.extracted(asked)
+    sources = outside.read(refs)
+    whole = keep(judged(claims, refs, sources.texts, checking, outside.judge), "judged")
+    crops, image = None, F.lit(None).cast("string")
+    if sources.blocks is not None:
+        crops = keep(evidence.crops(whole, sources.blocks, sources.words, sources.pages), "crops")
+        whole = whole.join(crops.select("paper", "id", "file"), ["paper", "id"], "left")
+        image = F.concat(F.lit("evidence/"), F.col("file"))
+    whole = whole.withColumn("evidence_image", image).drop("file")
     covered = coverage.coverage_audit(texts, claims)
-    return Audit(blocks, refs, whole, covered, report.report(whole, refs, covered))
+    known = [F.lit(None).cast(kind).alias(name) for name, kind in (("paper_title", "string"), ("paper_year", "int"), ("paper_doi", "string"), ("resolved_via", "string"), ("query", "string"))]
+    scout = report.scout_section(newer, overlooked, errors.select("paper", *known, "error"))
+    return Whole(blocks, refs, newer, overlooked, errors, whole, uncited, crops, covered, report.report(whole, refs, covered, runs, uncited, scout))
 
 
 def parse_only(raw_blocks: DataFrame) -> DataFrame:

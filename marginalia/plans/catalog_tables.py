@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..functions import judgement as J
 from ..functions import text as T
 from ..operators import claims as C
+from ..operators import coverage as V
 from ..operators import evidence as E
 from ..operators import html as H
 from ..operators import ingest as I
@@ -15,7 +16,7 @@ from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
-from ..sources import json_files, requests, seams
+from ..sources import case, json_files, requests, seams
 from . import audit
 from . import derived as D
 from . import sql as Q
@@ -71,12 +72,48 @@ def _round_trip(s, d):
     return back.select("paper", "t.summary.total", "t.summary.available", F.posexplode("j.entries").alias("ord", "e")).select("paper", "total", "available", (F.col("ord") + 1).alias("ord"), "e.num", "e.raw", "e.doi", "e.status", "e.slug")
 
 
-def _no_coverage(s):
-    return seams.empty(s, "paper long, labels_in_text array<string>, covered array<string>, missing array<string>, status string")
+def _runs(s, d):
+    """What a report says of the run: half of the papers were read as flat text."""
+    rows = D.table(s, d, "ref_lines").select("paper").distinct()
+    converter = F.when(F.col("paper") % 2 == 0, "pymupdf").otherwise("docling 2")
+    return rows.select("paper", F.lit("model judge · m").alias("checker"), F.lit("2024-05-06").alias("date"), F.concat(F.lit("m"), F.col("paper").cast("string"), F.lit(".pdf")).alias("manuscript"), converter.alias("converter"))
+
+
+def _uncited(s, d):
+    return D.claims(s, d).where("id < 3").select("paper", "id", "claim", "location")
+
+
+def _numbered(rows):
+    """Papers named by a brand, by its number."""
+    return rows.withColumn("paper", F.substring("paper", 7, 9).cast("long"))
+
+
+def _scouted(s, d):
+    rows = _numbered(D.table(s, d, "paper_ids"))
+    error = F.when(F.col("paper") % 10 == 2, "network: x — scan incomplete")
+    return rows.select("paper", "paper_title", "paper_year", "paper_doi", F.lit("title").alias("resolved_via"), F.lit("small ring").alias("query"), error.alias("error"))
+
+
+def _registers(s, d):
+    newer, overlooked = scout.registers(scout.hits(D.table(s, d, "found")), D.table(s, d, "paper_ids"), D.table(s, d, "scout_refs"))
+    return _numbered(newer), _numbered(overlooked)
+
+
+def _covered(s, d):
+    return V.coverage_audit(D.table(s, d, "papers"), D.claims(s, d))
+
+
+def _report(s, d):
+    claims, refs = D.claims(s, d), D.refs(s, d)
+    return P.report(claims, refs, _covered(s, d), _runs(s, d), _uncited(s, d), P.scout_section(*_registers(s, d), _scouted(s, d)))
+
 
+def _pages(look):
+    def run(s, d):
+        claims = D.claims(s, d)
+        return H.pages(claims, _uncited(s, d), _covered(s, d), *_registers(s, d), look, _runs(s, d), P.availability(D.refs(s, d)), _scouted(s, d))
 
-def _no_hits(s):
-    return seams.empty(s, "paper long, ord int, via string, title string, year int, doi string, journal string, authors string, rank int")
+    return run
 
 
 def _conflicts(s, d):
@@ -116,6 +153,35 @@ SELECT paper, id, source_slug,
   CASE WHEN source_slug IS NOT NULL AND failure IS NULL AND id = second AND id <> 1 THEN p2 END AS source_page,
   CASE WHEN source_slug IS NOT NULL AND answered AND failure IS NULL AND id = 1 THEN 'block_0002' END AS source_block FROM m"""
 
+#: A checked claim's section of the report.
+_SECTION = f"""'## Claim ' || id || ': "' || claim || '"' || chr(10) || '**Status:** ' || CASE verdict {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in J.LABELS.items())} ELSE upper(verdict) END || chr(10) || '**Location:** ' || location
+  || CASE WHEN labels <> '' THEN ' · cites [' || replace(labels, '|', ', ') || ']' ELSE '' END
+  || CASE WHEN source_slug <> '' THEN chr(10) || '### Evidence from: `' || source_slug || '`' || chr(10) || '- **Source:** Page ' || source_page || ' `(' || source_block || ')`' ELSE '' END
+  || CASE WHEN evidence_image <> '' THEN chr(10) || '![evidence](' || evidence_image || ')' ELSE '' END || chr(10) || '> ' || note"""
+_MANIFEST_LINE = "'| ' || num || ' | ' || CASE WHEN length(raw) > 80 THEN left(raw, 80) || '…' ELSE raw END || ' | ' || status || ' | ' || coalesce(resolver, '—') || ' | ' || reason || ' |'"
+_HIT_LINE = "'| ' || coalesce(CAST(nullif(year, 0) AS VARCHAR), '?') || ' | ' || left(title, 90) || ' | ' || left(journal, 30) || ' | ' || {0}coalesce(nullif(doi, ''), '—') || ' |'"
+_RANK = "row_number() OVER (PARTITION BY paper ORDER BY coalesce(year, 0) DESC, title, CASE via WHEN 'citing' THEN 0 ELSE 1 END, ord)"
+_LIST = lambda rows, cap, line, title: f"(SELECT CAST(substr(paper, 7) AS BIGINT) AS paper, '{title} (' || count(*) || ')' || chr(10) || string_agg({line}, chr(10) ORDER BY rank) AS t FROM (SELECT *, {_RANK} AS rank FROM {rows}) t WHERE rank <= {cap} GROUP BY paper)"
+_REPORT = f"""{Q.with_(Q.HITS, Q.ENTRIES, Q.LABEL_ROWS, Q.CITED, names=(*Q.SCOUT, "refs", "claim_rows", "papers")).replace('WITH', 'WITH RECURSIVE', 1)},
+cov AS (SELECT papers.paper, count(lab.label) AS n, count(cited.label) AS c, list(lab.label ORDER BY CAST(lab.label AS INT), lab.label) FILTER (WHERE lab.label IS NOT NULL AND cited.label IS NULL) AS missing
+  FROM papers LEFT JOIN lab USING (paper) LEFT JOIN cited ON cited.paper = lab.paper AND cited.label = lab.label GROUP BY papers.paper),
+covt AS (SELECT paper, CASE WHEN len(missing) > 0 THEN c || '/' || n || ' labels covered — unaddressed: [' || array_to_string(missing, '], [') || ']' WHEN n > 0 THEN 'all ' || n || ' citation labels covered' ELSE 'no numbered citation markers found; coverage not audited' END AS coverage FROM cov),
+vc AS (SELECT paper, {_COUNT('verdict', J.VERDICTS)} FROM claim_rows GROUP BY paper),
+av AS (SELECT paper, count(*) FILTER (WHERE {Q.READY}) || '/' || count(*) || ' sources available' AS summary FROM e GROUP BY paper),
+rn AS (SELECT DISTINCT paper, 'Checker: model judge · m · 2024-05-06' || chr(10) || 'Manuscript: m' || paper || '.pdf' AS made, CASE WHEN paper % 2 = 0 THEN '{P.FLAT_NOTE}' END AS flat FROM refs),
+hd AS (SELECT paper, concat_ws(chr(10), '# Audit report', made, 'Sources: ' || coalesce(summary, '0/0 sources available'), {" || ' | ' || ".join(f"'{v}: ' || coalesce({v}, 0)" for v in J.VERDICTS)}, 'Citation coverage: ' || coalesce(coverage, 'not audited'), flat) AS top
+  FROM vc FULL JOIN av USING (paper) LEFT JOIN covt USING (paper) LEFT JOIN rn USING (paper)),
+ck AS (SELECT paper, string_agg({_SECTION}, chr(10) ORDER BY id) AS t FROM claim_rows WHERE NOT {Q.GAP} GROUP BY paper),
+g1 AS (SELECT paper, min(id) AS place, '- **' || {Q.SECTION} || '** (' || count(*) || '):' || chr(10) || string_agg('  - [' || replace(labels, '|', ', ') || '] ' || claim || ' — *' || note || '*', chr(10) ORDER BY id) AS line FROM claim_rows WHERE {Q.GAP} GROUP BY paper, {Q.SECTION}),
+gp AS (SELECT paper, '## Not verified' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS t FROM g1 GROUP BY paper),
+uc AS (SELECT paper, '## Assertions without citation (' || count(*) || ')' || chr(10) || string_agg('- **[U' || id || ']** ' || claim || CASE WHEN location <> '' THEN ' *(' || location || ')*' ELSE '' END, chr(10) ORDER BY id) AS t FROM claim_rows WHERE id < 3 GROUP BY paper),
+ne AS {_LIST("(SELECT * FROM split WHERE newer) x", 25, _HIT_LINE.format("via || ' | ' || "), "### Published since")},
+ov AS {_LIST("un", 15, _HIT_LINE.format(""), "### Existed but uncited")},
+sd AS (SELECT CAST(substr(paper, 7) AS BIGINT) AS paper, 'Identified as *' || paper_title || '* (' || coalesce(CAST(paper_year AS VARCHAR), 'year?') || ' · `' || paper_doi || '`) by its title' AS known, CASE WHEN paper LIKE '%2' THEN '> Scan incomplete: network: x — scan incomplete' END AS failed FROM paper_ids),
+sc AS (SELECT paper, concat_ws(chr(10), '## Around the paper', known, failed, ne.t, ov.t, 'Query: `small ring`') AS t FROM sd LEFT JOIN ne USING (paper) LEFT JOIN ov USING (paper) WHERE ne.t IS NOT NULL OR ov.t IS NOT NULL OR failed IS NOT NULL),
+rf AS (SELECT paper, '## Retrieval' || chr(10) || string_agg({_MANIFEST_LINE}, chr(10) ORDER BY ord) AS t FROM e GROUP BY paper)
+SELECT paper, concat_ws(chr(10) || chr(10), top, ck.t, gp.t, uc.t, sc.t, rf.t) AS report FROM hd LEFT JOIN ck USING (paper) LEFT JOIN gp USING (paper) LEFT JOIN uc USING (paper) LEFT JOIN sc USING (paper) LEFT JOIN rf USING (paper)"""
+
 CLAIMS = {
     "W5_numbered": (_sections(_entry_rows), f"{_W5} SELECT paper, CAST(num - 1 AS INT) AS ord, CAST(num AS VARCHAR) AS num, raw FROM txt"),
     "W7_bulleted": (_sections(_bullet_rows), f"{_W7} SELECT paper, CAST(item - 1 AS INT) AS ord, CAST(item AS VARCHAR) AS num, raw FROM b"),
@@ -180,21 +246,19 @@ FROM r JOIN claim_rows USING (paper, id) WHERE r.source_slug IS NOT NULL GROUP B
     ),
     "K4a_manifest_rows": (
         _refs(P.manifest_rows),
-        f"{_E} SELECT paper, ord, '| ' || num || ' | ' || CASE WHEN length(raw) > 80 THEN left(raw, 80) || '…' ELSE raw END || ' | ' || status || ' | ' || coalesce(resolver, '—') || ' | ' || reason || ' |' AS line FROM e",
+        f"{_E} SELECT paper, ord, {_MANIFEST_LINE} AS line FROM e",
     ),
     "K4a_claim_sections": (
-        _claims(lambda c: P.claim_sections(c).select(*_CLAIM, F.length("section").alias("chars"))),
-        f"""{_CR} SELECT paper, id, CAST(length('## Claim ' || id || ': "' || claim || '"' || chr(10) || '**Status:** ' || CASE verdict {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in J.LABELS.items())} ELSE upper(verdict) END || chr(10) || '**Location:** ' || location
-  || CASE WHEN labels <> '' THEN ' · cites [' || replace(labels, '|', ', ') || ']' ELSE '' END
-  || CASE WHEN source_slug <> '' THEN chr(10) || '### Evidence from: `' || source_slug || '`' || chr(10) || '- **Source:** Page ' || source_page || ' `(' || source_block || ')`' ELSE '' END || chr(10) || '> ' || note) AS INT) AS chars
-FROM claim_rows WHERE NOT {Q.GAP}""",
+        _claims(lambda c: P.claim_sections(c)),
+        f"{_CR} SELECT paper, id, {_SECTION} AS section FROM claim_rows WHERE NOT {Q.GAP}",
     ),
     "K4b_gap_rows": (
         _claims(lambda c: H.gap_rows(c).select("paper", "place", "section", "state", "n")),
         f"{_CR} SELECT paper, min(id) AS place, {Q.SECTION} AS section, replace(min_by(verdict, id), '_', ' ') AS state, count(*) AS n FROM claim_rows WHERE {Q.GAP} GROUP BY paper, section",
     ),
-    "K4b_html": (lambda s, d: H.pages(D.claims(s, d), D.claims(s, d).where("id = 1").select("paper", "id", "claim", "location"), _no_coverage(s), _no_hits(s), _no_hits(s), "editor"), None),
-    "K4_report": (lambda s, d: P.report(D.claims(s, d), D.refs(s, d), _no_coverage(s)), None),
+    "K4b_html": (_pages("editor"), None),
+    "K4b_terminal": (_pages("terminal"), None),
+    "K4_report": (_report, _REPORT),
 }
 
 
@@ -255,7 +319,7 @@ BLOCKS = {
     "P3a_captions": (lambda s, d: _layout(s, d).where("type in ('table', 'picture')").select("paper", "seq", "text"), f"{_L} SELECT paper, seq, text FROM lb WHERE type IN ('table', 'picture')"),
     "P4_label": (lambda s, d: D.table(s, d, "layout_items").select("paper", "seq", I.layout_label(F.col("label")).alias("label")), f"{Q.ctes('layout_items')} SELECT paper, seq, lower(split_part(label, '.', -1)) AS label FROM layout_items"),
     "P5_provenance": (
-        lambda s, d: D.table(s, d, "layout_items").select("paper", "seq", F.get(F.filter(F.array("page_no"), lambda x: x.isNotNull()), F.lit(0)).alias("page")),
+        lambda s, d: D.table(s, d, "layout_items").select("paper", "seq", I.provenance_page(F.array(F.lit(None).cast("int"), "page_no")).alias("page")),
         f"{Q.ctes('layout_items')} SELECT paper, seq, page_no AS page FROM layout_items",
     ),
     "A7_type_counts": (_flat(I.type_counts), f"{_B} SELECT paper, {_COUNT('type', J.BLOCK_TYPES)} FROM b GROUP BY paper"),
@@ -275,7 +339,7 @@ SELECT paper, coalesce(left({Q.SQUEEZE.format("min_by(text, rk * 100000 + seq) F
     "S8_first_page": (_flat(I.first_page), f"{_B} SELECT paper, string_agg(text, chr(10) ORDER BY seq) AS first_page FROM b WHERE page = 1 GROUP BY paper"),
     "K1_source_map_json": (_source_map, f"{_B} SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY seq) - 1 AS INT) AS pos, id, type, page, x0, text FROM b"),
     "C9_flat_disclosure": (
-        lambda s, d: D.table(s, d, "ref_lines").select("paper", F.when(F.col("paper") % 2 == 0, "pymupdf").otherwise("docling 2").alias("converter")).distinct().withColumn("flat", F.col("converter") == "pymupdf"),
+        lambda s, d: _runs(s, d).select("paper", "converter", P.flat_text(F.col("converter")).alias("flat")),
         f"{Q.ctes('ref_lines')} SELECT DISTINCT paper, CASE WHEN paper % 2 = 0 THEN 'pymupdf' ELSE 'docling 2' END AS converter, paper % 2 = 0 AS flat FROM ref_lines",
     ),
 }
@@ -300,7 +364,6 @@ def _failed(s, d):
 
 
 _H = Q.with_(Q.HITS, names=Q.SCOUT).replace("WITH", "WITH RECURSIVE", 1)
-_RANK = "row_number() OVER (PARTITION BY paper ORDER BY coalesce(year, 0) DESC, title, CASE via WHEN 'citing' THEN 0 ELSE 1 END, ord)"
 _TOP = lambda rows, cap: f"SELECT * FROM (SELECT paper, ord, via, title, year, doi, {_RANK} AS rank FROM {rows}) t WHERE rank <= {cap}"
 _SHORT = ["paper", "ord", "via", "title", "year", "doi"]
 _NEWER, _OLD = "(SELECT * FROM split WHERE newer) x", "un"
@@ -330,7 +393,7 @@ SCOUT = {
     "P19_shown": (_register(lambda n, o: P.register_totals(n, o).select("paper")), f"{_H} SELECT DISTINCT paper FROM (SELECT paper FROM {_NEWER} UNION ALL SELECT paper FROM un) t"),
     "K4a_hit_rows": (
         _register(lambda n, o: P.hit_rows(n)),
-        f"{_H}, a AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM {_NEWER}) t WHERE rank <= 25) SELECT paper, ord, '| ' || coalesce(CAST(nullif(year, 0) AS VARCHAR), '?') || ' | ' || left(title, 90) || ' | ' || left(journal, 30) || ' | ' || via || ' | ' || coalesce(nullif(doi, ''), '—') || ' |' AS line FROM a",
+        f"{_H}, a AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM {_NEWER}) t WHERE rank <= 25) SELECT paper, ord, {_HIT_LINE.format("via || ' | ' || ")} AS line FROM a",
     ),
     "C6_soft_fail": (
         _failed,
@@ -475,6 +538,136 @@ RETRIEVAL = {
 }
 
 
+# -- files --------------------------------------------------------------------------
+def _run_rows(s, d):
+    """Runs with the counts and labels that a result file carries."""
+    rows = _runs(s, d).join(P.availability(D.refs(s, d)).select("paper", F.col("available").alias("refs_available"), F.col("total").alias("refs_total")), "paper")
+    return rows.join(_covered(s, d).drop("status"), "paper", "left")
+
+
+def _result_files(s, d):
+    """Result files, written and parsed."""
+    text = json_files.results_json(_run_rows(s, d), D.claims(s, d), _uncited(s, d))
+    return text.select("paper", F.from_json("json", S.RESULTS).alias("j"), F.from_json("json", f"counts struct<{','.join(f'{v}:int' for v in J.VERDICTS)}>").alias("c"))
+
+
+def _scout_files(s, d):
+    text = json_files.scout_json(_scouted(s, d).withColumn("date", F.lit("2024-05-06")), *_registers(s, d))
+    return json_files.scouts_of(text.select("paper", F.from_json("json", S.SCOUT).alias("j")).select("paper", F.col("j.paper").alias("of"), *(f"j.{k}" for k in ("query", "date", "newer", "overlooked", "error"))))
+
+
+def _map_blocks(s, d):
+    blocks = I.flat_blocks(D.raw_blocks(s, d))
+    docs = blocks.select("paper").distinct().select("paper", F.lit("a.pdf").alias("doc"), F.lit(3).alias("pages"), F.lit(None).cast("string").alias("converter"))
+    text = json_files.source_map_json(docs, blocks).select("paper", F.from_json("json", S.SOURCE_MAP).alias("j")).select("paper", "j.*")
+    docs, blocks = json_files.source_maps_of(text)
+    return blocks.join(docs, "paper").select("paper", "seq", "id", "converter", F.round("bbox.x1", 2).alias("x1"), F.size("heading_path").alias("depth"))
+
+
+def _backends(s, d):
+    """The reader for each wish, with and without the layout reader."""
+    found = []
+    for k, wanted in enumerate(("auto", "docling", "pymupdf")):
+        for there in (False, True):
+            try:
+                found.append((2 * k + there, seams.backend(wanted, there)))
+            except RuntimeError:
+                found.append((2 * k + there, "error"))
+    return D.table(s, d, "ref_lines").select("paper", (F.col("paper") % 6).alias("wish")).distinct().join(F.broadcast(s.createDataFrame(found, "wish long, backend string")), "wish").select("paper", "backend")
+
+
+def _page_sizes(s, d):
+    rows = D.table(s, d, "ref_lines")
+    url = {"crossref": requests.crossref(F.col("raw")), "by_title": requests.by_title(F.col("raw")), "search": requests.search(F.lit("small ring")), "citing": requests.citing(F.lit("MED"), F.col("ord").cast("string"))}
+    return rows.select("paper", "ord", *(F.regexp_extract(u, r"(?:rows|pageSize)=(\d+)$", 1).cast("int").alias(k) for k, u in url.items()))
+
+
+FILES = {
+    "S4_results_claims": (
+        lambda s, d: json_files.results_of(_result_files(s, d).select("paper", "j.*"))[1].select("paper", "id", "claim", "location", "refs", "verdict", "note", "source_slug", "source_page", "evidence_image"),
+        f"{_CR} SELECT paper, id, claim, location, {Q.LABELS} AS refs, verdict, note, source_slug, source_page, evidence_image FROM claim_rows",
+    ),
+    "S4_results_runs": (
+        lambda s, d: json_files.results_of(_result_files(s, d).select("paper", "j.*"))[0].select("paper", "manuscript", "checker", "date", "refs_total", "refs_available", "converter"),
+        f"{_E} SELECT paper, 'm' || paper || '.pdf' AS manuscript, 'model judge · m' AS checker, '2024-05-06' AS date, CAST(count(*) AS INT) AS refs_total, CAST(count(*) FILTER (WHERE {Q.READY}) AS INT) AS refs_available, CASE WHEN paper % 2 = 0 THEN 'pymupdf' ELSE 'docling 2' END AS converter FROM e GROUP BY paper",
+    ),
+    "S4_results_uncited": (
+        lambda s, d: json_files.results_of(_result_files(s, d).select("paper", "j.*"))[2],
+        f"{_CR} SELECT paper, id, claim, location FROM claim_rows WHERE id < 3",
+    ),
+    "K1_results_json": (
+        lambda s, d: _result_files(s, d).select("paper", "c.counts.*"),
+        f"{_CR} SELECT paper, {', '.join(f'CAST({v} AS INT) AS {v}' for v in J.VERDICTS)} FROM (SELECT paper, {_COUNT('verdict', J.VERDICTS)} FROM claim_rows GROUP BY paper) t",
+    ),
+    "S4_source_maps": (
+        _map_blocks,
+        f"{_B} SELECT paper, CAST(row_number() OVER (PARTITION BY paper ORDER BY seq) - 1 AS INT) AS seq, id, 'pymupdf' AS converter, x1, CASE WHEN heading <> '' THEN 1 ELSE 0 END AS depth FROM b",
+    ),
+    "S4_scouts": (
+        lambda s, d: _scout_files(s, d).select("paper", "paper_title", "resolved_via", "query", "date", "error", F.size("newer").alias("newer"), F.size("overlooked").alias("overlooked"), F.get("newer.title", F.lit(0)).alias("first")),
+        f"""{_H}, a AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM {_NEWER}) t WHERE rank <= 25), o AS (SELECT * FROM (SELECT *, {_RANK} AS rank FROM {_OLD}) t WHERE rank <= 15)
+SELECT CAST(substr(p.paper, 7) AS BIGINT) AS paper, paper_title, 'title' AS resolved_via, 'small ring' AS query, '2024-05-06' AS date, CASE WHEN p.paper LIKE '%2' THEN 'network: x — scan incomplete' ELSE '' END AS error,
+  (SELECT CAST(count(*) AS INT) FROM a WHERE a.paper = p.paper) AS newer, (SELECT CAST(count(*) AS INT) FROM o WHERE o.paper = p.paper) AS overlooked, (SELECT min_by(title, rank) FROM a WHERE a.paper = p.paper) AS first FROM paper_ids p""",
+    ),
+    "S3_backend": (
+        _backends,
+        f"{Q.ctes('ref_lines')} SELECT DISTINCT paper, CASE paper % 6 WHEN 0 THEN 'pymupdf' WHEN 1 THEN 'docling' WHEN 2 THEN 'error' WHEN 3 THEN 'docling' ELSE 'pymupdf' END AS backend FROM ref_lines",
+    ),
+    "T6_page_sizes": (_page_sizes, f"{Q.ctes('ref_lines')} SELECT paper, ord, 1 AS crossref, 1 AS by_title, 25 AS search, 100 AS citing FROM ref_lines"),
+    "K7_case": (
+        lambda s, d: D.refs(s, d).select("paper", "ord", *(c.alias(k) for k, c in case.paths(F.concat(F.lit("m"), F.col("paper").cast("string")), F.col("slug")).items())),
+        f"{_E} SELECT paper, ord, 'ingest/m' || paper || '/source_map.json' AS source_map, 'ingest/m' || paper || '/clean.md' AS clean, 'ingest/m' || paper || '/annotated.md' AS annotated, 'sources_resolved/' || slug || '.pdf' AS resolved, 'refs_manifest.json' AS manifest, 'out/results.json' AS results, 'out/scout.json' AS scout FROM e",
+    ),
+    "T7_extraction_prompt": (
+        lambda s, d: C.extraction_prompts(D.table(s, d, "papers"), "CLAIMS OF <<MANUSCRIPT>>").select("paper", F.length("prompt").alias("chars"), F.md5("prompt").alias("digest")),
+        f"{Q.ctes('papers')} SELECT paper, CAST(length(p) AS INT) AS chars, md5(p) AS digest FROM (SELECT paper, 'CLAIMS OF ' || left(clean_md, 180000) AS p FROM papers) t",
+    ),
+}
+
+
+# -- whole audits -------------------------------------------------------------------
+def _web(url: str) -> tuple[int, bytes]:
+    """A web of fixed answers: preprints are there, open-access copies for some DOIs, nothing else."""
+    if "arxiv.org" in url or "//oa/" in url:
+        return 200, b"%PDF-1.7"
+    if "unpaywall" in url:
+        return 200, b'{"best_oa_location":{"url_for_pdf":"http://oa/x"}}' if "7?" in url or "7-X?" in url else b'{"best_oa_location":null}'
+    return 404, b""
+
+
+def _replay(prompt: str) -> str:
+    """A judge of fixed answers: three claims of each text, and a verdict on the first claim of each source."""
+    if prompt.startswith("CLAIMS OF"):
+        return '{"cited":[{"id":1,"claim":"rose","location":"§1","refs":["1"]},{"id":2,"claim":"fell","refs":["2","3"]},{"id":3,"claim":"gone","refs":["99"]}],"uncited":[{"id":1,"claim":"still"}]}'
+    first = prompt.index('"id":') + 5
+    return '```json\n[{"id":' + prompt[first] + ',"verdict":"supported","note":"read","source_page":1}]\n```'
+
+
+def _audited(s, d):
+    rows = D.table(s, d, "drafts")
+    raw = rows.select("paper", "seq", F.lit(0).alias("type"), "page", F.struct(*(F.lit(x).alias(n) for n, x in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0)))).alias("bbox"), "text", "size")
+    papers = rows.select("paper").distinct().withColumn("manuscript", F.lit("m"))
+    read = lambda refs: audit.Sources(refs.where(J.is_available(F.col("status")) & (F.col("slug") != "")).select("paper", "slug", F.concat(F.lit("text of "), F.col("slug")).alias("annotated_md")).dropDuplicates(["paper", "slug"]))
+    outside = audit.Outside(_web, _replay, lambda body: F.lit(""), read, lambda df, _: seams.kept(df))
+    files = D.table(s, d, "files").where("name like 'garcia%'")
+    return audit.audit(raw, papers, papers.limit(0), files, outside, "CLAIMS OF <<MANUSCRIPT>>", "CHECK <<CLAIMS>> OF <<SLUG>>: <<SOURCE>>", "me@example.org")
+
+
+_AUDITED = rf"""{Q.with_(Q.ENTRIES, names=("refs", "files"))},
+gf AS (SELECT * FROM files WHERE name LIKE 'garcia%'), {_P.replace("JOIN files", "JOIN gf")},
+st AS (SELECT e.*, CASE WHEN pv.file IS NOT NULL THEN 'provided' WHEN regexp_matches(raw, '(?i)arxiv[:\s]*\d{{4}}\.\d{{4,5}}') OR doi LIKE '%7' OR doi LIKE '%7-X' THEN 'retrieved' WHEN doi IS NULL THEN 'no_doi' ELSE 'paywalled' END AS got
+  FROM e LEFT JOIN pv USING (paper, ord)),
+cl AS (SELECT paper, unnest([1, 2, 2, 3]) AS id, unnest(['1', '2', '3', '99']) AS num, unnest([0, 0, 1, 0]) AS pos FROM (SELECT DISTINCT paper FROM refs) t),
+rt AS (SELECT cl.paper, cl.id, min_by(slug, pos) FILTER (WHERE got IN ('retrieved', 'provided') AND slug <> '') AS source_slug, string_agg(DISTINCT got, ', ' ORDER BY got) AS why FROM cl LEFT JOIN st ON st.paper = cl.paper AND CAST(st.ord AS VARCHAR) = cl.num GROUP BY cl.paper, cl.id),
+fs AS (SELECT *, min(id) OVER (PARTITION BY paper, source_slug) AS asked FROM rt)
+SELECT paper, CAST(id AS INT) AS id, source_slug, CASE WHEN source_slug IS NULL THEN 'not_retrieved' WHEN id = asked THEN 'supported' ELSE 'unchecked' END AS verdict,
+  CASE WHEN source_slug IS NULL THEN 'cited source not available (' || coalesce(nullif(why, ''), 'unknown ref') || ')' WHEN id = asked THEN 'read' ELSE 'model returned no verdict for this claim' END AS note FROM fs"""
+
+AUDIT = {
+    "C2_audit": (lambda s, d: _audited(s, d).claims.select("paper", "id", "source_slug", "verdict", "note"), _AUDITED),
+}
+
+
 # -- evidence -----------------------------------------------------------------------
 def _anchored(s, d):
     claims = D.claims(s, d)
@@ -508,7 +701,7 @@ def _hits(s, d):
 
 
 def _crops(s, d):
-    pages = _words(s, d).select("paper", "slug", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    pages = _source_blocks(s, d).select("paper", "slug", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
     return E.crops(_phrased(s, d), _source_blocks(s, d), _words(s, d), pages).select(*_CLAIM, "file", "region.*", "zoom", F.size("boxes").alias("n_boxes"))
 
 
@@ -533,4 +726,4 @@ EVIDENCE = {
     "K3_crops": (_crops, f"{_SB}, {_REGION}, {_HIT}, {_UNION}, {_CROP} SELECT cr.*, least(8.0, greatest(2.0, 2400.0 / greatest(x1 - x0, 1.0))) AS zoom, CAST(coalesce(n, 0) AS INT) AS n_boxes FROM cr LEFT JOIN bx USING (paper, id)"),
 }
 
-QUERIES = CLAIMS | BLOCKS | SCOUT | RETRIEVAL | EVIDENCE
+QUERIES = CLAIMS | BLOCKS | SCOUT | RETRIEVAL | FILES | AUDIT | EVIDENCE

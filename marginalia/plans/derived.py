@@ -42,6 +42,12 @@ SELECT paper, {lines} AS section FROM (
   SELECT paper, ord, CASE WHEN paper % 10 = 7 THEN CASE WHEN ord % 4 = 0 THEN 'wrapped ' || raw ELSE '- ' || raw END
     ELSE CASE WHEN k % 19 = 0 THEN CAST(ord + 5 AS STRING) || '. stray ' WHEN paper % 3 = 0 THEN '[' || CAST(ord AS STRING) || '] ' ELSE CAST(ord AS STRING) || '. ' END || raw || chr(10) || '  383 continued' END AS line
   FROM ref_lines) t GROUP BY paper""",
+    # whole manuscripts as blocks: a heading, a text that cites, the reference list
+    "drafts": """
+SELECT paper, 0 AS seq, 1 AS page, 14.0 AS size, 'Rivers and their gauges, paper ' || CAST(paper AS STRING) AS text FROM (SELECT DISTINCT paper FROM ref_lines) t
+UNION ALL SELECT DISTINCT paper, 1, 1, 9.0, 'Levels rose in spring [1, 2] and fell again in the long dry autumn [3], as the observers of every station on the river wrote. Some say so still.' FROM ref_lines
+UNION ALL SELECT DISTINCT paper, 2, 2, 14.0, 'References' FROM ref_lines
+UNION ALL SELECT paper, 2 + ord, 2, 9.0, CAST(ord AS STRING) || '. ' || raw FROM ref_lines""",
     "claim_rows": """
 SELECT o_custkey AS paper, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS id,
   'claim on part ' || CAST(l_partkey AS STRING) AS claim,
@@ -100,7 +106,7 @@ UNION ALL SELECT c_custkey, 'a-smith-1994-2019.pdf' FROM customer""",
 }
 
 #: Tables that others of the list are made from.
-_USES = {"refs": ["ref_lines"], "sections": ["ref_lines"], "layout_items": ["raw_blocks"], "downloads": ["ref_lines"], "lookups": ["ref_lines"]}
+_USES = {"refs": ["ref_lines"], "drafts": ["ref_lines"], "sections": ["ref_lines"], "layout_items": ["raw_blocks"], "downloads": ["ref_lines"], "lookups": ["ref_lines"]}
 
 LINES = {"spark": "listagg(line, chr(10)) WITHIN GROUP (ORDER BY ord)", "duckdb": "string_agg(line, chr(10) ORDER BY ord)"}
 

@@ -23,7 +23,11 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def source_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents (paper, doc, pages, converter) and blocks."""
-    rows = _read(spark, path, S.SOURCE_MAP)
+    return source_maps_of(_read(spark, path, S.SOURCE_MAP))
+
+
+def source_maps_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``source_maps`` of parsed files: paper, and the fields of SOURCE_MAP."""
     docs = rows.select("paper", "doc", "pages", F.coalesce("converter", F.lit(CONVERTER)).alias("converter"))
     blocks = rows.select("paper", F.posexplode("blocks").alias("seq", "b"))
     box = G.box(*(F.get("b.bbox", F.lit(k)) for k in range(4)))
@@ -39,7 +43,11 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs, claims and uncited assertions; what an older file lacks is empty."""
-    rows = _read(spark, path, S.RESULTS)
+    return results_of(_read(spark, path, S.RESULTS))
+
+
+def results_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``results`` of parsed files: paper, and the fields of RESULTS."""
     none = F.array().cast("array<string>")
     runs = rows.select("paper", "manuscript", F.coalesce("checker", F.lit(CHECKER)).alias("checker"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("refs.total", F.lit(0)).alias("refs_total"), F.coalesce("refs.available", F.lit(0)).alias("refs_available"), F.coalesce("converter", F.lit(CONVERTER)).alias("converter"), *(F.coalesce(f"coverage.{k}", none).alias(k) for k in ("labels_in_text", "covered", "missing")))
     claims = rows.select("paper", F.explode("claims").alias("c")).select("paper", "c.*")
@@ -49,9 +57,16 @@ def results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def scouts(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(S.SCOUT).option("multiLine", True).json(path)
+    """What was found around each paper; what an older file lacks is empty."""
+    rows = spark.read.schema(S.SCOUT).option("multiLine", True).json(path).withColumnRenamed("paper", "of")
+    return scouts_of(rows.withColumn("paper", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)))
+
+
+def scouts_of(rows: DataFrame) -> DataFrame:
+    """``scouts`` of parsed files: paper, and the fields of SCOUT, its ``paper`` as ``of``."""
     none = F.array().cast(S.HIT)
-    return rows.select(*(F.coalesce(f"paper.{k}", F.lit("")).alias(f"paper_{k}") for k in ("title", "doi")), F.col("paper.year").alias("paper_year"), F.coalesce("paper.resolved_via", F.lit("")).alias("resolved_via"), F.coalesce("query", F.lit("")).alias("query"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("newer", none).alias("newer"), F.coalesce("overlooked", none).alias("overlooked"), F.coalesce("error", F.lit("")).alias("error"))
+    known = [F.coalesce(f"of.{k}", F.lit("")).alias(f"paper_{k}") for k in ("title", "doi")]
+    return rows.select("paper", *known, F.col("of.year").alias("paper_year"), F.coalesce("of.resolved_via", F.lit("")).alias("resolved_via"), F.coalesce("query", F.lit("")).alias("query"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("newer", none).alias("newer"), F.coalesce("overlooked", none).alias("overlooked"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 # -- writing ------------------------------------------------------------------
@@ -84,6 +99,21 @@ def results_json(runs: DataFrame, claims: DataFrame, uncited: DataFrame) -> Data
     return rows.select("paper", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def scout_json(scouted: DataFrame, newer: DataFrame, overlooked: DataFrame) -> DataFrame:
+    """(paper, json): what was found around each paper; hits carry ``rank``, scouted is as of ``report.scout_section`` with a date."""
+    hit = F.struct("title", "year", "doi", "via", "journal", "authors")
+    rows = scouted
+    for name, hits in (("newer", newer), ("overlooked", overlooked)):
+        rows = rows.join(hits.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("rank", hit.alias("h")))).alias("r")).select("paper", F.col("r.h").alias(name)), "paper", "left")
+    of = F.struct(F.col("paper_title").alias("title"), F.col("paper_doi").alias("doi"), F.col("paper_year").alias("year"), "resolved_via")
+    whole = F.struct(of.alias("paper"), "query", "date", F.coalesce("newer", F.array()).alias("newer"), F.coalesce("overlooked", F.array()).alias("overlooked"), F.coalesce("error", F.lit("")).alias("error"))
+    return rows.select("paper", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def write_texts(rows: DataFrame, path: str, text_col: str) -> None:
-    """A folder for each paper with its text, one row a file's content."""
+    """A folder for each paper with its text, one row a file's content.
+
+    For the papers of one user; many papers' texts are better kept as one table
+    (paper, text), as every paper is a folder and a file here.
+    """
     rows.select("paper", F.col(text_col).alias("value")).write.partitionBy("paper").text(path, lineSep="")

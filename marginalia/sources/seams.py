@@ -6,7 +6,9 @@ tests and offline runs put a replay there.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,30 @@ Judge = Callable[[str], str]
 JUDGE_TIMEOUT_S, HTTP_TIMEOUT_S, JUDGE_TRIES = 600, 25, 2
 
 
+def within(call: Callable, argument, seconds: float):
+    """What a call gives, or its error; TimeoutError where it takes longer, as a client may not keep to a limit of its own.
+
+    The call runs on a thread that nothing waits for once its time is up.
+    """
+    got: list = []
+
+    def run() -> None:
+        try:
+            got.append((call(argument), None))
+        except Exception as e:  # noqa: BLE001  any client's error is an answer
+            got.append((None, e))
+
+    thread = Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not got:
+        raise TimeoutError(f"no answer within {seconds:g} s")
+    value, error = got[0]
+    if error is not None:
+        raise error
+    return value
+
+
 def pdf_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """(path, name[, content]) of a folder's PDFs, sub-folders left out; without content no byte of them is read."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
@@ -85,8 +111,8 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("paper").agg(F.greatest(F.count("page"), F.lit(1)).alias("pages"))
 
 
-def ask(prompts: DataFrame, judge: Judge) -> DataFrame:
-    """(paper, slug, raw, error, attempts): the judge's answer to each prompt, tried once more where the call fails."""
+def ask(prompts: DataFrame, judge: Judge, seconds: float = JUDGE_TIMEOUT_S) -> DataFrame:
+    """(paper, slug, raw, error, attempts): the judge's answer to each prompt, tried once more where the call fails or takes too long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,9 +121,9 @@ def ask(prompts: DataFrame, judge: Judge) -> DataFrame:
                 raw = error = None
                 for attempt in range(1, JUDGE_TRIES + 1):
                     try:
-                        raw, error = judge(prompt), None
+                        raw, error = within(judge, prompt, seconds), None
                         break
-                    except (RuntimeError, ValueError) as e:
+                    except (RuntimeError, ValueError, TimeoutError) as e:
                         error = f"{type(e).__name__}: {str(e)[:300]}"
                 rows.append((paper, slug, raw, error, attempt))
             yield pd.DataFrame(rows, columns=["paper", "slug", "raw", "error", "attempts"])
@@ -106,23 +132,34 @@ def ask(prompts: DataFrame, judge: Judge) -> DataFrame:
     return prompts.select("paper", "slug", "prompt").mapInPandas(run, f"paper {paper}, slug string, raw string, error string, attempts int")
 
 
-def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]]) -> DataFrame:
-    """(key, url, status, body, error): the answer to each request (key, url); a failure is a row, not an end."""
+def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]], seconds: float = HTTP_TIMEOUT_S) -> DataFrame:
+    """(key, url, status, body, error): the answer to each request (key, url); a failure of any kind is a row, not an end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, url in zip(batch["key"], batch["url"], strict=True):
                 try:
-                    status, body = get(url)
+                    status, body = within(get, url, seconds)
                     rows.append((key, url, status, body, None))
-                except OSError as e:
+                except Exception as e:  # noqa: BLE001  whatever the client raises
                     rows.append((key, url, None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["key", "url", "status", "body", "error"])
 
     return requests.select("key", "url").mapInPandas(run, "key string, url string, status int, body binary, error string")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written to the session's checkpoint folder and cut off from how they were made; on one machine a folder is made where none is set."""
+    spark = df.sparkSession.sparkContext
+    if spark.getCheckpointDir() is None:
+        named = spark.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-"))
+    return df.checkpoint()
+
+
 def only_new(rows: DataFrame, done: DataFrame, key: str = "paper") -> DataFrame:
     """Rows whose key has no result yet, so that a seam is not asked twice."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

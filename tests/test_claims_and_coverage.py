@@ -6,7 +6,7 @@ from marginalia.operators import claims as C
 from marginalia.operators import coverage as V
 from marginalia.sources import seams
 
-BODY = "Intro [1, 2] and [7-9]; [12] then [15–17] in (2020).\n\n## References\n\n[99] x"
+BODY = "Rain [3, 4] and snow [11-13]; [20] then [31–33] in (1998).\n\n## References\n\n[77] x"
 CLAIMS = "paper string, id int, claim string, location string, refs array<string>"
 REFS = "paper string, ord int, num string, status string, slug string"
 
@@ -15,16 +15,16 @@ def test_labels(spark):
     def labels(text):
         return spark.createDataFrame([(text,)], "t string").select(L.labels_in_text(F.col("t"))).first()[0]
 
-    assert labels(BODY) == ["1", "2", "7", "8", "9", "12", "15", "16", "17"]
+    assert labels(BODY) == ["3", "4", "11", "12", "13", "20", "31", "32", "33"]
     assert labels("[5-2] [1-90] [07]") == ["07"]
     assert labels("none") == [] and labels("") == []
 
 
 def test_coverage(spark):
     texts = spark.createDataFrame([("p", BODY), ("q", "bare")], "paper string, clean_md string")
-    claims = spark.createDataFrame([("p", 1, "a", "", ["1", "2"]), ("p", 2, "b", "", ["7", "8", "9"])], CLAIMS)
+    claims = spark.createDataFrame([("p", 1, "a", "", ["3", "4"]), ("p", 2, "b", "", ["11", "12", "13"])], CLAIMS)
     rows = {r.paper: r for r in V.coverage_audit(texts, claims).collect()}
-    assert rows["p"].missing == ["12", "15", "16", "17"] and rows["p"].covered == ["1", "2", "7", "8", "9"] and rows["p"].status == "missing"
+    assert rows["p"].missing == ["20", "31", "32", "33"] and rows["p"].covered == ["3", "4", "11", "12", "13"] and rows["p"].status == "missing"
     assert rows["q"].status == "not audited"
 
 

@@ -22,10 +22,10 @@ def raw(spark, rows):
 
 
 def test_flat_page(spark):
-    rows = raw(spark, [("Title of it all", 16.0), ("Abstract", 13.0), ("Body text", 10.0), ("", 9.0), ("References", 13.0), ("1. Smith", 9.0), ("2. Jones", 9.0), ("Appendix", 13.0), ("Dice", 10.0)])
+    rows = raw(spark, [("Title of it all", 16.0), ("Abstract", 13.0), ("Body text", 10.0), ("", 9.0), ("References", 13.0), ("1. Aalto", 9.0), ("2. Castell", 9.0), ("Appendix", 13.0), ("Dice", 10.0)])
     blocks = I.flat_blocks(rows)
     assert [(r.id, r.type) for r in blocks.orderBy("seq").collect()][:3] == [("block_0001", "sectionheader"), ("block_0002", "sectionheader"), ("block_0003", "text")]
-    assert R.references_section(blocks).first().section == "1. Smith\n2. Jones"
+    assert R.references_section(blocks).first().section == "1. Aalto\n2. Castell"
     assert I.paper_title(blocks).first().title == "Title of it all"
     text = I.markdown(blocks).first()
     assert text.clean_md.startswith("## Title of it all\n\n## Abstract\n") and "Body text  <!-- block_0003, page 1 -->" in text.annotated_md
@@ -78,6 +78,24 @@ def test_fetch_failures_are_rows(spark):
     assert [(r.status, r.error) for r in rows.orderBy("key").collect()] == [(200, None), (None, "TimeoutError")]
 
 
+def test_calls_have_a_time_limit(spark):
+    import time
+
+    def slow(_):
+        time.sleep(5)
+
+    def odd(_):
+        raise KeyError("client")
+
+    began = time.time()
+    one = spark.createDataFrame([("1", "http://x")], "key string, url string")
+    assert seams.fetch(one, slow, 0.2).first().error == "TimeoutError"
+    assert seams.fetch(one, odd).first().error == "KeyError"
+    asked = seams.ask(spark.createDataFrame([("p", "s", "?")], "paper string, slug string, prompt string"), slow, 0.2).first()
+    assert asked.attempts == 2 and asked.error.startswith("TimeoutError")
+    assert time.time() - began < 5 + 5
+
+
 def test_json_defaults_and_round_trip(spark, tmp_path):
     for name, body in {"a/results.json": {"manuscript": "m", "claims": [{"id": 1, "claim": "c", "location": "l"}]}, "a/source_map.json": {"doc": "d", "pages": 2, "blocks": [{"id": "block_0001", "type": "text", "page": 1, "bbox": [1, 2, 3, 4]}]}, "a/scout.json": {"paper": {"title": "t"}}}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -103,14 +121,14 @@ def test_guard(spark):
 
 
 def test_evidence(spark):
-    claims = spark.createDataFrame([("p", 1, "fixture-2023", 1, "block_0001", ["CT scans only"])], "paper string, id int, source_slug string, source_page int, source_block string, anchor_phrases array<string>")
-    words = spark.createDataFrame([("p", "fixture-2023", 1, k, w, k * 10.0, 5.0, k * 10.0 + 8, 15.0) for k, w in enumerate("We used ct scans only here".split())], "paper string, slug string, page int, pos int, word string, x0 double, y0 double, x1 double, y1 double")
+    claims = spark.createDataFrame([("p", 1, "hoshino-2019", 1, "block_0001", ["salt wedges move"])], "paper string, id int, source_slug string, source_page int, source_block string, anchor_phrases array<string>")
+    words = spark.createDataFrame([("p", "hoshino-2019", 1, k, w, k * 10.0, 5.0, k * 10.0 + 8, 15.0) for k, w in enumerate("There the salt wedges move inland".split())], "paper string, slug string, page int, pos int, word string, x0 double, y0 double, x1 double, y1 double")
     hit = E.phrase_hits(claims, words).first()
     assert (hit.pos, tuple(hit.hit)) == (2, (20.0, 5.0, 48.0, 15.0))
-    blocks = spark.createDataFrame([("p", "fixture-2023", 0, "block_0001", 2, BOX)], f"paper string, slug string, seq int, id string, page int, bbox {S.BOX}")
-    pages = spark.createDataFrame([("p", "fixture-2023", 1, 612.0, 792.0)], "paper string, slug string, page int, width double, height double")
+    blocks = spark.createDataFrame([("p", "hoshino-2019", 0, "block_0001", 2, BOX)], f"paper string, slug string, seq int, id string, page int, bbox {S.BOX}")
+    pages = spark.createDataFrame([("p", "hoshino-2019", 1, 612.0, 792.0)], "paper string, slug string, page int, width double, height double")
     crop = E.crops(claims, blocks, words, pages).first()
-    assert crop.file == "claim_01_fixture-2023_p1.png" and len(crop.boxes) == 1 and crop.zoom == 8.0
+    assert crop.file == "claim_01_hoshino-2019_p1.png" and len(crop.boxes) == 1 and crop.zoom == 8.0
 
 
 def test_draw_and_case(spark, tmp_path):
@@ -134,10 +152,10 @@ def test_pages(spark):
 
 
 def test_audit_end_to_end(spark):
-    blocks = raw(spark, [("Introduction here", 14.0), ("A claim [1] and another [2].", 10.0), ("References", 14.0), ("1. Smith A. Study (2019)", 10.0), ("2. Jones B. Work (2018)", 10.0)])
+    blocks = raw(spark, [("Introduction here", 14.0), ("A claim [1] and another [2].", 10.0), ("References", 14.0), ("1. Quist A. Gauges (2010)", 10.0), ("2. Okafor B. Weirs (2009)", 10.0)])
     refs = audit.parse_only(blocks).withColumns({"status": F.when(F.col("num") == "1", "retrieved").otherwise("paywalled"), "resolver": F.lit(None).cast("string"), "reason": F.lit("")})
     claims = spark.createDataFrame([("p", 1, "a claim", "Introduction ¶1", ["1"]), ("p", 2, "another", "Introduction", ["2"])], "paper string, id int, claim string, location string, refs array<string>")
-    sources = spark.createDataFrame([("p", "smith-2019", "text")], "paper string, slug string, annotated_md string")
+    sources = spark.createDataFrame([("p", "quist-2010", "text")], "paper string, slug string, annotated_md string")
     done = audit.run(blocks, refs, claims, sources, "<<CLAIMS>>|<<SLUG>>|<<SOURCE>>", lambda _: '[{"id":1,"verdict":"supported","note":"n","source_page":1}]')
     assert {r.id: r.verdict for r in done.claims.collect()} == {1: "supported", 2: "not_retrieved"}
     assert done.coverage.first().status == "all covered"
@@ -146,6 +164,43 @@ def test_audit_end_to_end(spark):
     assert P.verdict_counts(done.claims).first().asDict() == {"paper": "p", "supported": 1, "partial": 0, "contradicted": 0, "not_retrieved": 1, "unchecked": 0}
 
 
+def test_whole_audit(spark, tmp_path):
+    """From blocks to a report with retrieval, search, extraction, verdicts and crops behind replayed seams."""
+    blocks = raw(spark, [("Rivers and their gauges", 14.0), ("Levels rose [1] and fell [2].", 10.0), ("References", 14.0), ("1. Quist A. Gauges (2010) arXiv:2105.04417", 10.0), ("2. Okafor B. Weirs (2009)", 10.0)])
+    papers = spark.createDataFrame([("p", "m.pdf")], "paper string, manuscript string")
+    files = spark.createDataFrame([], "paper string, name string")
+
+    def get(url):
+        return (200, b"%PDF") if "arxiv.org" in url else (404, b"")
+
+    def judge(prompt):
+        if prompt.startswith("EXTRACT"):
+            return json.dumps({"cited": [{"id": 1, "claim": "rose", "location": "§1", "refs": ["1"]}, {"id": 2, "claim": "fell", "refs": ["2"]}], "uncited": [{"id": 1, "claim": "so it is"}]})
+        return '[{"id":1,"verdict":"supported","note":"n","source_page":1,"anchor_phrases":["levels rose"]}]'
+
+    def read(refs):
+        words = spark.createDataFrame([("p", "quist-2010", 1, k, w, k * 10.0, 5.0, k * 10.0 + 8, 15.0) for k, w in enumerate("here levels rose".split())], "paper string, slug string, page int, pos int, word string, x0 double, y0 double, x1 double, y1 double")
+        pages = words.select("paper", "slug", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
+        own = spark.createDataFrame([], f"paper string, slug string, seq int, id string, page int, bbox {S.BOX}")
+        return audit.Sources(spark.createDataFrame([("p", "quist-2010", "text")], "paper string, slug string, annotated_md string"), own, words, pages)
+
+    def keep(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+
+    outside = audit.Outside(get, judge, lambda body: F.lit(""), read, keep)
+    runs = spark.createDataFrame([("p", "model judge · x", "2024-05-06", "m.pdf", "pymupdf")], "paper string, checker string, date string, manuscript string, converter string")
+    done = audit.audit(blocks, papers, papers.limit(0), files, outside, "EXTRACT <<MANUSCRIPT>>", "<<CLAIMS>>|<<SLUG>>|<<SOURCE>>", "me@example.org", runs)
+    assert {r.num: r.status for r in done.refs.collect()} == {"1": "retrieved", "2": "no_doi"}
+    assert {r.id: (r.verdict, r.evidence_image) for r in done.claims.collect()} == {1: ("supported", "evidence/claim_01_quist-2010_p1.png"), 2: ("not_retrieved", None)}
+    assert done.scout_errors.first().error == "paper not identified"
+    text = done.report.first().report
+    for part in ("Checker: model judge · x · 2024-05-06", "Manuscript: m.pdf", P.FLAT_NOTE, "![evidence](evidence/claim_01_quist-2010_p1.png)", "## Assertions without citation (1)", "**[U1]** so it is", "> Scan incomplete: paper not identified", "1/2 sources available"):
+        assert part in text
+    with pytest.raises(ValueError):
+        audit.audit(blocks, papers, papers.withColumn("manuscript", F.lit("other.pdf")), files, outside, "", "", "me@example.org")
+
+
 def test_stream_repeats_nothing(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "paper string, clean_md string"
@@ -154,4 +209,4 @@ def test_stream_repeats_nothing(spark, tmp_path):
         if more:
             spark.createDataFrame(more, schema).write.mode("append").parquet(source)
         arrivals.audit_stream(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp")).awaitTermination()
-    assert {r.paper: r.labels_in_text for r in spark.read.parquet(out).collect()} == {"a": ["1"], "b": ["2", "3"], "c": []}
+    assert {r.paper: r.labels_in_text for r in arrivals.audited(spark, out).collect()} == {"a": ["1"], "b": ["2", "3"], "c": []}

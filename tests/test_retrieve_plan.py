@@ -38,11 +38,11 @@ def web_of(log, answers):
 
 
 def test_chain(spark, tmp_path):
-    title = "Imaging screening cohort results"
+    title = "Tidal mixing narrow fjords"
     refs = spark.createDataFrame(
         [
-            ("p", 1, "1", f"Smith A. {title}", None, "smith-2019"),
-            ("p", 2, "2", f"Du T. {title} arXiv:2309.13793", None, "du-2023"),
+            ("p", 1, "1", f"Aalto R. {title}", None, "aalto-2019"),
+            ("p", 2, "2", f"Dembele O. {title} arXiv:2105.04417", None, "dembele-2021"),
             ("p", 3, "3", f"Roe B. {title}", "10.1/open", "roe-2020"),
             ("p", 4, "4", f"Poe C. {title}", "10.1/wrong", "poe-2020"),
             ("p", 5, "5", f"Coe D. {title}", None, "coe-2020"),
@@ -50,10 +50,10 @@ def test_chain(spark, tmp_path):
         ],
         REFS,
     )
-    right, wrong = b"%PDF|imaging screening cohort results", b"%PDF|unrelated"
+    right, wrong = b"%PDF|tidal mixing narrow fjords", b"%PDF|unrelated"
     offer = lambda url: {"best_oa_location": {"url_for_pdf": url}}
     web = web_of(tmp_path / "log", {"arxiv.org": right, "v2/10.1/open": offer("http://pdf/right"), "v2/10.1/wrong": offer("http://pdf/wrong"), "v2/10.1/down": "down", "wrong%22": {"resultList": {"result": [{"pmcid": "PMC9"}]}}, "pdf/right": right, "pdf/wrong": wrong, "accid=PMC9": right, "api.crossref": {"message": {"items": []}}})
-    files = spark.createDataFrame([("p", "smith-2019.pdf")], "paper string, name string")
+    files = spark.createDataFrame([("p", "aalto-2019.pdf")], "paper string, name string")
     rows = P.retrieve(refs, files, web, first_page, "me@example.org", keeper(tmp_path)).orderBy("ord").collect()
     assert [(r.status, r.resolver) for r in rows] == [("provided", "user"), ("retrieved", "arxiv"), ("retrieved", "unpaywall"), ("retrieved", "europepmc"), ("no_doi", None), ("error", None)]
     asked = open(tmp_path / "log").read().split()
