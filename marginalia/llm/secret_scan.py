@@ -40,6 +40,8 @@ WEAK = {
     "phrase": (r"""(?i)\b(?:pwd|pass|credential|private_key)["']?\x20*[:=]\x20*["']?[^\s"']{6,}+""", None, "secret"),
     "endpoint": (r"""(?i)\b(?:https?|ftp|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s"'<>]{4,}+""", None, "place"),
 }
+#: Letters that every match of a kind holds as they stand.
+MUST = {"access": "AKIA", "endpoint": "://"}
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {k: role for k, (_, _, role) in WEAK.items()}
 ORDER = {kind: k for k, kind in enumerate([*BASE, *WEAK])}
 SPAN = "struct<start:int,ord:int,end:int>"
@@ -50,8 +52,8 @@ def find(text: Column, kind: str, pattern: str, holds=None) -> Column:
 
     Matches are fenced by two control characters, which the text itself is
     freed of first, one for one; lengths of the split pieces give positions.
+    The pieces are one element of an array, so that they are made once.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01")
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, piece: Column) -> Column:
@@ -60,18 +62,27 @@ def find(text: Column, kind: str, pattern: str, holds=None) -> Column:
         found = F.array(span) if holds is None else F.when(holds(match), F.array(span)).otherwise(none)
         return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["out"], found).alias("out"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def spans(pieces: Column) -> Column:
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01")), spans), F.lit(0))
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, digest of the text, ``base`` and ``weak`` spans of every whole text."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\x01\x02", "\x03\x03")
-    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), text.alias("text"))
-    base = F.concat(*(find(F.col("text"), kind, pattern, holds) for kind, (pattern, holds) in BASE.items()))
-    weak = F.concat(*(find(F.col("text"), kind, pattern, holds) for kind, (pattern, holds, _) in WEAK.items()))
-    rows = rows.select(id_col, "digest", F.array_sort(base).alias("base"), weak.alias("weak"))
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return rows.withColumn("weak", F.filter("weak", apart))
+
+def parts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, then ``__digest`` of the whole text and its ``__base`` and ``__weak`` spans."""
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(*keep, F.xxhash64(whole).alias("__digest"), F.translate(whole, "\x01\x02", "\x03\x03").alias("__free"))
+
+    def found(kind: str, pattern: str, holds) -> Column:
+        spans = find(F.col("__free"), kind, pattern, holds)
+        # a text without the fixed letters of a pattern has no match of it
+        return F.when(F.col("__free").contains(MUST[kind]), spans).otherwise(F.array().cast(f"array<{SPAN}>")) if kind in MUST else spans
+
+    base = F.concat(*(found(kind, pattern, holds) for kind, (pattern, holds) in BASE.items()))
+    weak = F.concat(*(found(kind, pattern, holds) for kind, (pattern, holds, _) in WEAK.items()))
+    rows = rows.select(*keep, "__digest", F.array_sort(base).alias("__base"), weak.alias("__weak"))
+    apart = lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    return rows.withColumn("__weak", F.filter("__weak", apart))
 
 
 def in_free_text(spans: Column) -> Column:
@@ -88,25 +99,31 @@ def in_free_text(spans: Column) -> Column:
 
 
 def linked(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Weak spans with a complementary part in scope: id, digest, ``extra`` array of SPAN."""
+    """Weak spans with a complementary part in scope: ``e_id``, ``e_digest``, ``extra`` array of SPAN, a row for each id and digest; found: as of ``parts``."""
     role = F.element_at(F.create_map(*(F.lit(x) for kind, k in ORDER.items() for x in (k, ROLE[kind]))), F.col("span.ord"))
-    has_weak = found.where(F.size("weak") > 0)
-    each = has_weak.select(F.col(id_col), "digest", F.explode(in_free_text(F.concat("base", "weak"))).alias("part"))
-    each = each.select(id_col, "digest", "part.span", "part.free").select(id_col, "digest", "span", "free", role.alias("role"), F.floor(F.col("free") / SCOPE).alias("cell"))
+    has_weak = found.where(F.size("__weak") > 0).select(F.col(id_col).alias("e_id"), F.col("__digest").alias("e_digest"), "__base", "__weak").dropDuplicates(["e_id", "e_digest"])
+    each = has_weak.select("e_id", "e_digest", F.explode(in_free_text(F.concat("__base", "__weak"))).alias("part"))
+    each = each.select("e_id", "e_digest", "part.span", "part.free").select("*", role.alias("role"), F.floor(F.col("free") / SCOPE).alias("cell"))
     weak = each.where(F.col("span.ord") >= len(BASE))
-    near = each.select(F.col(id_col).alias("n_id"), F.col("digest").alias("n_digest"), F.col("free").alias("n_free"), F.col("role").alias("n_role"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
-    meets = F.col(id_col).eqNullSafe(F.col("n_id")) & (F.col("digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell")) & (F.abs(F.col("free") - F.col("n_free")) <= SCOPE)
+    near = each.select(F.col("e_id").alias("n_id"), F.col("e_digest").alias("n_digest"), F.col("free").alias("n_free"), F.col("role").alias("n_role"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
+    meets = F.col("e_id").eqNullSafe(F.col("n_id")) & (F.col("e_digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell")) & (F.abs(F.col("free") - F.col("n_free")) <= SCOPE)
     pairs = [weak.where(mine).join(near.where(other), meets, "left_semi") for mine, other in ((F.col("role") == "secret", F.col("n_role") != "secret"), (F.col("role") != "secret", F.col("n_role") == "secret"))]
-    return reduce(DataFrame.unionByName, pairs).groupBy(id_col, "digest").agg(F.collect_set("span").alias("extra"))
+    return reduce(DataFrame.unionByName, pairs).groupBy("e_id", "e_digest").agg(F.collect_set("span").alias("extra"))
+
+
+def with_spans(found: DataFrame, id_col: str) -> DataFrame:
+    """``found`` with ``__spans``: its base spans and the linked weak ones by start, then kind.  Rows without a weak part are not moved."""
+    alone, mixed = found.where(F.size("__weak") == 0), found.where(F.size("__weak") > 0)
+    meets = F.col(id_col).eqNullSafe(F.col("e_id")) & (F.col("__digest") == F.col("e_digest"))
+    mixed = mixed.join(linked(found, id_col), meets, "left")
+    every = F.array_sort(F.concat("__base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))))
+    return alone.withColumn("__spans", F.col("__base")).unionByName(mixed.withColumn("__spans", every).drop("e_id", "e_digest", "extra"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, digest, ``base`` spans, and ``spans``: those and the linked weak ones, each by start, then kind."""
-    found = table(parts(docs, id_col, text_col), "secret-parts")
-    extra = linked(found, id_col).withColumnsRenamed({id_col: "e_id", "digest": "e_digest"})
-    rows = found.join(extra, F.col(id_col).eqNullSafe(F.col("e_id")) & (F.col("digest") == F.col("e_digest")), "left")
-    every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))))
-    return rows.select(id_col, "digest", "base", every.alias("spans"))
+    rows = with_spans(table(parts(docs, text_col, [id_col]), "secret-parts"), id_col)
+    return rows.select(id_col, F.col("__digest").alias("digest"), F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def listing(spans: Column) -> Column:
@@ -116,8 +133,11 @@ def listing(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with every span of ``scan`` replaced by MASK; overlapping spans become one."""
-    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__digest"])
+    """The documents, all columns, with every span of ``scan`` replaced by MASK; overlapping spans become one.
+
+    The texts are written once with their spans; only those with weak parts are dealt out for the link.
+    """
+    found = with_spans(table(parts(docs, text_col, docs.columns), "secret-texts"), id_col)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -126,5 +146,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, cut).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__digest")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(masked)).select(*docs.columns)
+    return found.withColumn(text_col, F.when(F.size("__spans") == 0, text).otherwise(masked)).select(*docs.columns)

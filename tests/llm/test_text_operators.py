@@ -126,7 +126,7 @@ def test_secrets_of_any_length(spark):
     spans = {r.doc_id: r.s for r in secret_scan.scan(docs).select("doc_id", secret_scan.listing(F.col("spans")).alias("s")).collect()}
     assert {k: spans[k] for k in (0, 1, 4)} == {k: wanted[k] for k in (0, 1, 4)}
     assert {r.doc_id: r.text for r in secret_scan.redact(docs).where("doc_id < 2").collect()} == dict.fromkeys((0, 1), "[SECRET] [SECRET]")
-    found = {r.doc_id: r.s for r in secret_scan.parts(docs).select("doc_id", secret_scan.listing(F.array_sort("weak")).alias("s")).collect()}
+    found = {r.doc_id: r.s for r in secret_scan.parts(docs, "text", ["doc_id"]).select("doc_id", secret_scan.listing(F.array_sort("__weak")).alias("s")).collect()}
     assert {k: found[k] for k in (2, 3)} == {k: wanted[k] for k in (2, 3)}
 
 
