@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .textops import Chunk, chunks
+from .textops import Chunk, chunks, release
 
 #: A piece of more bytes is merged by a heap under the same rule: a matrix row would be closed up once per merge, in quadratic time.
 LONG = 4096
@@ -256,6 +256,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
                 ids, bounds = bpe.encode(chunk)
                 out = {id_col: batch.column(0).slice(at, chunk.n), "ids": _ids(bounds, ids)}
                 yield pa.RecordBatch.from_pydict(out | ({"decoded": _letters(bpe, ids, bounds)} if decoded else {}))
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decoded)

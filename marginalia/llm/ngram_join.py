@@ -51,6 +51,7 @@ from .bloom import Bloom
 from .components import components
 from .ngram_sets import Shape, first_pass, pack, signed, still_live, token_sets, unpacked
 from .store import table, temporary
+from .textops import release
 
 GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
@@ -145,6 +146,7 @@ def _within(shape: Shape, rows: pd.DataFrame, *keys: str) -> pd.DataFrame:
             label = new
         out.append((node, node[label], link.sum(1)))
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    release()
     return pd.DataFrame({"node": cols[0], "comp": cols[1], "links": cols[2]})
 
 

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .bloom import Bloom
 from .store import table
-from .textops import Chunk, chunks, mix, ngrams
+from .textops import Chunk, chunks, mix, ngrams, release
 
-BUCKET = 2_000_000  #: sampled tokens that one task counts, about
-FLUSH = 1_000_000  #: sampled tokens that a mapper sends at once
+BUCKET = 1_000_000  #: sampled tokens that one task counts, about
+FLUSH = 500_000  #: sampled tokens that a mapper sends at once
 _U32 = np.uint64(32)
 
 
@@ -139,48 +139,57 @@ class Sender:
     """
 
     def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
+        self.buckets = buckets
+        self._clear()
 
-    def add(self, token: np.ndarray, node: np.ndarray, size: np.ndarray, sample: np.ndarray) -> Iterator[list]:
-        """Tokens, each with the set it is of, that set's size, and how many of its tokens are sent in all."""
-        self.held.append((token, node, size, sample))
+    def _clear(self) -> None:
+        self.tokens, self.owns, self.sets, self.size, self.n = [], [], [], 0, 0
+
+    def add(self, token: np.ndarray, own: np.ndarray, node: np.ndarray, size: np.ndarray, sample: np.ndarray) -> Iterator[list]:
+        """Tokens with the number of the set each is of, in order; of the sets their node, size, and how many tokens are sent in all."""
+        self.tokens.append(token)
+        self.owns.append((own + self.n).astype(np.uint32))
+        self.sets.append((node, size.astype(np.uint32), sample.astype(np.uint32)))
         self.size += len(token)
+        self.n += len(node)
         if self.size >= FLUSH:
             yield from self.flush()
 
     def flush(self) -> Iterator[list]:
         if not self.size:
             return
-        token, node, size, sample = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held, self.size = [], 0
-        order = np.lexsort((node, token))
-        token, node, size, sample = token[order], node[order], size[order], sample[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, node, size, sample = token[fresh], node[fresh], size[fresh], sample[fresh]
-        third = np.r_[np.zeros(2, bool), token[2:] == token[:-2]][: len(token)]
-        yield from _hits(node[third], size[third], sample[third], self.buckets)
-        token, node, size, sample = token[~third], node[~third], size[~third], sample[~third]
+        token, own = np.concatenate(self.tokens), np.concatenate(self.owns)
+        node, size, sample = (np.concatenate(x) for x in zip(*self.sets, strict=True))
+        self._clear()
+        order = np.argsort(token, kind="stable")
+        third = order[2:][token[order[2:]] == token[order[:-2]]]
+        del order
+        yield from _hits(node, np.bincount(own[third], minlength=len(node)), size, sample, self.buckets)
+        two = np.ones(len(token), bool)
+        two[third] = False
+        token, own = token[two], own[two]
         bucket = ((token >> _U32) * np.uint64(self.buckets)) >> _U32
-        order = np.lexsort((node, bucket))
-        token, node, size, sample, bucket = token[order], node[order], size[order], sample[order], bucket[order]
+        if self.buckets < 1 << 16:
+            bucket = bucket.astype(np.uint16)  # sorted by its digits
+        order = np.argsort(bucket, kind="stable")  # sets stay in order within a bucket
+        token, own, bucket = token[order], own[order], bucket[order]
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
-            run = np.flatnonzero(np.r_[True, node[s][1:] != node[s][:-1]])
-            runs = np.diff(np.r_[run, cuts[b + 1] - cuts[b]])
-            yield [int(b), *(x.tobytes() for x in (mix(token[s]).astype(np.uint32), node[s][run], runs.astype(np.uint32), size[s][run].astype(np.uint32), sample[s][run].astype(np.uint32)))]
+            run = np.flatnonzero(np.r_[True, own[s][1:] != own[s][:-1]])
+            runs, mine = np.diff(np.r_[run, cuts[b + 1] - cuts[b]]), own[s][run]
+            yield [int(b), *(x.tobytes() for x in (mix(token[s]).astype(np.uint32), node[mine], runs.astype(np.uint32), size[mine], sample[mine]))]
 
 
-def _hits(node: np.ndarray, size: np.ndarray, sample: np.ndarray, slots: int) -> Iterator[list]:
-    """Rows of SENT that count each set's entries, packed by slot of sets."""
-    nodes, at, hits = np.unique(node, return_index=True, return_counts=True)
-    size, sample = size[at], sample[at]
-    slot = (mix(nodes.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+def _hits(nodes: np.ndarray, hits: np.ndarray, size: np.ndarray, sample: np.ndarray, slots: int) -> Iterator[list]:
+    """Rows of SENT with the hits of each set that has some, packed by slot of sets."""
+    some = np.flatnonzero(hits)
+    slot = (mix(nodes[some].view(np.uint64)) % np.uint64(slots)).astype(np.int64)
     order = np.argsort(slot, kind="stable")
-    cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+    some, cuts = some[order], np.searchsorted(slot[order], np.arange(slots + 1))
     for k in np.flatnonzero(np.diff(cuts)):
-        i = order[cuts[k] : cuts[k + 1]]
-        yield [int(k), None, *(x[i].tobytes() for x in (nodes, hits.astype(np.uint32), size.astype(np.uint32), sample.astype(np.uint32)))]
+        i = some[cuts[k] : cuts[k + 1]]
+        yield [int(k), None, *(x.tobytes() for x in (nodes[i], hits[i].astype(np.uint32), size[i], sample[i]))]
 
 
 def _whole(rows: pd.DataFrame, name: str, kind) -> np.ndarray:
@@ -197,18 +206,19 @@ def with_partners(sent: DataFrame, buckets: int, percent: int) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         """Each set's tokens that another set holds, within a bucket of tokens; sets packed by slot."""
-        runs = _whole(rows, "runs", np.uint32)
-        node = np.repeat(_whole(rows, "nodes", np.int64), runs)
-        line = np.repeat(np.arange(len(runs)), runs)
+        nodes, at, code = np.unique(_whole(rows, "nodes", np.int64), return_index=True, return_inverse=True)
+        own = np.repeat(code.astype(np.uint32), _whole(rows, "runs", np.uint32))
         token = _whole(rows, "tokens", np.uint32)
-        order = np.lexsort((node, token))
-        token, node, line = token[order], node[order], line[order]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, node, line = token[fresh], node[fresh], line[fresh]
-        first = np.r_[True, token[1:] != token[:-1]]
-        shared = ~(first & np.r_[first[1:], True])
-        line = line[shared]
-        return pd.DataFrame(_hits(node[shared], _whole(rows, "sizes", np.uint32)[line], _whole(rows, "samples", np.uint32)[line], buckets), columns=_NAMES)
+        order = np.lexsort((own, token))
+        token, own = token[order], own[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])][: len(token)]
+        token, own = token[fresh], own[fresh]
+        same = token[1:] == token[:-1]
+        hits = np.bincount(own[np.r_[False, same] | np.r_[same, False]] if len(own) else own, minlength=len(nodes))
+        sizes, samples = (_whole(rows, name, np.uint32)[at] for name in ("sizes", "samples"))
+        out = pd.DataFrame(list(_hits(nodes, hits, sizes, samples, buckets)), columns=_NAMES)
+        release()
+        return out
 
     def live(rows: pd.DataFrame) -> pd.DataFrame:
         """The sets of a slot that leave no more tokens out than the threshold spares."""
@@ -257,10 +267,11 @@ def first_pass(docs: DataFrame, shape: Shape, id_col: str = "doc_id", text_col:
                 sample = np.bincount(own[take], minlength=chunk.n)
                 take &= fresh[own]
                 own = own[take]
-                for row in sender.add(tokens[take], one[own], np.diff(bounds)[own], sample[own]):
+                for row in sender.add(tokens[take], own, one, np.diff(bounds), sample):
                     yield from sent([row])
         for row in sender.flush():
             yield from sent([row])
+        release()
 
     rows = table(docs.select(id_col, text_col).mapInArrow(run, ", ".join([*kinds, SENT])), "first-pass")
     nodes = rows.where("n_shingles is not null").select(F.col("id").alias(id_col), "n_shingles", "node", "node2")
@@ -276,11 +287,12 @@ def still_live(sets: DataFrame, shape: Shape) -> DataFrame:
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, len(_NAMES)))], _NAMES)
         for batch in batches:
             for node, tokens in zip(batch.column(0).to_pylist(), unpacked(batch.column(1).to_pylist()), strict=True):
-                n = np.full(len(tokens), len(tokens))
-                for row in sender.add(tokens, np.full(len(tokens), node), n, n):
+                n = np.array([len(tokens)])
+                for row in sender.add(tokens, np.zeros(len(tokens), np.int64), np.array([node]), n, n):
                     yield out([row])
         for row in sender.flush():
             yield out([row])
+        release()
 
     return with_partners(table(sets.select("node", "tokens").mapInArrow(send, SENT), "sent"), buckets, shape.percent)
 
@@ -311,6 +323,7 @@ def token_sets(docs: DataFrame, shape: Shape, live: Bloom, text_col: str = "text
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["node", "size", "tokens"])
+        release()
 
     return docs.select(text_col).mapInArrow(run, "node long, size long, tokens binary")
 

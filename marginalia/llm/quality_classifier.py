@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import quality_rules
-from .textops import Chunk, chunks
+from .textops import Chunk, chunks, release
 
 #: Labelled rows that the fit sees at most, the first by hash of the id.
 FIT_ROWS = 20_000
@@ -85,6 +85,7 @@ def _with_features(docs: DataFrame, text_col: str, keep: list[str], name: str) -
                 x = features(chunk)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(chunk.n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, chunk.n) for k in range(len(keep))), rows], [*keep, name])
+        release()
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(name, ArrayType(DoubleType()))])
     return docs.select(*columns).mapInArrow(run, schema)

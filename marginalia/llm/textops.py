@@ -6,6 +6,7 @@ UTF-8 data of one chunk of texts laid end to end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give free memory back to the system, as a worker stays for later tasks; where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Chunk:
     """Texts end to end: ``data`` bytes and ``offsets`` of len(texts) + 1."""
 
