@@ -109,6 +109,18 @@ def ordered_lines(rows: DataFrame, order: str, line: str) -> DataFrame:
     return whole.select("paper", F.array_join(f"r.{line}", "\n").alias("text"))
 
 
+def console(claims: DataFrame, refs: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(paper, summary): what is said of each paper while it is audited: sources, statuses, verdicts, crops, coverage, and the first claims."""
+    count = lambda names: F.concat_ws(" | ", *(F.concat(F.lit(f"{n}: "), F.coalesce(n, F.lit(0)).cast("string")) for n in names))
+    first = claims.groupBy("paper").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "claim"))), 1, CONSOLE_CAP).alias("l"))
+    listed = F.transform("l", lambda c: F.concat(F.lit("  "), c["id"].cast("string"), F.lit(". "), c["claim"]))
+    more = shown(claims, "id", CONSOLE_CAP).select("paper", F.when(F.col("more") > 0, F.format_string("  … %d more", "more")).alias("rest"))
+    rows = availability(refs).join(status_counts(refs), "paper").join(verdict_counts(claims), "paper", "left").join(totals(claims), "paper", "left").join(coverage_line(coverage), "paper", "left")
+    rows = rows.join(first.select("paper", F.array_join(listed, "\n").alias("first")), "paper", "left").join(more, "paper", "left")
+    crops = F.concat(F.coalesce("crops", F.lit(0)).cast("string"), F.lit(" evidence crops"))
+    return rows.select("paper", F.concat_ws("\n", "summary", count(J.STATUSES), count(J.VERDICTS), crops, F.concat(F.lit("coverage: "), F.col("coverage")), "first", "rest").alias("summary"))
+
+
 def flat_text(converter: Column) -> Column:
     """Whether a converter gives flat text, which a report has to say."""
     return converter == FLAT

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
@@ -36,6 +37,22 @@ def guard(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming
 
 
+def reuse(done: DataFrame, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results that are there already, and those that ``make`` gives for the papers without one."""
+    return done.unionByName(make(seams.only_new(rows, done)))
+
+
+def unreferenced(papers: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(paper) of the papers in which no reference was found."""
+    return papers.select("paper").distinct().join(parsed, "paper", "left_anti")
+
+
+def quiet(spark: SparkSession) -> None:
+    """Only errors on the console."""
+    spark.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("py4j").setLevel(logging.ERROR)
+
+
 @dataclass
 class Audit:
     blocks: DataFrame
@@ -120,6 +137,8 @@ def audit(raw_blocks: DataFrame, manuscripts: DataFrame, existing: DataFrame, fi
     blocks = ingest.flat_blocks(raw_blocks)
     texts = keep(ingest.markdown(blocks), "texts")
     parsed = keep(references.parse_references(references.references_section(blocks)), "parsed")
+    if parsed.isEmpty():
+        raise ValueError("no paper has a reference")
     found = retrieve.retrieve(parsed, files, outside.get, outside.first_page, address, keep)
     refs = keep(parsed.drop("doi").join(found, ["paper", "ord"]), "refs")
 

@@ -194,7 +194,7 @@ CLAIMS = {
         f"{_W5}, {_OTHER_BULLETS} SELECT paper, CAST(num AS VARCHAR) AS num, left(raw, 90) AS raw FROM txt UNION ALL SELECT paper, CAST(item AS VARCHAR), left(raw, 90) FROM b WHERE paper NOT IN (SELECT paper FROM txt)",
     ),
     "C10_no_references": (
-        _sections(lambda t: t.join(R.parse_references(t), "paper", "left_anti").select("paper")),
+        _sections(lambda t: audit.unreferenced(t, R.parse_references(t))),
         f"{_W5}, {_OTHER_BULLETS} SELECT paper FROM sections WHERE paper NOT IN (SELECT paper FROM txt UNION ALL SELECT paper FROM b)",
     ),
     "J1_first_entry": (_both(lambda c, r: C.cited_entries(c, r).where("num is not null").select(*_CLAIM, "pos", "num", "status", "slug")), f"{_R} SELECT paper, id, CAST(pos AS INT) AS pos, num, status, slug FROM cf"),
@@ -625,6 +625,30 @@ SELECT CAST(substr(p.paper, 7) AS BIGINT) AS paper, paper_title, 'title' AS reso
 }
 
 
+def _console(s, d):
+    return P.console(D.claims(s, d), D.refs(s, d), _covered(s, d))
+
+
+def _reused(s, d):
+    """Texts of a third of the papers are there, the others are made from their blocks."""
+    blocks = I.flat_blocks(D.raw_blocks(s, d))
+    done = blocks.where("paper % 3 = 0").select("paper", F.lit("kept").alias("clean_md")).distinct()
+    return audit.reuse(done, blocks, lambda b: I.markdown(b).select("paper", "clean_md")).select("paper", F.md5("clean_md").alias("digest"))
+
+
+CONSOLE = {
+    "K8_console": (
+        _console,
+        f"""{_REPORT[: _REPORT.index("rn AS")].rstrip().rstrip(",")},
+sc AS (SELECT paper, {_COUNT('status', J.STATUSES)} FROM e GROUP BY paper),
+tt AS (SELECT paper, count(*) FILTER (WHERE evidence_image <> '') AS crops, string_agg('  ' || id || '. ' || claim, chr(10) ORDER BY id) FILTER (WHERE id <= 5) AS first, CASE WHEN count(*) > 5 THEN '  … ' || (count(*) - 5) || ' more' END AS rest FROM claim_rows GROUP BY paper)
+SELECT paper, concat_ws(chr(10), summary, {" || ' | ' || ".join(f"'{v}: ' || {v}" for v in J.STATUSES)}, {" || ' | ' || ".join(f"'{v}: ' || coalesce({v}, 0)" for v in J.VERDICTS)}, coalesce(crops, 0) || ' evidence crops', 'coverage: ' || coverage, first, rest) AS summary
+FROM av JOIN sc USING (paper) LEFT JOIN vc USING (paper) LEFT JOIN tt USING (paper) LEFT JOIN covt USING (paper)""",
+    ),
+    "C3_reuse": (_reused, f"{_B}{_MD} SELECT paper, md5(CASE WHEN paper % 3 = 0 THEN 'kept' ELSE clean_md END) AS digest FROM md"),
+}
+
+
 # -- whole audits -------------------------------------------------------------------
 def _web(url: str) -> tuple[int, bytes]:
     """A web of fixed answers: preprints are there, open-access copies for some DOIs, nothing else."""
@@ -726,4 +750,4 @@ EVIDENCE = {
     "K3_crops": (_crops, f"{_SB}, {_REGION}, {_HIT}, {_UNION}, {_CROP} SELECT cr.*, least(8.0, greatest(2.0, 2400.0 / greatest(x1 - x0, 1.0))) AS zoom, CAST(coalesce(n, 0) AS INT) AS n_boxes FROM cr LEFT JOIN bx USING (paper, id)"),
 }
 
-QUERIES = CLAIMS | BLOCKS | SCOUT | RETRIEVAL | FILES | AUDIT | EVIDENCE
+QUERIES = CLAIMS | BLOCKS | SCOUT | RETRIEVAL | FILES | CONSOLE | AUDIT | EVIDENCE
