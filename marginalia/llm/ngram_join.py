@@ -84,6 +84,19 @@ def agreements(sets: DataFrame) -> DataFrame:
     return table(shared(found).select("sig", "node", "pivot"), "agreements")
 
 
+def clusters(agree: DataFrame) -> DataFrame:
+    """(node, cluster) of sets connected by agreements (node, pivot).
+
+    Each set goes to the smallest of its pivots; what is left to connect are
+    pairs of pivots that a set has in common, far fewer than the agreements
+    where many sets are alike.
+    """
+    own = table(agree.groupBy("node").agg(F.min("pivot").alias("low"), F.collect_set("pivot").alias("pivots")), "pivots")
+    pairs = own.select("low", F.explode("pivots").alias("pivot")).where("low <> pivot").distinct()
+    found = components(pairs, "low", "pivot").select(F.col("node").alias("low"), "comp")
+    return own.select("node", "low").join(found, "low", "left").select("node", F.coalesce("comp", "low").alias("cluster"))
+
+
 # -- opening groups ---------------------------------------------------------
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """|A and B| for all sets of a and b."""
@@ -368,8 +381,7 @@ def links(docs: DataFrame, shape: Shape, live: DataFrame, text_col: str = "text"
     sets = table(signed(left, shape, Bloom(still_live(left, shape))), "signed-sets")
 
     # step 2: clusters of sets that agree on a part
-    agree = agreements(sets)
-    cluster = components(agree.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).withColumnRenamed("comp", "cluster")
+    cluster = clusters(agreements(sets))
     sizes = sets.select("node", "size").distinct().join(cluster, "node")
     shares = sizes.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_TOKENS)).alias("groups"))
     place = table(sizes.join(shares, "cluster").select("node", "cluster", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("grp")), "places")
