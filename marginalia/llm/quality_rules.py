@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Chunk, chunks, ngrams
+from .textops import Chunk, chunks, ngrams, release
 
 WINDOW = 5  #: words in a window that may repeat
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long"
@@ -87,6 +87,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for at, chunk in chunks(batch.column(1)):
                 found = _measure(chunk)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, chunk.n), *(pa.array(found[k], pa.int64()) for k in names)], [id_col, *names])
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {MEASURES}")
@@ -116,6 +117,7 @@ def rules() -> list[Rule]:
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "short_words", "long_words", "duplicate_lines", "upper_case"),
+    "v2": ("few_words", "repeated_words", "symbols", "long_words", "duplicate_lines"),
 }
 
 
@@ -132,9 +134,24 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("failed", failed)
 
 
-def apply_policy(ledger_rows: DataFrame, policy: str) -> DataFrame:
-    """``kept``: no rule of the policy failed."""
-    return ledger_rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written to a folder, and read from there: the texts are measured once for all policies."""
+    rows = ledger(docs, id_col, text_col)
+    rows.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def apply_policy(ledger_rows: DataFrame, policy: str, name: str = "kept") -> DataFrame:
+    """``kept``, or another name: no rule of the policy failed."""
+    return ledger_rows.withColumn(name, F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
+
+
+def only_rule(policy: str) -> Column:
+    """The rule of a policy that alone rejects a document; null if none or several do."""
+    whole, out = F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")), F.lit(None).cast("string")
+    for k, rule in enumerate(rules()):
+        out = F.when(whole == (1 << k), F.lit(rule.name)).otherwise(out)
+    return out
 
 
 def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:

@@ -23,7 +23,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for arrival in sharding.arrivals(read(spark, sf_dir, "documents"), "doc_id", ARRIVALS):
         store.append(arrival)
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # no other writer has this folder
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -50,7 +50,10 @@ def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+    docs, model, cache = read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache")
+    # an earlier call has counted the first arrival, so that the whole table meets a cache with hits and misses
+    token_counts.count_tokens(sharding.arrivals(docs, "doc_id", 2)[0], model, cache)
+    rows = token_counts.count_tokens(docs, model, cache)
     return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
@@ -101,9 +104,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), "v1")
+    """Policies and ablations come from the stored ledger; n_only: documents that ``only_rule`` alone rejects."""
+    stored = quality_rules.store(read(spark, sf_dir, "documents"), new_path(spark, "rule-ledger"))
+    rows = quality_rules.apply_policy(quality_rules.apply_policy(stored, "v1"), "v2", "kept_v2").withColumn("only_rule", quality_rules.only_rule("v1"))
+    only = quality_rules.ablations(stored, "v1").select(F.col("rule").alias("only_rule"), "n_only")
+    rows = rows.join(F.broadcast(only), "only_rule", "left")  # a row a rule
     base = F.lit(quality_rules.mask("base")).cast("long")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept", "failed", "kept_v2", "only_rule", "n_only")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +154,9 @@ WITH d AS (
   SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * word_chars THEN 4 ELSE 0 END + CASE WHEN 10 * word_chars < 20 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END + CASE WHEN 100 * n_upper > 60 * greatest(n_letters, 1) THEN 64 ELSE 0 END AS BIGINT) AS failed FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept, failed, failed & 55 = 0 AS kept_v2,
+  CASE failed {" ".join(f"WHEN {1 << k} THEN '{name}'" for k, name in enumerate(quality_rules.POLICIES["v1"]))} END AS only_rule,
+  CASE WHEN failed IN (1, 2, 4, 8, 16, 32, 64) THEN count(*) OVER (PARTITION BY failed) END AS n_only FROM f
 """
 
 

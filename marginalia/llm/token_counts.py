@@ -2,8 +2,9 @@
 
 The cache is a Parquet folder of (tokenizer, digest, n_tokens): ``tokenizer``
 is the digest of the model file, ``digest`` that of the normalised content.
-Documents join it by digest; of the misses each distinct content is encoded
-once, and the new counts are appended.  A repeated call encodes nothing.
+The documents' digests are joined to it; only the texts of the misses are then
+dealt out, each distinct one is encoded once, and the new counts are appended.
+A repeated call encodes nothing.
 
 Normalisation turns a null text into the empty text and no more: anything
 further could change what the tokenizer counts.  Repeated rows keep one result
@@ -16,12 +17,14 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
+from .bloom import Bloom
+from .store import table, temporary
 from .textops import chunks
 
 CACHE = "tokenizer binary, digest binary, n_tokens long"
@@ -54,6 +57,11 @@ def read_cache(spark: SparkSession, cache: str, tokenizer: bytes) -> DataFrame |
     return rows.where(F.col("tokenizer") == F.lit(tokenizer)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _head(digests: pa.Array) -> np.ndarray:
+    """The first sixty bits of each digest, as a number."""
+    return (np.frombuffer(b"".join(x[:8] for x in digests.to_pylist()), ">u8") >> 4).astype(np.int64)
+
+
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
@@ -81,16 +89,34 @@ def encode_misses(misses: DataFrame, path: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _keyed(docs: DataFrame, text_col: str, *others: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*others, text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def fill(docs: DataFrame, digests: DataFrame, path: str, cache: str, text_col: str = "text") -> None:
+    """Append the counts of those contents of ``docs`` that the cache has not; digests: (digest) of all of them."""
+    spark, version = docs.sparkSession, tokenizer_digest(path)
+    with temporary(spark):
+        known, wanted = read_cache(spark, cache, version), digests.select("digest").distinct()
+        misses = table(wanted if known is None else wanted.join(known, "digest", "left_anti"), "misses")
+        live = spark.sparkContext.broadcast(Bloom(misses.select(F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("node"))))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Contents that may be misses, once from each mapper, so that a hot content stays small."""
+            yield from _first_of_each(b.filter(pa.array(live.value.holds(_head(b.column(0))))) for b in batches)
+
+        sent = _keyed(docs, text_col).select("digest", "text").mapInArrow(send, "digest binary, text string")
+        found = encode_misses(sent.hint("merge").join(misses, "digest", "left_semi"), path)
+        found.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``n_bytes`` and ``n_tokens`` of every whole text; path: a sentencepiece model that workers can read."""
     spark, version = docs.sparkSession, tokenizer_digest(path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    # a content goes out once from each mapper, so that a hot content stays small
-    sent = keyed.select("digest", "text").mapInArrow(_first_of_each, "digest binary, text string").repartition("digest")
-    known = read_cache(spark, cache, version)
-    misses = sent if known is None else sent.join(known, "digest", "left_anti")
-    encode_misses(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    rows = _keyed(docs, text_col, id_col).select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    rows = table(rows, "digests")
+    fill(docs, rows, path, cache, text_col)
     # written anew, one row a digest, so that the join below can split a hot content's rows among tasks
     counts = table(read_cache(spark, cache, version), "counts")
-    return keyed.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    return rows.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
