@@ -59,12 +59,25 @@ def _plain(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
-def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Conversation id, ``formatted`` string and the ``turns`` read back from it.
+def loss_mask(turns: Column) -> Column:
+    """``array<struct<start, end>>``: the places in the formatted text that the loss counts, each assistant turn less its end mark."""
+
+    def step(acc: Column, t: Column) -> Column:
+        end = acc["at"] + t["chars"]
+        own = F.array(F.struct(acc["at"].alias("start"), (end - 4).alias("end")))
+        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+
 
-    The loss mask covers, in each assistant turn, its ``chars`` less the four
-    of the end mark.
-    """
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under a loss mask, unescaped."""
+    return F.transform(mask, lambda m: F.regexp_replace(formatted.substr(m["start"] + 1, m["end"] - m["start"]), *UNESCAPE))
+
+
+def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Conversation id, ``formatted`` string, the ``turns`` read back from it, and the ``loss_mask`` over it."""
     turns = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     raw = render(F.col("role"), F.col("text"))
     turns = turns.withColumn("raw", raw).withColumn("back", _plain(parse(F.col("raw"))))
@@ -78,13 +91,13 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     whole = whole.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(safe))
     whole = whole.withColumn("turns", F.when(F.col("same"), F.col("turns")).otherwise(parse(F.col("formatted"))))
     checked = F.when(F.col("same") | (_plain(F.col("turns")) == wanted()), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")))
-    return whole.select(F.col("conv").alias(conv_col), checked.alias("formatted"), "turns")
+    return whole.select(F.col("conv").alias(conv_col), checked.alias("formatted"), "turns", loss_mask(F.col("turns")).alias("loss_mask"))
 
 
 def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Counts and digests of what was read back from the formatted text."""
+    """Counts and digests of what was read back from the formatted text, and of what its loss mask covers."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_mask")), "")
     return formatted.select(
         conv_col,
         F.size("turns").cast("long").alias("n_turns"),

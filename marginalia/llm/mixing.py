@@ -9,9 +9,11 @@ simulated, and every row finds its slot by arithmetic.  When a source runs out
 the weights of the others are scaled up and a new phase begins, so that no row
 is dropped or repeated.
 
-Within a source rows are shuffled by a hash of the id.  Null sources and those
-without a weight of their own share the stream OTHER.  Repeated rows take a
-place each; an empty table gives an empty result.  The added columns are named
+Within a source rows are shuffled by a hash of the id, rows without an id by one
+of all their columns; ties go by id, and rows equal throughout share a cell.
+Null sources and those without a weight of their own share the stream OTHER,
+which has a hundredth of the named weights' sum unless it is named itself.
+Repeated rows take a place each; an empty table gives an empty result.  The added columns are named
 ``mix_*`` and replace columns of those names.
 """
 
@@ -29,7 +31,7 @@ BLOCK = 64  #: rows of a block
 SLOTS = 1000  #: slots of a period, the resolution of weights
 OTHER = "*"
 #: Rows of a cell, in which ordinals are counted, and cells of a source at most.
-CELL_ROWS, CELLS = 4096, 1 << 16
+CELL_ROWS, CELLS = 4096, 1 << 20
 
 
 def shares(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     """
     weights = {OTHER: 0.01 * sum(weights.values())} | weights
     names = [c for c in docs.columns if not c.startswith("mix_")]
-    key = F.xxhash64(F.col(id_col), F.lit(11))
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.lit(11))).otherwise(F.xxhash64(*names))
     thin = docs.select(_stream(F.col(source_col), weights).alias("mix_stream"), key.alias("mix_key"))
     counts = {r["mix_stream"]: r["n"] for r in thin.groupBy("mix_stream").agg(F.count("*").alias("n")).collect()}  # a row a weight
     plan = phases(weights, {s: ceil(n / block) for s, n in counts.items()}, slots)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from . import quality_rules
+from .store import table
 from .textops import Chunk, chunks, release
 
 #: Labelled rows that the fit sees at most, the first by hash of the id.
@@ -181,6 +182,14 @@ def classify(featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id") -
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def select_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that score 0.5 or more; each text is measured once, and written with its features."""
+    name = "__features"
+    whole = table(_with_features(docs, text_col, docs.columns, name), "featured")
+    ranker = train(whole.select(id_col, F.col(name).alias("features")), labels, id_col)
+    return whole.where(ranker.score(name) >= 0.5).select(*docs.columns)
+
+
 def keep_good(docs: DataFrame, featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, that score 0.5 or more; features travel with their row, so nothing is joined to the texts."""
     ranker = train(featurized, labels, id_col)

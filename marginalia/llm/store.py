@@ -41,12 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later stages and lost executors start from the files.
 
-    Inside ``temporary`` it lasts until the end of the block, unless ``keep``.
+    Inside ``temporary`` it lasts until the end of the block; with ``keep``
+    until that of the block around it, or for good.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _open and not keep:
-        _open[-1].append(path)
+    if len(_open) > keep:
+        _open[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
