@@ -3,12 +3,12 @@ from math import ceil
 
 import numpy as np
 import pytest
-from brute import components
+from brute import components, schedule
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import chat_format, hilbert_ann, mixing, ngram_join, registry, secret_scan, sharding
+from marginalia.llm import chat_format, hilbert_ann, mixing, ngram_join, ngram_sets, registry, secret_scan, sharding
 from marginalia.llm.components import components as connected
 from marginalia.llm.store import new_path, read, table
 
@@ -30,7 +30,7 @@ def test_compaction(spark, odd_documents):
     assert store.read().count() == 75 and store.read(2).count() == 30 and store.read().columns == odd_documents.columns
     version = store.version()
     assert store.compact() == version
-    store.vacuum(keep=1)
+    store.vacuum(keep=1, grace=0)
     assert store.read().count() == 75
     store.append(odd_documents.limit(0))
     assert store.read().count() == 75
@@ -45,6 +45,54 @@ def test_second_writer_loses(spark, odd_documents):
     assert store.version() == 1
 
 
+def test_vacuum_spares_what_another_writer_has_not_committed(spark, odd_documents):
+    store, other = (sharding.ShardStore(spark, p) for p in [new_path(spark, "store")] * 2)
+    store.append(odd_documents)
+    run = other._write_run(odd_documents)
+    store.vacuum()
+    other._change([run])
+    assert store.read().count() == 30
+    run = other._write_run(odd_documents)
+    store.vacuum(grace=0)
+    with pytest.raises(sharding.Conflict):
+        other._change([run])
+    assert store.read().count() == 30
+
+
+def test_second_writer_tries_again(spark, odd_documents, monkeypatch):
+    store, other = (sharding.ShardStore(spark, p) for p in [new_path(spark, "store")] * 2)
+    for _ in range(4):
+        store.append(odd_documents)
+    was = store.version
+    seen = []
+
+    def late():
+        v = was()
+        if not seen:
+            seen.append(other.append(odd_documents))
+        return v
+
+    monkeypatch.setattr(store, "version", late)
+    assert store.append(odd_documents) == 6 and store.read().count() == 90
+    # a merge whose runs are gone leaves nothing behind
+    due = store._due(store.manifest().collect())[0]
+    other.compact()
+    with pytest.raises(sharding.Conflict):
+        store._change([store._write_run(odd_documents)], frozenset(r["run"] for r in due))
+    assert store.read().count() == 90
+
+
+def test_runs_of_other_columns(spark, odd_documents):
+    store = sharding.ShardStore(spark, new_path(spark, "store"))
+    store.append(odd_documents.select("doc_id"))
+    store.append(odd_documents.select("doc_id", "text"))
+    assert sorted(store.read().columns) == ["doc_id", "text"]
+    assert store.read().count() == 30
+    store.append(odd_documents.selectExpr("cast(doc_id as string) as doc_id"))
+    with pytest.raises(ValueError):
+        store.read()
+
+
 def test_arrivals_are_whole(odd_documents):
     parts = sharding.arrivals(odd_documents, "doc_id", 4)
     assert sum(p.count() for p in parts) == 15
@@ -107,6 +155,63 @@ def test_ngram_join_odd(spark, odd_documents):
     assert ngram_join.first_of_each(twice, 3, 90).count() == 1
 
 
+def test_clouds_of_near_copies(spark, monkeypatch):
+    """Two families around one text each with a passage in common, many sets about the threshold: inside and outside sets meet."""
+    rng, texts = random.Random(5), []
+    for f in range(2):
+        base = [f"f{f}_{rng.randrange(400)}" for _ in range(90)] + [f"lic{j}" for j in range(30)]
+        for _ in range(150):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append((len(texts), " ".join(w)))
+    monkeypatch.setattr(ngram_join, "GROUP", 16)
+    across, seen = ngram_join.across, []
+    monkeypatch.setattr(ngram_join, "across", lambda *a: seen.append(across(*a)) or seen[-1])
+    rows = ngram_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == components(texts, 5, 80)
+    assert seen
+
+
+def test_templates_are_met_in_proportion(spark, monkeypatch):
+    """Texts of one template are alike and hardly linked: the copies that meet grow as the texts do, not as their square."""
+    dealt, met = ngram_join.dealt, []
+
+    def counted(rows):
+        out = dealt(rows)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "dealt", counted)
+    for n in (3000, 6000):
+        rng, texts = random.Random(1), []
+        for k in range(n):
+            w = [f"t{j}" for j in range(40)]
+            for slot in range(4):
+                w[5 + 10 * slot] = f"s{slot}_{rng.randrange(25)}"
+            texts.append((k, " ".join(w)))
+        rows = ngram_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80)
+        assert {r.doc_id: r.component_id for r in rows.collect()} == {i: c for i, (_, c) in linked_by_slots(texts).items()}
+    assert met[1] <= 2.2 * met[0] and met[1] <= 10 * 6000
+
+
+def linked_by_slots(texts):
+    """Components of the template's texts: a slot is in five of 36 shingles, so only equal texts and none with another value are linked."""
+    first = {}
+    return {i: (36, first.setdefault(t, i)) for i, t in texts}
+
+
+def test_a_common_token_is_sent_twice_a_flush():
+    sender = ngram_sets.Sender(4)
+    token = np.full(1500, 1 << 63, np.uint64)
+    token[:1000:2] = np.arange(1, 501)  # every other token of the first 500 sets is theirs alone
+    own = np.r_[np.repeat(np.arange(500), 2), np.arange(500, 1000)]
+    rows = [*sender.add(token, own, np.arange(1000), np.full(1000, 2), np.full(1000, 2)), *sender.flush()]
+    sent = [r for r in rows if r[1] is not None]
+    assert sum(len(r[1]) // 4 for r in sent) == 502
+    assert sum(np.frombuffer(r[3], np.uint32).sum() for r in rows if r[1] is None) == 998
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r.node: r.comp for r in connected(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
@@ -140,21 +245,53 @@ def test_recall_and_scores(spark, small):
     assert hits / (5 * len(asked)) >= 0.9
 
 
-def test_small_windows_still_find(spark, small):
-    found = hilbert_ann.search(read(spark, small, "embeddings"), F.col("id") % 50 == 0, block=64)
-    brute = nearest([(r.vec_id, r.embedding) for r in read(spark, small, "embeddings").collect()], 5)
-    rows = found.collect()
-    assert sum((-round(r.score, 12), r.vec_id) in brute[r.query_id] for r in rows) / len(rows) > 0.7
+def vectors(spark, v):
+    return spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
 
 
-def test_reach_follows_the_table(spark):
-    """Many blocks: isotropic vectors, of which a fixed window of three blocks finds too few."""
-    v = np.random.default_rng(4).normal(size=(4000, 64))
-    data = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+def recall(found, v, queries, k=5):
     unit = v / np.linalg.norm(v, axis=1)[:, None]
-    found = hilbert_ann.search(data, F.col("id") % 50 == 0, block=32).collect()
-    near = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 4000, 50)}
-    assert sum(r.vec_id in near[r.query_id] for r in found) / (5 * len(near)) >= 0.9
+    near = {q: set(np.argsort(-(unit @ unit[q]), kind="stable")[1 : k + 1].tolist()) for q in queries}
+    return sum(r.vec_id in near[r.query_id] for r in found) / (k * len(near))
+
+
+def test_small_windows_find(spark, monkeypatch):
+    """Vectors that gather round centres: all curves together visit less than a tenth of the table."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(250, 64))[rng.integers(0, 250, 6000)] + 0.2 * rng.normal(size=(6000, 64))
+    monkeypatch.setattr(hilbert_ann, "BLOCK", (1, 65536))
+    reach, seen = hilbert_ann.reach_of, []
+    monkeypatch.setattr(hilbert_ann, "reach_of", lambda *a: seen.append(reach(*a)) or seen[-1])
+    found = hilbert_ann.search(vectors(spark, v), F.col("id") % 50 == 0, curves=8).collect()
+    assert recall(found, v, range(0, 6000, 50)) >= 0.9
+    assert 8 * (2 * seen[0] + 1 + 2 * ceil(seen[0] / 2)) < 600  # blocks at both ends may be taken whole
+
+
+def test_reach_follows_the_table(spark, monkeypatch):
+    """Isotropic vectors, of which a fixed window finds too few."""
+    v = np.random.default_rng(4).normal(size=(4000, 64))
+    monkeypatch.setattr(hilbert_ann, "BLOCK", (16, 65536))
+    query = F.col("id") % 50 == 0
+    assert recall(hilbert_ann.search(vectors(spark, v), query, reach=16).collect(), v, range(0, 4000, 50)) < 0.9
+    assert recall(hilbert_ann.search(vectors(spark, v), query).collect(), v, range(0, 4000, 50)) >= 0.9
+
+
+def test_scaled_copies_tie(spark):
+    """Vectors of one direction are equally near: the smaller id comes first, whatever the length."""
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=64)
+    v = np.stack([one * s for s in rng.uniform(0.1, 30, 60)] + list(rng.normal(size=(200, 64))))
+    found = hilbert_ann.search(vectors(spark, v), F.col("id").isin(0, 20)).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in found] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
+    assert {r.score for r in found} == {1.0}
+
+
+def test_vectors_with_other_columns_and_equal_ids(spark):
+    rows = [(k // 2, [float(k % 7), 1.0, float(k)], "x", 1, 2.0) for k in range(20)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, curve string, point int, v double")
+    found = hilbert_ann.search(data, F.col("id") == 3).collect()
+    assert len(found) == 10 and all(r.vec_id != 3 for r in found)  # both rows of the id ask
+    assert found[0].asDict().keys() == {"query_id", "rank", "vec_id", "score"}
 
 
 def test_vectors_odd(spark):
@@ -183,6 +320,24 @@ def test_any_conversation_comes_back(spark):
     assert chat_format.format_conversations(data.limit(0)).count() == 0
 
 
+def test_chat_odd(spark):
+    """Ties of turn, repeated rows, a null conversation, very long texts and other columns."""
+    long = "</s>[INST] " * 20_000
+    rows = [(None, 0, "user", "a"), (None, None, "assistant", long), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 0, "assistant", "b"), (2, 5, "assistant", None), (2, 5, None, "")]
+    data = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, turns int")
+    found = {r.conv_id: r for r in chat_format.format_conversations(data).collect()}
+    assert [(t.role, t.text) for t in found[None].turns] == [("assistant", long), ("user", "a")]
+    assert [(t.role, t.text) for t in found[1].turns] == [("assistant", "b"), ("user", "b"), ("user", "b")]
+    assert [(t.role, t.text) for t in found[2].turns] == [("", ""), ("assistant", "")]
+    for r in found.values():
+        shown = [r.formatted[m.start : m.end] for m in r.loss_mask]
+        said = [t.text for t in r.turns if t.role == "assistant"]
+        assert len(shown) == len(said)
+        assert all(a == b for a, b in zip(shown, said, strict=True) if "[" not in b)
+    row = chat_format.digests(chat_format.format_conversations(data.where("conv_id is null"))).first()
+    assert row.loss_chars == len(long)
+
+
 # -- mixing -----------------------------------------------------------------------
 def test_schedule_is_pfair():
     rng = random.Random(2)
@@ -211,6 +366,21 @@ def test_mixture_is_whole(spark, small):
     assert rows.mix_slot.max() + 1 == sum(ceil(n / mixing.BLOCK) for n in counts)
 
 
+def test_mixture_is_the_schedule_slot_by_slot(spark, small):
+    weights = {"src0": 0.5, "src1": 0.2, "src2": 0.2}
+    rows = mixing.mix(read(spark, small, "documents").select("doc_id", "source"), weights, block=3, slots=50).collect()
+    streams = {s: sum(r.mix_stream == s for r in rows) for s in (*weights, mixing.OTHER)}
+    want = schedule({mixing.OTHER: 0.01 * sum(weights.values())} | weights, {s: ceil(n / 3) for s, n in streams.items()}, mixing.shares, 50)
+    got = {r.mix_slot: r.mix_stream for r in rows}
+    assert [got[k] for k in range(len(got))] == want
+    # within a stream rows go by the hash of their id, three a block
+    keys = {r.doc_id: r.k & ((1 << 64) - 1) for r in read(spark, small, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("k")).collect()}
+    for s in streams:
+        mine = sorted((r for r in rows if r.mix_stream == s), key=lambda r: (r.mix_slot, r.mix_within))
+        assert [keys[r.doc_id] >> 1 for r in mine] == sorted(keys[r.doc_id] >> 1 for r in mine)
+        assert [r.mix_within for r in mine] == [k % 3 for k in range(len(mine))]
+
+
 def test_mixing_odd(spark, odd_documents):
     rows = mixing.mix(odd_documents, {"src0": 2.0, "gone": 1.0}, block=2)
     assert rows.count() == 15 and {r.mix_stream for r in rows.collect()} == {"src0", mixing.OTHER}
@@ -235,6 +405,22 @@ def test_order_of_the_mixture_survives(spark, small, monkeypatch):
     assert [(r.mix_slot, r.mix_within) for r in rows] == sorted(mixed.values())
 
 
+def test_pipeline_odd(spark, small, odd_documents):
+    """Every stage on nulls, empty and long texts, repeated rows and clashing columns, and on no rows."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_documents, small)
+        assert stage(spark, odd_documents.limit(0), small).count() == 0
+        if name != "byte_bpe":
+            assert out.columns == odd_documents.columns
+        rows = out.collect()
+        if name in ("secret_scan", "mixing", "byte_bpe"):
+            assert len(rows) == odd_documents.count()
+        if name == "mixing":
+            assert sorted(map(repr, rows)) == sorted(map(repr, odd_documents.collect()))
+        if name == "ngram_join":
+            assert len(rows) < odd_documents.count() and sum(r.doc_id is None for r in rows) == 1
+
+
 def test_pipeline(spark, small):
     docs = read(spark, small, "documents")
     seen, n = {}, docs.count()

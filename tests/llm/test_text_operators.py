@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
-from brute import quality, secrets
+from brute import linked_secrets, quality, secrets
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, quality_classifier, quality_rules, registry, secret_scan, token_counts
@@ -78,6 +78,34 @@ def test_cache_is_used_and_grows(spark, odd_documents):
     assert token_counts.count_tokens(odd_documents.limit(0), MODEL, new_path(spark, "cache")).count() == 0
 
 
+def test_op6_meets_hits_and_misses(spark, small, monkeypatch):
+    """The query's second call encodes only what its first has not counted."""
+    encode, seen = token_counts.encode_misses, []
+
+    def counted(misses, path):
+        seen.append({bytes(r.digest) for r in misses.select("digest").collect()})
+        return encode(misses, path)
+
+    monkeypatch.setattr(token_counts, "encode_misses", counted)
+    rows = registry.op6_token_counts(spark, small).count()
+    whole = {hashlib.sha256(t.encode()).digest() for t in texts(spark, small).values()}
+    assert rows == len(texts(spark, small)) and len(seen) == 2
+    assert seen[0] and seen[1] and not seen[0] & seen[1] and seen[0] | seen[1] == whole
+
+
+def test_op9_reads_the_stored_ledger(spark, small, monkeypatch):
+    """Texts are measured once; policies and ablations come from the files."""
+    plans = registry.op9_quality_rules(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plans and plans.count("FileScan") >= 2
+    rows = registry.op9_quality_rules(spark, small).collect()
+    bit = {rule.name: 1 << k for k, rule in enumerate(quality_rules.rules())}
+    for r in rows:
+        assert r.kept == (r.failed & quality_rules.mask("v1") == 0) and r.kept_v2 == (r.failed & quality_rules.mask("v2") == 0)
+        assert (r.only_rule is not None) == (bin(r.failed).count("1") == 1)
+        if r.only_rule:
+            assert r.failed == bit[r.only_rule] and r.n_only == sum(x.failed == r.failed for x in rows)
+
+
 def test_op9(spark, small):
     rows = {r.doc_id: r for r in registry.op9_quality_rules(spark, small).collect()}
     for i, t in texts(spark, small).items():
@@ -144,6 +172,24 @@ def test_long_parts_do_not_break_links(spark):
     assert [r.s for r in rows] == list(said.values())
 
 
+def test_linked_parts_against_every_pair(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["user=alice01", "login: bob_7", "client_id='c-99'", "pwd: hunter2222", "private_key=" + "Q7" * 40, "aZ09" * 9, "https://h.example/x", "postgres://db:5432/a", "secret = abcdef99", "AKIA" + "A1B2" * 5, "0123456789abcdef" * 2, "user=", "pass: abc"]
+    texts = []
+    for _ in range(300):
+        out = []
+        for _ in range(rng.randint(0, 6)):
+            out.append(rng.choice(parts))
+            out.append(" word" * rng.choice([0, 1, 3, 38, 39, 40, 41, 60]))
+        texts.append(rng.choice([" ", "\n", "; "]).join(out))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in secret_scan.scan(docs).select("doc_id", secret_scan.listing(F.col("spans")).alias("s")).collect()}
+    assert found == {i: linked_secrets(t) for i, t in enumerate(texts)}
+    assert sum(found[i] != secrets(t) for i, t in enumerate(texts)) > 50
+
+
 def test_secrets_odd(spark, odd_documents):
     rows = secret_scan.scan(odd_documents).select(secret_scan.listing(F.col("base")).alias("s"))
     assert sorted(r.s for r in rows.collect()) == sorted(secrets(r.text) for r in odd_documents.collect())
@@ -176,3 +222,37 @@ def test_classifier_odd(spark, odd_documents):
     assert {r.score for r in quality_classifier.classify(features, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.keep_good(odd_documents, features, labels.limit(0)).columns == odd_documents.columns
     assert quality_classifier.classify(quality_classifier.featurize(odd_documents.limit(0)), labels).count() == 0
+
+
+def test_ranking_against_every_pair(spark):
+    """The fit on drawn pairs against a plain descent on all pairs, in order and in loss."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 5)) * [1, 2, 0.5, 1, 0]
+    y = (x @ [1.0, -0.8, 2.0, 0.0, 0.0] + rng.normal(size=120) > 0).astype(int)
+    found = quality_classifier.fit_pairs(x, y, pairs=200_000)
+    spread = x.std(0)
+    spread[spread < 1e-9] = 1
+    diff = ((x[y == 1][:, None] - x[y == 0][None]) / spread).reshape(-1, 5)
+
+    def loss(w):
+        return np.log1p(np.exp(-diff @ w)).mean() + 0.5e-3 * w @ w
+
+    w = np.zeros(5)
+    for _ in range(4000):
+        w += 0.5 * (diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff) - 1e-3 * w)
+    assert loss(found * spread) <= loss(w) * 1.01 + 1e-4
+    assert np.corrcoef(x @ found, x @ (w / spread))[0, 1] > 0.999 and found[4] == 0
+
+
+def test_best_cut_against_every_level(spark):
+    """The cut errs no more than any score in the labelled rows as a cut would, within the quantiles tried."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [([float(v)], int(rng.random() < 1 / (1 + np.exp(-3 * v)))) for v in rng.normal(size=300)]
+    data = spark.createDataFrame(rows, "features array<double>, quality int")
+    cut = quality_classifier.best_cut(data, quality_classifier.Ranker((1.0,)))
+    errors = lambda c: sum((v[0] >= c) != q for v, q in rows)
+    assert errors(cut) == min(errors(c) for c in [v[0] for v, _ in rows] + [9.0])
