@@ -14,7 +14,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round passes the smallest known label along all edges, then follows
     the label's own label, so rounds grow with the logarithm of a path.  Labels
     are written every round; sums by node are combined before they move, so a
-    node of very many edges is no burden to one task.
+    node of very many edges is no burden to one task.  Edges may repeat and run
+    either way; an edge with a null end or from a node to itself is none, and a
+    node without another is not in the result.  No edges give no rows.
     """
     both = table(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(b, a)).where("a <> b").distinct(), "edges")
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")

@@ -48,7 +48,7 @@ def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = new_path(spark, name)
     if len(_open) > keep:
         _open[-1 - keep].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,10 @@
 """Whole-batch text arithmetic on Arrow buffers (numpy, no per-row Python).
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  All byte positions below refer to the
-UTF-8 data of one chunk of texts laid end to end.
+UTF-8 data of one chunk of texts laid end to end.  Null texts are empty texts,
+without words, windows or hashes; a text of any length stays whole, alone in its
+chunk if it is longer than one; equal texts give equal hashes; no texts give no
+chunk.
 """
 
 from __future__ import annotations
