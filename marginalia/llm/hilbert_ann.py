@@ -12,8 +12,7 @@ precision and rounded once.
 The window is measured: PROBES queries (the first by hash of the id) are
 compared with every point, and the window is so wide that RECALL of their true
 neighbours lie in it on some curve.  It so grows with the table as far as the
-vectors need it, up to the whole table; blocks hold half a window each, within
-BLOCK.
+vectors need it, up to the whole table, and blocks with it, within BLOCK.
 
 Equal vectors are one point of the index that carries its smallest ids, as many
 as can be asked for, so that any number of copies takes one place in a window.
@@ -219,7 +218,7 @@ def _search(vectors: DataFrame, is_query: Column, k: int, id_col: str, vec_col:
 
     asked = table(rows.where(is_query).select("v").distinct().join(points.select("v", "point"), "v"), "ann-asked")
     reach = reach or reach_of(points, placed.drop("code"), asked, k)
-    block = min(max(ceil(reach / 2), BLOCK[0]), BLOCK[1])
+    block = min(max(reach, BLOCK[0]), BLOCK[1])  # a query so meets three blocks of a curve at most, up to the largest
     cells = placed.withColumn("block", F.floor(F.col("place") / block))
     # a query visits the blocks that hold places in reach of its own
     lowest, highest = (F.floor((F.col("place") + d) / block) for d in (-reach, reach))

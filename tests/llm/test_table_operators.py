@@ -264,7 +264,7 @@ def test_small_windows_find(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "reach_of", lambda *a: seen.append(reach(*a)) or seen[-1])
     found = hilbert_ann.search(vectors(spark, v), F.col("id") % 50 == 0, curves=8).collect()
     assert recall(found, v, range(0, 6000, 50)) >= 0.9
-    assert 8 * (2 * seen[0] + 1 + 2 * ceil(seen[0] / 2)) < 600  # blocks at both ends may be taken whole
+    assert 8 * 3 * seen[0] < 600  # three blocks of a curve at most
 
 
 def test_reach_follows_the_table(spark, monkeypatch):
