@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hilbert_ann, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
-from .store import new_path, read, table
+from . import byte_bpe, chat_format, hilbert_ann, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from .store import new_path, read, table, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,50 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.listing(F.col("base")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
+_LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and what tampering with a third of them does to the root."""
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in _LEAF]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf(*fields[:-1], lowered))
+    with temporary(spark):
+        manifest = merkle.build(docs, fields, F.col("lang"), F.col("doc_id"), F.struct("doc_id", tampered.alias("tampered")))
+        root = F.lit(manifest.root).cast("string")
+        again = merkle.folded(F.coalesce("item.tampered", "leaf"), F.col("path"))
+        rows = manifest.proofs().select("item.doc_id", "leaf", "subroot", root.alias("root"), F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), again.alias("folded_root"))
+        return table(rows.withColumn("verified", F.col("folded_root") == F.col("root")), "proofs", keep=True)
+
+
+def _op11_sql(height: int = 8) -> str:
+    """Levels written out, as many as 8 ** height leaves take; a node that is alone stays as it is."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    hashed = lambda last: "sha256(" + " || ".join([*map(part, _LEAF[:-1]), part(last)]) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = ["WITH RECURSIVE crc AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8)"]
+    out.append("steps AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8)")
+    state = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]))"
+    out.append(f"d AS (SELECT doc_id, lang, {hashed('text')} AS leaf, CASE WHEN xor({state}, 4294967295) % 3 = 0 THEN {hashed(lowered)} ELSE {hashed('text')} END AS fold FROM documents, steps)")
+    out.append("a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d)")
+
+    def climb(prefix: str, by: str, on: str) -> None:
+        for k in range(height):
+            out.append(f"{prefix}n{k} AS (SELECT {by}, i, h, count(*) OVER (PARTITION BY {by}) AS n FROM (SELECT DISTINCT {by}, i, h FROM {prefix}{k}))")
+            out.append(f"{prefix}p{k} AS (SELECT {by}, i // 8 AS p, max(n) AS n, list(h ORDER BY i) AS c, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS up FROM {prefix}n{k} GROUP BY {by}, i // 8)")
+            proof = "CASE WHEN n = 1 THEN '' ELSE array_to_string(list_concat(c[1 : x.i % 8], c[x.i % 8 + 2 : 8]), '') END"
+            fold = "CASE WHEN n = 1 THEN x.fold ELSE sha256(array_to_string(list_concat(c[1 : x.i % 8], [x.fold], c[x.i % 8 + 2 : 8]), '')) END"
+            kept = "doc_id, leaf, x.lang" + (", subroot" if prefix == "b" else "")
+            seen = "''" if (prefix, k) == ("a", 0) else "x.proof"
+            out.append(f"{prefix}{k + 1} AS (SELECT {kept}, p.p AS i, up AS h, {seen} || {proof} AS proof, {fold} AS fold FROM {prefix}{k} x JOIN {prefix}p{k} p ON {on} AND x.i // 8 = p.p)")
+
+    climb("a", "lang", "x.lang IS NOT DISTINCT FROM p.lang")
+    out.append(f"b0 AS (SELECT doc_id, leaf, '' AS lang, h AS subroot, h, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, proof, fold FROM a{height})")
+    climb("b", "lang", "x.lang = p.lang")
+    return ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified FROM b{height}"
+
+
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 OP2_SQL = rf"""
 WITH RECURSIVE d AS (
@@ -172,6 +216,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
+        "op11_merkle": op11_merkle,
     }
 
 
@@ -181,4 +226,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_join": OP2_SQL,
         "op7_chat_format": OP7_SQL,
         "op9_quality_rules": OP9_SQL,
+        "op11_merkle": _op11_sql(),
     }
