@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hilbert_ann, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from . import byte_bpe, chat_format, hilbert_ann, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, token_counts
 from .store import new_path, read, table, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.listing(F.col("base")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = token_alignment.align_documents(read(spark, sf_dir, "documents"), a, b)
+    return rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 _LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -217,6 +223,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scan": op10_secret_scan,
         "op11_merkle": op11_merkle,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
