@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hilbert_ann, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, token_counts
+from . import byte_bpe, chat_format, hilbert_ann, license_scan, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, token_counts
 from .store import new_path, read, table, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(read(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first_word"], s["last_word"], s["errors"])), ",")
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score", shown.alias("spans"))
+
+
 _LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -224,6 +231,7 @@ def queries() -> dict[str, Query]:
         "op10_secret_scan": op10_secret_scan,
         "op11_merkle": op11_merkle,
         "op12_token_alignment": op12_token_alignment,
+        "op13_license_scan": op13_license_scan,
     }
 
 
