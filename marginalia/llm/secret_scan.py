@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import bound, following_min, running_max, running_sum, runs
 from .store import table
 
 #: Most code points, outside all parts, between two parts that belong together.
@@ -54,18 +55,23 @@ def find(text: Column, kind: str, pattern: str, holds=None) -> Column:
     freed of first, one for one; lengths of the split pieces give positions.
     The pieces are one element of an array, so that they are made once.
     """
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, piece: Column) -> Column:
-        match = F.substring_index(piece, "\x02", 1)
-        span = F.struct(acc["at"].alias("start"), F.lit(ORDER[kind]).alias("ord"), (acc["at"] + F.length(match)).alias("end"))
-        found = F.array(span) if holds is None else F.when(holds(match), F.array(span)).otherwise(none)
-        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["out"], found).alias("out"))
+    fixed = lambda k, piece: F.length(piece) - F.when(k > 0, 1).otherwise(0)  # noqa: E731 - less the fence after the match
 
     def spans(pieces: Column) -> Column:
-        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        starts = running_sum(F.transform(pieces, lambda piece, k: fixed(k, piece)))
+
+        def span(at: Column) -> Column:
+            def one(piece: Column, k: Column) -> Column:
+                match = F.substring_index(piece, "\x02", 1)
+                start = F.get(at, k + 1)
+                whole = F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("ord"), (start + F.length(match)).alias("end"))
+                return whole if holds is None else F.when(holds(match), whole)
+
+            return F.filter(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), lambda x: x.isNotNull()).cast(f"array<{SPAN}>")
 
-    return F.get(F.transform(F.array(F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01")), spans), F.lit(0))
+        return bound(starts, span)
+
+    return bound(F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "\x01"), spans)
 
 
 def parts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -81,21 +87,37 @@ def parts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     base = F.concat(*(found(kind, pattern, holds) for kind, (pattern, holds) in BASE.items()))
     weak = F.concat(*(found(kind, pattern, holds) for kind, (pattern, holds, _) in WEAK.items()))
     rows = rows.select(*keep, "__digest", F.array_sort(base).alias("__base"), weak.alias("__weak"))
-    apart = lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return rows.withColumn("__weak", F.filter("__weak", apart))
+    return rows.withColumn("__weak", apart(F.col("__base"), F.col("__weak")))
+
+
+def apart(base: Column, weak: Column) -> Column:
+    """The weak spans that no base span overlaps."""
+
+    def kept(every: Column) -> Column:
+        is_base = lambda s: s["ord"] < len(BASE)
+        # of two spans that start at one place the base one is first
+        ended = running_max(F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(0)))
+        begins = following_min(F.transform(every, lambda s: F.when(is_base(s), s["start"]).otherwise(2**31 - 1)))
+        marks = F.arrays_zip(every.alias("span"), ended.alias("ended"), begins.alias("begins"))
+        free = F.filter(marks, lambda m: ~is_base(m["span"]) & (m["ended"] <= m["span"]["start"]) & (m["begins"] >= m["span"]["end"]))
+        return F.transform(free, lambda m: m["span"])
+
+    return F.when((F.size(weak) == 0) | (F.size(base) == 0), weak).otherwise(bound(F.array_sort(F.concat(base, weak)), kept))
 
 
 def in_free_text(spans: Column) -> Column:
     """The spans by start, each as ``span`` with ``free``, the code points before it that are in no span."""
-    item = f"struct<span:{SPAN},free:int>"
 
-    def step(acc: Column, s: Column) -> Column:
-        free = acc["free"] + F.greatest(s["start"] - acc["at"], F.lit(0))
-        own = F.array(F.struct(s.alias("span"), free.alias("free")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), free.alias("free"), F.concat(acc["out"], own).alias("out"))
+    def placed(every: Column) -> Column:
+        def gaps(ended: Column) -> Column:
+            return F.transform(every, lambda s, k: F.greatest(s["start"] - F.get(ended, k), F.lit(0)))
+
+        def items(gap: Column) -> Column:
+            return bound(running_sum(gap), lambda free: F.transform(every, lambda s, k: F.struct(s.alias("span"), (F.get(free, k) + F.get(gap, k)).alias("free"))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{item}>").alias("out"))
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["out"])
+        return bound(bound(running_max(F.transform(every, lambda s: s["end"])), gaps), items)
+
+    return bound(F.array_sort(spans), placed)
 
 
 def linked(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -104,10 +126,13 @@ def linked(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     has_weak = found.where(F.size("__weak") > 0).select(F.col(id_col).alias("e_id"), F.col("__digest").alias("e_digest"), "__base", "__weak").dropDuplicates(["e_id", "e_digest"])
     each = has_weak.select("e_id", "e_digest", F.explode(in_free_text(F.concat("__base", "__weak"))).alias("part"))
     each = each.select("e_id", "e_digest", "part.span", "part.free").select("*", role.alias("role"), F.floor(F.col("free") / SCOPE).alias("cell"))
-    weak = each.where(F.col("span.ord") >= len(BASE))
-    near = each.select(F.col("e_id").alias("n_id"), F.col("e_digest").alias("n_digest"), F.col("free").alias("n_free"), F.col("role").alias("n_role"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
-    meets = F.col("e_id").eqNullSafe(F.col("n_id")) & (F.col("e_digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell")) & (F.abs(F.col("free") - F.col("n_free")) <= SCOPE)
-    pairs = [weak.where(mine).join(near.where(other), meets, "left_semi") for mine, other in ((F.col("role") == "secret", F.col("n_role") != "secret"), (F.col("role") != "secret", F.col("n_role") == "secret"))]
+    # all parts of a cell lie in scope of each other, and of those beside it the nearest decides
+    cells = each.groupBy("e_id", "e_digest", "cell", (F.col("role") == "secret").alias("secret")).agg(F.min("free").alias("least"), F.max("free").alias("most"))
+    near = cells.select(F.col("e_id").alias("n_id"), F.col("e_digest").alias("n_digest"), "least", "most", F.col("secret").alias("n_secret"), F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))).alias("n_cell"))
+    meets = F.col("e_id").eqNullSafe(F.col("n_id")) & (F.col("e_digest") == F.col("n_digest")) & (F.col("cell") == F.col("n_cell"))
+    in_scope = (F.col("least") <= F.col("free") + SCOPE) & (F.col("most") >= F.col("free") - SCOPE)
+    weak = each.where(F.col("span.ord") >= len(BASE)).withColumn("secret", F.col("role") == "secret")
+    pairs = [weak.where(mine).join(near.where(other), meets & in_scope, "left_semi") for mine, other in ((F.col("secret"), ~F.col("n_secret")), (~F.col("secret"), F.col("n_secret")))]
     return reduce(DataFrame.unionByName, pairs).groupBy("e_id", "e_digest").agg(F.collect_set("span").alias("extra"))
 
 
@@ -140,10 +165,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = with_spans(table(parts(docs, text_col, docs.columns), "secret-texts"), id_col)
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        cut = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, cut).otherwise(acc["out"]).alias("out"))
+    def masked(marks: Column) -> Column:
+        # a run of spans reads its stretch of the text only, as finding a position walks from the start
+        def stretch(run: Column) -> Column:
+            from_ = F.get(run, F.lit(0))["ended"]
+            last = F.element_at(run, F.lit(-1))["span"]
+            till = F.greatest(F.element_at(run, F.lit(-1))["ended"], last["start"])
+            part = lambda own: F.array_join(F.transform(run, lambda m: F.when(m["span"]["start"] >= m["ended"], F.concat(own.substr(m["ended"] - from_ + 1, m["span"]["start"] - m["ended"]), F.lit(MASK)))), "")
+            return bound(text.substr(from_ + 1, till - from_), part)
+
+        end = F.greatest(F.element_at(marks, F.lit(-1))["ended"], F.element_at(marks, F.lit(-1))["span"]["end"])
+        return F.concat(F.array_join(F.transform(runs(marks), stretch), ""), text.substr(end + 1, F.length(text)))
 
-    masked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    ends = running_max(F.transform("__spans", lambda s: s["end"]))
+    masked = bound(F.arrays_zip(F.col("__spans").alias("span"), ends.alias("ended")), masked)
     return found.withColumn(text_col, F.when(F.size("__spans") == 0, text).otherwise(masked)).select(*docs.columns)
