@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ TITLE_RATIO = 0.35
 QUERY_CHARS, PREVIEW_CHARS, TITLE_CHARS, MANUSCRIPT_CHARS, SOURCE_CHARS = 250, 100, 220, 180_000, 150_000
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -41,16 +41,6 @@ def _sections(fn):
     return lambda s, d: fn(D.table(s, d, "sections"))
 
 
-def _entry_rows(sections):
-    rows = sections.select("paper", F.posexplode(R.numbered_entries(F.col("section"))).alias("ord", "e"))
-    return rows.select("paper", "ord", "e.num", "e.raw")
-
-
-def _bullet_rows(sections):
-    rows = sections.select("paper", F.posexplode(R.bulleted_entries(F.col("section"))).alias("ord", "e"))
-    return rows.select("paper", "ord", "e.num", "e.raw")
-
-
 def _merged(s, d):
     routed = C.route(D.claims(s, d), D.refs(s, d))
     slugged = routed.withColumn("source_slug", F.when(F.col("source_slug").isNotNull(), F.concat(F.lit("src-"), (F.col("id") % 5).cast("string"))))
@@ -183,10 +173,10 @@ rf AS (SELECT paper, '## Retrieval' || chr(10) || string_agg({_MANIFEST_LINE}, c
 SELECT paper, concat_ws(chr(10) || chr(10), top, ck.t, gp.t, uc.t, sc.t, rf.t) AS report FROM hd LEFT JOIN ck USING (paper) LEFT JOIN gp USING (paper) LEFT JOIN uc USING (paper) LEFT JOIN sc USING (paper) LEFT JOIN rf USING (paper)"""
 
 CLAIMS = {
-    "W5_numbered": (_sections(_entry_rows), f"{_W5} SELECT paper, CAST(num - 1 AS INT) AS ord, CAST(num AS VARCHAR) AS num, raw FROM txt"),
-    "W7_bulleted": (_sections(_bullet_rows), f"{_W7} SELECT paper, CAST(item - 1 AS INT) AS ord, CAST(item AS VARCHAR) AS num, raw FROM b"),
+    "W5_numbered": (_sections(R.numbered_rows), f"{_W5} SELECT paper, CAST(num - 1 AS INT) AS ord, CAST(num AS VARCHAR) AS num, raw FROM txt"),
+    "W7_bulleted": (_sections(R.bulleted_rows), f"{_W7} SELECT paper, CAST(item - 1 AS INT) AS ord, CAST(item AS VARCHAR) AS num, raw FROM b"),
     "W3_entry_ends": (
-        _sections(lambda t: _entry_rows(t).select("paper", "num", F.length("raw").alias("chars"))),
+        _sections(lambda t: R.numbered_rows(t).select("paper", "num", F.length("raw").alias("chars"))),
         f"{_W5} SELECT paper, CAST(num AS VARCHAR) AS num, CAST(length(raw) AS INT) AS chars FROM txt",
     ),
     "C11_parse_only": (
@@ -673,12 +663,12 @@ def _audited(s, d):
     papers = rows.select("paper").distinct().withColumn("manuscript", F.lit("m"))
     read = lambda refs: audit.Sources(refs.where(J.is_available(F.col("status")) & (F.col("slug") != "")).select("paper", "slug", F.concat(F.lit("text of "), F.col("slug")).alias("annotated_md")).dropDuplicates(["paper", "slug"]))
     outside = audit.Outside(_web, _replay, lambda body: F.lit(""), read, lambda df, _: seams.kept(df))
-    files = D.table(s, d, "files").where("name like 'garcia%'")
+    files = D.table(s, d, "files")
     return audit.audit(raw, papers, papers.limit(0), files, outside, "CLAIMS OF <<MANUSCRIPT>>", "CHECK <<CLAIMS>> OF <<SLUG>>: <<SOURCE>>", "me@example.org")
 
 
 _AUDITED = rf"""{Q.with_(Q.ENTRIES, names=("refs", "files"))},
-gf AS (SELECT * FROM files WHERE name LIKE 'garcia%'), {_P.replace("JOIN files", "JOIN gf")},
+{_P},
 st AS (SELECT e.*, CASE WHEN pv.file IS NOT NULL THEN 'provided' WHEN regexp_matches(raw, '(?i)arxiv[:\s]*\d{{4}}\.\d{{4,5}}') OR doi LIKE '%7' OR doi LIKE '%7-X' THEN 'retrieved' WHEN doi IS NULL THEN 'no_doi' ELSE 'paywalled' END AS got
   FROM e LEFT JOIN pv USING (paper, ord)),
 cl AS (SELECT paper, unnest([1, 2, 2, 3]) AS id, unnest(['1', '2', '3', '99']) AS num, unnest([0, 0, 1, 0]) AS pos FROM (SELECT DISTINCT paper FROM refs) t),

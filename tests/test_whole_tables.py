@@ -4,7 +4,7 @@ from marginalia import catalog
 from marginalia.operators import claims as C
 from marginalia.operators import coverage as V
 from marginalia.operators import ingest as I
-from marginalia.plans import catalog_tables
+from marginalia.operators import references as R
 from marginalia.plans import derived as D
 
 
@@ -36,4 +36,4 @@ def test_claims_of_every_paper_cover(spark, small):
 
 def test_bullets_of_any_paper_are_read(spark):
     rows = spark.createDataFrame([(1, "- one\n- two"), (7, "- three")], "paper long, section string")
-    assert keys(catalog_tables._bullet_rows(rows), "paper", "raw") == [(1, "one"), (1, "two"), (7, "three")]
+    assert keys(R.bulleted_rows(rows), "paper", "raw") == [(1, "one"), (1, "two"), (7, "three")]
