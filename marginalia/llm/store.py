@@ -63,6 +63,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Tables made in the block give back the disk of their shuffles once they are written, not when memory happens to be cleaned up."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Spark's own file systems."""
     jvm = spark.sparkContext._jvm

@@ -3,14 +3,12 @@
 A text is cut before white space where neither vocabulary can merge across
 (``Cutter``).  Texts are taken in blocks of some megabytes: a block keeps its
 distinct segments and, for each text, their numbers.  The distinct segments of
-all blocks are tokenised by both tokenizers and aligned, once each; blocks meet
-their segments' alignments again and compose their texts from them.  As all
-links lie inside a segment, counts of linked id pairs, and sums of counts over
-links, are sums over segments too.
-
-A block holds each of its segments once and a text each of its pairs, so
-however common a segment or pair is, its rows grow with the blocks, not with
-the occurrences.  A text is never split among blocks; one longer than a block
+all blocks are tokenised by both tokenizers and aligned, once each; a block meets
+its segments' alignments again, and counts in how many of its texts it has each
+id pair; the pairs' totals come back to the block, which then composes its texts.
+
+A block holds each of its segments and pairs once, so however common one is,
+its rows grow with the blocks, not with the occurrences.  A text is never split among blocks; one longer than a block
 is a block by itself.
 
 Null and empty texts, and those that either tokenizer doesn't give back byte by
@@ -25,7 +23,6 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .store import table, temporary
+from .store import table, temporary, tidy
 from .textops import chunks, release
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Segments tokenised at once.
 BATCH = 4096
+#: Segments of texts whose pairs are counted at once; a text of more is counted alone.
+COUNTED = 100_000
+#: Tokens of a segment are kept in so many bytes each.
+ID = "<u4"
 _SPACE = "▁"
 
 
@@ -127,129 +128,201 @@ def _ints(values: np.ndarray) -> bytes:
 
 
 def _blocks(a_path: str, b_path: str, id_type: pa.DataType):
-    schema = pa.schema([("block", pa.string()), ("ids", pa.list_(id_type)), ("first", pa.binary()), ("which", pa.binary()), ("segments", pa.list_(pa.string()))])
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("first", pa.binary()), ("which", pa.binary()), ("segments", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(a_path, b_path)
         for batch in batches:
             for at, chunk in chunks(batch.column(1), BLOCK_BYTES):
-                inner = cut.cuts(chunk.data)
-                inner = inner[~np.isin(inner + 1, chunk.offsets)]  # a last space alone would be an empty text to the pieces
-                starts = np.union1d(inner, chunk.offsets[:-1])
-                starts = starts[starts < len(chunk.data)]
+                inner, edge = cut.cuts(chunk.data), np.zeros(len(chunk.data) + 1, bool)
+                edge[chunk.offsets] = True
+                edge[inner[~edge[inner + 1]]] = True  # a last space alone would be an empty text to the pieces
+                starts = np.flatnonzero(edge[:-1])
                 bounds = np.r_[starts, len(chunk.data)]
                 texts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(chunk.data)))
                 coded = texts.dictionary_encode()
                 first = np.searchsorted(starts, chunk.offsets)
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 numbers = [pa.array([_ints(x)]) for x in (first, coded.indices.to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), one(batch.column(0).slice(at, chunk.n)), *numbers, one(coded.dictionary)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), one(batch.column(0).slice(at, chunk.n)), *numbers, one(coded.dictionary)], schema=schema)
         release()
 
     return run
 
 
-ALIGNED = "segment string, given_back boolean, n_a int, n_b int, groups string, n_groups int, pairs array<long>"
-
-
-def align(segment: bytes, a: list[int], b: list[int], a_bytes, b_bytes) -> tuple | None:
-    """(groups text, their number, links as a << 32 | b in order) of one segment; None where the tokens don't give it back."""
-    of_a, of_b = [a_bytes[k] for k in a], [b_bytes[k] for k in b]
-    if b"".join(of_a) != segment or b"".join(of_b) != segment:
-        return None
-    a_ends, b_ends = list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))
-    groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            i0, j0 = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return ";".join(groups), len(groups), links
+ALIGNED = "segment string, a binary, b binary, moves binary"
+A_ENDS, B_ENDS = 1, 2  #: moves, one for each link: which of its tokens ends with it
+
+
+class Aligner:
+    """Segments tokenised by both tokenizers and aligned, many at once."""
+
+    def __init__(self, a_path: str, b_path: str):
+        (self.tok, a_bytes), (self.model, b_bytes) = _byte_level(a_path), _pieces(b_path)
+        self.cutter = cutter(a_path, b_path)
+        self.a_bytes = [a_bytes.get(k, b"") for k in range(max(a_bytes) + 1)]
+        self.b_bytes = b_bytes
+        self.a_size, self.b_size = (np.array([len(x) for x in of]) for of in (self.a_bytes, self.b_bytes))
+
+    def align(self, segments: list[str]) -> list[tuple[bytes, bytes, bytes] | None]:
+        """(A ids, B ids, moves) of each segment; None where its tokens don't give it back."""
+        if not segments:
+            return []
+        raw = [x.encode() for x in segments]
+        # segments that may be cut apart may be tokenised as one text
+        bounds, apart = np.cumsum([len(x) for x in raw]), np.zeros(sum(map(len, raw)) + 1, bool)
+        apart[self.cutter.cuts(np.frombuffer(b"".join(raw), np.uint8))] = True
+        at = [0, *(np.flatnonzero(~apart[bounds[:-1]]) + 1).tolist(), len(raw)]
+        return [x for i, j in zip(at, at[1:], strict=False) for x in self._together(raw[i:j])]
+
+    def _together(self, raw: list[bytes]) -> list[tuple[bytes, bytes, bytes] | None]:
+        found = self._joined(b"".join(raw), np.cumsum([len(x) for x in raw]))
+        if found or len(raw) == 1:
+            return found or [None]
+        half = len(raw) // 2
+        return self._together(raw[:half]) + self._together(raw[half:])
+
+    def _joined(self, whole: bytes, bounds: np.ndarray) -> list[tuple[bytes, bytes, bytes]] | None:
+        text = whole.decode()
+        a = self.tok.encode(text, add_special_tokens=False).ids
+        b = self.model.encode(text[1:])  # which adds the space again
+        if b"".join([self.a_bytes[k] for k in a]) != whole or b"".join([self.b_bytes[k] for k in b]) != whole:
+            return None
+        a, b = np.array(a), np.array(b)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        marks = np.zeros(len(whole) + 1, np.uint8)
+        marks[a_ends] = A_ENDS
+        marks[b_ends] |= B_ENDS
+        if (marks[bounds] != A_ENDS | B_ENDS).any():
+            return None
+        # each stretch between two ends of either kind is one pair of tokens that share bytes
+        ends = np.flatnonzero(marks)
+        moves = marks[ends].tobytes()
+        a, b, w = a.astype(ID).tobytes(), b.astype(ID).tobytes(), np.dtype(ID).itemsize
+        at = [np.r_[0, np.searchsorted(of, bounds) + 1].tolist() for of in (a_ends, b_ends, ends)]
+        return [(a[w * i : w * i2], b[w * j : w * j2], moves[k:k2]) for i, i2, j, j2, k, k2 in zip(at[0], at[0][1:], at[1], at[1][1:], at[2], at[2][1:], strict=False)]
 
 
 def _aligned(a_path: str, b_path: str):
-    types = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64())]
-    names = ["segment", "given_back", "n_a", "n_b", "groups", "n_groups", "pairs"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tok, a_bytes), (model, b_bytes) = _byte_level(a_path), _pieces(b_path)
+        own = Aligner(a_path, b_path)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                texts = batch.column(0).slice(at, BATCH).to_pylist()
-                a = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
-                b = model.encode([x[1:] for x in texts], num_threads=1)  # which adds the space again
-                rows = []
-                for text, x, y in zip(texts, a, b, strict=True):
-                    found = align(text.encode(), x, y, a_bytes, b_bytes)
-                    rows.append((text, True, len(x), len(y), *found) if found else (text, False, 0, 0, "", 0, []))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                texts = batch.column(0).slice(at, BATCH)
+                rows = [x or (None, None, None) for x in own.align(texts.to_pylist())]
+                yield pa.RecordBatch.from_arrays([texts, *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["segment", "a", "b", "moves"])
         release()
 
     return run
 
 
+def _flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of binary fields end to end, and how many each has."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.dtype(dtype).itemsize
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data is not None and len(data) else np.zeros(0, dtype)
+    return values, np.diff(offsets) // size
+
+
 class _Block:
-    """A block's texts as numbers of segments, and what its segments carry, in that numbering."""
-
-    def __init__(self, block: pa.Table, segments: pa.Table):
-        self.ids = block.column("ids").combine_chunks().flatten()
-        self.first = np.frombuffer(block.column("first")[0].as_py(), "<i4")
-        self.which = np.frombuffer(block.column("which")[0].as_py(), "<i4")
-        order = np.argsort(segments.column("number").to_numpy())
-        self.segments = segments.take(pa.array(order))
-        self.n = len(self.first) - 1
-        self.text = np.repeat(np.arange(self.n), np.diff(self.first))
-        lost = ~self.numbers("given_back").astype(bool)
-        self.lost = np.bincount(self.text, lost[self.which], self.n) > 0
+    """A block's texts as numbers of segments, and its segments' alignments end to end in that numbering.
 
-    def numbers(self, name: str) -> np.ndarray:
-        return self.segments.column(name).to_numpy().astype(np.int64)
+    ``row`` is as ``_blocks`` made it or, with ``segments`` None, as ``_counted`` did.
+    """
 
-    def total(self, values: np.ndarray) -> np.ndarray:
+    def __init__(self, row: pa.Table, segments: pa.Table | None):
+        get = lambda name, dtype: np.frombuffer(row.column(name)[0].as_py(), dtype)
+        self.ids = row.column("ids").combine_chunks().flatten()
+        self.first, self.which = get("first", "<i4"), get("which", "<i4")
+        self.n = len(self.first) - 1
+        self.text = np.repeat(np.arange(self.n), np.diff(self.first))
+        if segments is None:
+            self.a, self.b, self.moves = get("a", ID), get("b", ID), get("moves", np.uint8)
+            self.sizes = [get(f"n_{c}", "<i4") for c in ("a", "b", "moves")]
+        else:
+            ordered = segments.take(pa.array(np.argsort(segments.column("number").to_numpy())))
+            (self.a, *n_a), (self.b, *n_b), (self.moves, *n_moves) = _flat(ordered.column("a"), ID), _flat(ordered.column("b"), ID), _flat(ordered.column("moves"), "u1")
+            self.sizes = [*n_a, *n_b, *n_moves]
+        # what isn't given back has no token at all, and a segment is never empty
+        self.lost = np.bincount(self.text, (self.sizes[0] == 0)[self.which], self.n) > 0 if len(self.which) else np.zeros(self.n, bool)
+        a_ends, b_ends = self.moves & A_ENDS > 0, self.moves & B_ENDS > 0
+        self.links = self.a.astype(np.int64)[np.cumsum(a_ends) - a_ends] << 32 | self.b[np.cumsum(b_ends) - b_ends]
+        self.begin = np.r_[0, np.cumsum(self.sizes[2])]
+
+    def per_segment(self, of_links: np.ndarray) -> np.ndarray:
+        run = np.r_[0, np.cumsum(of_links)]
+        return run[self.begin[1:]] - run[self.begin[:-1]]
+
+    def per_text(self, of_segments: np.ndarray) -> np.ndarray:
         """Sum of a value of each segment over each text; 0 for texts without tokens."""
-        run = np.r_[0, np.cumsum(values[self.which])]
+        run = np.r_[0, np.cumsum(of_segments[self.which].astype(np.int64))]
         return np.where(self.lost, 0, run[self.first[1:]] - run[self.first[:-1]])
 
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, and how many texts hold each."""
+        pairs, number = np.unique(self.links, return_inverse=True)
+        count, at = np.zeros(len(pairs), np.int64), 0
+        while at < self.n:
+            to = max(at + 1, int(np.searchsorted(self.first, self.first[at] + COUNTED, side="right")) - 1)
+            span = slice(self.first[at], self.first[to])
+            good = ~self.lost[self.text[span]]
+            once = np.unique(self.text[span][good] * len(self.sizes[2]) + self.which[span][good])  # each segment once a text
+            text, segment = once // len(self.sizes[2]), once % len(self.sizes[2])
+            n = self.sizes[2][segment]
+            link = np.repeat(self.begin[segment] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            held = np.unique(np.repeat(text, n) * max(1, len(pairs)) + number[link])
+            count += np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+            at = to
+        return pairs[count > 0], count[count > 0]
+
+    def groups(self) -> list[str]:
+        """The groups of each segment as text."""
+        both = np.flatnonzero(self.moves == A_ENDS | B_ENDS)
+        a_at = np.r_[0, np.cumsum(self.moves & A_ENDS > 0)[both]].tolist()
+        b_at = np.r_[0, np.cumsum(self.moves & B_ENDS > 0)[both]].tolist()
+        names = list(map(str, range(max(self.a.max(initial=0), self.b.max(initial=0)) + 1)))
+        a, b = ([names[k] for k in x.tolist()] for x in (self.a, self.b))
+        each = [",".join(a[i:i2]) + "|" + ",".join(b[j:j2]) for i, i2, j, j2 in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
+        ends = np.searchsorted(both, self.begin).tolist()
+        return [";".join(each[k:k2]) for k, k2 in zip(ends, ends[1:], strict=False)]
+
+
+def _counted(id_type: pa.DataType):
+    fields = [("block", pa.int64()), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("first", "which", "a", "b", "moves", "n_a", "n_b", "n_moves")), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+    schema = pa.schema(fields)
+
+    def run(block: pa.Table, segments: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        own = _Block(block, segments)
+        pairs, counts = own.pair_counts()
+        packed = [own.a.tobytes(), own.b.tobytes(), own.moves.tobytes(), *map(_ints, own.sizes)]
+        return pa.table([*(block.column(c) for c in ("block", "ids", "first", "which")), *([x] for x in packed), [pairs], [counts]], schema=schema)
 
-def _pair_counts(key, block: pa.Table, segments: pa.Table) -> pa.Table:
-    """Pairs of a block and how many of its texts hold each."""
-    if not block.num_rows or not segments.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    own = _Block(block, segments)
-    lists = own.segments.column("pairs").combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    pairs, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    good = ~own.lost[own.text]
-    held = np.unique(own.text[good] * len(size) + own.which[good])  # each segment once a text
-    text, which = held // len(size), held % len(size)
-    n = size[which]
-    at = np.repeat(begin[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-    once = np.unique(np.repeat(text, n) * max(1, len(pairs)) + number[at])
-    count = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
-    return pa.table({"pair": pairs[count > 0], "n": count[count > 0].astype(np.int64)})
+    return run
 
 
 def _composed(id_field: pa.Field):
     schema = pa.schema([id_field, *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string())])
 
-    def run(key, block: pa.Table, segments: pa.Table) -> pa.Table:
+    def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         if not block.num_rows:
             return schema.empty_table()
-        if not segments.num_rows:  # only texts without segments
-            n = len(block.column("ids").combine_chunks().flatten())
-            zero = [pa.array(np.zeros(n, np.int64))] * 6
-            return pa.table([block.column("ids").combine_chunks().flatten(), *zero, pa.array([""] * n)], schema=schema)
-        own = _Block(block, segments)
-        sums = [pa.array(own.total(own.numbers(c))) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-        shown, which = own.segments.column("groups").to_pylist(), own.which.tolist()
-        texts = ["" if own.lost[k] else ";".join([shown[x] for x in which[own.first[k] : own.first[k + 1]]]) for k in range(own.n)]
-        return pa.table([own.ids, *sums, pa.array(texts, pa.string())], schema=schema)
+        own = _Block(block, None)
+        # pairs that only texts without tokens hold were not counted
+        total, best = np.zeros(len(own.links), np.int64), np.zeros(len(own.links), np.int64)
+        if counts.num_rows:
+            counts = counts.sort_by("pair")
+            known = counts.column("pair").to_numpy()
+            at = np.minimum(np.searchsorted(known, own.links), len(known) - 1)
+            hit = known[at] == own.links
+            total, best = (np.where(hit, counts.column(c).to_numpy()[at], 0) for c in ("n", "best"))
+        of_segments = [own.sizes[0], own.sizes[1], own.per_segment(own.moves == A_ENDS | B_ENDS), own.sizes[2], own.per_segment(best), own.per_segment(total)]
+        shown, first = own.groups(), own.first.tolist()
+        texts = ["" if own.lost[k] else ";".join([shown[x] for x in own.which[first[k] : first[k + 1]].tolist()]) for k in range(own.n)]
+        return pa.table([own.ids, *(pa.array(own.per_text(x)) for x in of_segments), pa.array(texts, pa.string())], schema=schema)
 
     return run
 
@@ -267,22 +340,20 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     id_type = docs.schema[id_col].dataType
     kind = id_type.simpleString()
     arrow_id = to_arrow_type(id_type)
-    with temporary(docs.sparkSession):
+    with temporary(docs.sparkSession), tidy(docs.sparkSession):
         whole = docs.select(F.col(id_col), F.when(F.length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col))).alias("text"))
-        blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"block string, ids array<{kind}>, first binary, which binary, segments array<string>"), "align-blocks")
+        blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"block long, ids array<{kind}>, first binary, which binary, segments array<string>"), "align-blocks")
         held = blocks.select(F.col("block").alias("owner"), F.posexplode("segments").alias("number", "segment"))
-        distinct = held.select("segment").distinct()
-        aligned = table(distinct.mapInArrow(_aligned(a_path, b_path), ALIGNED), "align-segments")
-        numbers = blocks.select("block", "ids", "first", "which").groupBy("block")
-        first = held.join(aligned.select("segment", "given_back", "pairs"), "segment").drop("segment").groupBy("owner")
-        counts = numbers.cogroup(first).applyInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        counts = table(counts.withColumn("a", F.shiftright("pair", 32)), "align-pairs")
-        best = counts.groupBy("a").agg(F.max("n").alias("most"))
-        counts = counts.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-        links = aligned.select("segment", F.explode("pairs").alias("pair")).groupBy("segment", "pair").agg(F.count("*").alias("times"))
-        worth = links.join(counts, "pair").groupBy("segment").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)  # noqa: E731 - segments of texts without tokens only
-        full = aligned.join(worth, "segment", "left").select("segment", "given_back", "n_a", "n_b", "groups", "n_groups", F.size("pairs").alias("n_links"), zero("n_best"), zero("count_sum"))
-        second = held.join(table(full, "align-worth"), "segment").drop("segment").groupBy("owner")
+        aligned = table(held.select("segment").distinct().mapInArrow(_aligned(a_path, b_path), ALIGNED), "align-segments")
+        met = held.join(aligned, "segment").select("owner", "number", "a", "b", "moves").groupBy("owner")
+        packed = "a binary, b binary, moves binary, n_a binary, n_b binary, n_moves binary, pairs array<long>, counts array<long>"
+        counted = blocks.drop("segments").groupBy("block").cogroup(met).applyInArrow(_counted(arrow_id), f"block long, ids array<{kind}>, first binary, which binary, {packed}")
+        counted = table(counted, "align-counted")
+        pairs = counted.select(F.col("block").alias("owner"), F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("owner", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("own"))
+        totals = table(pairs.groupBy("pair").agg(F.sum("own").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
+        best = totals.groupBy("a").agg(F.max("n").alias("most"))
+        totals = totals.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+        totals = pairs.select("owner", "pair").join(totals, "pair").groupBy("owner")
         out = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-        return table(numbers.cogroup(second).applyInArrow(_composed(pa.field(id_col, arrow_id)), out), "alignments", keep=True)
+        rows = counted.drop("pairs", "counts").groupBy("block").cogroup(totals).applyInArrow(_composed(pa.field(id_col, arrow_id)), out)
+        return table(rows, "alignments", keep=True)
