@@ -110,7 +110,7 @@ def bulleted_entries(section: Column) -> Column:
 
 # -- sections of any length ------------------------------------------------------
 #: Lines that are folded in one go; a longer section is cut into stretches of so many.
-STRETCH = 500
+STRETCH = 2000
 
 
 def _is_long(section: Column, stretch: int) -> Column:
@@ -156,7 +156,7 @@ def _followed(links: DataFrame, first: DataFrame, keep: Keep) -> DataFrame:
         ahead = keep(reached.join(links, ids).select("paper", F.col("to_at").alias("at"), F.col("to_e").alias("e")))
         if ahead.isEmpty():
             return reached
-        reached = keep(reached.unionByName(ahead))
+        reached = reached.unionByName(ahead)
         on = links.select("paper", F.col("at").alias("to_at"), F.col("e").alias("to_e"), F.col("to_at").alias("far_at"), F.col("to_e").alias("far_e"))
         links = keep(links.join(on, ["paper", "to_at", "to_e"]).select(*ids, F.col("far_at").alias("to_at"), F.col("far_e").alias("to_e")))
 

@@ -16,8 +16,8 @@ from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
-from ..sources import case, json_files, requests, seams
-from . import audit
+from ..sources import case, case_sink, json_files, requests, seams
+from . import audit, case_files
 from . import derived as D
 from . import sql as Q
 
@@ -62,6 +62,35 @@ def _round_trip(s, d):
     return back.select("paper", "t.summary.total", "t.summary.available", F.posexplode("j.entries").alias("ord", "e")).select("paper", "total", "available", (F.col("ord") + 1).alias("ord"), "e.num", "e.raw", "e.doi", "e.status", "e.slug")
 
 
+def _filed(s, files):
+    """The folder of files written through the sink, and what was written."""
+    root = seams.shared_folder(s, "cases")
+    return root, case_sink.write_files(files, root)
+
+
+def _case_of(path):
+    return F.regexp_extract(path, r"/(\d+)/(?:out/)?[^/]+$", 1).cast("long").alias("paper")
+
+
+def _manifest_files(s, d):
+    """Manifests written as files of their cases and read back from there."""
+    refs = D.refs(s, d).withColumns({"manuscript": F.lit("m"), "title": F.lit(None).cast("string")})
+    root, listed = _filed(s, json_files.manifest_json(refs).select(F.col("paper").cast("string").alias("case"), F.lit(case.MANIFEST).alias("path"), F.col("json").alias("content")))
+    back = json_files.manifests(s, f"{root}/*/{case.MANIFEST}").join(listed.select(F.col("case").alias("paper")), "paper", "left_semi")
+    rows = seams.kept(back.select(F.col("paper").cast("long").alias("paper"), (F.col("ord") + 1).alias("ord"), "num", "raw", "doi", "status", "slug"))
+    seams.remove(s, root)
+    return rows
+
+
+def _report_files(s, d):
+    """Reports written as files of their cases and read back, with the size and digest that the sink lists."""
+    root, listed = _filed(s, _report(s, d).select(F.col("paper").cast("string").alias("case"), F.lit(case_files.REPORT).alias("path"), F.col("report").alias("content")))
+    back = s.read.text(f"{root}/*/{case_files.REPORT}", wholetext=True).select(_case_of(F.input_file_name()), F.col("value").alias("report"))
+    rows = seams.kept(back.join(listed.select(F.col("case").cast("long").alias("paper"), "n_bytes", "sha256"), "paper"))
+    seams.remove(s, root)
+    return rows
+
+
 def _runs(s, d):
     """What a report says of the run: half of the papers were read as flat text."""
     rows = D.table(s, d, "ref_lines").select("paper").distinct()
@@ -249,6 +278,8 @@ FROM r JOIN claim_rows USING (paper, id) WHERE r.source_slug IS NOT NULL GROUP B
     "K4b_html": (_pages("editor"), None),
     "K4b_terminal": (_pages("terminal"), None),
     "K4_report": (_report, _REPORT),
+    "K1_manifest_files": (_manifest_files, f"{_E} SELECT paper, ord, num, raw, doi, status, slug FROM e"),
+    "K4_report_files": (_report_files, f"SELECT paper, report, CAST(strlen(report) AS BIGINT) AS n_bytes, sha256(report) AS sha256 FROM ({_REPORT}) t"),
 }
 
 

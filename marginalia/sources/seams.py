@@ -7,6 +7,7 @@ tests and offline runs put a replay there.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from threading import Thread
 
@@ -149,14 +150,26 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]], seconds:
     return requests.select("key", "url").mapInPandas(run, "key string, url string, status int, body binary, error string")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors both reach it: below the session's checkpoint folder, or on one machine in a folder made for it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, written to the session's checkpoint folder and cut off from how they were made; on one machine a folder is made where none is set."""
-    spark = df.sparkSession.sparkContext
-    if spark.getCheckpointDir() is None:
-        named = spark.getConf().get("spark.checkpoint.dir")
-        if not named and not spark.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-"))
+    shared_folder(df.sparkSession, "kept")
     return df.checkpoint()
 
 

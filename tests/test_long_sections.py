@@ -73,10 +73,10 @@ def long_section(lines):
 
 def test_a_long_section_is_dealt_to_tasks(spark):
     rows = spark.createDataFrame([(1, long_section(60_000))], "paper long, section string")
-    stretches = R._stretches(rows, R._lines, R.STRETCH).repartition(8, "paper", "at")
+    stretches = R._stretches(rows, R._lines, 500).repartition(8, "paper", "at")
     per_task = [r[1] for r in stretches.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 120 and max(per_task) < 40
-    found = by_paper(R.numbered_rows(rows))[1]
+    found = by_paper(R.numbered_rows(rows, 500))[1]
     assert found == numbered(long_section(60_000))
 
 
