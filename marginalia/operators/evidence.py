@@ -48,6 +48,25 @@ def phrase_hits(claims: DataFrame, words: DataFrame) -> DataFrame:
     return whole.where("found = n").select(*KEY, "phrase", "pos", G.box(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("hit"))
 
 
+def indexed_hits(claims: DataFrame, index: DataFrame) -> DataFrame:
+    """``phrase_hits`` from stored postings (paper, slug, page, word, hits), as of ``sources.page_index``.
+
+    A phrase meets the postings of its own words only; where it begins is what
+    their places, each less its word's number, have in common.
+    """
+    phrases = claims.select(*KEY, F.col("source_slug").alias("slug"), F.col("source_page").alias("page"), F.posexplode("anchor_phrases").alias("phrase", "text"))
+    cut = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    parts = phrases.withColumn("cut", cut).select(*KEY, "slug", "page", "phrase", F.size("cut").alias("n"), F.posexplode("cut").alias("k", "word"))
+    met = parts.join(index, ["paper", "slug", "page", "word"]).groupBy(*KEY, "phrase", "n").agg(F.array_sort(F.collect_list(F.struct("k", "hits"))).alias("words")).where("size(words) = n")
+    begins = lambda p: F.transform(p["hits"], lambda h: h["pos"] - p["k"])
+    common = F.aggregate(F.slice("words", F.lit(2), F.size("words")), begins(F.get("words", F.lit(0))), lambda acc, p: F.array_intersect(acc, begins(p)))
+    # the places of each word of the phrase at those beginnings
+    places = F.flatten(F.transform("words", lambda p: F.transform(F.filter(p["hits"], lambda h: F.array_contains(F.col("common"), h["pos"] - p["k"])), lambda h: F.struct((h["pos"] - p["k"]).alias("pos"), h["x0"].alias("x0"), h["y0"].alias("y0"), h["x1"].alias("x1"), h["y1"].alias("y1")))))
+    each = met.withColumn("common", common).where("size(common) > 0").select(*KEY, "phrase", F.explode(places).alias("h"))
+    whole = each.select(*KEY, "phrase", "h.*").groupBy(*KEY, "phrase", "pos").agg(*_union())
+    return whole.select(*KEY, "phrase", "pos", G.box(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("hit"))
+
+
 def _union() -> list[Column]:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 
@@ -64,13 +83,15 @@ def hit_regions(hits: DataFrame) -> DataFrame:
     return rows.select(*KEY, _around().alias("region"))
 
 
-def crops(claims: DataFrame, blocks: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
+def crops(claims: DataFrame, blocks: DataFrame, words: DataFrame | None, pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """(paper, id, file, region, zoom, boxes): what to draw for each claim; pages: paper, slug, page, width, height.
 
+    hits: those of ``indexed_hits``, where the pages' words are indexed.
+
     A claim's hits are found once and stay with it as an array, from which the
     region and the boxes inside it are read.
     """
-    each = phrase_hits(claims, words).select(*KEY, "phrase", "pos", "hit", "hit.*")
+    each = (phrase_hits(claims, words) if hits is None else hits).select(*KEY, "phrase", "pos", "hit", "hit.*")
     per = each.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("phrase", "pos", "hit"))).alias("hits"), *_union())
     per = per.select(*KEY, "hits", _around().alias("around"))
     own = block_regions(claims, blocks).withColumnRenamed("region", "own")

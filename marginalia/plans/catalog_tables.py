@@ -16,7 +16,7 @@ from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
-from ..sources import case, case_sink, json_files, requests, seams
+from ..sources import case, case_sink, json_files, page_index, requests, seams
 from . import audit, case_files
 from . import derived as D
 from . import sql as Q
@@ -742,12 +742,17 @@ def _phrased(s, d):
 
 
 def _hits(s, d):
-    return E.phrase_hits(_phrased(s, d), _words(s, d))
+    """Places of the phrases, looked up in an index of all pages."""
+    index = page_index.PageIndex(s, seams.shared_folder(s, "pages"), buckets=int(s.conf.get("spark.sql.shuffle.partitions")), paper="long")
+    index.append(_words(s, d))
+    rows = seams.kept(E.indexed_hits(_phrased(s, d), index.table()))
+    index.drop()
+    return rows
 
 
 def _crops(s, d):
     pages = _source_blocks(s, d).select("paper", "slug", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
-    return E.crops(_phrased(s, d), _source_blocks(s, d), _words(s, d), pages).select(*_CLAIM, "file", "region.*", "zoom", F.size("boxes").alias("n_boxes"))
+    return E.crops(_phrased(s, d), _source_blocks(s, d), None, pages, _hits(s, d)).select(*_CLAIM, "file", "region.*", "zoom", F.size("boxes").alias("n_boxes"))
 
 
 _SB = f"{Q.with_(Q.BLOCKS, names=('raw_blocks', 'claim_rows'))}, sb AS (SELECT *, 'src-' || CAST(seq % 5 AS VARCHAR) AS slug FROM b), s1 AS (SELECT * FROM sb QUALIFY row_number() OVER (PARTITION BY paper, slug, id ORDER BY seq) = 1)"
