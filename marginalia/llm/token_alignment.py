@@ -2,13 +2,16 @@
 
 A text is cut before white space where neither vocabulary can merge across
 (``Cutter``).  Texts are taken in blocks of some megabytes: a block keeps its
-distinct segments and, for each text, their numbers.  The distinct segments of
-all blocks are tokenised by both tokenizers and aligned, once each; a block meets
-its segments' alignments again, and counts in how many of its texts it has each
-id pair; the pairs' totals come back to the block, which then composes its texts.
+distinct segments and, for each text, their numbers.  Segments are dealt out by
+their hash, many in a row; where equal ones of all blocks meet they are
+tokenised by both tokenizers and aligned, once each, and go back to their blocks.
+A block then counts in how many of its texts it has each id pair; the pairs'
+totals come back to the block, which composes its texts.
 
 A block holds each of its segments and pairs once, so however common one is,
-its rows grow with the blocks, not with the occurrences.  A text is never split among blocks; one longer than a block
+its rows grow with the blocks, not with the occurrences; and beyond SHARE
+blocks a segment is aligned once for each SHARE of them, so that no task meets
+more.  A text is never split among blocks; one longer than a block
 is a block by itself.
 
 Null and empty texts, and those that either tokenizer doesn't give back byte by
@@ -39,8 +42,8 @@ BLOCK_BYTES = 8 << 20
 BATCH = 4096
 #: Segments of texts whose pairs are counted at once; a text of more is counted alone.
 COUNTED = 100_000
-#: Tokens of a segment are kept in so many bytes each.
-ID = "<u4"
+#: Segments of blocks that a task aligns in one go, and blocks that may share a segment's alignment.
+DEALT, SHARE = 200_000, 100_000
 _SPACE = "▁"
 
 
@@ -123,12 +126,27 @@ def cutter(a_path: str, b_path: str) -> Cutter:
     return Cutter([*_byte_level(a_path)[1].values(), *_pieces(b_path)[1]])
 
 
-def _ints(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values, dtype="<i4").tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Numbers in little space: first all their lowest bytes, then all the next ones, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpack(packed: bytes, dtype: str) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], size, "zstd", asbytes=True) if size else b""
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
+def _reordered(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of ``values`` of given sizes in another order."""
+    n = sizes[order].astype(np.int64)
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
+    return values[np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def _blocks(a_path: str, b_path: str, id_type: pa.DataType):
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("first", pa.binary()), ("which", pa.binary()), ("segments", pa.list_(pa.string()))])
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("first", "which", "texts", "sizes")), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(a_path, b_path)
@@ -138,26 +156,74 @@ def _blocks(a_path: str, b_path: str, id_type: pa.DataType):
                 edge[chunk.offsets] = True
                 edge[inner[~edge[inner + 1]]] = True  # a last space alone would be an empty text to the pieces
                 starts = np.flatnonzero(edge[:-1])
-                bounds = np.r_[starts, len(chunk.data)]
-                texts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(chunk.data)))
-                coded = texts.dictionary_encode()
-                first = np.searchsorted(starts, chunk.offsets)
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                numbers = [pa.array([_ints(x)]) for x in (first, coded.indices.to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), one(batch.column(0).slice(at, chunk.n)), *numbers, one(coded.dictionary)], schema=schema)
+                coded = strings(chunk.data, np.r_[starts, len(chunk.data)]).dictionary_encode()
+                which, n = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+                # frequent segments get small numbers
+                order = np.argsort(-np.bincount(which, minlength=n), kind="stable")
+                place = np.empty(n, np.int32)
+                place[order] = np.arange(n, dtype=np.int32)
+                data, offsets = laid(coded.dictionary)
+                sizes = np.diff(offsets).astype("<u4")
+                packed = [np.searchsorted(starts, chunk.offsets).astype("<i4"), place[which], _reordered(data, sizes, order), sizes[order]]
+                ids = batch.column(0).slice(at, chunk.n)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), ids, *(pa.array([pack(x)], pa.binary()) for x in packed), pa.array([n])], schema=schema)
         release()
 
     return run
 
 
-ALIGNED = "segment string, a binary, b binary, moves binary"
-A_ENDS, B_ENDS = 1, 2  #: moves, one for each link: which of its tokens ends with it
+def strings(data: np.ndarray, offsets: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def laid(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of strings end to end, and where each begins and the last ends."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+A_ENDS, B_ENDS, LAST = 1, 2, 4  #: moves, one for each link: which of its tokens ends with it, and whether it ends its segment
+
+
+def id_type(a_path: str, b_path: str) -> str:
+    """The narrowest numpy type that holds the ids of both vocabularies."""
+    most = max(_byte_level(a_path)[0].get_vocab_size(), _pieces(b_path)[0].get_piece_size())
+    return "<u2" if most <= 1 << 16 else "<u4"
+
+
+def _dealt(buckets: int, shares: int):
+    """Segments of blocks by buckets of their hash, a row for each bucket and block."""
+    schema = pa.schema([("bucket", pa.int64()), ("owner", pa.int64()), *((c, pa.binary()) for c in ("steps", "texts", "sizes"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, texts, sizes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data, sizes, bucket = unpack(texts, "u1"), unpack(sizes, "<u4"), []
+                if not len(sizes):
+                    continue
+                for _, chunk in chunks(strings(data, np.r_[0, np.cumsum(sizes, dtype=np.int64)])):
+                    bucket.append(chunk.word_hashes(chunk.offsets[:-1], chunk.offsets[1:], lower=False) % np.uint64(buckets))
+                bucket = np.concatenate(bucket).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                kinds, first = np.unique(bucket[order], return_index=True)
+                data, sizes = _reordered(data, sizes, order), sizes[order]
+                bytes_at, bounds, rows = np.r_[0, np.cumsum(sizes, dtype=np.int64)], [*first.tolist(), len(order)], []
+                for i, j in zip(bounds, bounds[1:], strict=False):
+                    rows.append((pack(np.diff(order[i:j], prepend=0).astype("<u4")), pack(data[bytes_at[i] : bytes_at[j]]), pack(sizes[i:j])))
+                yield pa.RecordBatch.from_arrays([pa.array(kinds * shares + owner % shares), pa.array(np.full(len(kinds), owner)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], schema=schema)
+        release()
+
+    return run
 
 
 class Aligner:
     """Segments tokenised by both tokenizers and aligned, many at once."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, dtype: str):
+        self.dtype = dtype
         (self.tok, a_bytes), (self.model, b_bytes) = _byte_level(a_path), _pieces(b_path)
         self.cutter = cutter(a_path, b_path)
         self.a_bytes = [a_bytes.get(k, b"") for k in range(max(a_bytes) + 1)]
@@ -196,34 +262,38 @@ class Aligner:
         if (marks[bounds] != A_ENDS | B_ENDS).any():
             return None
         # each stretch between two ends of either kind is one pair of tokens that share bytes
+        marks[bounds] |= LAST
         ends = np.flatnonzero(marks)
         moves = marks[ends].tobytes()
-        a, b, w = a.astype(ID).tobytes(), b.astype(ID).tobytes(), np.dtype(ID).itemsize
+        a, b, w = a.astype(self.dtype).tobytes(), b.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
         at = [np.r_[0, np.searchsorted(of, bounds) + 1].tolist() for of in (a_ends, b_ends, ends)]
         return [(a[w * i : w * i2], b[w * j : w * j2], moves[k:k2]) for i, i2, j, j2, k, k2 in zip(at[0], at[0][1:], at[1], at[1][1:], at[2], at[2][1:], strict=False)]
 
 
-def _aligned(a_path: str, b_path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Aligner(a_path, b_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                texts = batch.column(0).slice(at, BATCH)
-                rows = [x or (None, None, None) for x in own.align(texts.to_pylist())]
-                yield pa.RecordBatch.from_arrays([texts, *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["segment", "a", "b", "moves"])
-        release()
+_LOST = (b"", b"", bytes([LAST]))  #: no token, and a move without a link
+
+
+def _aligned(a_path: str, b_path: str, dtype: str):
+    schema = pa.schema([("owner", pa.int64()), *((c, pa.binary()) for c in ("steps", "a", "b", "moves"))])
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = Aligner(a_path, b_path, dtype)
+        data = np.concatenate([unpack(x, "u1") for x in rows.column("texts").to_pylist()])
+        sizes = [unpack(x, "<u4") for x in rows.column("sizes").to_pylist()]
+        coded = strings(data, np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]).dictionary_encode()
+        texts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        found = [x or _LOST for at in range(0, len(texts), BATCH) for x in own.align(texts[at : at + BATCH])]
+        bounds, out = np.r_[0, np.cumsum(list(map(len, sizes)))].tolist(), []
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            each = [found[k] for k in which[i:j].tolist()]
+            out.append([pack(np.frombuffer(b"".join([x[k] for x in each]), kind)) for k, kind in enumerate((dtype, dtype, "u1"))])
+        return pa.table([rows.column("owner"), rows.column("steps"), *(pa.array([r[k] for r in out], pa.binary()) for k in range(3))], schema=schema)
 
     return run
 
 
-def _flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values of binary fields end to end, and how many each has."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    size = np.dtype(dtype).itemsize
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data is not None and len(data) else np.zeros(0, dtype)
-    return values, np.diff(offsets) // size
+def _all(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
+    return np.concatenate([unpack(x, dtype) for x in column.to_pylist()] or [np.zeros(0, dtype)])
 
 
 class _Block:
@@ -232,25 +302,40 @@ class _Block:
     ``row`` is as ``_blocks`` made it or, with ``segments`` None, as ``_counted`` did.
     """
 
-    def __init__(self, row: pa.Table, segments: pa.Table | None):
-        get = lambda name, dtype: np.frombuffer(row.column(name)[0].as_py(), dtype)
+    def __init__(self, row: pa.Table, segments: pa.Table | None, dtype: str):
+        get = lambda name, kind: unpack(row.column(name)[0].as_py(), kind)
         self.ids = row.column("ids").combine_chunks().flatten()
         self.first, self.which = get("first", "<i4"), get("which", "<i4")
         self.n = len(self.first) - 1
         self.text = np.repeat(np.arange(self.n), np.diff(self.first))
-        if segments is None:
-            self.a, self.b, self.moves = get("a", ID), get("b", ID), get("moves", np.uint8)
-            self.sizes = [get(f"n_{c}", "<i4") for c in ("a", "b", "moves")]
-        else:
-            ordered = segments.take(pa.array(np.argsort(segments.column("number").to_numpy())))
-            (self.a, *n_a), (self.b, *n_b), (self.moves, *n_moves) = _flat(ordered.column("a"), ID), _flat(ordered.column("b"), ID), _flat(ordered.column("moves"), "u1")
-            self.sizes = [*n_a, *n_b, *n_moves]
+        source = {c: get(c, kind) if segments is None else _all(segments.column(c), kind) for c, kind in (("a", dtype), ("b", dtype), ("moves", "u1"))}
+        moves = source["moves"]
+        ends = np.flatnonzero(moves & LAST) + 1
+        count = lambda bit: np.diff(np.r_[0, np.cumsum(moves & bit > 0)][ends], prepend=0)
+        self.sizes = [count(A_ENDS), count(B_ENDS), np.diff(ends, prepend=0)]
+        if segments is not None:
+            numbers = [np.cumsum(unpack(x, "<u4"), dtype=np.int64) for x in segments.column("steps").to_pylist()]
+            order = np.argsort(np.concatenate(numbers or [np.zeros(0, np.int64)]))
+            source = {c: _reordered(source[c], n, order) for c, n in zip(source, self.sizes, strict=True)}
+            self.sizes = [n[order] for n in self.sizes]
+        self.a, self.b, self.moves = source.values()
         # what isn't given back has no token at all, and a segment is never empty
         self.lost = np.bincount(self.text, (self.sizes[0] == 0)[self.which], self.n) > 0 if len(self.which) else np.zeros(self.n, bool)
+        self.links = np.zeros(0, np.int64)
+        shared = self.moves & (A_ENDS | B_ENDS) > 0  # not those of lost segments
+        self.sizes[2] = np.where(self.sizes[0] > 0, self.sizes[2], 0)
+        self.moves = self.moves[shared] if not shared.all() else self.moves
         a_ends, b_ends = self.moves & A_ENDS > 0, self.moves & B_ENDS > 0
-        self.links = self.a.astype(np.int64)[np.cumsum(a_ends) - a_ends] << 32 | self.b[np.cumsum(b_ends) - b_ends]
+        if len(self.moves):
+            self.links = self.a.astype(np.int64)[np.cumsum(a_ends) - a_ends] << 32 | self.b[np.cumsum(b_ends) - b_ends]
+        self.both = a_ends & b_ends
         self.begin = np.r_[0, np.cumsum(self.sizes[2])]
 
+    def marked(self) -> np.ndarray:
+        """The moves as they were made, a lost segment as one move without a link."""
+        empty = np.flatnonzero(self.sizes[2] == 0)
+        return np.insert(self.moves, self.begin[empty], LAST) if len(empty) else self.moves
+
     def per_segment(self, of_links: np.ndarray) -> np.ndarray:
         run = np.r_[0, np.cumsum(of_links)]
         return run[self.begin[1:]] - run[self.begin[:-1]]
@@ -279,7 +364,7 @@ class _Block:
 
     def groups(self) -> list[str]:
         """The groups of each segment as text."""
-        both = np.flatnonzero(self.moves == A_ENDS | B_ENDS)
+        both = np.flatnonzero(self.both)
         a_at = np.r_[0, np.cumsum(self.moves & A_ENDS > 0)[both]].tolist()
         b_at = np.r_[0, np.cumsum(self.moves & B_ENDS > 0)[both]].tolist()
         names = list(map(str, range(max(self.a.max(initial=0), self.b.max(initial=0)) + 1)))
@@ -289,28 +374,28 @@ class _Block:
         return [";".join(each[k:k2]) for k, k2 in zip(ends, ends[1:], strict=False)]
 
 
-def _counted(id_type: pa.DataType):
-    fields = [("block", pa.int64()), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("first", "which", "a", "b", "moves", "n_a", "n_b", "n_moves")), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+def _counted(id_type: pa.DataType, dtype: str):
+    fields = [("block", pa.int64()), ("ids", pa.list_(id_type)), *((c, pa.binary()) for c in ("first", "which", "a", "b", "moves")), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(block: pa.Table, segments: pa.Table) -> pa.Table:
         if not block.num_rows:
             return schema.empty_table()
-        own = _Block(block, segments)
+        own = _Block(block, segments, dtype)
         pairs, counts = own.pair_counts()
-        packed = [own.a.tobytes(), own.b.tobytes(), own.moves.tobytes(), *map(_ints, own.sizes)]
+        packed = [pack(own.a), pack(own.b), pack(own.marked())]
         return pa.table([*(block.column(c) for c in ("block", "ids", "first", "which")), *([x] for x in packed), [pairs], [counts]], schema=schema)
 
     return run
 
 
-def _composed(id_field: pa.Field):
+def _composed(id_field: pa.Field, dtype: str):
     schema = pa.schema([id_field, *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string())])
 
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         if not block.num_rows:
             return schema.empty_table()
-        own = _Block(block, None)
+        own = _Block(block, None, dtype)
         # pairs that only texts without tokens hold were not counted
         total, best = np.zeros(len(own.links), np.int64), np.zeros(len(own.links), np.int64)
         if counts.num_rows:
@@ -319,7 +404,7 @@ def _composed(id_field: pa.Field):
             at = np.minimum(np.searchsorted(known, own.links), len(known) - 1)
             hit = known[at] == own.links
             total, best = (np.where(hit, counts.column(c).to_numpy()[at], 0) for c in ("n", "best"))
-        of_segments = [own.sizes[0], own.sizes[1], own.per_segment(own.moves == A_ENDS | B_ENDS), own.sizes[2], own.per_segment(best), own.per_segment(total)]
+        of_segments = [own.sizes[0], own.sizes[1], own.per_segment(own.both), own.sizes[2], own.per_segment(best), own.per_segment(total)]
         shown, first = own.groups(), own.first.tolist()
         texts = ["" if own.lost[k] else ";".join([shown[x] for x in own.which[first[k] : first[k + 1]].tolist()]) for k in range(own.n)]
         return pa.table([own.ids, *(pa.array(own.per_text(x)) for x in of_segments), pa.array(texts, pa.string())], schema=schema)
@@ -337,23 +422,24 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     documents that hold it.  ``n_best``: links of the highest count of their A
     id; ``count_sum``: counts added over links.
     """
-    id_type = docs.schema[id_col].dataType
-    kind = id_type.simpleString()
-    arrow_id = to_arrow_type(id_type)
+    kind, arrow_id = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    dtype = id_type(a_path, b_path)
     with temporary(docs.sparkSession), tidy(docs.sparkSession):
         whole = docs.select(F.col(id_col), F.when(F.length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col))).alias("text"))
-        blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"block long, ids array<{kind}>, first binary, which binary, segments array<string>"), "align-blocks")
-        held = blocks.select(F.col("block").alias("owner"), F.posexplode("segments").alias("number", "segment"))
-        aligned = table(held.select("segment").distinct().mapInArrow(_aligned(a_path, b_path), ALIGNED), "align-segments")
-        met = held.join(aligned, "segment").select("owner", "number", "a", "b", "moves").groupBy("owner")
-        packed = "a binary, b binary, moves binary, n_a binary, n_b binary, n_moves binary, pairs array<long>, counts array<long>"
-        counted = blocks.drop("segments").groupBy("block").cogroup(met).applyInArrow(_counted(arrow_id), f"block long, ids array<{kind}>, first binary, which binary, {packed}")
-        counted = table(counted, "align-counted")
+        numbers = f"block long, ids array<{kind}>, first binary, which binary"
+        blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"{numbers}, texts binary, sizes binary, n long"), "align-blocks")
+        held, n = blocks.agg(F.sum("n"), F.count("*")).first()
+        deal = _dealt(-(-(held or 1) // DEALT), -(-(n or 1) // SHARE))
+        dealt = blocks.select("block", "texts", "sizes").mapInArrow(deal, "bucket long, owner long, steps binary, texts binary, sizes binary")
+        tokens = "a binary, b binary, moves binary"
+        aligned = dealt.groupBy("bucket").applyInArrow(_aligned(a_path, b_path, dtype), f"owner long, steps binary, {tokens}")
+        met = blocks.drop("texts", "sizes", "n").groupBy("block").cogroup(aligned.groupBy("owner"))
+        counted = table(met.applyInArrow(_counted(arrow_id, dtype), f"{numbers}, {tokens}, pairs array<long>, counts array<long>"), "align-counted")
         pairs = counted.select(F.col("block").alias("owner"), F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("owner", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("own"))
         totals = table(pairs.groupBy("pair").agg(F.sum("own").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
         best = totals.groupBy("a").agg(F.max("n").alias("most"))
         totals = totals.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
         totals = pairs.select("owner", "pair").join(totals, "pair").groupBy("owner")
         out = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-        rows = counted.drop("pairs", "counts").groupBy("block").cogroup(totals).applyInArrow(_composed(pa.field(id_col, arrow_id)), out)
+        rows = counted.drop("pairs", "counts").groupBy("block").cogroup(totals).applyInArrow(_composed(pa.field(id_col, arrow_id), dtype), out)
         return table(rows, "alignments", keep=True)
