@@ -16,8 +16,8 @@ from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
-from ..sources import case, case_sink, json_files, page_index, requests, seams
-from . import audit, case_files
+from ..sources import case, case_sink, json_files, page_index, request_ledger, requests, seams
+from . import audit, case_files, journal, retrieve
 from . import derived as D
 from . import sql as Q
 
@@ -688,6 +688,32 @@ def _replay(prompt: str) -> str:
     return '```json\n[{"id":' + prompt[first] + ',"verdict":"supported","note":"read","source_page":1}]\n```'
 
 
+def _journalled(s, d):
+    """References retrieved in two runs over one journal and one ledger: first of the papers that arrived first, then of all."""
+    refs, files = D.refs(s, d).drop("status", "resolver", "reason"), D.table(s, d, "files")
+    folder = seams.shared_folder(s, "journal")
+    ledger = request_ledger.RequestLedger(s, f"{folder}/requests", _web, pace=0.0)
+    book = journal.Journal(s, f"{folder}/facts", retrieve.STAGES)
+    arrival = refs.where(F.pmod(F.crc32(F.col("paper").cast("string")), F.lit(2)) == 0)
+    for rows in (arrival, refs):
+        found = seams.kept(retrieve.retrieve(rows, files, ledger, lambda body: F.lit(""), "me@example.org", lambda df, _: seams.kept(df), book))
+    asked = seams.kept(ledger.rows())
+    history = seams.kept(book.history())
+    seams.remove(s, folder)
+    return found, asked, history
+
+
+def _ledger_rows(s, d):
+    """Addresses of the open-access lookups, each asked once, and how many references name it."""
+    refs = D.refs(s, d).where("doi is not null").select("paper", "ord", requests.unpaywall(F.col("doi"), "me@example.org").alias("url"))
+    folder = seams.shared_folder(s, "requests")
+    ledger = request_ledger.RequestLedger(s, folder, _web, pace=0.0)
+    answers = ledger.fetch(refs)
+    rows = seams.kept(refs.groupBy("url").agg(F.count("*").alias("n_refs")).join(answers.select("url", "status"), "url").join(ledger.rows().select("url", "tries"), "url"))
+    seams.remove(s, folder)
+    return rows
+
+
 def _audited(s, d):
     rows = D.table(s, d, "drafts")
     raw = rows.select("paper", "seq", F.lit(0).alias("type"), "page", F.struct(*(F.lit(x).alias(n) for n, x in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 9.0)))).alias("bbox"), "text", "size")
@@ -708,7 +734,11 @@ fs AS (SELECT *, min(id) OVER (PARTITION BY paper, source_slug) AS asked FROM rt
 SELECT paper, CAST(id AS INT) AS id, source_slug, CASE WHEN source_slug IS NULL THEN 'not_retrieved' WHEN id = asked THEN 'supported' ELSE 'unchecked' END AS verdict,
   CASE WHEN source_slug IS NULL THEN 'cited source not available (' || coalesce(nullif(why, ''), 'unknown ref') || ')' WHEN id = asked THEN 'read' ELSE 'model returned no verdict for this claim' END AS note FROM fs"""
 
+_ST = _AUDITED[: _AUDITED.index("cl AS (SELECT paper, unnest")].rstrip().rstrip(",")
+
 AUDIT = {
+    "W9_journal": (lambda s, d: _journalled(s, d)[0].select("paper", "ord", "status"), f"{_ST} SELECT paper, ord, got AS status FROM st"),
+    "S7h_ledger": (_ledger_rows, f"{Q.with_(Q.ENTRIES, names=('refs',))}, u AS (SELECT 'https://api.unpaywall.org/v2/' || doi || '?email=me%40example.org' AS url FROM e WHERE doi IS NOT NULL) SELECT url, count(*) AS n_refs, 200 AS status, 1 AS tries FROM u GROUP BY url"),
     "C2_audit": (lambda s, d: _audited(s, d).claims.select("paper", "id", "source_slug", "verdict", "note"), _AUDITED),
 }
 

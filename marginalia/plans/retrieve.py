@@ -18,36 +18,49 @@ from ..operators import retrieval as W
 from ..operators import scout
 from ..sources import requests as Q
 from ..sources import seams
+from ..sources.request_ledger import RequestLedger
+from .journal import Journal
 
 Get = Callable[[str], tuple[int, bytes]]
 #: Keeps a stage's answers: a table in, the same table read back from storage.
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def _asked(rows: DataFrame, url: Column, get: Get) -> DataFrame:
-    """(paper, ord, status, body, error) of rows (paper, ord, …) with an address."""
-    each = rows.select(F.to_json(F.struct("paper", "ord")).alias("key"), url.alias("url")).where("url is not null")
-    kind = rows.select("paper", "ord").schema
-    got = seams.fetch(each, get).withColumn("k", F.from_json("key", kind))
-    return got.select("k.paper", "k.ord", "status", "body", "error")
+def _asked(rows: DataFrame, url: Column, get: Get | RequestLedger) -> DataFrame:
+    """(paper, ord, status, body, error) of rows (paper, ord, …) with an address; an address that several name is asked once."""
+    each = rows.select("paper", "ord", url.alias("url")).where("url is not null")
+    if isinstance(get, RequestLedger):
+        answers = get.fetch(each)
+    else:
+        answers = seams.fetch(each.select(F.col("url").alias("key"), "url").distinct(), get)
+    return each.join(answers.select("url", "status", "body", "error"), "url").select("paper", "ord", "status", "body", "error")
 
 
 def _downloads(answers: DataFrame, source: str, first_page: Callable[[Column], Column]) -> DataFrame:
     return answers.select("paper", "ord", F.lit(source).alias("source"), F.col("status").alias("http_status"), W.is_pdf(F.col("status"), F.col("body")).alias("is_pdf"), first_page(F.col("body")).alias("first_page"))
 
 
-def retrieve(refs: DataFrame, files: DataFrame, get: Get, first_page: Callable[[Column], Column], email: str, keep: Keep) -> DataFrame:
-    """(paper, ord, doi, status, resolver, reason) of references (paper, ord, num, raw, doi, slug); files: the user's (paper, name)."""
+#: Stages of the chain that ask a service, in order.
+STAGES = ("arxiv", "crossref", "unpaywall-lookup", "unpaywall", "europepmc-lookup", "europepmc")
+
+
+def retrieve(refs: DataFrame, files: DataFrame, get: Get | RequestLedger, first_page: Callable[[Column], Column], email: str, keep: Keep, journal: Journal | None = None) -> DataFrame:
+    """(paper, ord, doi, status, resolver, reason) of references (paper, ord, num, raw, doi, slug); files: the user's (paper, name).
+
+    With a journal, stages take what it holds of a reference and add what it
+    doesn't; with a ledger for ``get``, addresses that were ever asked aren't again.
+    """
     ids = ["paper", "ord"]
+    step = journal.advance if journal else lambda name, rows, make: keep(make(rows), name)
     provided = keep(W.match_provided(refs, files), "provided")
     left = refs.join(provided, ids, "left_anti")
 
-    arxiv = keep(_downloads(_asked(left, Q.arxiv(T.arxiv_id(F.col("raw"))), get), "arxiv", first_page), "arxiv")
+    arxiv = step("arxiv", left, lambda rows: _downloads(_asked(rows, Q.arxiv(T.arxiv_id(F.col("raw"))), get), "arxiv", first_page))
     settled = W.accepted(arxiv, refs).where("ok")
     left = left.join(settled, ids, "left_anti")
 
     no_doi = left.where("doi is null or doi = ''")
-    found = keep(_asked(no_doi, Q.crossref(F.col("raw")), get), "crossref")
+    found = step("crossref", no_doi, lambda rows: _asked(rows, Q.crossref(F.col("raw")), get))
     found = found.select(*ids, F.when(F.col("status") == 200, W.crossref_doi(F.col("body").cast("string"))).alias("crossref_doi"))
     left = left.join(found, ids, "left").withColumn("asked", F.coalesce(F.nullif("doi", F.lit("")), "crossref_doi")).where("asked is not null")
 
@@ -56,10 +69,10 @@ def retrieve(refs: DataFrame, files: DataFrame, get: Get, first_page: Callable[[
         ("unpaywall", Q.unpaywall(F.col("asked"), email), W.unpaywall_url),
         ("europepmc", Q.by_doi(F.col("asked")), W.epmc_url),
     ):
-        answer = keep(_asked(left, url, get), f"{source}-lookup")
+        answer = step(f"{source}-lookup", left, lambda rows, url=url: _asked(rows, url, get))
         lookups.append(answer.where("error is not null").select(*ids, "error"))
         offers = answer.withColumn("pdf", pdf(F.col("status"), F.col("body").cast("string")))
-        got = keep(_downloads(_asked(offers, F.col("pdf"), get), source, first_page), source)
+        got = step(source, offers, lambda rows, source=source: _downloads(_asked(rows, F.col("pdf"), get), source, first_page))
         downloads.append(got)
         # a failed lookup ends a reference's chain, a copy that passes settles it
         left = left.join(W.accepted(got, refs).where("ok"), ids, "left_anti").join(lookups[-1], ids, "left_anti")
