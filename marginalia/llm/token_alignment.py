@@ -37,13 +37,13 @@ from .store import table, temporary, tidy
 from .textops import chunks, release
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Segments tokenised at once.
 BATCH = 4096
 #: Segments of texts whose pairs are counted at once; a text of more is counted alone.
-COUNTED = 100_000
+COUNTED = 50_000
 #: Segments of blocks that a task aligns in one go, and blocks that may share a segment's alignment.
-DEALT, SHARE = 200_000, 100_000
+DEALT, SHARE = 100_000, 200_000
 _SPACE = "▁"
 
 
@@ -287,6 +287,7 @@ def _aligned(a_path: str, b_path: str, dtype: str):
         for i, j in zip(bounds, bounds[1:], strict=False):
             each = [found[k] for k in which[i:j].tolist()]
             out.append([pack(np.frombuffer(b"".join([x[k] for x in each]), kind)) for k, kind in enumerate((dtype, dtype, "u1"))])
+        release()
         return pa.table([rows.column("owner"), rows.column("steps"), *(pa.array([r[k] for r in out], pa.binary()) for k in range(3))], schema=schema)
 
     return run
@@ -384,6 +385,7 @@ def _counted(id_type: pa.DataType, dtype: str):
         own = _Block(block, segments, dtype)
         pairs, counts = own.pair_counts()
         packed = [pack(own.a), pack(own.b), pack(own.marked())]
+        release()
         return pa.table([*(block.column(c) for c in ("block", "ids", "first", "which")), *([x] for x in packed), [pairs], [counts]], schema=schema)
 
     return run
@@ -407,7 +409,10 @@ def _composed(id_field: pa.Field, dtype: str):
         of_segments = [own.sizes[0], own.sizes[1], own.per_segment(own.both), own.sizes[2], own.per_segment(best), own.per_segment(total)]
         shown, first = own.groups(), own.first.tolist()
         texts = ["" if own.lost[k] else ";".join([shown[x] for x in own.which[first[k] : first[k + 1]].tolist()]) for k in range(own.n)]
-        return pa.table([own.ids, *(pa.array(own.per_text(x)) for x in of_segments), pa.array(texts, pa.string())], schema=schema)
+        out = pa.table([own.ids, *(pa.array(own.per_text(x)) for x in of_segments), pa.array(texts, pa.string())], schema=schema)
+        del own, shown, texts
+        release()
+        return out
 
     return run
 
@@ -427,14 +432,15 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     with temporary(docs.sparkSession), tidy(docs.sparkSession):
         whole = docs.select(F.col(id_col), F.when(F.length(text_col) > 0, F.concat(F.lit(" "), F.col(text_col))).alias("text"))
         numbers = f"block long, ids array<{kind}>, first binary, which binary"
-        blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"{numbers}, texts binary, sizes binary, n long"), "align-blocks")
-        held, n = blocks.agg(F.sum("n"), F.count("*")).first()
-        deal = _dealt(-(-(held or 1) // DEALT), -(-(n or 1) // SHARE))
-        dealt = blocks.select("block", "texts", "sizes").mapInArrow(deal, "bucket long, owner long, steps binary, texts binary, sizes binary")
-        tokens = "a binary, b binary, moves binary"
-        aligned = dealt.groupBy("bucket").applyInArrow(_aligned(a_path, b_path, dtype), f"owner long, steps binary, {tokens}")
-        met = blocks.drop("texts", "sizes", "n").groupBy("block").cogroup(aligned.groupBy("owner"))
-        counted = table(met.applyInArrow(_counted(arrow_id, dtype), f"{numbers}, {tokens}, pairs array<long>, counts array<long>"), "align-counted")
+        with temporary(docs.sparkSession):  # the blocks go once they are counted
+            blocks = table(whole.mapInArrow(_blocks(a_path, b_path, arrow_id), f"{numbers}, texts binary, sizes binary, n long"), "align-blocks")
+            held, n = blocks.agg(F.sum("n"), F.count("*")).first()
+            deal = _dealt(-(-(held or 1) // DEALT), -(-(n or 1) // SHARE))
+            dealt = blocks.select("block", "texts", "sizes").mapInArrow(deal, "bucket long, owner long, steps binary, texts binary, sizes binary")
+            tokens = "a binary, b binary, moves binary"
+            aligned = dealt.groupBy("bucket").applyInArrow(_aligned(a_path, b_path, dtype), f"owner long, steps binary, {tokens}")
+            met = blocks.drop("texts", "sizes", "n").groupBy("block").cogroup(aligned.groupBy("owner"))
+            counted = table(met.applyInArrow(_counted(arrow_id, dtype), f"{numbers}, {tokens}, pairs array<long>, counts array<long>"), "align-counted", keep=True)
         pairs = counted.select(F.col("block").alias("owner"), F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("owner", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("own"))
         totals = table(pairs.groupBy("pair").agg(F.sum("own").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
         best = totals.groupBy("a").agg(F.max("n").alias("most"))
