@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import bound, running_sum
+
 _OPEN = r"([\[<])"
 _REST = r"(/?INST\]|/s>|</?SYS>>|</ROLE>>|<ROLE:[0-9A-F]*>>)"
 ESCAPE = (_OPEN + r"(\\*)" + _REST, r"$1\\$2$3")
@@ -62,13 +64,9 @@ def _plain(turns: Column) -> Column:
 def loss_mask(turns: Column) -> Column:
     """``array<struct<start, end>>``: the places in the formatted text that the loss counts, each assistant turn less its end mark."""
 
-    def step(acc: Column, t: Column) -> Column:
-        end = acc["at"] + t["chars"]
-        own = F.array(F.struct(acc["at"].alias("start"), (end - 4).alias("end")))
-        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+    own = lambda at: F.transform(turns, lambda t, k: F.when(t["role"] == "assistant", F.struct(F.get(at, k).alias("start"), (F.get(at, k) + t["chars"] - 4).alias("end"))))
+    starts = running_sum(F.transform(turns, lambda t: t["chars"]))
+    return bound(starts, lambda at: F.filter(own(at), lambda x: x.isNotNull()))
 
 
 def masked(formatted: Column, mask: Column) -> Column:

@@ -188,10 +188,3 @@ def select_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     whole = table(_with_features(docs, text_col, docs.columns, name), "featured")
     ranker = train(whole.select(id_col, F.col(name).alias("features")), labels, id_col)
     return whole.where(ranker.score(name) >= 0.5).select(*docs.columns)
-
-
-def keep_good(docs: DataFrame, featurized: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that score 0.5 or more; features travel with their row, so nothing is joined to the texts."""
-    ranker = train(featurized, labels, id_col)
-    name = "__features"
-    return _with_features(docs, text_col, docs.columns, name).where(ranker.score(name) >= 0.5).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, hilbert_ann, license_scan, merkle, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_alignment, token_counts
-from .store import new_path, read, table, temporary
+from .store import drop_path, new_path, read, table, temporary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,13 +18,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 ARRIVALS, FULL_FILE = 8, 64 << 20
 
 
+def _only(rows: DataFrame, *paths: str) -> DataFrame:
+    """``rows`` as a table that stays; the folders that they come from go."""
+    spark = rows.sparkSession
+    out = table(rows, "result", keep=True)
+    for path in paths:
+        drop_path(spark, path)
+    return out
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = sharding.ShardStore(spark, new_path(spark, "shards"), FULL_FILE)
+    path = new_path(spark, "shards")
+    store = sharding.ShardStore(spark, path, FULL_FILE)
     for arrival in sharding.arrivals(read(spark, sf_dir, "documents"), "doc_id", ARRIVALS):
         store.append(arrival)
     store.compact()
     store.vacuum(grace=0)  # no other writer has this folder
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    rows = store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return _only(rows, path)
 
 
 OP1_SQL = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
@@ -35,8 +46,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(quality_classifier.featurize(read(spark, sf_dir, "documents")), "features")
-    return quality_classifier.classify(rows, read(spark, sf_dir, "labels"))
+    with temporary(spark):
+        rows = table(quality_classifier.featurize(read(spark, sf_dir, "documents")), "features")
+        return _only(quality_classifier.classify(rows, read(spark, sf_dir, "labels")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +64,10 @@ def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, model, cache = read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache")
     # an earlier call has counted the first arrival, so that the whole table meets a cache with hits and misses
-    token_counts.count_tokens(sharding.arrivals(docs, "doc_id", 2)[0], model, cache)
-    rows = token_counts.count_tokens(docs, model, cache)
-    return rows.withColumn("over_limit", F.col("n_tokens") > 4096)
+    with temporary(spark):
+        token_counts.count_tokens(sharding.arrivals(docs, "doc_id", 2)[0], model, cache)
+        rows = token_counts.count_tokens(docs, model, cache)
+        return _only(rows.withColumn("over_limit", F.col("n_tokens") > 4096), cache)
 
 
 #: A conversation whose texts hold the template's own control strings.
@@ -114,15 +127,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secret_scan.scan(read(spark, sf_dir, "documents"))
+    with temporary(spark):
+        return _only(_op10(secret_scan.scan(read(spark, sf_dir, "documents"))))
+
+
+def _op10(rows: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["ord"] == secret_scan.ORDER[kind])).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.listing(F.col("base")), 256).alias("base_sha256"), secret_scan.listing(F.col("spans")).alias("spans"))
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    rows = token_alignment.align_documents(read(spark, sf_dir, "documents"), a, b)
-    return rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+    with temporary(spark):
+        rows = token_alignment.align_documents(read(spark, sf_dir, "documents"), a, b)
+        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+        return table(rows.withColumn("groups_sha256", digest).drop("groups"), "alignment-digests", keep=True)
 
 
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

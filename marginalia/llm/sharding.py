@@ -125,22 +125,26 @@ class ShardStore:
         return self._change([self._write_run(rows)])
 
     def _due(self, live: list[Row]) -> list[list[Row]]:
-        """Groups of runs to merge: FANOUT or more of one tier, none of full files."""
-        tiers = defaultdict(list)
-        for r in live:
-            if r["bytes"] / max(r["files"], 1) < self.target / 2:
-                tiers[int(math.log(max(r["bytes"], 1), self.fanout))].append(r)
-        return [sorted(group, key=lambda r: r["run"]) for group in tiers.values() if len(group) >= self.fanout]
+        """Groups of runs to merge: FANOUT or more of one tier, none of full files; once there are none, runs of more files than their bytes fill, each alone."""
+        tiers, small = defaultdict(list), [r for r in live if r["bytes"] / max(r["files"], 1) < self.target / 2]
+        for r in small:
+            tiers[int(math.log(max(r["bytes"], 1), self.fanout))].append(r)
+        groups = [sorted(group, key=lambda r: r["run"]) for group in tiers.values() if len(group) >= self.fanout]
+        # each such merge leaves fewer files, so it comes to an end
+        return groups or [[r] for r in small if r["files"] > self._full(r["bytes"])]
+
+    def _full(self, size: int) -> int:
+        return max(1, math.ceil(size / self.target))
 
     def compact(self) -> int:
-        """Merge until no tier holds FANOUT runs; the version then live."""
+        """Merge until no tier holds FANOUT runs and no run more small files than it needs; the version then live."""
         while True:
             before = self.version()
             due = self._due(self.manifest(before).collect())
             if not due:
                 return before
             # neighbouring splits go to one file each: no shuffle
-            merged = [self._write_run(self._rows(group).coalesce(max(1, math.ceil(sum(r["bytes"] for r in group) / self.target)))) for group in due]
+            merged = [self._write_run(self._rows(group).coalesce(self._full(sum(r["bytes"] for r in group)))) for group in due]
             try:
                 self._change(merged, frozenset(r["run"] for group in due for r in group))
             except Conflict:
