@@ -46,6 +46,11 @@ def doi(raw: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(closing(found), F.lit(1))), cut(found), drop)
 
 
+def doi_repaired(raw: Column) -> Column:
+    """Whether a closing bracket without an opening one was taken off the DOI."""
+    return F.coalesce(doi(raw) != F.rtrim(F.regexp_extract(raw, DOI, 0), F.lit(".,;")), F.lit(False))
+
+
 def year(raw: Column) -> Column:
     """The leftmost bracketed four digits or year of 1900 to 2099, as text."""
     return none_if_empty(F.translate(F.regexp_extract(raw, YEAR, 0), "()", ""))

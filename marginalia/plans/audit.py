@@ -37,6 +37,30 @@ def guard(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming
 
 
+@dataclass
+class Admitted:
+    """Papers that an audit goes on with, and a row (paper, exit, reason) for each that it doesn't."""
+
+    papers: DataFrame
+    refused: DataFrame
+
+
+# Exits of a run.
+EXIT_CONFLICT, EXIT_NO_REFERENCES = 2, 1
+
+
+def admit(existing: DataFrame, incoming: DataFrame, parsed: DataFrame) -> Admitted:
+    """What ``guard`` and ``require_references`` end a run for, by paper: one that can't be audited doesn't stop the others.
+
+    A paper with both faults has the exit of the conflict, which comes first.
+    """
+    taken = conflicts(existing, incoming).groupBy("paper").agg(F.min("previous").alias("previous"))
+    clash = taken.select("paper", F.lit(EXIT_CONFLICT).alias("exit"), F.concat(F.lit("the folder already holds an audit of "), "previous").alias("reason"))
+    bare = unreferenced(incoming, parsed).join(taken, "paper", "left_anti").select("paper", F.lit(EXIT_NO_REFERENCES).alias("exit"), F.lit("no references found").alias("reason"))
+    refused = clash.unionByName(bare)
+    return Admitted(incoming.join(refused, "paper", "left_anti"), refused)
+
+
 def reuse(done: DataFrame, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Results that are there already, and those that ``make`` gives for the papers without one."""
     return done.unionByName(make(seams.only_new(rows, done)))

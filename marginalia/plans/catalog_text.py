@@ -68,7 +68,7 @@ QUERIES = {
     "coverage_audit": (_coverage, _AUDIT),
     "F1_squeeze": (_scalar("ref_lines", _RAW, lambda: dict(text=T.squeeze(_c("raw")))), _REF(Q.SQUEEZE.format("raw"), "text")),
     "F2_doi": (_scalar("ref_lines", _RAW, lambda: dict(doi=T.doi(_c("raw")))), _REF(Q.DOI, "doi")),
-    "W8_doi_repair": (lambda s, d: D.table(s, d, "ref_lines").where("raw LIKE '%(10.%'").select("paper", "ord", T.doi(_c("raw")).alias("doi")), f"{Q.ctes('ref_lines')} SELECT paper, ord, {Q.DOI} AS doi FROM ref_lines WHERE raw LIKE '%(10.%'"),
+    "W8_doi_repair": (lambda s, d: D.table(s, d, "ref_lines").select("paper", "ord", T.doi(_c("raw")).alias("doi"), T.doi_repaired(_c("raw")).alias("repaired")), f"{Q.ctes('ref_lines')} SELECT paper, ord, {Q.DOI} AS doi, coalesce({Q.DOI} <> {Q.CUT}, false) AS repaired FROM ref_lines"),
     "F3_year": (_scalar("ref_lines", _RAW, lambda: dict(year=T.year(_c("raw")))), _REF(Q.YEAR, "year")),
     "F4_arxiv": (_scalar("ref_lines", _RAW, lambda: dict(arxiv=T.arxiv_id(_c("raw")))), _REF(r"nullif(regexp_extract(raw, '(?i)arxiv[:\s]*(\d{4}\.\d{4,5})(v\d+)?', 1), '')", "arxiv")),
     "F5_slug": (_scalar("ref_lines", _RAW, lambda: dict(slug=T.slug(_c("raw"), T.year(_c("raw"))))), _REF(Q.SLUG, "slug")),

@@ -3,9 +3,9 @@
 from .derived import ctes
 
 DOI_FOUND = r"""regexp_extract(raw, '10\.\d{4,9}/[^\s"''<>]+')"""
-_CUT = f"rtrim({DOI_FOUND}, '.,;')"
+CUT = f"rtrim({DOI_FOUND}, '.,;')"
 _OVER = "(length({0}) - length(replace({0}, ')', ''))) > (length({0}) - length(replace({0}, '(', '')))"
-DOI = f"nullif(CASE WHEN {_CUT} LIKE '%)' AND {_OVER.format(_CUT)} THEN rtrim({_CUT}[:-2], '.,;') ELSE {_CUT} END, '')"
+DOI = f"nullif(CASE WHEN {CUT} LIKE '%)' AND {_OVER.format(CUT)} THEN rtrim({CUT}[:-2], '.,;') ELSE {CUT} END, '')"
 YEAR = r"nullif(translate(regexp_extract(raw, '\((\d{4})\)|\b(?:19|20)\d{2}\b'), '()', ''), '')"
 NAME = r"lower(regexp_replace(regexp_extract(trim({0}), '^[^,\s]*'), '[^A-Za-z\-]', '', 'g'))"
 SLUG = f"coalesce(nullif({NAME.format('raw')}, ''), 'ref') || coalesce('-' || {YEAR}, '')"
