@@ -12,12 +12,13 @@ from ..operators import coverage as V
 from ..operators import evidence as E
 from ..operators import html as H
 from ..operators import ingest as I
+from ..operators import merged as MG
 from ..operators import references as R
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
 from ..sources import case, case_sink, json_files, page_index, request_ledger, requests, seams
-from . import audit, case_files, journal, retrieve
+from . import audit, case_files, journal, retrieve, reuse
 from . import derived as D
 from . import sql as Q
 
@@ -288,6 +289,12 @@ def _raw(fn):
     return lambda s, d: fn(D.raw_blocks(s, d))
 
 
+def _merged_counts(raw, then=lambda counts: counts):
+    """Sizes of every other page, and of the rest added to them."""
+    odd = F.col("page") % 2 == 1
+    return then(MG.merge_counts(MG.size_counts(raw.where(odd)), MG.size_counts(raw.where(~odd))))
+
+
 def _flat(fn):
     return lambda s, d: fn(I.flat_blocks(D.raw_blocks(s, d)))
 
@@ -331,6 +338,8 @@ BLOCKS = {
     "S1a_spans": (_spans, rf"{Q.ctes('raw_blocks')} SELECT paper, seq, trim(regexp_replace(trim(text || ' ' || chr(9) || ' x') || ' y', '[ \t]+', ' ', 'g')) AS text, greatest(size, 12.0) AS size FROM raw_blocks"),
     "A9_span_size": (lambda s, d: _spans(s, d).groupBy("paper").agg(F.max("size").alias("size")), f"{Q.ctes('raw_blocks')} SELECT paper, max(greatest(size, 12.0)) AS size FROM raw_blocks GROUP BY paper"),
     "A6_body_size": (_raw(lambda r: I.body_size(I.text_blocks(r))), f"{_B} SELECT paper, body FROM bs"),
+    "A6_merged_size": (_raw(lambda r: _merged_counts(I.text_blocks(r), MG.body_size)), f"{_B} SELECT paper, body FROM bs"),
+    "P2_merged_headings": (_raw(lambda r: MG.headings(MG.heading_candidates(I.text_blocks(r)), _merged_counts(I.text_blocks(r)))), f"{_B} SELECT paper, seq FROM b WHERE type = 'sectionheader'"),
     "P2_headings": (_flat(lambda b: b.where("type = 'sectionheader'").select("paper", "seq", "text")), f"{_B} SELECT paper, seq, text FROM b WHERE type = 'sectionheader'"),
     "W1_block_ids": (_flat(lambda b: b.select("paper", "seq", "id")), f"{_B} SELECT paper, seq, id FROM b"),
     "W2_heading_path": (_flat(lambda b: b.select("paper", "seq", F.coalesce(F.get("heading_path", F.lit(0)), F.lit("")).alias("heading"))), f"{_B} SELECT paper, seq, heading FROM b"),
@@ -734,9 +743,26 @@ fs AS (SELECT *, min(id) OVER (PARTITION BY paper, source_slug) AS asked FROM rt
 SELECT paper, CAST(id AS INT) AS id, source_slug, CASE WHEN source_slug IS NULL THEN 'not_retrieved' WHEN id = asked THEN 'supported' ELSE 'unchecked' END AS verdict,
   CASE WHEN source_slug IS NULL THEN 'cited source not available (' || coalesce(nullif(why, ''), 'unknown ref') || ')' WHEN id = asked THEN 'read' ELSE 'model returned no verdict for this claim' END AS note FROM fs"""
 
+def _stale(s, d):
+    """Which papers' later stages have to be run again: a third of the texts as they were, a third changed, a third never seen."""
+    texts = I.markdown(I.flat_blocks(D.raw_blocks(s, d))).select("paper", "clean_md")
+    before = texts.where("paper % 3 < 2").withColumn("clean_md", F.when(F.col("paper") % 3 == 1, F.concat("clean_md", F.lit(" more"))).otherwise(F.col("clean_md")))
+    chain = {}
+    now, then = ({"texts": rows.select("paper", F.sha2("clean_md", 256).alias("digest"))} for rows in (texts, before))
+    for stage in ("extraction", "verdicts"):
+        wanted, done = reuse.keys(texts, stage, "1", now, "CLAIMS"), reuse.keys(before, stage, "1", then, "CLAIMS")
+        chain[stage] = (wanted, done)
+        now, then = {"extraction": wanted}, {"extraction": done}
+    return reuse.stale_stages(chain)
+
+
+_STALE = f"""{_B}{_MD}, k1 AS (SELECT paper, 'extraction' AS stage, sha256('extraction|1|' || sha256('CLAIMS') || '|texts|' || sha256(clean_md)) AS key FROM md),
+k2 AS (SELECT paper, 'verdicts' AS stage, sha256('verdicts|1|' || sha256('CLAIMS') || '|extraction|' || key) AS key FROM k1)
+SELECT paper, stage, key, CASE paper % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'changed' ELSE 'new' END AS state FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2) t"""
 _ST = _AUDITED[: _AUDITED.index("cl AS (SELECT paper, unnest")].rstrip().rstrip(",")
 
 AUDIT = {
+    "C3_stale": (_stale, _STALE),
     "W9_journal": (lambda s, d: _journalled(s, d)[0].select("paper", "ord", "status"), f"{_ST} SELECT paper, ord, got AS status FROM st"),
     "S7h_ledger": (_ledger_rows, f"{Q.with_(Q.ENTRIES, names=('refs',))}, u AS (SELECT 'https://api.unpaywall.org/v2/' || doi || '?email=me%40example.org' AS url FROM e WHERE doi IS NOT NULL) SELECT url, count(*) AS n_refs, 200 AS status, 1 AS tries FROM u GROUP BY url"),
     "C2_audit": (lambda s, d: _audited(s, d).claims.select("paper", "id", "source_slug", "verdict", "note"), _AUDITED),

@@ -12,6 +12,7 @@ from ..functions import judgement as J
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import coverage as V
+from ..operators import merged as MG
 from ..operators import scout
 from . import derived as D
 from . import sql as Q
@@ -66,6 +67,7 @@ def _flip(spark, sf_dir):
 
 QUERIES = {
     "coverage_audit": (_coverage, _AUDIT),
+    "A11_coverage_bits": (lambda s, d: MG.coverage_by_bits(D.table(s, d, "papers"), MG.cited_bits(D.claims(s, d))), _AUDIT),
     "F1_squeeze": (_scalar("ref_lines", _RAW, lambda: dict(text=T.squeeze(_c("raw")))), _REF(Q.SQUEEZE.format("raw"), "text")),
     "F2_doi": (_scalar("ref_lines", _RAW, lambda: dict(doi=T.doi(_c("raw")))), _REF(Q.DOI, "doi")),
     "W8_doi_repair": (lambda s, d: D.table(s, d, "ref_lines").select("paper", "ord", T.doi(_c("raw")).alias("doi"), T.doi_repaired(_c("raw")).alias("repaired")), f"{Q.ctes('ref_lines')} SELECT paper, ord, {Q.DOI} AS doi, coalesce({Q.DOI} <> {Q.CUT}, false) AS repaired FROM ref_lines"),

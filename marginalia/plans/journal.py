@@ -46,7 +46,7 @@ class Journal:
 
     def advance(self, stage: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``make`` of the rows (paper, ord, …): read for those that the stage has seen, made and appended for the others."""
-        known = self._read(stage)
+        rows, known = seams.kept(rows), self._read(stage)  # used several times below
         new = rows if known is None else rows.join(known.select(*KEY), KEY, "left_anti")
         if known is None or not new.isEmpty():
             self._append(stage, new, make(new), known)
@@ -59,13 +59,7 @@ class Journal:
         version = 0 if known is None else known.agg(F.max("version")).first()[0] + 1
         aside, place = f"{self.path}/_making/{stage}-{uuid.uuid4().hex}", f"{self.path}/{stage}/version={version}"
         facts.write.parquet(aside)
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(place)
-        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(hadoop.Path(aside), target):
-            seams.remove(self.spark, aside)
-            raise RuntimeError(f"another run has written version {version} of {stage}")
+        seams.move(self.spark, aside, place)
 
     def history(self) -> DataFrame:
         """(paper, ord, stage, version, found): every fact of every stage."""

@@ -167,6 +167,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move(spark: SparkSession, aside: str, place: str) -> None:
+    """Rename a finished folder to its place; an error, and the folder gone, where something is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(place)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(hadoop.Path(aside), target):
+        remove(spark, aside)
+        raise RuntimeError(f"another run has written {place}")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, written to the session's checkpoint folder and cut off from how they were made; on one machine a folder is made where none is set."""
     shared_folder(df.sparkSession, "kept")
