@@ -14,6 +14,7 @@ from ..operators import html as H
 from ..operators import ingest as I
 from ..operators import merged as MG
 from ..operators import references as R
+from ..operators import regions as RG
 from ..operators import report as P
 from ..operators import retrieval as W
 from ..operators import scout
@@ -824,7 +825,22 @@ _CROP = """cr AS (SELECT c.paper, c.id, 'claim_' || lpad(CAST(c.id AS VARCHAR),
   FROM claim_rows c LEFT JOIN rg ON rg.paper = c.paper AND rg.id = c.id LEFT JOIN hr ON hr.paper = c.paper AND hr.id = c.id WHERE rg.id IS NOT NULL OR hr.id IS NOT NULL),
 bx AS (SELECT cr.paper, cr.id, count(*) AS n FROM cr JOIN ht ON ht.paper = cr.paper AND ht.id = cr.id AND ht.x0 < cr.x1 AND ht.x1 > cr.x0 AND ht.y0 < cr.y1 AND ht.y1 > cr.y0 GROUP BY cr.paper, cr.id)"""
 
+def _shared(s, d):
+    claims = D.claims(s, d)
+    return RG.shared_regions(claims, seams.kept(E.block_regions(claims, _source_blocks(s, d)))).select("paper", "slug", "page", "a", "b")
+
+
+def _foreign(s, d):
+    claims = D.claims(s, d)
+    return RG.foreign_hits(claims, E.block_regions(claims, _source_blocks(s, d)), _hits(s, d)).select("paper", *_CLAIM[1:], "phrase", "pos", "other")
+
+
 EVIDENCE = {
+    "J5_shared_regions": (_shared, f"""{_SB}, {_REGION}, rp AS (SELECT rg.*, source_slug AS slug, source_page AS page FROM rg JOIN claim_rows c ON c.paper = rg.paper AND c.id = rg.id)
+SELECT paper, slug, page, p.id AS a, q.id AS b FROM rp p JOIN rp q USING (paper, slug, page) WHERE p.id < q.id AND p.x0 < q.x1 AND p.x1 > q.x0 AND p.y0 < q.y1 AND p.y1 > q.y0"""),
+    "J9_foreign_hits": (_foreign, f"""{_SB}, {_REGION}, {_HIT}, rp AS (SELECT rg.*, source_slug AS slug, source_page AS page FROM rg JOIN claim_rows c ON c.paper = rg.paper AND c.id = rg.id),
+hp AS (SELECT ht.*, source_slug AS slug, source_page AS page FROM ht JOIN claim_rows c ON c.paper = ht.paper AND c.id = ht.id)
+SELECT paper, p.id, phrase, pos, q.id AS other FROM hp p JOIN rp q USING (paper, slug, page) WHERE p.id <> q.id AND p.x0 < q.x1 AND p.x1 > q.x0 AND p.y0 < q.y1 AND p.y1 > q.y0"""),
     "P11_anchored": (_anchored, f"{_CR} SELECT paper, id FROM claim_rows c WHERE source_slug <> '' AND source_page <> 0 AND paper % 2 = 0"),
     "J5_block_region": (_regions, f"{_SB}, {_REGION} SELECT * FROM rg"),
     "J9_phrase_hits": (lambda s, d: _hits(s, d).select(*_CLAIM, "phrase", "pos", "hit.*"), f"{_SB}, {_HIT} SELECT * FROM ht"),
