@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import judgement as J
@@ -67,10 +69,13 @@ def shown(rows: DataFrame, order: str, cap: int) -> DataFrame:
     return n.select("paper", F.least("n", F.lit(cap)).cast("long").alias("shown"), F.greatest(F.col("n") - cap, F.lit(0)).cast("long").alias("more"))
 
 
+def _manifest_line() -> Column:
+    return F.concat(F.lit("| "), F.col("num"), F.lit(" | "), T.shorten(F.col("raw"), 80), F.lit(" | "), F.col("status"), F.lit(" | "), F.coalesce("resolver", F.lit("—")), F.lit(" | "), F.coalesce("reason", F.lit("")), F.lit(" |"))
+
+
 def manifest_rows(refs: DataFrame) -> DataFrame:
     """Lines of the retrieval table."""
-    line = F.concat(F.lit("| "), F.col("num"), F.lit(" | "), T.shorten(F.col("raw"), 80), F.lit(" | "), F.col("status"), F.lit(" | "), F.coalesce("resolver", F.lit("—")), F.lit(" | "), F.coalesce("reason", F.lit("")), F.lit(" |"))
-    return refs.select("paper", "ord", line.alias("line"))
+    return refs.select("paper", "ord", _manifest_line().alias("line"))
 
 
 def hit_rows(hits: DataFrame, via: bool = True) -> DataFrame:
@@ -82,25 +87,31 @@ def hit_rows(hits: DataFrame, via: bool = True) -> DataFrame:
     return hits.select("paper", "ord", line.alias("line"))
 
 
-def coverage_line(coverage: DataFrame) -> DataFrame:
-    """One sentence on coverage, honest about texts that could not be audited."""
+def _coverage_text() -> Column:
     n, missing = F.size("labels_in_text"), F.size("missing")
-    text = (
+    return (
         F.when(missing > 0, F.format_string("%d/%d labels covered — unaddressed: [%s]", F.size("covered"), n, F.array_join("missing", "], [")))
         .when(n > 0, F.format_string("all %d citation labels covered", n))
         .otherwise("no numbered citation markers found; coverage not audited")
     )
-    return coverage.select("paper", text.alias("coverage"))
 
 
-def claim_sections(claims: DataFrame) -> DataFrame:
-    """The report's section of each checked claim."""
+def coverage_line(coverage: DataFrame) -> DataFrame:
+    """One sentence on coverage, honest about texts that could not be audited."""
+    return coverage.select("paper", _coverage_text().alias("coverage"))
+
+
+def _claim_section() -> Column:
     cites = F.when(F.size("refs") > 0, F.concat(F.lit(" · cites ["), F.array_join("refs", ", "), F.lit("]"))).otherwise("")
     source = F.when(F.col("source_slug") != "", F.concat(F.lit("\n### Evidence from: `"), F.col("source_slug"), F.lit("`\n- **Source:** Page "), F.coalesce(F.col("source_page").cast("string"), F.lit("?")), F.coalesce(F.concat(F.lit(" `("), F.nullif("source_block", F.lit("")), F.lit(")`")), F.lit("")))).otherwise("")
     image = F.when(F.col("evidence_image") != "", F.concat(F.lit("\n![evidence]("), F.col("evidence_image"), F.lit(")"))).otherwise("")
     note = F.when(F.col("note") != "", F.concat(F.lit("\n> "), F.col("note"))).otherwise("")
-    section = F.concat(F.lit("## Claim "), F.col("id").cast("string"), F.lit(': "'), F.col("claim"), F.lit('"\n**Status:** '), J.verdict_label(F.col("verdict")), F.lit("\n**Location:** "), F.col("location"), cites, F.coalesce(source, F.lit("")), F.coalesce(image, F.lit("")), F.coalesce(note, F.lit("")))
-    return checked(claims).select("paper", "id", section.alias("section"))
+    return F.concat(F.lit("## Claim "), F.col("id").cast("string"), F.lit(': "'), F.col("claim"), F.lit('"\n**Status:** '), J.verdict_label(F.col("verdict")), F.lit("\n**Location:** "), F.col("location"), cites, F.coalesce(source, F.lit("")), F.coalesce(image, F.lit("")), F.coalesce(note, F.lit("")))
+
+
+def claim_sections(claims: DataFrame) -> DataFrame:
+    """The report's section of each checked claim."""
+    return checked(claims).select("paper", "id", _claim_section().alias("section"))
 
 
 def ordered_lines(rows: DataFrame, order: str, line: str) -> DataFrame:
@@ -133,11 +144,18 @@ def _listed(lines: DataFrame, name: str, title: str) -> DataFrame:
     return whole.select("paper", F.concat(head, F.array_join("r.line", "\n")).alias(name))
 
 
+def _uncited_line() -> Column:
+    place = F.when(F.col("location") != "", F.concat(F.lit(" *("), F.col("location"), F.lit(")*"))).otherwise("")
+    return F.concat(F.lit("- **[U"), F.col("id").cast("string"), F.lit("]** "), F.col("claim"), F.coalesce(place, F.lit("")))
+
+
+#: Title of the assertions that carry no reference.
+UNCITED = "## Assertions without citation"
+
+
 def uncited_section(uncited: DataFrame) -> DataFrame:
     """(paper, uncited): assertions that carry no reference; uncited: paper, id, claim, location."""
-    place = F.when(F.col("location") != "", F.concat(F.lit(" *("), F.col("location"), F.lit(")*"))).otherwise("")
-    line = F.concat(F.lit("- **[U"), F.col("id").cast("string"), F.lit("]** "), F.col("claim"), F.coalesce(place, F.lit("")))
-    return _listed(uncited.select("paper", F.col("id").alias("ord"), line.alias("line")), "uncited", "## Assertions without citation")
+    return _listed(uncited.select("paper", F.col("id").alias("ord"), _uncited_line().alias("line")), "uncited", UNCITED)
 
 
 def scout_section(newer: DataFrame, overlooked: DataFrame, scouted: DataFrame) -> DataFrame:
@@ -163,26 +181,57 @@ def report(claims: DataFrame, refs: DataFrame, coverage: DataFrame, runs: DataFr
     ``uncited_section``; scout: (paper, scout) of ``scout_section``.  A part
     without a row for a paper is left out of its report.
     """
-    head = verdict_counts(claims).join(availability(refs), "paper", "full_outer").join(coverage_line(coverage), "paper", "left")
-    count = lambda name: F.concat(F.lit(f"{name}: "), F.coalesce(name, F.lit(0)).cast("string"))
-    made = [F.lit(None).cast("string")] * 2
+    item = "struct<id:int,section:string,claim:string,refs:array<string>,note:string>"
+    nothing = {"at": F.lit(0).cast("long"), "line": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "ready": F.lit(None).cast("boolean"), "gap": F.lit(None).cast(item)}
+
+    def part(rows: DataFrame, kind: str, **given: Column) -> DataFrame:
+        return rows.select("paper", F.lit(kind).alias("kind"), *(c.alias(n) for n, c in (nothing | given).items()))
+
+    # every row that a report is made of, so that one grouping brings a paper's together
+    is_gap = F.col("verdict").isin(J.GAPS)
+    gap = F.when(is_gap, F.struct(F.col("id").cast("int").alias("id"), T.section_key(F.col("location")).alias("section"), "claim", "refs", "note")).cast(item)
+    parts = [
+        part(claims, "claim", at=F.col("id").cast("long"), line=F.when(~is_gap, _claim_section()), verdict=F.col("verdict"), gap=gap),
+        part(refs, "ref", at=F.col("ord").cast("long"), line=_manifest_line(), ready=J.is_available(F.col("status"))),
+        part(coverage, "coverage", line=_coverage_text()),
+    ]
     if runs is not None:
-        head = head.join(runs.select("paper", "checker", "date", "manuscript", "converter"), "paper", "left")
-        made = [
-            F.concat(F.lit("Checker: "), F.col("checker"), F.lit(" · "), F.col("date").cast("string"), F.lit("\nManuscript: "), F.col("manuscript")),
-            F.when(flat_text(F.col("converter")), FLAT_NOTE),
-        ]
-    top = F.concat_ws("\n", F.lit("# Audit report"), made[0], F.concat(F.lit("Sources: "), F.coalesce("summary", F.lit("0/0 sources available"))), F.concat_ws(" | ", *map(count, J.VERDICTS)), F.concat(F.lit("Citation coverage: "), F.coalesce("coverage", F.lit("not audited"))), made[1])
-    lists = {"checked": ordered_lines(claim_sections(claims), "id", "section")}
-    gap = gaps_by_section(claims)
-    item = lambda i: F.concat(F.lit("  - ["), F.array_join(i["refs"], ", "), F.lit("] "), i["claim"], F.when(i["note"] != "", F.concat(F.lit(" — *"), i["note"], F.lit("*"))).otherwise(""))
-    line = F.concat_ws("\n", F.concat(F.lit("- **"), F.col("section"), F.lit("** ("), F.size("items").cast("string"), F.lit("):")), F.array_join(F.transform("items", item), "\n"))
-    lists["gaps"] = ordered_lines(gap.select("paper", "place", line.alias("line")), "place", "line")
-    lists["refs"] = ordered_lines(manifest_rows(refs), "ord", "line")
-    rows = head.select("paper", top.alias("top"))
-    for name, part in lists.items():
-        rows = rows.join(part.withColumnRenamed("text", name), "paper", "left")
-    none = F.lit(None).cast("string")
-    rows = rows.withColumn("uncited", none) if uncited is None else rows.join(uncited_section(uncited), "paper", "left")
-    rows = rows.withColumn("scout", none) if scout is None else rows.join(scout, "paper", "left")
-    return rows.select("paper", F.concat_ws("\n\n", "top", "checked", F.concat(F.lit("## Not verified\n"), F.col("gaps")), "uncited", "scout", F.concat(F.lit("## Retrieval\n"), F.col("refs"))).alias("report"))
+        who = F.concat(F.lit("Checker: "), F.col("checker"), F.lit(" · "), F.col("date").cast("string"), F.lit("\nManuscript: "), F.col("manuscript"))
+        parts += [part(runs, "run", line=who), part(runs, "flat", line=F.when(flat_text(F.col("converter")), FLAT_NOTE))]
+    if uncited is not None:
+        parts.append(part(uncited, "uncited", at=F.col("id").cast("long"), line=_uncited_line()))
+    if scout is not None:
+        parts.append(part(scout, "scout", line=F.col("scout")))
+
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    lines = lambda kind: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("line").isNotNull(), F.struct("at", "line"))))
+    whole = reduce(DataFrame.unionByName, parts).groupBy("paper").agg(
+        *(F.count_if(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(v) for v in J.VERDICTS),
+        F.count_if(F.col("kind").isin("claim", "ref")).alias("own"),
+        F.count_if(F.col("kind") == "ref").alias("total"),
+        F.count_if(F.coalesce("ready", F.lit(False))).alias("available"),
+        *(F.max(of(kind, F.col("line"))).alias(kind) for kind in ("coverage", "run", "flat", "scout")),
+        *(lines(kind).alias(f"{kind}_lines") for kind in ("claim", "ref", "uncited")),
+        F.array_sort(F.collect_list("gap")).alias("items"),
+    )
+    whole = whole.where("own > 0")
+
+    count = lambda name: F.concat(F.lit(f"{name}: "), F.col(name).cast("string"))
+    sources = F.format_string("%d/%d sources available", "available", "total")
+    top = F.concat_ws("\n", F.lit("# Audit report"), "run", F.concat(F.lit("Sources: "), sources), F.concat_ws(" | ", *map(count, J.VERDICTS)), F.concat(F.lit("Citation coverage: "), F.coalesce("coverage", F.lit("not audited"))), "flat")
+    text = lambda kind: F.when(F.size(f"{kind}_lines") > 0, F.array_join(F.transform(f"{kind}_lines", lambda r: r["line"]), "\n"))
+    stated = F.concat(F.lit(f"{UNCITED} ("), F.size("uncited_lines").cast("string"), F.lit(")\n"), text("uncited"))
+    return whole.select("paper", F.concat_ws("\n\n", top, text("claim"), F.concat(F.lit("## Not verified\n"), _gap_lines(F.col("items"))), stated, "scout", F.concat(F.lit("## Retrieval\n"), text("ref"))).alias("report"))
+
+
+def _gap_lines(items: Column) -> Column:
+    """Gaps by section, sections by their first claim; null where there are none."""
+    shown = lambda i: F.concat(F.lit("  - ["), F.array_join(i["refs"], ", "), F.lit("] "), i["claim"], F.when(i["note"] != "", F.concat(F.lit(" — *"), i["note"], F.lit("*"))).otherwise(""))
+
+    def section(name: Column) -> Column:
+        own = F.filter(items, lambda i: i["section"] == name)
+        line = F.concat_ws("\n", F.concat(F.lit("- **"), name, F.lit("** ("), F.size(own).cast("string"), F.lit("):")), F.array_join(F.transform(own, shown), "\n"))
+        return F.struct(F.array_min(F.transform(own, lambda i: i["id"])).alias("place"), line.alias("line"))
+
+    sections = F.transform(F.array_distinct(F.transform(items, lambda i: i["section"])), section)
+    return F.when(F.size(items) > 0, F.array_join(F.transform(F.array_sort(sections), lambda r: r["line"]), "\n"))
