@@ -51,7 +51,7 @@ from .bloom import Bloom
 from .components import components
 from .ngram_sets import Shape, first_pass, pack, signed, still_live, token_sets, unpacked
 from .store import table, temporary
-from .textops import release
+from .textops import release, relieve
 
 GROUP = 512  #: sets of a group, about
 GROUP_TOKENS = 1_500_000  #: tokens of a group, about
@@ -175,6 +175,7 @@ def _crossing(shape: Shape, rows: pd.DataFrame, *keys: str) -> pd.DataFrame:
         a, b = np.nonzero(link)
         _, one = np.unique(np.stack([comp[a], comp[b]], 1), axis=0, return_index=True)
         found += zip(node[a[one]].tolist(), node[b[one]].tolist(), strict=True)
+    relieve()
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -190,6 +191,7 @@ def _visit(shape: Shape, visitors: pd.DataFrame, members: pd.DataFrame) -> pd.Da
                 hit = np.flatnonzero(link[i])
                 _, one = np.unique(comp[hit], return_index=True)
                 found += [(q, node[j]) for j in hit[one]]
+    relieve()
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -203,6 +205,7 @@ def _opened(shape: Shape, guests: pd.DataFrame, unions: pd.DataFrame) -> pd.Data
             bound = np.bincount(own[np.isin(token, union)], minlength=len(sets))
             hit = np.flatnonzero((100 * bound >= shape.percent * size) & (100 * size >= shape.percent * least))
             found += [(q, grp) for q in node[hit].tolist()]
+    relieve()
     return pd.DataFrame(found, columns=["node", "grp"]).astype("int64")
 
 
@@ -233,6 +236,7 @@ def contacts(rows: DataFrame) -> DataFrame:
         code, sig = code[order], sig[order]
         fresh = np.r_[True, (code[1:] != code[:-1]) | (sig[1:] != sig[:-1])][: len(sig)]
         code, sig = code[fresh], sig[fresh]
+        relieve()
         return pd.DataFrame({"cluster": rows["cluster"].iat[0], "grp": rows["grp"].iat[0], "comp": comps[code], "inside": inside[code], "sig": sig})
 
     each = table(rows.groupBy("cluster", "grp").applyInPandas(held, "cluster long, grp long, comp long, inside boolean, sig long"), "held")
@@ -259,6 +263,7 @@ def contacts(rows: DataFrame) -> DataFrame:
             (a, need), (b, _) = enough(s, n, among[:0] if inside else among), enough(s, n, across)
             if len(a) or len(b):
                 found.append((i, a, need, len(b) > 0))
+        relieve()
         rows = rows.iloc[[x[0] for x in found]].reset_index(drop=True)[names[:-2]]
         return rows.assign(among=[x[1] for x in found], needs=[x[2] for x in found], across=[x[3] for x in found])
 
@@ -334,6 +339,7 @@ def across(zone: DataFrame, shape: Shape) -> DataFrame:
 
     def union(rows: pd.DataFrame) -> pd.DataFrame:
         tokens = np.unique(np.concatenate(unpacked(rows["tokens"])))
+        relieve()
         return pd.DataFrame([(rows["cluster"].iat[0], rows["grp"].iat[0], rows["size"].min(), pack(tokens))], columns=["cluster", "grp", "least", "tokens"])
 
     unions = table(hosts.groupBy("cluster", "grp").applyInPandas(union, "cluster long, grp long, least long, tokens binary"), "unions")

@@ -10,6 +10,7 @@ chunk.
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,16 @@ def release() -> None:
         pass
 
 
+_relieved = [0.0]
+
+
+def relieve(seconds: float = 1.0) -> None:
+    """``release`` at most so often, for functions that are called for many small groups."""
+    if time.monotonic() - _relieved[0] > seconds:
+        release()
+        _relieved[0] = time.monotonic()
+
+
 class Chunk:
     """Texts end to end: ``data`` bytes and ``offsets`` of len(texts) + 1."""
 
