@@ -93,6 +93,25 @@ def _report_files(s, d):
     return rows
 
 
+def _page_rows(s, d):
+    """What both pages of a paper show: checked claims, and how many of how many are not verified."""
+    out = []
+    for look in ("editor", "terminal"):
+        html = F.col("html")
+        total = lambda k: F.regexp_extract("html", r"<h2>Not verified \((\d+) of (\d+)\)</h2>", k).cast("long")
+        out.append(_pages(look)(s, d).select("paper", F.lit(look).alias("look"), F.regexp_count(html, F.lit("<h2>Claim ")).cast("long").alias("checked"), total(1).alias("gaps"), total(2).alias("claims"), F.regexp_count(html, F.lit("<li>\\[U")).cast("long").alias("stated")))
+    return out[0].unionByName(out[1])
+
+
+def _pdf_files(s, d):
+    """PDFs of a folder that the query fills with the papers' files and, beside each, one of another kind."""
+    names = D.table(s, d, "files").select(F.concat_ws("-", "paper", "name").alias("path"))
+    root, _ = _filed(s, names.union(names.select(F.concat("path", F.lit(".txt")))).select(F.lit("sources").alias("case"), "path", F.lit("%PDF-1.7").alias("content")))
+    rows = seams.kept(seams.pdf_files(s, f"{root}/sources", content=True).select("name", F.length("content").cast("long").alias("n_bytes")))
+    seams.remove(s, root)
+    return rows
+
+
 def _runs(s, d):
     """What a report says of the run: half of the papers were read as flat text."""
     rows = D.table(s, d, "ref_lines").select("paper").distinct()
@@ -280,6 +299,8 @@ FROM r JOIN claim_rows USING (paper, id) WHERE r.source_slug IS NOT NULL GROUP B
     "K4b_html": (_pages("editor"), None),
     "K4b_terminal": (_pages("terminal"), None),
     "K4_report": (_report, _REPORT),
+    "K4b_page_rows": (_page_rows, f"{_CR}, t AS (SELECT paper, count(*) FILTER (WHERE NOT {Q.GAP}) AS checked, count(*) FILTER (WHERE {Q.GAP}) AS gaps, count(*) AS claims FROM claim_rows GROUP BY paper), l AS (SELECT unnest(['editor', 'terminal']) AS look) SELECT paper, look, checked, gaps, claims, coalesce(stated, 0) AS stated FROM t JOIN l ON true LEFT JOIN (SELECT paper, count(*) AS stated FROM claim_rows WHERE id < 3 GROUP BY paper) v USING (paper)"),
+    "S6_pdf_files": (_pdf_files, f"{Q.ctes('files')} SELECT paper || '-' || name AS name, 8 AS n_bytes FROM files"),
     "K1_manifest_files": (_manifest_files, f"{_E} SELECT paper, ord, num, raw, doi, status, slug FROM e"),
     "K4_report_files": (_report_files, f"SELECT paper, report, CAST(strlen(report) AS BIGINT) AS n_bytes, sha256(report) AS sha256 FROM ({_REPORT}) t"),
 }
