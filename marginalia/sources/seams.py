@@ -25,11 +25,21 @@ Judge = Callable[[str], str]
 JUDGE_TIMEOUT_S, HTTP_TIMEOUT_S, JUDGE_TRIES = 600, 25, 2
 
 
+#: Calls that have run out of time and not ended, in this worker.
+MOST_HUNG = 32
+_hung: list[Thread] = []
+
+
 def within(call: Callable, argument, seconds: float):
     """What a call gives, or its error; TimeoutError where it takes longer, as a client may not keep to a limit of its own.
 
-    The call runs on a thread that nothing waits for once its time is up.
+    The call runs on a thread that nothing waits for once its time is up.  A
+    worker has MOST_HUNG such threads at most: while so many calls still hang,
+    a further one isn't begun and counts as late.
     """
+    _hung[:] = [t for t in _hung if t.is_alive()]
+    if len(_hung) >= MOST_HUNG:
+        raise TimeoutError(f"{len(_hung)} calls of this worker hang")
     got: list = []
 
     def run() -> None:
@@ -42,6 +52,7 @@ def within(call: Callable, argument, seconds: float):
     thread.start()
     thread.join(seconds)
     if not got:
+        _hung.append(thread)
         raise TimeoutError(f"no answer within {seconds:g} s")
     value, error = got[0]
     if error is not None:

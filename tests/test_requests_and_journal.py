@@ -192,3 +192,15 @@ def test_client_says_who_it_is_and_follows_few_redirects():
             get("file:///etc/passwd")
     finally:
         server.shutdown()
+
+
+def test_hanging_calls_are_bounded():
+    release = threading.Event()
+    before = threading.active_count()
+    for _ in range(seams.MOST_HUNG + 10):
+        with pytest.raises(TimeoutError):
+            seams.within(lambda _: release.wait(30), None, 0.001)
+    assert threading.active_count() - before <= seams.MOST_HUNG
+    release.set()
+    time.sleep(0.5)
+    assert seams.within(lambda x: x + 1, 1, 5) == 2
