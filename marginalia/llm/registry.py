@@ -138,8 +138,7 @@ def _op10(rows: DataFrame) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    with temporary(spark):
-        rows = token_alignment.align_documents(read(spark, sf_dir, "documents"), a, b)
+    with token_alignment.aligned(read(spark, sf_dir, "documents"), a, b) as rows:
         digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
         return table(rows.withColumn("groups_sha256", digest).drop("groups"), "alignment-digests", keep=True)
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -417,7 +418,8 @@ def _composed(id_field: pa.Field, dtype: str):
     return run
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@contextmanager
+def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> Iterator[DataFrame]:
     """Id, ``n_a, n_b, n_groups, n_links, n_best, count_sum`` and ``groups`` of each document.
 
     Text A is a space and the text, by the byte-level tokenizer at ``a_path``;
@@ -426,6 +428,9 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     an A and a B token that share a byte; a pair's count is the number of
     documents that hold it.  ``n_best``: links of the highest count of their A
     id; ``count_sum``: counts added over links.
+
+    The rows are worked out when they are read, which has to be inside the block:
+    what they come from goes at its end.
     """
     kind, arrow_id = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     dtype = id_type(a_path, b_path)
@@ -438,8 +443,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             deal = _dealt(-(-(held or 1) // DEALT), -(-(n or 1) // SHARE))
             dealt = blocks.select("block", "texts", "sizes").mapInArrow(deal, "bucket long, owner long, steps binary, texts binary, sizes binary")
             tokens = "a binary, b binary, moves binary"
-            aligned = dealt.groupBy("bucket").applyInArrow(_aligned(a_path, b_path, dtype), f"owner long, steps binary, {tokens}")
-            met = blocks.drop("texts", "sizes", "n").groupBy("block").cogroup(aligned.groupBy("owner"))
+            segments = dealt.groupBy("bucket").applyInArrow(_aligned(a_path, b_path, dtype), f"owner long, steps binary, {tokens}")
+            met = blocks.drop("texts", "sizes", "n").groupBy("block").cogroup(segments.groupBy("owner"))
             counted = table(met.applyInArrow(_counted(arrow_id, dtype), f"{numbers}, {tokens}, pairs array<long>, counts array<long>"), "align-counted", keep=True)
         pairs = counted.select(F.col("block").alias("owner"), F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("owner", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("own"))
         totals = table(pairs.groupBy("pair").agg(F.sum("own").alias("n")).withColumn("a", F.shiftright("pair", 32)), "align-pairs")
@@ -448,4 +453,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
         totals = pairs.select("owner", "pair").join(totals, "pair").groupBy("owner")
         out = f"`{id_col}` {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
         rows = counted.drop("pairs", "counts").groupBy("block").cogroup(totals).applyInArrow(_composed(pa.field(id_col, arrow_id), dtype), out)
+        yield rows
+
+
+def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``aligned`` as a table that stays."""
+    with aligned(docs, a_path, b_path, id_col, text_col) as rows:
         return table(rows, "alignments", keep=True)

@@ -109,3 +109,10 @@ def test_cuts_follow_the_vocabularies():
 
     at = cut.cuts(np.frombuffer(data, np.uint8)).tolist()
     assert [data[:k].decode()[-1] for k in at] == ["x", "b", "x", "x", "ß", "x"]
+
+
+def test_groups_are_what_the_digests_are_of(spark):
+    docs = spark.createDataFrame([(1, "the cat"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.groups for r in token_alignment.align_documents(docs, A, B).collect()}
+    wanted = {r[0]: r[-1] for r in brute([(1, "the cat"), (2, None)])}
+    assert rows[2] == wanted[2] == "" and hashlib.sha256(rows[1].encode()).hexdigest() == wanted[1]
