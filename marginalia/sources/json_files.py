@@ -37,7 +37,12 @@ def source_maps_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """References with their manuscript's name."""
-    rows = _read(spark, path, S.MANIFEST).select("paper", "manuscript", F.posexplode("entries").alias("ord", "e"))
+    return manifests_of(_read(spark, path, S.MANIFEST))
+
+
+def manifests_of(rows: DataFrame) -> DataFrame:
+    """``manifests`` of parsed files: paper, and the fields of MANIFEST."""
+    rows = rows.select("paper", "manuscript", F.posexplode("entries").alias("ord", "e"))
     return rows.select("paper", "manuscript", "ord", "e.*").withColumns({"status": F.coalesce("status", F.lit("error")), "reason": F.coalesce("reason", F.lit(""))})
 
 
