@@ -8,6 +8,8 @@ differently.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,18 @@ _USES = {"refs": ["ref_lines"], "drafts": ["ref_lines"], "sections": ["ref_lines
 LINES = {"spark": "listagg(line, chr(10)) WITHIN GROUP (ORDER BY ord)", "duckdb": "string_agg(line, chr(10) ORDER BY ord)"}
 
 
+#: A table of one select whose second column numbers the rows of a paper.
+_NUMBERED = re.compile(r"\s*SELECT (?P<key>\w+) AS paper, (?P<number>CAST\(row_number\(\) OVER \([^()]*\) AS INT\)) AS (?P<n>\w+),(?P<rest>.*)\nFROM (?P<tables>[^()]*)", re.DOTALL)
+
+
 def _text(name: str, engine: str) -> str:
-    return SQL[name].replace("{lines}", LINES[engine]).replace("{{", "{").replace("}}", "}")
+    text = SQL[name].replace("{lines}", LINES[engine]).replace("{{", "{").replace("}}", "}")
+    numbered = _NUMBERED.fullmatch(text) if engine == "spark" else None
+    if not numbered:
+        return text
+    # Spark makes the columns beside a window before it shuffles for it: here the
+    # driver's narrow columns are moved, and the texts made once they are numbered
+    return "SELECT paper, {n}, {rest} FROM (SELECT *, {key} AS paper, {number} AS {n} FROM {tables}) t".format(**numbered.groupdict())
 
 
 def ctes(*names: str, engine: str = "duckdb") -> str:

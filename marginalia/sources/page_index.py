@@ -54,8 +54,11 @@ class PageIndex:
     def append(self, words: DataFrame) -> None:
         """Postings of pages that are new, as files of their own."""
         known = self.table().select(*PAGE).distinct()
-        new = postings(words.join(known, PAGE, "left_anti"))
-        new.repartition(self.buckets, *KEYS).select(*self.table().columns).write.insertInto(self.name)
+        if not known.isEmpty():
+            words = words.join(known, PAGE, "left_anti")
+        # dealt to the buckets once, as words in lower case: their postings and the files are made where they are
+        dealt = words.withColumn("word", F.lower("word")).repartition(self.buckets, *KEYS)
+        postings(dealt).select(*self.table().columns).write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
