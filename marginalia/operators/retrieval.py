@@ -65,13 +65,14 @@ def match_provided(refs: DataFrame, files: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.length("name") - width + 1)
     pieces = F.array_distinct(F.transform(starts, lambda i: name.substr(i, F.lit(width))))
     held = files.where(F.length("name") >= width).select("paper", F.col("name").alias("file"), name.alias("lower_name"), F.explode(pieces).alias("piece"))
-    rows = wanted.join(held, ["paper", "piece"]).where(F.forall("tokens", lambda t: F.contains(F.col("lower_name"), t)))
+    # a merge: names make many pieces, so the files' size says little of what a broadcast would hold
+    rows = wanted.join(held.hint("merge"), ["paper", "piece"]).where(F.forall("tokens", lambda t: F.contains(F.col("lower_name"), t)))
     return rows.groupBy("paper", "ord", "num", "slug").agg(F.min("file").alias("file"))
 
 
 def accepted(responses: DataFrame, refs: DataFrame) -> DataFrame:
     """``ok, mismatch`` of each download; responses: paper, ord, source, http_status, is_pdf, first_page, error."""
-    rows = responses.join(refs.select("paper", "ord", "raw"), ["paper", "ord"])
+    rows = responses.join(refs.select("paper", "ord", "raw").hint("merge"), ["paper", "ord"])
     got = F.coalesce((F.col("http_status") == 200) & F.col("is_pdf"), F.lit(False))
     detail = T.title_check(F.col("raw"), F.col("first_page"))
     reason = F.concat(F.lit("retrieved PDF looks like a different paper ("), detail, F.lit(") — wrong or mistyped DOI in the reference? Drop the correct copy into sources/"))

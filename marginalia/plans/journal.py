@@ -8,6 +8,10 @@ further version.  The present state of a reference is derived from its facts.
 
 One writer at a time: if another took a version first, the write fails and can
 be run again.  A reference without a result has a fact that says so.
+
+Facts repeat themselves, so their files are small for their rows; joins by
+reference are merges, as a broadcast chosen by the files' size would pass the
+driver all references.
 """
 
 from __future__ import annotations
@@ -47,11 +51,11 @@ class Journal:
     def advance(self, stage: str, rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """``make`` of the rows (paper, ord, …): read for those that the stage has seen, made and appended for the others."""
         rows, known = seams.kept(rows), self._read(stage)  # used several times below
-        new = rows if known is None else rows.join(known.select(*KEY), KEY, "left_anti")
+        new = rows if known is None else rows.join(known.select(*KEY).hint("merge"), KEY, "left_anti")
         if known is None or not new.isEmpty():
             self._append(stage, new, make(new), known)
         facts = self._read(stage).where("fact is not null")
-        return facts.join(rows.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "fact.*")
+        return facts.join(rows.select(*KEY).distinct().hint("merge"), KEY, "left_semi").select(*KEY, "fact.*").hint("merge")
 
     def _append(self, stage: str, rows: DataFrame, made: DataFrame, known: DataFrame | None) -> None:
         rest = [c for c in made.columns if c not in KEY]

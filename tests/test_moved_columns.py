@@ -44,3 +44,14 @@ def test_a_first_append_joins_nothing(spark, tmp_path, monkeypatch):
     assert joins == [1]
     assert sorted((r.word, [h.pos for h in r.hits]) for r in index.table().collect()) == [("a", [0, 1]), ("b", [3])]
     index.drop()
+
+
+def test_references_and_files_are_not_broadcast(spark, small):
+    from marginalia.operators import retrieval as W
+
+    refs, files = D.refs(spark, small), D.table(spark, small, "files")
+    for rows in (W.match_provided(refs, files), W.accepted(D.table(spark, small, "downloads"), refs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert any("SortMergeJoin" in line for line in joins)
+        assert not any("BroadcastHashJoin" in line and ("piece" in line or "ord#" in line) for line in joins)
