@@ -50,8 +50,8 @@ def labels_of(words: Column) -> Column:
 
 
 def cited_bits(claims: DataFrame) -> DataFrame:
-    """(paper, bits) of claims (paper, refs): partial sets are joined before the shuffle."""
-    return merge_bits(claims.select("paper", bitmap(F.col("refs")).alias("bits")))
+    """(paper, bits) of claims (paper, refs): a paper's distinct labels are made one bitmap, not those of each claim."""
+    return claims.groupBy("paper").agg(bitmap(F.array_distinct(F.flatten(F.collect_set("refs")))).alias("bits"))
 
 
 def merge_bits(parts: DataFrame) -> DataFrame:
