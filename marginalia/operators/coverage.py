@@ -14,6 +14,22 @@ def covered_labels(claims: DataFrame) -> DataFrame:
     return labels.groupBy("paper").agg(F.collect_set("label").alias("cited"))
 
 
+def text_labels(texts: DataFrame) -> DataFrame:
+    """(paper, labels_in_text) of texts (paper, clean_md)."""
+    return texts.select("paper", labels_in_text(F.col("clean_md")).alias("labels_in_text"))
+
+
+def cited() -> Column:
+    """Distinct labels that a group of claims cites."""
+    return F.array_distinct(F.flatten(F.collect_set("refs")))
+
+
+def parted(labels: Column, cited: Column) -> dict[str, Column]:
+    """``covered`` and ``missing`` of a text's labels; cited may be null."""
+    known = F.coalesce(cited, F.array().cast("array<string>"))
+    return {"covered": by_number(F.array_intersect(labels, known)), "missing": by_number(F.array_except(labels, known))}
+
+
 def status(labels: Column, missing: Column) -> Column:
     return F.when(F.size(labels) == 0, "not audited").when(F.size(missing) > 0, "missing").otherwise("all covered")
 
@@ -24,10 +40,8 @@ def coverage_audit(texts: DataFrame, claims: DataFrame) -> DataFrame:
     Labels are found within each row; only the short label arrays meet the
     claims, so the texts are not shuffled.
     """
-    labels = texts.select("paper", labels_in_text(F.col("clean_md")).alias("labels_in_text"))
-    rows = labels.join(covered_labels(claims), "paper", "left")
-    cited = F.coalesce("cited", F.array().cast("array<string>"))
-    rows = rows.select("paper", "labels_in_text", by_number(F.array_intersect("labels_in_text", cited)).alias("covered"), by_number(F.array_except("labels_in_text", cited)).alias("missing"))
+    rows = text_labels(texts).join(covered_labels(claims), "paper", "left")
+    rows = rows.select("paper", "labels_in_text", *(c.alias(k) for k, c in parted(F.col("labels_in_text"), F.col("cited")).items()))
     return rows.withColumn("status", status(F.col("labels_in_text"), F.col("missing")))
 
 

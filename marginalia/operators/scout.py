@@ -26,16 +26,26 @@ def hits(found: DataFrame) -> DataFrame:
     )
 
 
+def first_of_keys(rows: DataFrame) -> DataFrame:
+    """(paper, branch, ord, ks, h): the first hit of each set of keys, and none without keys.
+
+    Whether the first was kept or dropped, one of its keys is taken from there
+    on, so no later hit of the same keys is ever kept.
+    """
+    branch = F.when(F.col("via") == "citing", 0).otherwise(1).alias("branch")
+    keyed = rows.select("paper", T.hit_keys(F.col("doi"), F.col("title")).alias("ks"), F.struct(branch, "ord", F.struct("via", "title", "year", "doi", "journal", "authors").alias("h")).alias("hit"))
+    return keyed.where(F.size("ks") > 0).groupBy("paper", "ks").agg(F.min("hit").alias("hit")).select("paper", "hit.branch", "hit.ord", "ks", "hit.h")
+
+
 def ordered_dedup(rows: DataFrame, papers: DataFrame) -> DataFrame:
     """Hits in order, each dropped if it has no key or one that a hit kept before it, or the paper itself, has.
 
     Only kept hits register their keys, so it is a fold in order: neither
-    dropping duplicates by key nor connected components give the same.  A paper
-    has a request's worth of hits (some hundred), folded in one row.
+    dropping duplicates by key nor connected components give the same.  A paper's
+    hits of different keys are folded in one row.
     """
-    keyed = F.struct(F.when(F.col("via") == "citing", 0).otherwise(1).alias("branch"), "ord", T.hit_keys(F.col("doi"), F.col("title")).alias("ks"), F.struct("via", "title", "year", "doi", "journal", "authors").alias("h"))
     kind = "array<struct<branch:int,ord:int,ks:array<string>,h:struct<via:string,title:string,year:int,doi:string,journal:string,authors:string>>>"
-    lists = rows.groupBy("paper").agg(F.array_sort(F.collect_list(keyed)).cast(kind).alias("hits"))
+    lists = first_of_keys(rows).groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("branch", "ord", "ks", "h"))).cast(kind).alias("hits"))
     own = papers.select("paper", "paper_year", T.hit_keys(F.lower(F.coalesce("paper_doi", F.lit(""))), F.col("paper_title")).alias("own"))
     lists = lists.join(own, "paper", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
 
