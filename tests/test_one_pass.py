@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import catalog
 from marginalia.operators import html as H
+from marginalia.operators import report as P
 from marginalia.operators import scout
 from marginalia.plans import catalog_tables as T
 
@@ -15,8 +16,8 @@ def scans(df, word):
     return sum("Relation" in line and word in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
 
 
-@pytest.mark.parametrize("name", ["K4b_html", "K4b_terminal", "K4b_page_rows"])
-def test_pages_read_the_claims_once(spark, small, name):
+@pytest.mark.parametrize("name", ["K4b_html", "K4b_terminal", "K4b_page_rows", "K4_report", "K8_console", "S4_results_claims", "S4_results_runs", "S4_results_uncited"])
+def test_papers_read_the_claims_once(spark, small, name):
     assert scans(catalog.queries()[name](spark, small), "l_partkey") == 1
 
 
@@ -28,6 +29,14 @@ def test_pages_are_those_of_separate_tables(spark, small):
         assert rows == {r.paper: r.html for r in T._pages(look)(spark, small).collect()} and rows
 
 
+def test_reports_are_those_of_separate_tables(spark, small):
+    claims, refs = T.D.claims(spark, small), T.D.refs(spark, small)
+    scouted = P.scout_section(*T._registers(spark, small), T._scouted(spark, small))
+    apart = P.report(claims, refs, T._covered(spark, small), T._runs(spark, small), T._uncited(spark, small), scouted)
+    rows = {r.paper: r.report for r in apart.collect()}
+    assert rows == {r.paper: r.report for r in T._report(spark, small).collect()} and rows
+
+
 def test_the_fold_gets_each_set_of_keys_once(spark):
     pick = random.Random(5)
     rows = [(1, k, pick.choice(["citing", "search"]), pick.choice(["", "one", "two", "three", "four"]), 2000, pick.choice(["", "10.1/a", "10.1/b", "10.1/c"]), "j", "a") for k in range(400)]
