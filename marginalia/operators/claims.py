@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import judgement as J
 from ..functions import text as T
-from .references import first_by_num
 
 
 def cited_entries(claims: DataFrame, refs: DataFrame) -> DataFrame:
     """A row for each label of each claim, with the first entry of that number; unknown labels have none."""
-    labels = claims.select("paper", "id", F.posexplode_outer("refs").alias("pos", "num"))
-    return labels.join(first_by_num(refs).select("paper", "num", "status", "slug"), ["paper", "num"], "left")
+    found = F.transform("refs", lambda n: F.struct(n.alias("num"), F.array_position("nums", n).alias("at")))
+    entry = F.transform(found, lambda f: F.struct(f["num"].alias("num"), F.get("entries", (f["at"] - 1).cast("int")).alias("e")))
+    rows = claims.select("paper", "id", "refs").join(_reference_lists(refs), "paper", "left")
+    rows = rows.select("paper", "id", F.posexplode_outer(entry).alias("pos", "c"))
+    return rows.select("paper", "id", "pos", "c.num", "c.e.status", "c.e.slug")
+
+
+def _reference_lists(refs: DataFrame) -> DataFrame:
+    """(paper, nums, entries): a paper's reference list in order, so that claims meet it by paper and are moved for nothing else."""
+    rows = refs.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("ord", "num", "status", "slug"))).alias("l"))
+    return rows.select("paper", F.col("l.num").alias("nums"), F.transform("l", lambda e: F.struct(e["status"].alias("status"), e["slug"].alias("slug"))).alias("entries"))
 
 
 def route(claims: DataFrame, refs: DataFrame) -> DataFrame:
@@ -44,9 +52,12 @@ def groups(routed: DataFrame) -> DataFrame:
 
 def prompts(claims: DataFrame, routed: DataFrame, sources: DataFrame, template: str) -> DataFrame:
     """(paper, slug, prompt): a template with its claims, slug and source text (paper, slug, annotated_md) filled in."""
-    rows = routed.where("source_slug is not null").join(claims.select("paper", "id", "claim", "location"), ["paper", "id"])
+    # a paper's claims and the sources they go to meet by paper alone, as both were made
+    sent = routed.where("source_slug is not null").groupBy("paper").agg(F.collect_list(F.struct("id", "source_slug")).alias("sent"))
+    slug = F.get("sent.source_slug", (F.array_position("sent.id", F.col("id")) - 1).cast("int"))
+    rows = claims.select("paper", "id", "claim", "location").join(sent, "paper").select("paper", "id", "claim", "location", slug.alias("slug")).where("slug is not null")
     asked = F.array_sort(F.collect_list(F.struct("id", "claim", "location")))
-    rows = rows.groupBy("paper", F.col("source_slug").alias("slug")).agg(F.to_json(asked).alias("claims_json")).join(sources, ["paper", "slug"])
+    rows = rows.groupBy("paper", "slug").agg(F.to_json(asked).alias("claims_json")).join(sources, ["paper", "slug"])
     filled = F.replace(F.replace(F.lit(template), F.lit("<<CLAIMS>>"), F.col("claims_json")), F.lit("<<SLUG>>"), F.col("slug"))
     return rows.select("paper", "slug", F.replace(filled, F.lit("<<SOURCE>>"), F.left("annotated_md", F.lit(T.SOURCE_CHARS))).alias("prompt"))
 

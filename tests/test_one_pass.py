@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import catalog
+from marginalia.operators import claims as C
 from marginalia.operators import html as H
 from marginalia.operators import report as P
 from marginalia.operators import scout
@@ -50,3 +51,18 @@ def test_the_fold_gets_each_set_of_keys_once(spark):
             wanted.append(r[1])
     own = spark.createDataFrame([(1, "", "10.1/B", 2001)], "paper long, paper_title string, paper_doi string, paper_year int")
     assert sorted(r.ord for r in scout.ordered_dedup(hits, own).collect()) == sorted(wanted)
+
+
+@pytest.mark.parametrize("name", ["J4_merge_verdicts", "F26_prompt"])
+def test_claims_meet_references_by_paper(spark, small, name):
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    keys = [line.split("hashpartitioning(")[1] for line in moved]
+    assert moved and not any("num#" in k for k in keys)
+
+
+def test_the_first_entry_of_a_number_counts(spark):
+    claims = spark.createDataFrame([("p", 1, ["7", None, "8"]), ("p", 2, []), ("q", 1, ["7"])], "paper string, id int, refs array<string>")
+    refs = spark.createDataFrame([("p", 3, "7", "error", "late"), ("p", 1, "7", "retrieved", "early"), ("p", 2, None, "retrieved", "none")], "paper string, ord int, num string, status string, slug string")
+    rows = {(r.paper, r.id, r.pos): (r.num, r.status, r.slug) for r in C.cited_entries(claims, refs).collect()}
+    assert rows == {("p", 1, 0): ("7", "retrieved", "early"), ("p", 1, 1): (None, None, None), ("p", 1, 2): ("8", None, None), ("p", 2, None): (None, None, None), ("q", 1, 0): ("7", None, None)}
