@@ -31,10 +31,15 @@ def source_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def source_maps_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``source_maps`` of parsed files: paper, and the fields of SOURCE_MAP."""
     docs = rows.select("paper", "doc", "pages", F.coalesce("converter", F.lit(CONVERTER)).alias("converter"))
-    blocks = rows.select("paper", F.posexplode("blocks").alias("seq", "b"))
+    return docs, source_map_rows_of(rows).drop("converter")
+
+
+def source_map_rows_of(rows: DataFrame) -> DataFrame:
+    """Blocks with their document's ``converter``, which come from one reading."""
+    blocks = rows.select("paper", F.coalesce("converter", F.lit(CONVERTER)).alias("converter"), F.posexplode("blocks").alias("seq", "b"))
     box = G.box(*(F.get("b.bbox", F.lit(k)) for k in range(4)))
     none = F.array().cast("array<string>")
-    return docs, blocks.select("paper", "seq", "b.id", "b.type", "b.page", box.alias("bbox"), F.coalesce("b.heading_path", none).alias("heading_path"), F.coalesce("b.text", F.lit("")).alias("text"))
+    return blocks.select("paper", "converter", "seq", "b.id", "b.type", "b.page", box.alias("bbox"), F.coalesce("b.heading_path", none).alias("heading_path"), F.coalesce("b.text", F.lit("")).alias("text"))
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:

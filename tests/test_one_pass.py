@@ -66,3 +66,7 @@ def test_the_first_entry_of_a_number_counts(spark):
     refs = spark.createDataFrame([("p", 3, "7", "error", "late"), ("p", 1, "7", "retrieved", "early"), ("p", 2, None, "retrieved", "none")], "paper string, ord int, num string, status string, slug string")
     rows = {(r.paper, r.id, r.pos): (r.num, r.status, r.slug) for r in C.cited_entries(claims, refs).collect()}
     assert rows == {("p", 1, 0): ("7", "retrieved", "early"), ("p", 1, 1): (None, None, None), ("p", 1, 2): ("8", None, None), ("p", 2, None): (None, None, None), ("q", 1, 0): ("7", None, None)}
+
+
+def test_source_maps_are_parsed_once(spark, small):
+    assert scans(catalog.queries()["S4_source_maps"](spark, small), "l_partkey") == 2  # the documents, and their blocks
