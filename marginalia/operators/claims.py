@@ -53,11 +53,11 @@ def groups(routed: DataFrame) -> DataFrame:
 def prompts(claims: DataFrame, routed: DataFrame, sources: DataFrame, template: str) -> DataFrame:
     """(paper, slug, prompt): a template with its claims, slug and source text (paper, slug, annotated_md) filled in."""
     # a paper's claims and the sources they go to meet by paper alone, as both were made
-    sent = routed.where("source_slug is not null").groupBy("paper").agg(F.collect_list(F.struct("id", "source_slug")).alias("sent"))
-    slug = F.get("sent.source_slug", (F.array_position("sent.id", F.col("id")) - 1).cast("int"))
-    rows = claims.select("paper", "id", "claim", "location").join(sent, "paper").select("paper", "id", "claim", "location", slug.alias("slug")).where("slug is not null")
-    asked = F.array_sort(F.collect_list(F.struct("id", "claim", "location")))
-    rows = rows.groupBy("paper", "slug").agg(F.to_json(asked).alias("claims_json")).join(sources, ["paper", "slug"])
+    sent = routed.where("source_slug is not null").groupBy("paper", F.col("source_slug").alias("slug")).agg(F.collect_list("id").alias("ids"))
+    sent = sent.groupBy("paper").agg(F.collect_list(F.struct("slug", "ids")).alias("sent"))
+    told = claims.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("id", "claim", "location"))).alias("told"))
+    asked = F.transform("sent", lambda s: F.struct(s["slug"].alias("slug"), F.to_json(F.filter("told", lambda c: F.array_contains(s["ids"], c["id"]))).alias("claims_json")))
+    rows = sent.join(told, "paper").select("paper", F.inline(asked)).where("claims_json <> '[]'").join(sources, ["paper", "slug"])
     filled = F.replace(F.replace(F.lit(template), F.lit("<<CLAIMS>>"), F.col("claims_json")), F.lit("<<SLUG>>"), F.col("slug"))
     return rows.select("paper", "slug", F.replace(filled, F.lit("<<SOURCE>>"), F.left("annotated_md", F.lit(T.SOURCE_CHARS))).alias("prompt"))
 
