@@ -57,12 +57,12 @@ def retrieve(refs: DataFrame, files: DataFrame, get: Get | RequestLedger, first_
 
     arxiv = step("arxiv", left, lambda rows: _downloads(_asked(rows, Q.arxiv(T.arxiv_id(F.col("raw"))), get), "arxiv", first_page))
     settled = W.accepted(arxiv, refs).where("ok")
-    left = left.join(settled, ids, "left_anti")
+    left = keep(left.join(settled, ids, "left_anti"), "left")
 
     no_doi = left.where("doi is null or doi = ''")
     found = step("crossref", no_doi, lambda rows: _asked(rows, Q.crossref(F.col("raw")), get))
     found = found.select(*ids, F.when(F.col("status") == 200, W.crossref_doi(F.col("body").cast("string"))).alias("crossref_doi"))
-    left = left.join(found, ids, "left").withColumn("asked", F.coalesce(F.nullif("doi", F.lit("")), "crossref_doi")).where("asked is not null")
+    left = keep(left.join(found, ids, "left").select(*ids, F.coalesce(F.nullif("doi", F.lit("")), "crossref_doi").alias("asked")).where("asked is not null"), "asked")
 
     lookups, downloads = [], [arxiv]
     for source, url, pdf in (

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from queue import Empty, SimpleQueue
 from threading import Thread
 
 import pandas as pd
@@ -27,36 +28,56 @@ Judge = Callable[[str], str]
 JUDGE_TIMEOUT_S, HTTP_TIMEOUT_S, JUDGE_TRIES = 600, 25, 2
 
 
-#: Calls that have run out of time and not ended, in this worker.
+class _Caller:
+    """A thread that makes one call after the other until it is told to end."""
+
+    def __init__(self) -> None:
+        self.calls, self.answers = SimpleQueue(), SimpleQueue()
+        self.thread = Thread(target=self._run, daemon=True)
+        self.thread.start()
+
+    def _run(self) -> None:
+        while (asked := self.calls.get()) is not None:
+            call, argument = asked
+            try:
+                answer = (call(argument), None)
+            except Exception as e:  # noqa: BLE001  any client's error is an answer
+                answer = (None, e)
+            except BaseException as e:  # noqa: BLE001  what would end the thread is none
+                answer = (None, TimeoutError(f"the call was ended by {type(e).__name__}"))
+            self.answers.put(answer)
+            del asked, call, argument, answer
+
+
+#: Calls that have run out of time and not ended, in this worker, and the thread that the next call goes to.
 MOST_HUNG = 32
 _hung: list[Thread] = []
+_idle: list[_Caller] = []
 
 
 def within(call: Callable, argument, seconds: float):
     """What a call gives, or its error; TimeoutError where it takes longer, as a client may not keep to a limit of its own.
 
-    The call runs on a thread that nothing waits for once its time is up.  A
-    worker has MOST_HUNG such threads at most: while so many calls still hang,
-    a further one isn't begun and counts as late.
+    The calls of a worker run on one thread, until one is late: nothing waits
+    for that thread then, and the next call gets another.  A worker has
+    MOST_HUNG such threads at most: while so many calls still hang, a further
+    one isn't begun and counts as late.
     """
-    _hung[:] = [t for t in _hung if t.is_alive()]
-    if len(_hung) >= MOST_HUNG:
-        raise TimeoutError(f"{len(_hung)} calls of this worker hang")
-    got: list = []
-
-    def run() -> None:
-        try:
-            got.append((call(argument), None))
-        except Exception as e:  # noqa: BLE001  any client's error is an answer
-            got.append((None, e))
-
-    thread = Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if not got:
-        _hung.append(thread)
-        raise TimeoutError(f"no answer within {seconds:g} s")
-    value, error = got[0]
+    if _hung:
+        _hung[:] = [t for t in _hung if t.is_alive()]
+        if len(_hung) >= MOST_HUNG:
+            raise TimeoutError(f"{len(_hung)} calls of this worker hang")
+    caller = _idle.pop() if _idle else None
+    if caller is None or not caller.thread.is_alive():
+        caller = _Caller()
+    caller.calls.put((call, argument))
+    try:
+        value, error = caller.answers.get(timeout=seconds)
+    except Empty:
+        caller.calls.put(None)
+        _hung.append(caller.thread)
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    _idle.append(caller)
     if error is not None:
         raise error
     return value
@@ -162,7 +183,11 @@ def ask(prompts: DataFrame, judge: Judge, seconds: float = JUDGE_TIMEOUT_S) -> D
 
 
 def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]], seconds: float = HTTP_TIMEOUT_S) -> DataFrame:
-    """(key, url, status, body, error): the answer to each request (key, url); a failure of any kind is a row, not an end."""
+    """(key, url, status, body, error): the answer to each request (key, url); a failure of any kind is a row, not an end.
+
+    Requests are dealt out by a number of parts that is given: addresses are
+    short and their answers slow, so parts made by size would be one or two.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,7 +200,8 @@ def fetch(requests: DataFrame, get: Callable[[str], tuple[int, bytes]], seconds:
                     rows.append((key, url, None, None, type(e).__name__))
             yield pd.DataFrame(rows, columns=["key", "url", "status", "body", "error"])
 
-    return requests.select("key", "url").mapInPandas(run, "key string, url string, status int, body binary, error string")
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.select("key", "url").repartition(parts).mapInPandas(run, "key string, url string, status int, body binary, error string")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -204,3 +204,25 @@ def test_hanging_calls_are_bounded():
     release.set()
     time.sleep(0.5)
     assert seams.within(lambda x: x + 1, 1, 5) == 2
+
+
+def test_calls_share_a_thread_until_one_is_late():
+    on = [seams.within(lambda _: threading.current_thread(), None, 5) for _ in range(20)]
+    assert len(set(on)) == 1
+    with pytest.raises(KeyError):
+        seams.within({}.__getitem__, "x", 5)
+    with pytest.raises(TimeoutError):
+        seams.within(lambda _: sys.exit(1), None, 5)
+    release = threading.Event()
+    with pytest.raises(TimeoutError):
+        seams.within(lambda _: release.wait(30), None, 0.01)
+    after = seams.within(lambda _: threading.current_thread(), None, 5)
+    release.set()
+    on[0].join(5)
+    assert after not in on and not on[0].is_alive()
+
+
+def test_requests_are_dealt_out_by_number(spark):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("url")).distinct()
+    parts = seams.fetch(rows, lambda url: (200, b"")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in parts) == 200
