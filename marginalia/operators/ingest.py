@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,28 +44,31 @@ def is_heading(size: Column, body: Column, text: Column) -> Column:
     return (size > body * HEADING_RATIO) & (F.length(text) <= HEADING_CHARS)
 
 
-def _with_ids(rows: DataFrame) -> DataFrame:
+def _with_ids(rows: DataFrame, by: Sequence[str] = ("seq",)) -> DataFrame:
     """Ids and heading paths in document order; one sort of each paper."""
-    order = Window.partitionBy("paper").orderBy("seq")
+    order = Window.partitionBy("paper").orderBy(*by)
     last = F.last(F.when(F.col("opens"), F.col("heading")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     path = F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.array(last))
     return rows.withColumn("heading_path", path)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("paper").orderBy("seq")
+def _numbered(rows: DataFrame, by: Sequence[str] = ("seq",)) -> DataFrame:
+    order = Window.partitionBy("paper").orderBy(*by)
     rows = rows.withColumn("id", F.format_string("block_%04d", F.row_number().over(order)))
     return rows.select("paper", "seq", "id", "type", "page", "bbox", "heading_path", "text")
 
 
-def flat_blocks(raw: DataFrame) -> DataFrame:
-    """Blocks of the flat reader's raw blocks (paper, seq, type, page, bbox, text, size)."""
+def flat_blocks(raw: DataFrame, by: Sequence[str] = ("seq",)) -> DataFrame:
+    """Blocks of the flat reader's raw blocks (paper, seq, type, page, bbox, text, size).
+
+    by: columns whose order is that of ``seq``; rows that lie by paper and sorted by these are not sorted again.
+    """
     rows = text_blocks(raw)
     # the body size is a window over the paper, whose sort the ids need anyway: no join
     long = F.median(F.when(F.length("text") > BODY_CHARS, F.col("size"))).over(Window.partitionBy("paper"))
     rows = rows.withColumn("opens", is_heading(F.col("size"), F.coalesce(long, F.lit(BODY_SIZE)), F.col("text")))
     rows = rows.withColumn("type", F.when(F.col("opens"), "sectionheader").otherwise("text")).withColumn("heading", F.col("text"))
-    return _numbered(_with_ids(rows))
+    return _numbered(_with_ids(rows, by), by)
 
 
 def provenance_page(pages: Column) -> Column:
