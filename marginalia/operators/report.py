@@ -95,9 +95,11 @@ def hit_rows(hits: DataFrame, via: bool = True) -> DataFrame:
 
 
 def coverage_text() -> Column:
+    """One sentence on a paper's labels, null where there is no text."""
     n, missing = F.size("labels_in_text"), F.size("missing")
     return (
-        F.when(missing > 0, F.format_string("%d/%d labels covered — unaddressed: [%s]", F.size("covered"), n, F.array_join("missing", "], [")))
+        F.when(F.col("labels_in_text").isNull(), F.lit(None).cast("string"))
+        .when(missing > 0, F.format_string("%d/%d labels covered — unaddressed: [%s]", F.size("covered"), n, F.array_join("missing", "], [")))
         .when(n > 0, F.format_string("all %d citation labels covered", n))
         .otherwise("no numbered citation markers found; coverage not audited")
     )
