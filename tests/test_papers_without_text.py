@@ -1,8 +1,13 @@
 """What is said of papers whose text is not at hand, and of those whose text has no label."""
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
+from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
+from marginalia import catalog
 from marginalia.operators import coverage as V
 from marginalia.operators import report as P
 
@@ -30,3 +35,19 @@ def test_reports_say_that_papers_without_text_are_not_audited(parts):
         rows = {r.paper: r.report for r in P.report(claims, refs, coverage).collect()}
         said = {p: next(line for line in t.splitlines() if line.startswith("Citation coverage: ")) for p, t in rows.items()}
         assert said == {p: f"Citation coverage: {t or 'not audited'}" for p, t in SAID.items()}
+
+
+@pytest.fixture(scope="module")
+def untold(spark, small, tmp_path_factory):
+    """The small tables, with texts of the first 50 papers only."""
+    root = tmp_path_factory.mktemp("untold")
+    for name in os.listdir(small):
+        os.symlink(f"{small}/{name}", root / name)
+    os.unlink(root / "documents.parquet")
+    pq.write_table(spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 50").toArrow(), root / "documents.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["K4_report_files"])
+def test_queries_on_papers_without_text(spark, untold, name):
+    assert spark_rows(catalog.queries()[name](spark, untold)) == duck_rows(catalog.oracle_sql()[name], untold)
