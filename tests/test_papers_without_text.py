@@ -48,6 +48,13 @@ def untold(spark, small, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["K4_report_files"])
+@pytest.mark.parametrize("name", ["K4_report_files", "K8_console"])
 def test_queries_on_papers_without_text(spark, untold, name):
     assert spark_rows(catalog.queries()[name](spark, untold)) == duck_rows(catalog.oracle_sql()[name], untold)
+
+
+def test_the_console_leaves_out_the_coverage_of_papers_without_text(parts):
+    claims, refs, labels = parts
+    for coverage in both(claims, labels):
+        rows = {r.paper: [line for line in r.summary.splitlines() if line.startswith("coverage: ")] for r in P.console(claims, refs, coverage).collect()}
+        assert rows == {p: [f"coverage: {t}"] if t else [] for p, t in SAID.items()}
